@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrove import refdata
+from querygrove.prims import once
 
 # Possessive quantifiers keep the matcher linear and free of deep recursion on
 # long literals, comments and scripts.
@@ -40,7 +41,7 @@ def clean(sql: Column) -> Column:
 
 
 def strip(sql: Column) -> Column:
-    return F.regexp_replace(sql, r"^\s+|\s+$", "")
+    return F.btrim(sql, F.lit(" \t\r\n\f"))
 
 
 def statement_texts(sql: Column) -> Column:
@@ -62,30 +63,45 @@ def tokens(sql: Column) -> Column:
     return F.filter(all_tokens(sql), lambda token: ~is_comment(token))
 
 
+def _is_text(token: Column) -> Column:
+    return token.startswith("'") & (F.length(token) > 1)
+
+
+def _is_quoted(token: Column) -> Column:
+    return (token.startswith('"') | token.startswith("`")) & (F.length(token) > 1)
+
+
 def token_kind(token: Column) -> Column:
+    first = F.substring(token, 1, 1)
     return (
         F.when(is_comment(token), "comment")
-        .when(token.rlike(r"^'(?s:.*)'$") & (F.length(token) > 1), "string")
-        .when(token.rlike('^["`](?s:.*)["`]$') & (F.length(token) > 1), "identifier")
-        .when(token.rlike(r"^[\p{L}_]"), "identifier")
-        .when(token.rlike(r"^[0-9]"), "number")
-        .when(token.rlike(r"^\$[0-9]"), "parameter")
+        .when(_is_text(token), "string")
+        .when(_is_quoted(token), "identifier")
+        .when(first.between("0", "9"), "number")
+        .when((first == "$") & (F.length(token) > 1), "parameter")
+        .when(first.rlike(r"[\p{L}_]"), "identifier")
         .otherwise("operator")
     )
 
 
-def masked(toks: Column) -> Column:
-    """Upper-cased tokens between single blanks, with literals and quoted names masked.
+_KEPT = rf"({_STRING}|{_QUOTED})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
+_LITERAL = r"""(')(?:[^']++|'')*+'|(["`])[^"`]*+["`]"""
+_SIGN = r"""([0-9]+\.[0-9]+|<>|<=|>=|!=|\|\||::|->>|->|['"`](?!\?)|[-(),;.\[\]{}+*/%=<>~@#&^|!:?](?<!['"`]\?))"""
+
 
-    Patterns over this text cannot be misled by the content of literals.
+def without_comments(sql: Column) -> Column:
+    return F.regexp_replace(sql, _KEPT, "$1 ")
+
+
+def masked(sql: Column) -> Column:
+    """Upper-cased words and signs between single blanks, literals and quoted names masked.
+
+    Four replacements over the text. Patterns over the result cannot be misled
+    by the content of literals; a quote without a partner stays a sign.
     """
-    words = F.transform(
-        toks,
-        lambda t: F.when(t.startswith("'") & (F.length(t) > 1), "'?'")
-        .when(t.rlike('^["`]') & (F.length(t) > 1), '"?"')
-        .otherwise(F.upper(t)),
-    )
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    text = F.regexp_replace(without_comments(sql), _LITERAL, " $1$2? ")
+    text = F.regexp_replace(text, _SIGN, " $1 ")
+    return F.upper(F.concat(F.lit(" "), F.regexp_replace(text, r"^\s+|\s+(?=\s)|\s+$", ""), F.lit(" ")))
 
 
 def canonical(toks: Column) -> Column:
@@ -101,52 +117,54 @@ def canonical(toks: Column) -> Column:
     return F.array_join(F.transform(toks, spaced), "")
 
 
-def profile(toks: Column) -> Column:
-    """What one pass over a statement's tokens tells, as a struct.
+_INNERMOST = r"\( [^()]*+\) "
+_COLLAPSE_PASSES = 6
+_QUERY_WORDS = r" (SELECT|INSERT|UPDATE|DELETE|MERGE|VALUES) "
+_CLAUSE_END = "|".join(w for w in refdata.CLAUSE_WORDS if w != "SELECT")
+
+
+def outline(mask: Column) -> Column:
+    """Masked text with parenthesised blocks replaced by ``#``, six levels deep."""
+    for _ in range(_COLLAPSE_PASSES):
+        mask = F.regexp_replace(mask, _INNERMOST, "# ")
+    return mask
+
+
+def full_outline(partial: Column) -> Column:
+    """Goes on collapsing texts that nest deeper, until nothing changes.
+
+    What is left then are parentheses without a partner.
+    """
+    def again(acc: Column, _: Column) -> Column:
+        text = F.regexp_replace(acc["text"], _INNERMOST, "# ")
+        return F.when(acc["done"], acc).otherwise(F.struct(text.alias("text"), (text == acc["text"]).alias("done")))
+
+    passes = F.sequence(F.lit(1), F.greatest(F.size(F.split(partial, r"\(")), F.lit(1)))
+    deep = F.aggregate(passes, F.struct(partial.alias("text"), F.lit(False).alias("done")), again)["text"]
+    return F.when(partial.rlike(r"[()]"), deep).otherwise(partial)
+
+
+def profile(mask: Column, top: Column) -> Column:
+    """What a statement's masked text and its outline tell, as a struct.
 
     ``lead`` is the first word, ``main`` the word that decides the kind of the
     statement (after a list of common tables, the first query word outside
     parentheses). ``where0`` and ``setop0`` are about depth 0 only. ``star`` is
     the first star of the top projection: 1 plain, 2 qualified, 0 none.
     """
-    def start():
-        return F.struct(
-            F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit("").alias("lead"), F.lit("").alias("main"),
-            F.lit("").alias("prev"), F.lit(False).alias("where0"), F.lit(False).alias("setop0"),
-            F.lit(False).alias("projecting"), F.lit(0).alias("star"), F.lit(False).alias("open_quote"),
-            F.lit(False).alias("parenthesised"),
-        )
-
-    def step(acc: Column, token: Column) -> Column:
-        word = F.upper(token)
-        depth = (
-            acc["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
-        ).cast("int")
-        top = (acc["depth"] == 0) & (token != "(") & (token != ")")
-        lead = F.when((acc["lead"] == "") & (token != "("), word).otherwise(acc["lead"])
-        main = (
-            F.when(acc["main"] != "", acc["main"])
-            .when(lead == "", "")
-            .when((lead == "WITH") & ~(top & word.isin("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "VALUES")), "")
-            .otherwise(word)
-        )
-        opens = top & (word == "SELECT") & ~acc["setop0"]
-        closes = top & word.isin(*[w for w in refdata.CLAUSE_WORDS if w != "SELECT"])
-        star = F.when(
-            (acc["star"] == 0) & acc["projecting"] & top & (token == "*")
-            & acc["prev"].isin("SELECT", ",", "DISTINCT", "ALL", "."),
-            F.when(acc["prev"] == ".", 2).otherwise(1),
-        ).otherwise(acc["star"])
-        return F.struct(
-            depth.alias("depth"), F.least(acc["low"], depth).alias("low"), lead.alias("lead"), main.alias("main"),
-            word.alias("prev"), (acc["where0"] | (top & (word == "WHERE"))).alias("where0"),
-            (acc["setop0"] | (top & word.isin("UNION", "INTERSECT", "EXCEPT"))).alias("setop0"),
-            F.when(opens, True).when(closes, False).otherwise(acc["projecting"]).alias("projecting"),
-            star.alias("star"), (acc["open_quote"] | token.isin("'", '"', "`")).alias("open_quote"),
-            (acc["parenthesised"] | ((acc["lead"] == "") & (token == "("))).alias("parenthesised"),
-        )
-
-    return F.aggregate(toks, start(), step)
+    lead = F.regexp_extract(mask, r"^[ (]*+([^ (]+)", 1)
+    projection = F.regexp_extract(top, rf" SELECT (.*?)(?:(?: (?:{_CLAUSE_END}))? $| (?:{_CLAUSE_END}) )", 1)
+    star = F.regexp_extract(projection, r"(?:^|, |DISTINCT |ALL |\. )\*", 0)
+    return F.struct(
+        lead.alias("lead"),
+        F.when(lead == "WITH", F.regexp_extract(top, _QUERY_WORDS, 1)).otherwise(lead).alias("main"),
+        F.contains(top, F.lit(" WHERE ")).alias("where0"),
+        top.rlike(r" (UNION|INTERSECT|EXCEPT) ").alias("setop0"),
+        F.when(star == "", 0).when(star.startswith("."), 2).otherwise(1).alias("star"),
+        mask.rlike(r" ['\"`] ").alias("open_quote"),
+        mask.startswith(" ( ").alias("parenthesised"),
+        (~top.rlike(r"[()]")).alias("balanced"),
+    )
 
 
 def kind_of(prof: Column) -> Column:
@@ -167,24 +185,59 @@ def problem(prof: Column, mask: Column) -> Column:
     return (
         F.when(prof["lead"] == "", "no_statement")
         .when(prof["open_quote"], "unclosed_quote")
-        .when((prof["depth"] != 0) | (prof["low"] < 0), "unbalanced_parentheses")
+        .when(~prof["balanced"], "unbalanced_parentheses")
         .when(kind_of(prof) == "unknown", "unknown_statement")
         .when(mask.rlike(_DANGLING), "dangling_clause")
     )
 
 
 def with_profile(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """Adds ``toks``, ``prof``, ``mask``, ``kind`` and ``problem``; one pass, no shuffle."""
-    return (
-        df.withColumn("toks", tokens(clean(F.col(sql))))
-        .withColumn("prof", profile(F.col("toks")))
-        .withColumn("mask", masked(F.col("toks")))
-        .withColumn("kind", kind_of(F.col("prof")))
-        .withColumn("problem", problem(F.col("prof"), F.col("mask")))
+    """Adds ``mask``, ``prof``, ``kind`` and ``problem``; regexes only, no shuffle.
+
+    The steps are columns of their own, so that none is repeated; the last one
+    is a barrier that keeps later filters from repeating all of them.
+    """
+    df = (
+        df.withColumn("mask", masked(clean(F.col(sql))))
+        .withColumn("_outline", outline(F.col("mask")))
+        .withColumn("_top", full_outline(F.col("_outline")))
+        .withColumn("prof", profile(F.col("mask"), F.col("_top")))
+        .drop("_outline", "_top")
     )
+    return once(df, kind=kind_of(F.col("prof")), problem=problem(F.col("prof"), F.col("mask")))
+
+
+def _comparison(toks: Column, token: Column, i: Column) -> list[Column]:
+    """``side`` and ``literal`` of a token, from its neighbours in the array."""
+    def at(k: int) -> Column:
+        return F.coalesce(F.get(toks, i + k), F.lit(""))
+
+    def starts(word: Column) -> Column:
+        return F.upper(word).isin(*refdata.OPERAND_STARTS)
+
+    def ends(word: Column) -> Column:
+        return (word == "") | F.upper(word).isin(*refdata.OPERAND_ENDS)
 
+    def literal(word: Column) -> Column:
+        return (word != "") & (word.startswith("'") | F.substring(word, 1, 1).between("0", "9"))
 
-def token_rows(df: DataFrame, keys: Sequence[str], toks: str = "toks", keep: Sequence[str] = ()) -> DataFrame:
+    dotted = at(-1) == "."
+    before = F.when(dotted, at(-3)).otherwise(at(-1))
+    # the operand left of the operator before this token, and what precedes it
+    other = F.when(dotted, at(-4)).otherwise(at(-2))
+    ahead = F.when(dotted, at(-5)).otherwise(at(-3))
+    farther = F.when(dotted, at(-7)).otherwise(at(-5))
+    name = F.substring(token, 1, 1).rlike(r'[\p{L}_"`]')
+    other_is_column = F.substring(other, 1, 1).rlike(r'[\p{L}_"`]') & (
+        starts(ahead) | ((ahead == ".") & starts(farther)))
+    left = name & at(1).isin(*refdata.COMPARISONS) & starts(before)
+    right = name & before.isin(*refdata.COMPARISONS) & ends(at(1)) & ~other_is_column
+    side = F.when(left, "L").when(right, "R")
+    value = F.when(left & literal(at(2)) & ends(at(3)), at(2)).when(right & literal(other) & starts(ahead), other)
+    return [side.alias("side"), value.alias("literal")]
+
+
+def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Sequence[str] = ()) -> DataFrame:
     """One row per token with its neighbours, depth, enclosing block and clause.
 
     The statements (text, not tokens) are hash partitioned by their key first;
@@ -195,12 +248,16 @@ def token_rows(df: DataFrame, keys: Sequence[str], toks: str = "toks", keep: Seq
     * ``depth``: both parentheses of a pair carry the depth outside of it
     * ``block``: position of the parenthesis the token is inside of, -1 outside
     * ``clause``: last clause word before the token in the same block
+    * ``top_clause``: last clause word outside of all parentheses
+    * ``side``: L or R where a name is that operand of a comparison, alone
+    * ``literal``: the other operand when it is one literal
     """
+    toks = F.col("_toks")
     near = F.transform(
-        F.col(toks),
+        toks,
         lambda t, i: F.struct(
-            t.alias("tok"), F.get(F.col(toks), i - 1).alias("p1"), F.get(F.col(toks), i - 2).alias("p2"),
-            F.get(F.col(toks), i + 1).alias("n1"), F.get(F.col(toks), i + 2).alias("n2"),
+            t.alias("tok"), F.get(toks, i - 1).alias("p1"), F.get(toks, i - 2).alias("p2"),
+            F.get(toks, i + 1).alias("n1"), F.get(toks, i + 2).alias("n2"), *_comparison(toks, t, i),
         ),
     )
     in_order = Window.partitionBy(*keys).orderBy("pos")
@@ -209,7 +266,7 @@ def token_rows(df: DataFrame, keys: Sequence[str], toks: str = "toks", keep: Seq
         Window.unboundedPreceding, Window.currentRow
     )
     rows = (
-        df.repartition(*keys)
+        once(df.repartition(*keys), _toks=tokens(clean(F.col(sql))))
         .select(*keys, *keep, F.posexplode(near).alias("pos", "near"))
         .select(*keys, *keep, "pos", "near.*")
         .withColumn("word", F.upper("tok"))
@@ -225,6 +282,10 @@ def token_rows(df: DataFrame, keys: Sequence[str], toks: str = "toks", keep: Seq
         # the depth a parenthesis opens or closes; equal to the depth for other tokens
         .withColumn("inner", F.when(F.col("tok").isin("(", ")"), F.col("depth") + 1).otherwise(F.col("depth")).cast("int"))
         .withColumn("block", F.coalesce(F.max(F.when(F.col("tok") == "(", F.col("pos"))).over(same_depth), F.lit(-1)))
+        .withColumn(
+            "top_clause",
+            F.max(F.when(clause_word & (F.col("depth") == 0), F.struct("pos", "word"))).over(so_far)["word"],
+        )
         .withColumn("_last", F.max(F.when(clause_word, F.struct("pos", "word"))).over(same_depth))
         .withColumn("clause", F.when(F.col("_last.pos") > F.col("block"), F.col("_last.word")))
         .drop("after", "_last")

@@ -39,10 +39,11 @@ def statement_tokens(statements: DataFrame, keep: Sequence[str] = ()) -> DataFra
     Adds ``stmt_kind`` and the flags ``is_name`` (a name and not a keyword),
     ``is_table``, ``is_column`` and ``qualifier`` of a column.
     """
-    ready = lexing.with_profile(statements).filter(F.col("problem").isNull())
+    opaque = ("explain", "command", "txn", "grant", "copy", "execute")
+    ready = lexing.with_profile(statements).filter(F.col("problem").isNull() & ~F.col("kind").isin(*opaque))
     rows = lexing.token_rows(
-        ready.withColumn("stmt_kind", F.col("kind")).withColumn("paren_root", F.col("prof.parenthesised")), KEYS,
-        keep=("stmt_kind", "paren_root", *keep),
+        ready.select(*KEYS, "sql", *keep, F.col("kind").alias("stmt_kind"), F.col("prof.parenthesised").alias("paren_root")),
+        KEYS, keep=("stmt_kind", "paren_root", *keep),
     )
     return classified(rows)
 

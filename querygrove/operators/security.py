@@ -16,7 +16,7 @@ from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators.files import MIGRATION_NAME
 from querygrove.options import options
-from querygrove.prims import ranked
+from querygrove.prims import once, ranked
 
 _HOST = r"(?iU)\b(?:" + "|".join(refdata.HOST_KEYWORDS) + r")\b"
 
@@ -112,8 +112,8 @@ def source_findings(units: DataFrame) -> DataFrame:
             F.lit("Detected potentially unsafe dynamic SQL construction (string concatenation with SQL keywords).").alias("message"))),
     ))
     return (
-        lines(units.filter(F.col("input_kind") == "python_source"))
-        .withColumn("_hit", F.explode(hits))
+        once(lines(units.filter(F.col("input_kind") == "python_source")), _hits=hits)
+        .withColumn("_hit", F.explode("_hits"))
         .select(*[c for c in units.columns if c != "content"], F.lit(0).alias("stmt_idx"), F.col("line_no").alias("line"),
                 "_hit.*")
     )
@@ -123,9 +123,9 @@ _DROP_TABLE = r"^ DROP (TEMPORARY |TEMP )?TABLE "
 _DROP_COLUMN = r"(?<= )DROP COLUMN (?:IF EXISTS )?(\S+)"
 
 
-def dropped_columns(prof: Column, toks: Column) -> Column:
+def dropped_columns(prof: Column, sql: Column) -> Column:
     """Names of the columns an ALTER TABLE drops, in order."""
-    text = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    text = F.concat(F.lit(" "), F.array_join(lexing.tokens(lexing.clean(sql)), " "), F.lit(" "))
     names = F.regexp_extract_all(text, F.lit(f"(?i){_DROP_COLUMN}"), F.lit(1))
     return F.when(prof["main"] == "ALTER", F.transform(names, lambda n: F.regexp_replace(n, '^["`]|["`]$', "")))
 
@@ -154,7 +154,7 @@ def statement_rules(role: Column, dialect: Column) -> Column:
             "EXECUTE statement detected. Verify the SQL is not dynamically constructed from untrusted input."),
     ))
     columns = F.when(role == "migration", F.transform(
-        dropped_columns(prof, F.col("toks")),
+        dropped_columns(prof, F.col("sql")),
         lambda n: F.struct(F.lit("SEC-008").alias("rule_id"),
                            F.concat(F.lit("ALTER TABLE DROP COLUMN "), n, F.lit(" (data loss — column data is destroyed).")).alias("message")),
     ))
@@ -167,7 +167,8 @@ def statement_findings(units: DataFrame) -> DataFrame:
     statements = units.filter(F.col("input_kind") == "sql").select(
         *keep, F.posexplode(lexing.statement_texts(F.col("content"))).alias("stmt_idx", "sql"))
     good = lexing.with_profile(statements).filter(F.col("problem").isNull())
-    return good.withColumn("_hit", F.explode(statement_rules(F.col("input_role"), F.col("dialect")))).select(
+    hits = once(good, _hits=statement_rules(F.col("input_role"), F.col("dialect")))
+    return hits.withColumn("_hit", F.explode("_hits")).select(
         *keep, "stmt_idx", F.lit(1).alias("line"), "_hit.*")
 
 

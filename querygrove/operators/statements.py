@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.options import options
+from querygrove.prims import once
 
 KEYS = ("unit_id", "stmt_idx")
 
@@ -110,16 +111,14 @@ def admission(max_bytes: int | None = None) -> Column:
 
 def with_admission(statements: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Adds ``rejection`` (null when admitted), ``has_placeholders`` and ``canonical_sql``."""
-    texts = F.filter(lexing.statement_texts(F.col("sql")), lambda t: F.size(lexing.tokens(t)) > 0)
-    one = statements.withColumn("n_statements", F.size(texts)).withColumn(
-        "_one", F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
-    )
-    ready = lexing.with_profile(one, "_one")
-    return (
-        ready.withColumn("rejection", admission(max_bytes))
-        .withColumn("has_placeholders", has_placeholders(F.col("toks")))
-        .withColumn("canonical_sql", F.when(F.col("rejection").isNull(), lexing.canonical(F.col("toks"))))
-        .drop("_one")
+    texts = F.filter(lexing.statement_texts(F.col("sql")), lambda t: lexing.without_comments(t).rlike(r"\S"))
+    one = statements.withColumn("_texts", texts).select(
+        "*", F.size("_texts").alias("n_statements"), F.coalesce(F.get("_texts", F.lit(0)), F.lit("")).alias("_one"))
+    ready = lexing.with_profile(one, "_one").withColumn("rejection", admission(max_bytes))
+    toks = F.when(F.col("rejection").isNull(), lexing.tokens(F.col("_one")))
+    return once(ready, _toks=toks).select(
+        *statements.columns, "rejection", has_placeholders(F.col("mask")).alias("has_placeholders"),
+        F.when(F.col("rejection").isNull(), lexing.canonical(F.col("_toks"))).alias("canonical_sql"),
     )
 
 
@@ -132,8 +131,9 @@ def admit_read_only(statements: DataFrame, max_bytes: int | None = None) -> Data
     )
 
 
-def has_placeholders(toks: Column) -> Column:
-    return F.exists(toks, lambda t: t.rlike(r"^\$[0-9]+$"))
+def has_placeholders(mask: Column) -> Column:
+    """Whether a masked text has a ``$n`` parameter."""
+    return mask.rlike(r" \$[0-9]+ ")
 
 
 def infer_dialect(statements: DataFrame) -> DataFrame:

@@ -29,6 +29,18 @@ def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataF
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns whose expressions are evaluated exactly once per row.
+
+    A plain projection may be merged into the filters and projections above it
+    and then repeats its expressions there. The one-element generator is a
+    barrier for that; use it for expensive array expressions that several
+    later columns read.
+    """
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.explode(F.array(fields)).alias("_once")).select("*", "_once.*").drop("_once")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; never a local one."""
     spark = df.sparkSession

@@ -101,7 +101,7 @@ STATEMENT_KINDS = (
 
 CLAUSE_WORDS = (
     "SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FETCH", "UNION", "INTERSECT",
-    "EXCEPT", "WINDOW", "SET", "VALUES", "RETURNING", "INTO", "FOR", "QUALIFY", "WHEN",
+    "EXCEPT", "WINDOW", "SET", "VALUES", "RETURNING", "INTO", "FOR", "QUALIFY",
 )
 JOIN_WORDS = ("LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "OUTER", "JOIN")
 LOCK_ACTIONS = ("UPDATE", "SHARE", "NO KEY UPDATE", "KEY SHARE")
@@ -121,6 +121,14 @@ RESERVED_WORDS = (
     "ESCAPE", "COLLATE", "TOP", "QUALIFY", "FILTER", "WITHIN",
 )
 
+COMPARISONS = ("=", "<>", "!=", "<", ">", "<=", ">=")
+#: What may stand before, and after, an operand that is nothing but a column or a literal.
+OPERAND_STARTS = ("WHERE", "AND", "OR", "NOT", "(", "WHEN", "ON", "HAVING")
+OPERAND_ENDS = (
+    "AND", "OR", ")", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION", "INTERSECT", "EXCEPT", "THEN",
+    "ELSE", "FOR", "RETURNING", "WINDOW", "QUALIFY", ";",
+)
+
 #: Functions whose argument list uses FROM as a separator.
 FROM_FUNCTIONS = ("EXTRACT", "TRIM", "SUBSTRING", "OVERLAY", "POSITION")
 

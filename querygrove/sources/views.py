@@ -351,7 +351,7 @@ def _errors(e) -> str:
     )
     cases = "\n".join(f"        WHEN {n} THEN {t}" for n, t in enumerate(texts))
     return f"""
-    SELECT event_id, user_id, user_id % 1500 AS repo, {e.epoch('ts')} AS at_s,
+    SELECT event_id, user_id, user_id % 100 AS repo, {e.epoch('ts')} AS at_s,
       CASE WHEN user_id % 3 = 0 THEN 'mysql' ELSE 'postgres' END AS dialect,
       CASE event_id % 22
 {cases}
@@ -383,7 +383,7 @@ def _requirements(e) -> str:
     k = "CAST(p_partkey AS STRING)"
     word = e.capital("CASE WHEN position(' ' IN p_name) > 0 THEN substr(p_name, 1, position(' ' IN p_name) - 1) ELSE p_name END")
     return f"""
-    SELECT p_partkey AS doc_id, p_partkey % 1500 AS repo,
+    SELECT p_partkey AS doc_id, p_partkey % 100 AS repo,
       CASE WHEN p_partkey % 7 = 6 THEN 'something vague about ' || p_name
         WHEN p_partkey % 7 = 5 THEN '  '
         WHEN p_partkey % 7 = 4 THEN 'We need a table called customer. A record named orders. The orders has amount and unitPrice, itemCount.'
@@ -440,7 +440,11 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A base table. A file too small to give every core a task is spread first;
+    tables of a realistic size have more splits than cores and are read as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querygrove import refdata
+from querygrove.functions.lexing import masked
 from querygrove.operators import statements as op
 from querygrove.prims import joined
 from querygrove.sources.views import view
@@ -90,9 +91,7 @@ def admit_read_only(spark, sf):
 @query("has_placeholders", "v_statements", r"""
   SELECT unit_id, regexp_matches(regexp_replace(sql, '''[^'']*''', '', 'g'), '\$[0-9]+') AS has_placeholders FROM v_statements""")
 def has_placeholders(spark, sf):
-    from querygrove.functions.lexing import tokens
-
-    return view(spark, sf, "v_statements").select("unit_id", op.has_placeholders(tokens(F.col("sql"))).alias("has_placeholders"))
+    return view(spark, sf, "v_statements").select("unit_id", op.has_placeholders(masked(F.col("sql"))).alias("has_placeholders"))
 
 
 _MARKERS = ", ".join(
