@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrove import refdata
-from querygrove.prims import once
+from querygrove.prims import once, spread_by
 
 # Possessive quantifiers keep the matcher linear and free of deep recursion on
 # long literals, comments and scripts.
@@ -207,11 +207,17 @@ def with_profile(df: DataFrame, sql: str = "sql") -> DataFrame:
     return once(df, kind=kind_of(F.col("prof")), problem=problem(F.col("prof"), F.col("mask")))
 
 
-def _comparison(toks: Column, token: Column, i: Column) -> list[Column]:
-    """``side`` and ``literal`` of a token, from its neighbours in the array."""
+def _neighbour(toks: Column, i: Column):
     def at(k: int) -> Column:
         return F.coalesce(F.get(toks, i + k), F.lit(""))
 
+    return at
+
+
+def _comparison(toks: Column, token: Column, i: Column) -> list[Column]:
+    """``side`` and ``literal`` of a token, from its neighbours in the array."""
+    at = _neighbour(toks, i)
+
     def starts(word: Column) -> Column:
         return F.upper(word).isin(*refdata.OPERAND_STARTS)
 
@@ -227,66 +233,75 @@ def _comparison(toks: Column, token: Column, i: Column) -> list[Column]:
     other = F.when(dotted, at(-4)).otherwise(at(-2))
     ahead = F.when(dotted, at(-5)).otherwise(at(-3))
     farther = F.when(dotted, at(-7)).otherwise(at(-5))
-    name = F.substring(token, 1, 1).rlike(r'[\p{L}_"`]')
-    other_is_column = F.substring(other, 1, 1).rlike(r'[\p{L}_"`]') & (
-        starts(ahead) | ((ahead == ".") & starts(farther)))
-    left = name & at(1).isin(*refdata.COMPARISONS) & starts(before)
-    right = name & before.isin(*refdata.COMPARISONS) & ends(at(1)) & ~other_is_column
-    side = F.when(left, "L").when(right, "R")
+    other_is_column = is_word(other) & (starts(ahead) | ((ahead == ".") & starts(farther)))
+    left = at(1).isin(*refdata.COMPARISONS) & starts(before)
+    right = before.isin(*refdata.COMPARISONS) & ends(at(1)) & ~other_is_column
+    side = F.when(~is_word(token), None).when(left, "L").when(right, "R")
     value = F.when(left & literal(at(2)) & ends(at(3)), at(2)).when(right & literal(other) & starts(ahead), other)
-    return [side.alias("side"), value.alias("literal")]
+    return [side.alias("side"), F.when(is_word(token), value).alias("literal")]
+
+
+def is_word(token: Column) -> Column:
+    """A plain or quoted name or a keyword."""
+    return F.substring(token, 1, 1).rlike(r'[\p{L}_"`]')
 
 
 def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per token with its neighbours, depth, enclosing block and clause.
+    """One row per word and bracket of a statement with its neighbours, depth, block and clause.
 
     The statements (text, not tokens) are hash partitioned by their key first;
-    every window below then works on that partitioning, so exploded tokens are
+    both windows below then work on that partitioning, so exploded tokens are
     sorted locally and never shuffled. A statement is one key, so a hot script
-    or repository spreads over all tasks.
+    or repository spreads over all tasks. Literals and operators only appear as
+    neighbours, which keeps the rows to sort few.
 
+    * ``head``, ``head2``: the two tokens before the (dotted) name
     * ``depth``: both parentheses of a pair carry the depth outside of it
     * ``block``: position of the parenthesis the token is inside of, -1 outside
+    * ``owner``: word before that parenthesis
     * ``clause``: last clause word before the token in the same block
-    * ``top_clause``: last clause word outside of all parentheses
     * ``side``: L or R where a name is that operand of a comparison, alone
     * ``literal``: the other operand when it is one literal
     """
     toks = F.col("_toks")
-    near = F.transform(
-        toks,
-        lambda t, i: F.struct(
-            t.alias("tok"), F.get(toks, i - 1).alias("p1"), F.get(toks, i - 2).alias("p2"),
-            F.get(toks, i + 1).alias("n1"), F.get(toks, i + 2).alias("n2"), *_comparison(toks, t, i),
-        ),
-    )
-    in_order = Window.partitionBy(*keys).orderBy("pos")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def near(token: Column, i: Column) -> Column:
+        at = _neighbour(toks, i)
+        chain = F.when(at(-1) != ".", 0).when(at(-3) != ".", 2).otherwise(4)
+        return F.struct(
+            i.alias("pos"), token.alias("tok"), at(-1).alias("p1"), at(-2).alias("p2"), at(1).alias("n1"), at(2).alias("n2"),
+            F.upper(F.coalesce(F.get(toks, i - chain - 1), F.lit(""))).alias("head"),
+            F.upper(F.coalesce(F.get(toks, i - chain - 2), F.lit(""))).alias("head2"),
+            *_comparison(toks, token, i),
+        )
+
+    # the tokens that get a row keep their place among all tokens
+    kept = F.filter(F.transform(toks, near), lambda n: n["tok"].isin("(", ")", ",", "*", ";") | is_word(n["tok"]))
+    in_order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same_depth = Window.partitionBy(*keys, "inner").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    opening, closing = F.col("tok") == "(", F.col("tok") == ")"
     rows = (
-        once(df.repartition(*keys), _toks=tokens(clean(F.col(sql))))
-        .select(*keys, *keep, F.posexplode(near).alias("pos", "near"))
-        .select(*keys, *keep, "pos", "near.*")
+        once(spread_by(df, *keys), _toks=tokens(clean(F.col(sql))))
+        .select(*keys, *keep, F.explode(kept).alias("near"))
+        .select(*keys, *keep, "near.*")
+        .withColumn("_after", F.sum(F.when(opening, 1).when(closing, -1).otherwise(0)).over(in_order))
+        .withColumn("depth", (F.col("_after") - F.when(opening, 1).otherwise(0)).cast("int"))
+        # the depth a parenthesis opens or closes; equal to the depth for other tokens
+        .withColumn("inner", (F.col("depth") + F.when(opening | closing, 1).otherwise(0)).cast("int"))
         .withColumn("word", F.upper("tok"))
-        .withColumn("kind", token_kind(F.col("tok")))
-    )
-    step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
-    clause_word = F.col("word").isin(*refdata.CLAUSE_WORDS) & (F.col("kind") == "identifier") & (
-        F.coalesce(F.col("p1"), F.lit("")) != "."
     )
+    clause_word = F.col("word").isin(*refdata.CLAUSE_WORDS) & (F.col("p1") != ".")
+    others = [c for c in rows.columns if c != "_after"]
     return (
-        rows.withColumn("after", F.sum(step).over(so_far))
-        .withColumn("depth", (F.col("after") + F.when(F.col("tok") == ")", 0).when(F.col("tok") == "(", -1).otherwise(0)).cast("int"))
-        # the depth a parenthesis opens or closes; equal to the depth for other tokens
-        .withColumn("inner", F.when(F.col("tok").isin("(", ")"), F.col("depth") + 1).otherwise(F.col("depth")).cast("int"))
-        .withColumn("block", F.coalesce(F.max(F.when(F.col("tok") == "(", F.col("pos"))).over(same_depth), F.lit(-1)))
-        .withColumn(
-            "top_clause",
-            F.max(F.when(clause_word & (F.col("depth") == 0), F.struct("pos", "word"))).over(so_far)["word"],
+        rows.select(
+            *others,
+            F.max(F.when(opening, F.struct("pos", F.upper("p1").alias("owner")))).over(same_depth).alias("_open"),
+            F.max(F.when(clause_word, F.struct("pos", "word"))).over(same_depth).alias("_last"),
         )
-        .withColumn("_last", F.max(F.when(clause_word, F.struct("pos", "word"))).over(same_depth))
+        .withColumn("block", F.coalesce("_open.pos", F.lit(-1)))
+        .withColumn("owner", F.coalesce("_open.owner", F.lit("")))
         .withColumn("clause", F.when(F.col("_last.pos") > F.col("block"), F.col("_last.word")))
-        .drop("after", "_last")
+        .drop("_open", "_last")
     )

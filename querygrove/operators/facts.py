@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.options import options
+from querygrove.prims import cut_lineage, spread_by
 
 KEYS = ("unit_id", "stmt_idx")
 
@@ -24,10 +25,6 @@ FACT_CAPS = {
 _STOPS = tuple(w for w in refdata.CLAUSE_WORDS if w != "FOR")
 
 
-def _word(name: str) -> Column:
-    return F.upper(F.coalesce(F.col(name), F.lit("")))
-
-
 def bare(token: Column) -> Column:
     """Identifier without its quotes."""
     return F.regexp_replace(token, '^["`]|["`]$', "")
@@ -36,63 +33,54 @@ def bare(token: Column) -> Column:
 def statement_tokens(statements: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Classified token rows of well-formed statements.
 
-    Adds ``stmt_kind`` and the flags ``is_name`` (a name and not a keyword),
-    ``is_table``, ``is_column`` and ``qualifier`` of a column.
+    Adds ``stmt_kind``, ``paren_root``, ``nested`` (has a subquery) and the
+    flags of ``classified``.
     """
     opaque = ("explain", "command", "txn", "grant", "copy", "execute")
     ready = lexing.with_profile(statements).filter(F.col("problem").isNull() & ~F.col("kind").isin(*opaque))
     rows = lexing.token_rows(
-        ready.select(*KEYS, "sql", *keep, F.col("kind").alias("stmt_kind"), F.col("prof.parenthesised").alias("paren_root")),
-        KEYS, keep=("stmt_kind", "paren_root", *keep),
+        ready.select(
+            *KEYS, "sql", *keep, F.col("kind").alias("stmt_kind"), F.col("prof.parenthesised").alias("paren_root"),
+            F.col("mask").rlike(r" \( (SELECT|WITH) ").alias("nested"),
+        ),
+        KEYS, keep=("stmt_kind", "paren_root", "nested", *keep),
     )
     return classified(rows)
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    p1, p2, n1 = _word("p1"), _word("p2"), F.coalesce(F.col("n1"), F.lit(""))
+    """Adds ``is_name`` (a name and no keyword), ``is_table``, ``is_column`` and a column's ``qualifier``."""
+    p1, n1 = F.upper("p1"), F.col("n1")
+    head, head2 = F.col("head"), F.col("head2")
     quoted = F.col("tok").rlike('^["`]')
-    name = (F.col("kind") == "identifier") & (quoted | ~F.col("word").isin(*refdata.RESERVED_WORDS))
-    opener = Window.partitionBy(*KEYS, "inner").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("is_name", name).withColumn(
-        # the word before the parenthesis the token is inside of
-        "owner", F.max(F.when(F.col("tok") == "(", F.struct(F.col("pos"), F.upper("p1").alias("w")))).over(opener)["w"]
-    ).withColumn("owner", F.when(F.col("block") >= 0, F.coalesce("owner", F.lit(""))).otherwise(""))
+    name = lexing.is_word(F.col("tok")) & (quoted | ~F.col("word").isin(*refdata.RESERVED_WORDS))
     in_function = F.col("owner").isin(*refdata.FROM_FUNCTIONS)
     introduced = (
-        (p1.isin("FROM", "JOIN", "INTO", "TABLE", "TRUNCATE", "REFERENCES") & ~((p1 == "FROM") & (in_function | (p2 == "DISTINCT"))))
-        | ((p1 == "UPDATE") & ~p2.isin("FOR", "KEY", "ON", "DO"))
-        | ((p1 == "USING") & F.col("stmt_kind").isin("delete", "merge"))
-        | ((p1 == "EXISTS") & (p2 == "IF")) | (p1 == "ONLY")
-        | ((p1 == "ON") & (F.col("stmt_kind") == "create"))
-        | ((p1 == ",") & (F.col("clause") == "FROM") & ~in_function)
+        (head.isin("FROM", "JOIN", "INTO", "TABLE", "TRUNCATE", "REFERENCES")
+         & ~((head == "FROM") & (in_function | (head2 == "DISTINCT"))))
+        | ((head == "UPDATE") & ~head2.isin("FOR", "KEY", "ON", "DO"))
+        | ((head == "USING") & F.col("stmt_kind").isin("delete", "merge"))
+        | ((head == "EXISTS") & (head2 == "IF")) | (head == "ONLY")
+        | ((head == "ON") & (F.col("stmt_kind") == "create"))
+        | ((head == ",") & (F.col("clause") == "FROM") & ~in_function)
     )
-    routine = (n1 == "(") & p1.isin("FROM", "JOIN", ",", "USING")
-    # a dotted name is introduced through its first part
-    first = F.col("is_name") & (p1 != ".") & introduced & ~routine
-    head = Window.partitionBy(*KEYS).orderBy("pos")
-    rows = rows.withColumn("_first", first)
-    second = F.col("is_name") & (p1 == ".") & F.lag("_first", 2, False).over(head)
-    third = F.col("is_name") & (p1 == ".") & F.lag("_first", 4, False).over(head) & (F.lag("tok", 3).over(head) == ".")
-    rows = rows.withColumn("_ref", F.col("_first") | second | third)
-    ended = F.col("p1").isNotNull() & (
-        (p1 == ")") | F.col("p1").rlike(r"^[0-9']") | (p1 == "END")
-        | (F.col("p1").rlike(r'^[\p{L}_"`]') & ~p1.isin(*refdata.RESERVED_WORDS))
+    routine = (n1 == "(") & head.isin("FROM", "JOIN", ",", "USING")
+    # an operand right before a name makes the name an alias
+    ended = (F.col("p1") != "") & (
+        p1.isin(")", "END") | F.col("p1").rlike(r"^[0-9']") | (lexing.is_word(F.col("p1")) & ~p1.isin(*refdata.RESERVED_WORDS))
     )
-    alias = (p1 == "AS") | ended
     plain = F.col("stmt_kind").isin("select", "set_op", "update", "delete", "merge", "insert")
-    column_list = (F.col("stmt_kind") == "insert") & (F.col("depth") == 1) & (F.col("clause").isNull())
+    column_list = (F.col("stmt_kind") == "insert") & (F.col("depth") == 1) & F.col("clause").isNull()
     skip = (
-        F.col("_ref") | alias | (n1 == "(") | (n1 == ".") | (p1 == "::") | (n1.startswith("'") & (p1 != "."))
-        | (F.col("owner") == "CAST") & (p1 == "AS")
+        introduced & ~routine | (p1 == "AS") | ended | n1.isin("(", ".") | (p1 == "::") | (n1.startswith("'") & (p1 != "."))
         | p1.isin("WITH", "RECURSIVE", "COLUMN", "INDEX", "SAVEPOINT")
-        | ((p1 == ",") & (F.upper(n1) == "AS") & (F.col("depth") == 0) & (F.col("clause").isNull()))
+        | ((p1 == ",") & (F.upper(n1) == "AS") & (F.col("depth") == 0) & F.col("clause").isNull())
     )
     return (
-        rows.withColumn("is_table", F.col("_ref") & (n1 != "."))
-        .withColumn("is_column", plain & F.col("is_name") & ~skip & ~column_list)
+        rows.withColumn("is_name", name)
+        .withColumn("is_table", name & introduced & ~routine & (n1 != "."))
+        .withColumn("is_column", plain & name & ~skip & ~column_list)
         .withColumn("qualifier", F.when(F.col("is_column") & (p1 == "."), bare(F.col("p2"))))
-        .drop("_first", "_ref")
     )
 
 
@@ -109,7 +97,7 @@ def table_aliases(rows: DataFrame) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n2")
 
     def free(c: Column) -> Column:
-        return c.rlike(r'^[\p{L}_"`]') & ~F.upper(c).isin(*refdata.RESERVED_WORDS)
+        return lexing.is_word(c) & ~F.upper(c).isin(*refdata.RESERVED_WORDS)
 
     alias = F.when(F.upper(n1) == "AS", bare(n2)).when(free(n1), bare(n1))
     tables = rows.filter("is_table")
@@ -120,7 +108,7 @@ def table_aliases(rows: DataFrame) -> DataFrame:
 
 def _cut(segments: DataFrame, statements: DataFrame) -> DataFrame:
     """Text of token ranges. Both sides are partitioned by the statement key."""
-    texts = statements.select(*KEYS, lexing.tokens(lexing.clean(F.col("sql"))).alias("toks")).repartition(*KEYS)
+    texts = spread_by(statements.select(*KEYS, "sql"), *KEYS).select(*KEYS, lexing.tokens(lexing.clean(F.col("sql"))).alias("toks"))
     length = F.coalesce(F.col("stop"), F.size("toks")) - F.col("pos")
     return segments.join(texts, list(KEYS)).select(
         *KEYS, "fact_kind", "pos", "detail", lexing.canonical(F.slice("toks", F.col("pos") + 1, length)).alias("value")
@@ -134,13 +122,12 @@ def clause_facts(rows: DataFrame, statements: DataFrame) -> DataFrame:
     its block; the next boundary is the following row of a window over the
     boundary tokens alone.
     """
-    p1 = _word("p1")
+    p1 = F.upper("p1")
     word = F.col("word")
-    keyword = F.col("kind") == "identifier"
-    join_start = keyword & word.isin(*refdata.JOIN_WORDS) & ~p1.isin(*refdata.JOIN_WORDS) & (F.col("n1") != "(")
-    comma = (F.col("tok") == ",") & (F.col("clause") == "FROM") & (F.col("inner") == F.col("depth"))
-    stop = keyword & word.isin(*_STOPS) & (p1 != ".")
-    lock = keyword & (word == "FOR") & _word("n1").isin("UPDATE", "SHARE", "NO", "KEY")
+    join_start = word.isin(*refdata.JOIN_WORDS) & ~p1.isin(*refdata.JOIN_WORDS) & (F.col("n1") != "(")
+    comma = (F.col("tok") == ",") & (F.col("clause") == "FROM")
+    stop = word.isin(*_STOPS) & (p1 != ".")
+    lock = (word == "FOR") & F.upper("n1").isin("UPDATE", "SHARE", "NO", "KEY")
     marks = rows.filter(join_start | comma | stop | lock | (F.col("tok") == ")") | (F.col("tok") == ";")).withColumn(
         "_join", join_start | comma)
     order = Window.partitionBy(*KEYS, "inner").orderBy("pos")
@@ -159,7 +146,7 @@ def clause_facts(rows: DataFrame, statements: DataFrame) -> DataFrame:
 
 def facts(statements: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Long table of facts: one row per table, column, join or predicate."""
-    rows = statement_tokens(statements) if rows is None else rows
+    rows = cut_lineage(statement_tokens(statements)) if rows is None else rows
     none = F.lit(None).cast("string").alias("detail")
     return (
         table_facts(rows).withColumn("detail", none).unionByName(column_facts(rows).withColumn("detail", none))

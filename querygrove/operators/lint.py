@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators import facts
-from querygrove.prims import broadcast_if_small
+from querygrove.prims import broadcast_if_small, cut_lineage
 
 KEYS = list(facts.KEYS)
 FIELDS = (*KEYS, "repo", "rule_id", "title", "severity", "evidence", "kind", "subject", "message")
 
 
 def lint_tokens(statements: DataFrame) -> DataFrame:
-    return facts.statement_tokens(statements, keep=("repo", "dialect"))
+    """Tokens of SELECT statements the rules look at, written once for all of them."""
+    rows = facts.statement_tokens(statements, keep=("repo", "dialect")).filter(
+        (F.col("stmt_kind") == "select") & ~F.col("paren_root")
+        & (F.col("is_table") | F.col("is_column") | F.col("tok").isin("(", ")", "*") | F.col("word").isin(*refdata.CLAUSE_WORDS)))
+    return cut_lineage(rows.drop("h1", "h2", "owner", "clause", "head", "head2", "is_name"))
 
 
 def _finding(df: DataFrame, rule_id: str, subject: Column, message: Column, title: Column | None = None) -> DataFrame:
@@ -55,12 +59,14 @@ def opt_002(rows: DataFrame) -> DataFrame:
     names that it declares are also declared by the subqueries around it.
     EXISTS/ANY/ALL bodies and common tables do not count as subqueries.
     """
-    selects = rows.filter((F.col("stmt_kind") == "select") & ~F.col("paren_root"))
-    p1, n1 = F.upper(F.coalesce("p1", F.lit(""))), F.upper(F.coalesce("n1", F.lit("")))
+    selects = rows.filter(F.col("nested") & (F.col("stmt_kind") == "select") & ~F.col("paren_root"))
+    p1, n1 = F.upper("p1"), F.upper("n1")
     opens = (F.col("tok") == "(") & n1.isin("SELECT", "WITH") & ~p1.isin("EXISTS", "ANY", "ALL", "SOME", "AS")
     level = Window.partitionBy(*KEYS, "inner").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     order = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = selects.withColumn("_open", opens).withColumn(
+    star = (F.col("tok") == "*") & (F.col("p1") == ".")
+    used = F.col("tok").isin("(", ")") | F.col("qualifier").isNotNull() | star
+    marked = selects.filter(used).withColumn("_open", opens).withColumn(
         "_close", (F.col("tok") == ")") & (F.max(F.when(opens, F.col("pos"))).over(level) == F.col("block"))
     ).withColumn(
         "_nest", F.sum(F.when(F.col("_open"), 1).when(F.col("_close"), -1).otherwise(0)).over(order)
@@ -68,7 +74,6 @@ def opt_002(rows: DataFrame) -> DataFrame:
     nested = Window.partitionBy(*KEYS, "_nest").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = marked.withColumn("sub", F.max(F.when(F.col("_open"), F.col("pos"))).over(nested)).filter("_nest > 0")
     closes = marked.filter("_close").select(*KEYS, F.col("block").alias("sub"), F.col("pos").alias("end"))
-    star = (F.col("tok") == "*") & (F.col("p1") == ".")
     uses = marked.filter(F.col("qualifier").isNotNull() | star).select(
         *KEYS, "repo", "sub", F.coalesce("qualifier", facts.bare(F.col("p2"))).alias("name"))
     declared = facts.table_aliases(selects).groupBy(*KEYS, "name").agg(F.collect_list("pos").alias("at"))
@@ -83,10 +88,13 @@ def opt_002(rows: DataFrame) -> DataFrame:
 
 def comparisons(rows: DataFrame) -> DataFrame:
     """Comparisons in the WHERE clause of SELECT statements whose dialect is known."""
-    return rows.filter(
-        (F.col("stmt_kind") == "select") & ~F.col("paren_root") & (F.col("top_clause") == "WHERE")
-        & (F.col("dialect") != "unknown") & F.col("is_column") & F.col("side").isNotNull()
-    ).select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("col"), "literal")
+    clause = F.col("word").isin(*refdata.CLAUSE_WORDS) & (F.col("p1") != ".") & (F.col("depth") == 0)
+    operand = F.col("is_column") & F.col("side").isNotNull()
+    order = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = rows.filter(
+        (F.col("stmt_kind") == "select") & ~F.col("paren_root") & (F.col("dialect") != "unknown") & (clause | operand)
+    ).withColumn("_clause", F.max(F.when(clause, F.struct("pos", "word"))).over(order)["word"])
+    return marks.filter(operand & (F.col("_clause") == "WHERE")).select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("col"), "literal")
 
 
 def type_class(data_type: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querygrove.functions import lexing
 from querygrove.operators import facts
 from querygrove.operators.lint import withhold_on_warnings  # noqa: F401  (same family)
-from querygrove.prims import broadcast_if_small
+from querygrove.prims import broadcast_if_small, cut_lineage
 
 KEYS = list(facts.KEYS)
 
@@ -32,14 +32,14 @@ def star_expansion(statements: DataFrame, columns: DataFrame, warnings: DataFram
     rows = facts.classified(lexing.token_rows(
         ready.select(*KEYS, "sql", "repo", "dialect", F.col("kind").alias("stmt_kind"), F.col("prof.lead").alias("lead")),
         KEYS, keep=("stmt_kind", "repo", "dialect", "lead")))
-    p1, n1 = F.upper(F.coalesce("p1", F.lit(""))), F.upper(F.coalesce("n1", F.lit("")))
+    p1, n1 = F.upper("p1"), F.upper("n1")
     top = F.col("depth") == 0
     block = (F.col("tok") == "(") & top & n1.isin("SELECT", "WITH", "(", "VALUES")
     star = top & (F.col("tok") == "*") & (F.col("clause") == "SELECT") & p1.isin("SELECT", ",", "DISTINCT", "ALL", ".")
     per = rows.groupBy(*KEYS, "repo", "dialect", "lead").agg(
         F.count_if(F.col("is_table") & top & (F.col("clause") == "FROM")).alias("n_tables"),
         F.min_by(facts.bare(F.col("tok")), F.when(F.col("is_table") & top & (F.col("clause") == "FROM"), F.col("pos"))).alias("tbl"),
-        F.count_if(top & (F.col("word") == "FROM") & (F.col("kind") == "identifier")).alias("n_from"),
+        F.count_if(top & (F.col("word") == "FROM")).alias("n_from"),
         F.count_if(block & (p1 == "FROM")).alias("from_block"),
         F.count_if(block & p1.isin("JOIN", ",", "LATERAL") & (F.col("clause") == "FROM")).alias("join_block"),
         F.collect_list(F.when(star, F.struct("pos", (p1 == ".").alias("qualified")))).alias("stars"),
@@ -90,7 +90,8 @@ def _with_schema(df: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _references(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = facts.statement_tokens(statements, keep=("repo",))
+    rows = facts.statement_tokens(statements, keep=("repo",)).filter(F.col("is_table") | F.col("is_column"))
+    rows = cut_lineage(rows.select(*KEYS, "repo", "pos", "tok", "is_table", "is_column", "qualifier"))
     tables = rows.filter("is_table").select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("tbl"))
     cols = rows.filter("is_column").select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("col"), "qualifier")
     return tables, cols

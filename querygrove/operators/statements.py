@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.options import options
-from querygrove.prims import once
+from querygrove.prims import once, spread_by
 
 KEYS = ("unit_id", "stmt_idx")
 
@@ -178,7 +178,7 @@ def source_spans(scripts: DataFrame) -> DataFrame:
     """
     piece = lexing.TOKEN.replace(r"[^\s]", r"\s+|[^\s]")
     pieces = F.regexp_extract_all(lexing.clean(F.col("sql")), F.lit(piece), F.lit(0))
-    rows = scripts.repartition("unit_id").select("unit_id", F.posexplode(pieces).alias("i", "text"))
+    rows = spread_by(scripts, "unit_id").select("unit_id", F.posexplode(pieces).alias("i", "text"))
     before = Window.partitionBy("unit_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("text")
     newlines = size - F.length(F.replace("text", F.lit("\n")))

@@ -41,6 +41,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(fields)).alias("_once")).select("*", "_once.*").drop("_once")
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions ``df`` by ``keys`` into the configured number of shuffle partitions.
+
+    With an explicit number the partitions are not merged by the size of the
+    (still compact) rows: what follows multiplies them, by tokens or pieces.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; never a local one."""
     spark = df.sparkSession
