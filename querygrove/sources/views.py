@@ -248,10 +248,10 @@ def _migrations(e) -> str:
 def _ddl_events(e) -> str:
     return """
     SELECT user_id % 20 AS repo, event_id AS seq, 't' || CAST(event_id % 5 AS STRING) AS tbl,
-      CASE event_type WHEN 'signup' THEN 'create_table' WHEN 'view' THEN 'add_column' WHEN 'click' THEN 'rename_column'
+      CASE event_type WHEN 'signup' THEN 'create_table' WHEN 'view' THEN 'add_column' WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'rename_column' ELSE 'add_column' END
         WHEN 'error' THEN 'drop_column' ELSE CASE WHEN event_id % 10 < 3 THEN 'drop_table' ELSE 'add_column' END END AS op,
       'c' || CAST(event_id % 7 AS STRING) AS col,
-      CASE WHEN event_type = 'click' THEN 'c' || CAST(event_id % 11 AS STRING) END AS new_col,
+      CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'c' || CAST(event_id % 11 AS STRING) END AS new_col,
       CASE event_id % 4 WHEN 0 THEN 'INT' WHEN 1 THEN 'VARCHAR(20)' WHEN 2 THEN 'TIMESTAMPTZ' ELSE 'GEOMETRY' END AS data_type
     FROM events"""
 
