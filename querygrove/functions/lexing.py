@@ -84,13 +84,13 @@ def token_kind(token: Column) -> Column:
     )
 
 
-_KEPT = rf"({_STRING}|{_QUOTED})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
+KEPT = rf"({_STRING}|{_QUOTED})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
 _LITERAL = r"""(')(?:[^']++|'')*+'|(["`])[^"`]*+["`]"""
 _SIGN = r"""([0-9]+\.[0-9]+|<>|<=|>=|!=|\|\||::|->>|->|['"`](?!\?)|[-(),;.\[\]{}+*/%=<>~@#&^|!:?](?<!['"`]\?))"""
 
 
 def without_comments(sql: Column) -> Column:
-    return F.regexp_replace(sql, _KEPT, "$1 ")
+    return F.regexp_replace(sql, KEPT, "$1 ")
 
 
 def masked(sql: Column) -> Column:

@@ -157,19 +157,17 @@ def facts(statements: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 def bounded_facts(found: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """Facts within their cap per unit and kind, with what was cut.
 
-    The rank is planned as a window group limit, so a huge unit sends at most
-    its cap per task; totals are counted map-side.
+    A unit is one input of bounded size, so its facts are one small window.
     """
     bounds = options()
     caps = {kind: bounds[name] for kind, name in FACT_CAPS.items()} if caps is None else caps
-    totals = found.groupBy("unit_id", "fact_kind").agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("unit_id", "fact_kind").orderBy("stmt_idx", "pos")
-    numbered = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(caps.values()))
+    unit = Window.partitionBy("unit_id", "fact_kind")
     cap = F.create_map(*[x for kind, n in caps.items() for x in (F.lit(kind), F.lit(n))])
     limit = F.try_element_at(cap, F.col("fact_kind"))
     return (
-        numbered.filter(F.col("rank") <= limit)
-        .join(totals, ["unit_id", "fact_kind"])
+        found.withColumn("total", F.count(F.lit(1)).over(unit))
+        .withColumn("rank", F.row_number().over(unit.orderBy("stmt_idx", "pos")))
+        .filter(F.col("rank") <= limit)
         .withColumn("truncated", F.col("total") > limit)
         .withColumn("suppressed_count", F.greatest(F.col("total") - limit, F.lit(0)).cast("long"))
         .drop("total")

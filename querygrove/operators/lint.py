@@ -19,12 +19,18 @@ KEYS = list(facts.KEYS)
 FIELDS = (*KEYS, "repo", "rule_id", "title", "severity", "evidence", "kind", "subject", "message")
 
 
+def all_tokens(statements: DataFrame) -> DataFrame:
+    """Token rows of all statements, written once for every reader of a report."""
+    rows = facts.statement_tokens(statements, keep=("repo", "dialect"))
+    return cut_lineage(rows.drop("head", "head2", "is_name"))
+
+
 def lint_tokens(statements: DataFrame) -> DataFrame:
-    """Tokens of SELECT statements the rules look at, written once for all of them."""
+    """The same for the rules alone, which only look at SELECT statements."""
     rows = facts.statement_tokens(statements, keep=("repo", "dialect")).filter(
         (F.col("stmt_kind") == "select") & ~F.col("paren_root")
         & (F.col("is_table") | F.col("is_column") | F.col("tok").isin("(", ")", "*") | F.col("word").isin(*refdata.CLAUSE_WORDS)))
-    return cut_lineage(rows.drop("h1", "h2", "owner", "clause", "head", "head2", "is_name"))
+    return cut_lineage(rows.drop("owner", "clause", "head", "head2", "is_name"))
 
 
 def _finding(df: DataFrame, rule_id: str, subject: Column, message: Column, title: Column | None = None) -> DataFrame:

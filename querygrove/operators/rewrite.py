@@ -89,21 +89,25 @@ def _with_schema(df: DataFrame, columns: DataFrame) -> DataFrame:
     return df.join(broadcast_if_small(columns.select("repo").distinct()), "repo", "left_semi")
 
 
-def _references(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = facts.statement_tokens(statements, keep=("repo",)).filter(F.col("is_table") | F.col("is_column"))
-    rows = cut_lineage(rows.select(*KEYS, "repo", "pos", "tok", "is_table", "is_column", "qualifier"))
+def _references(statements: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    if rows is None:
+        rows = facts.statement_tokens(statements, keep=("repo",)).filter(F.col("is_table") | F.col("is_column"))
+        rows = cut_lineage(rows.select(*KEYS, "repo", "pos", "tok", "is_table", "is_column", "qualifier"))
     tables = rows.filter("is_table").select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("tbl"))
     cols = rows.filter("is_column").select(*KEYS, "repo", "pos", facts.bare(F.col("tok")).alias("col"), "qualifier")
     return tables, cols
 
 
-def schema_impact(statements: DataFrame, columns: DataFrame) -> DataFrame:
+def schema_impact(statements: DataFrame, columns: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Tables a statement uses that the schema lacks, and columns its known tables lack.
 
     For every known table each column that is unqualified or qualified by that
     table's name is tested, so joins over-report. One row per missing name.
     """
-    tables, cols = _references(_with_schema(statements, columns))
+    if rows is None:
+        tables, cols = _references(_with_schema(statements, columns))
+    else:
+        tables, cols = _references(statements, _with_schema(rows, columns))
     known = broadcast_if_small(columns.select("repo", "tbl").distinct())
     missing_tables = tables.join(known, ["repo", "tbl"], "left_anti").select(
         *KEYS, F.lit("table").alias("missing"), F.col("tbl").alias("name")).distinct()

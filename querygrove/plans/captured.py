@@ -134,7 +134,7 @@ def redact_literals(expression: Column, max_chars: int | None = None) -> Column:
     top = lexing.full_outline(lexing.outline(mask))
     sound = ~mask.rlike(r" ['\"`] ") & ~top.rlike(r"[()]")
     # literals go first, so that digits inside of them are not looked at
-    text = F.regexp_replace(lexing.without_comments(expression), r"'(?:[^']++|'')*+' ?", '"<string>"')
+    text = F.regexp_replace(F.regexp_replace(expression, lexing.KEPT, "$1"), r"'(?:[^']++|'')*+'", '"<string>"')
     text = F.regexp_replace(text, r'("[^"]*")|' + _NUMBER, "$1\u0001")
     text = F.replace(F.replace(text, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit('"<number>"'))
     return F.when(sound, F.substring(F.rtrim(text), 1, limit)).otherwise(F.lit(refdata.UNPARSED))
