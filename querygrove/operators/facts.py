@@ -124,7 +124,8 @@ def clause_facts(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """
     p1 = F.upper("p1")
     word = F.col("word")
-    join_start = word.isin(*refdata.JOIN_WORDS) & ~p1.isin(*refdata.JOIN_WORDS) & (F.col("n1") != "(")
+    join_start = word.isin(*refdata.JOIN_WORDS) & ~p1.isin(*refdata.JOIN_WORDS) & ~(
+        word.isin("LEFT", "RIGHT") & (F.col("n1") == "("))  # the string functions
     comma = (F.col("tok") == ",") & (F.col("clause") == "FROM")
     stop = word.isin(*_STOPS) & (p1 != ".")
     lock = (word == "FOR") & F.upper("n1").isin("UPDATE", "SHARE", "NO", "KEY")
