@@ -169,7 +169,7 @@ def profile(mask: Column, top: Column) -> Column:
 
 def kind_of(prof: Column) -> Column:
     """Kind of a statement from its profile; ``unknown`` when the lead word opens none."""
-    pairs = F.create_map(*[F.lit(x) for pair in refdata.STATEMENT_KINDS for x in pair])
+    pairs = F.expr(f"map({sql_list([x for pair in refdata.STATEMENT_KINDS for x in pair])})")
     kind = F.coalesce(F.try_element_at(pairs, prof["main"]), F.lit("unknown"))
     return F.when((kind == "select") & prof["setop0"], "set_op").otherwise(kind)
 
@@ -207,38 +207,56 @@ def with_profile(df: DataFrame, sql: str = "sql") -> DataFrame:
     return once(df, kind=kind_of(F.col("prof")), problem=problem(F.col("prof"), F.col("mask")))
 
 
-def _neighbour(toks: Column, i: Column):
-    def at(k: int) -> Column:
-        return F.coalesce(F.get(toks, i + k), F.lit(""))
+def sql_list(words: Sequence[str]) -> str:
+    """Words as the inside of an SQL IN list."""
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
-    return at
 
+def _at(k: int) -> str:
+    return f"coalesce(get(_toks, i + ({k})), '')"
 
-def _comparison(toks: Column, token: Column, i: Column) -> list[Column]:
-    """``side`` and ``literal`` of a token, from its neighbours in the array."""
-    at = _neighbour(toks, i)
 
-    def starts(word: Column) -> Column:
-        return F.upper(word).isin(*refdata.OPERAND_STARTS)
+def sql_is_word(x: str) -> str:
+    return "substring(" + x + r", 1, 1) RLIKE '[\\p{L}_\"`]'"
 
-    def ends(word: Column) -> Column:
-        return (word == "") | F.upper(word).isin(*refdata.OPERAND_ENDS)
 
-    def literal(word: Column) -> Column:
-        return (word != "") & (word.startswith("'") | F.substring(word, 1, 1).between("0", "9"))
+def _near() -> str:
+    """Array of the words and brackets of ``_toks`` with their neighbours, as SQL text.
 
-    dotted = at(-1) == "."
-    before = F.when(dotted, at(-3)).otherwise(at(-1))
+    Spelled in SQL because the expression is large: one call instead of several
+    hundred between Python and the JVM.
+    """
+    def starts(x: str) -> str:
+        return f"upper({x}) IN ({sql_list(refdata.OPERAND_STARTS)})"
+
+    def ends(x: str) -> str:
+        return f"({x} = '' OR upper({x}) IN ({sql_list(refdata.OPERAND_ENDS)}))"
+
+    def literal(x: str) -> str:
+        return f"(startswith({x}, '\\'') OR substring({x}, 1, 1) BETWEEN '0' AND '9')"
+
+    def shifted(dotted: int, plain: int) -> str:
+        return f"CASE WHEN {_at(-1)} = '.' THEN {_at(dotted)} ELSE {_at(plain)} END"
+
+    signs = sql_list(refdata.COMPARISONS)
+    before = shifted(-3, -1)
     # the operand left of the operator before this token, and what precedes it
-    other = F.when(dotted, at(-4)).otherwise(at(-2))
-    ahead = F.when(dotted, at(-5)).otherwise(at(-3))
-    farther = F.when(dotted, at(-7)).otherwise(at(-5))
-    other_is_column = is_word(other) & (starts(ahead) | ((ahead == ".") & starts(farther)))
-    left = at(1).isin(*refdata.COMPARISONS) & starts(before)
-    right = before.isin(*refdata.COMPARISONS) & ends(at(1)) & ~other_is_column
-    side = F.when(~is_word(token), None).when(left, "L").when(right, "R")
-    value = F.when(left & literal(at(2)) & ends(at(3)), at(2)).when(right & literal(other) & starts(ahead), other)
-    return [side.alias("side"), F.when(is_word(token), value).alias("literal")]
+    other, ahead, farther = shifted(-4, -2), shifted(-5, -3), shifted(-7, -5)
+    other_is_column = f"({sql_is_word(other)} AND ({starts(ahead)} OR ({ahead} = '.' AND {starts(farther)})))"
+    left = f"({_at(1)} IN ({signs}) AND {starts(before)})"
+    right = f"({before} IN ({signs}) AND {ends(_at(1))} AND NOT {other_is_column})"
+    chain = f"CASE WHEN {_at(-1)} <> '.' THEN 0 WHEN {_at(-3)} <> '.' THEN 2 ELSE 4 END"
+    fields = {
+        "pos": "i", "tok": "t", "p1": _at(-1), "p2": _at(-2), "n1": _at(1), "n2": _at(2),
+        "head": f"upper(coalesce(get(_toks, i - 1 - {chain}), ''))", "head2": f"upper(coalesce(get(_toks, i - 2 - {chain}), ''))",
+        "side": f"CASE WHEN NOT {sql_is_word('t')} THEN NULL WHEN {left} THEN 'L' WHEN {right} THEN 'R' END",
+        "literal": f"CASE WHEN NOT {sql_is_word('t')} THEN NULL WHEN {left} AND {literal(_at(2))} AND {ends(_at(3))} THEN {_at(2)} "
+                   f"WHEN {right} AND {literal(other)} AND {starts(ahead)} THEN {other} END",
+    }
+    struct = ", ".join(f"'{name}', {text}" for name, text in fields.items())
+    # the tokens that get a row keep their place among all tokens
+    return (f"filter(transform(_toks, (t, i) -> named_struct({struct})), "
+            f"n -> n.tok IN ('(', ')', ',', '*', ';') OR {sql_is_word('n.tok')})")
 
 
 def is_word(token: Column) -> Column:
@@ -263,20 +281,6 @@ def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Seque
     * ``side``: L or R where a name is that operand of a comparison, alone
     * ``literal``: the other operand when it is one literal
     """
-    toks = F.col("_toks")
-
-    def near(token: Column, i: Column) -> Column:
-        at = _neighbour(toks, i)
-        chain = F.when(at(-1) != ".", 0).when(at(-3) != ".", 2).otherwise(4)
-        return F.struct(
-            i.alias("pos"), token.alias("tok"), at(-1).alias("p1"), at(-2).alias("p2"), at(1).alias("n1"), at(2).alias("n2"),
-            F.upper(F.coalesce(F.get(toks, i - chain - 1), F.lit(""))).alias("head"),
-            F.upper(F.coalesce(F.get(toks, i - chain - 2), F.lit(""))).alias("head2"),
-            *_comparison(toks, token, i),
-        )
-
-    # the tokens that get a row keep their place among all tokens
-    kept = F.filter(F.transform(toks, near), lambda n: n["tok"].isin("(", ")", ",", "*", ";") | is_word(n["tok"]))
     in_order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same_depth = Window.partitionBy(*keys, "inner").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -284,7 +288,7 @@ def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Seque
     opening, closing = F.col("tok") == "(", F.col("tok") == ")"
     rows = (
         once(spread_by(df, *keys), _toks=tokens(clean(F.col(sql))))
-        .select(*keys, *keep, F.explode(kept).alias("near"))
+        .select(*keys, *keep, F.explode(F.expr(_near())).alias("near"))
         .select(*keys, *keep, "near.*")
         .withColumn("_after", F.sum(F.when(opening, 1).when(closing, -1).otherwise(0)).over(in_order))
         .withColumn("depth", (F.col("_after") - F.when(opening, 1).otherwise(0)).cast("int"))
@@ -292,7 +296,7 @@ def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Seque
         .withColumn("inner", (F.col("depth") + F.when(opening | closing, 1).otherwise(0)).cast("int"))
         .withColumn("word", F.upper("tok"))
     )
-    clause_word = F.col("word").isin(*refdata.CLAUSE_WORDS) & (F.col("p1") != ".")
+    clause_word = F.expr(f"word IN ({sql_list(refdata.CLAUSE_WORDS)}) AND p1 <> '.'")
     others = [c for c in rows.columns if c != "_after"]
     return (
         rows.select(

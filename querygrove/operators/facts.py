@@ -50,38 +50,27 @@ def statement_tokens(statements: DataFrame, keep: Sequence[str] = ()) -> DataFra
 
 def classified(rows: DataFrame) -> DataFrame:
     """Adds ``is_name`` (a name and no keyword), ``is_table``, ``is_column`` and a column's ``qualifier``."""
-    p1, n1 = F.upper("p1"), F.col("n1")
-    head, head2 = F.col("head"), F.col("head2")
-    quoted = F.col("tok").rlike('^["`]')
-    name = lexing.is_word(F.col("tok")) & (quoted | ~F.col("word").isin(*refdata.RESERVED_WORDS))
-    in_function = F.col("owner").isin(*refdata.FROM_FUNCTIONS)
-    introduced = (
-        (head.isin("FROM", "JOIN", "INTO", "TABLE", "TRUNCATE", "REFERENCES")
-         & ~((head == "FROM") & (in_function | (head2 == "DISTINCT"))))
-        | ((head == "UPDATE") & ~head2.isin("FOR", "KEY", "ON", "DO"))
-        | ((head == "USING") & F.col("stmt_kind").isin("delete", "merge"))
-        | ((head == "EXISTS") & (head2 == "IF")) | (head == "ONLY")
-        | ((head == "ON") & (F.col("stmt_kind") == "create"))
-        | ((head == ",") & (F.col("clause") == "FROM") & ~in_function)
-    )
-    routine = (n1 == "(") & head.isin("FROM", "JOIN", ",", "USING")
+    reserved = lexing.sql_list(refdata.RESERVED_WORDS)
+    word, before = lexing.sql_is_word("tok"), lexing.sql_is_word("p1")
+    in_function = f"owner IN ({lexing.sql_list(refdata.FROM_FUNCTIONS)})"
+    introduced = f"""(
+        (head IN ('FROM', 'JOIN', 'INTO', 'TABLE', 'TRUNCATE', 'REFERENCES') AND NOT (head = 'FROM' AND ({in_function} OR head2 = 'DISTINCT')))
+        OR (head = 'UPDATE' AND head2 NOT IN ('FOR', 'KEY', 'ON', 'DO')) OR (head = 'USING' AND stmt_kind IN ('delete', 'merge'))
+        OR (head = 'EXISTS' AND head2 = 'IF') OR head = 'ONLY' OR (head = 'ON' AND stmt_kind = 'create')
+        OR (head = ',' AND coalesce(clause, '') = 'FROM' AND NOT {in_function}))"""
+    routine = "(n1 = '(' AND head IN ('FROM', 'JOIN', ',', 'USING'))"
     # an operand right before a name makes the name an alias
-    ended = (F.col("p1") != "") & (
-        p1.isin(")", "END") | F.col("p1").rlike(r"^[0-9']") | (lexing.is_word(F.col("p1")) & ~p1.isin(*refdata.RESERVED_WORDS))
-    )
-    plain = F.col("stmt_kind").isin("select", "set_op", "update", "delete", "merge", "insert")
-    column_list = (F.col("stmt_kind") == "insert") & (F.col("depth") == 1) & F.col("clause").isNull()
-    skip = (
-        introduced & ~routine | (p1 == "AS") | ended | n1.isin("(", ".") | (p1 == "::") | (n1.startswith("'") & (p1 != "."))
-        | p1.isin("WITH", "RECURSIVE", "COLUMN", "INDEX", "SAVEPOINT")
-        | ((p1 == ",") & (F.upper(n1) == "AS") & (F.col("depth") == 0) & F.col("clause").isNull())
-    )
-    return (
-        rows.withColumn("is_name", name)
-        .withColumn("is_table", name & introduced & ~routine & (n1 != "."))
-        .withColumn("is_column", plain & name & ~skip & ~column_list)
-        .withColumn("qualifier", F.when(F.col("is_column") & (p1 == "."), bare(F.col("p2"))))
-    )
+    ended = f"""(p1 <> '' AND (upper(p1) IN (')', 'END') OR p1 RLIKE '^[0-9\\']' OR ({before} AND upper(p1) NOT IN ({reserved}))))"""
+    skip = f"""(({introduced} AND NOT {routine}) OR upper(p1) = 'AS' OR {ended} OR n1 IN ('(', '.') OR p1 = '::'
+        OR (startswith(n1, '\\'') AND p1 <> '.') OR upper(p1) IN ('WITH', 'RECURSIVE', 'COLUMN', 'INDEX', 'SAVEPOINT')
+        OR (p1 = ',' AND upper(n1) = 'AS' AND depth = 0 AND clause IS NULL))"""
+    column_list = "(stmt_kind = 'insert' AND depth = 1 AND clause IS NULL)"
+    plain = "stmt_kind IN ('select', 'set_op', 'update', 'delete', 'merge', 'insert')"
+    named = rows.withColumn("is_name", F.expr(f"{word} AND (tok RLIKE '^[\"`]' OR word NOT IN ({reserved}))"))
+    return named.select(
+        "*", F.expr(f"is_name AND {introduced} AND NOT {routine} AND n1 <> '.'").alias("is_table"),
+        F.expr(f"is_name AND {plain} AND NOT {skip} AND NOT {column_list}").alias("is_column"),
+    ).withColumn("qualifier", F.when(F.col("is_column") & (F.col("p1") == "."), bare(F.col("p2"))))
 
 
 def table_facts(rows: DataFrame) -> DataFrame:
