@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.options import options
-from querygrove.prims import cut_lineage, spread_by
+from querygrove.prims import cut_lineage, once, spread_by
 
 KEYS = ("unit_id", "stmt_idx")
 
@@ -67,10 +67,11 @@ def classified(rows: DataFrame) -> DataFrame:
     column_list = "(stmt_kind = 'insert' AND depth = 1 AND clause IS NULL)"
     plain = "stmt_kind IN ('select', 'set_op', 'update', 'delete', 'merge', 'insert')"
     named = rows.withColumn("is_name", F.expr(f"{word} AND (tok RLIKE '^[\"`]' OR word NOT IN ({reserved}))"))
-    return named.select(
-        "*", F.expr(f"is_name AND {introduced} AND NOT {routine} AND n1 <> '.'").alias("is_table"),
-        F.expr(f"is_name AND {plain} AND NOT {skip} AND NOT {column_list}").alias("is_column"),
-    ).withColumn("qualifier", F.when(F.col("is_column") & (F.col("p1") == "."), bare(F.col("p2"))))
+    flags = once(
+        named, is_table=F.expr(f"is_name AND {introduced} AND NOT {routine} AND n1 <> '.'"),
+        is_column=F.expr(f"is_name AND {plain} AND NOT {skip} AND NOT {column_list}"),
+    )
+    return flags.withColumn("qualifier", F.when(F.col("is_column") & (F.col("p1") == "."), bare(F.col("p2"))))
 
 
 def table_facts(rows: DataFrame) -> DataFrame:
