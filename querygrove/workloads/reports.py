@@ -9,7 +9,6 @@ from querygrove.operators import reports as op
 from querygrove.operators import rewrite as rw
 from querygrove.plans.captured import redact_literals
 from querygrove.prims import joined
-from querygrove.sources.views import view
 from querygrove.workloads.duck import FINDINGS
 from querygrove.workloads.errors import MATCHES, accepted
 from querygrove.workloads.errors import matches as matched
