@@ -66,7 +66,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts or blobs."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -82,7 +82,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + max_bytes, "right")) - 1)
-        high = min(high, len(column))
+        high = min(high, low + max_rows, len(column))
         yield low, high, content[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
         low = high
 

@@ -4,20 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querygrove.llm import quality_rules
+from querygrove.llm import byte_bpe, language_id, quality_classifier, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = language_id.held_out("doc_id", 3, 1)
+    model = quality_classifier.fit(docs, labels.filter(~held))
+    rows = quality_classifier.score(docs, model)
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_attention")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return byte_bpe.digests(byte_bpe.decode(ids, vocabulary))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.labelled_table(spark))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(documents(spark, sf_dir))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out("doc_id", 5, 0)
+    rows = language_id.predict(docs, language_id.fit(docs.filter(~held)))
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Query] = {"op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Query] = {
+    "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op8_url_filter": op8_url_filter,
+    "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id,
+}
 ORACLES: dict[str, str] = {}
