@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygrove.llm import byte_bpe, language_id, quality_classifier, quality_rules, url_filter
+from querygrove.llm import byte_bpe, language_id, minhash, quality_classifier, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(ids, vocabulary))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.labelled_table(spark))
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op8_url_filter": op8_url_filter,
+    "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
