@@ -22,11 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below the shared folder and reads it back: the lineage ends there."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet below the shared folder (one folder per value of ``by``) and reads it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
