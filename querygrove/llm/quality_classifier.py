@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import byte_values, mix, owner, prefix_hashes, slices, span_hashes, words
@@ -142,11 +142,13 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 2400) -> Model:
     """Trains on documents with a label of 0 or 1, at most ``sample_rows`` of them."""
-    rank = Window.partitionBy("y").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     # Labels may be of documents outside the table; the sample is drawn from those inside.
-    known = docs.select("doc_id").join(known, "doc_id").withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= sample_rows // 2).drop("_rank")
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.limit(sample_rows)), "doc_id").select("y", "text").limit(2 * sample_rows)
+    known = docs.select("doc_id").join(known, "doc_id")
+    # The first of each label in hash order: every task sends at most that many.
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    known = known.filter("y = 0").orderBy(*order).limit(sample_rows // 2).union(known.filter("y = 1").orderBy(*order).limit(sample_rows // 2))
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text").limit(2 * sample_rows)
     got = sample.mapInArrow(_encoded, "y int, x binary").toArrow()
     bags = [np.frombuffer(zlib.decompress(v.as_py()), np.float16).reshape(-1, WIDTH) for v in got.column("x")]
     if not bags:
