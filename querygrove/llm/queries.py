@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygrove.llm import byte_bpe, language_id, minhash, quality_classifier, quality_rules, suffix_dedup, url_filter
+from querygrove.llm import byte_bpe, decontaminate, language_id, minhash, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("own.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = language_id.held_out("doc_id", 3, 1)
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_suffix_dedup": op1_suffix_dedup, "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
+    "op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
