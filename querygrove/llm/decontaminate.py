@@ -6,8 +6,9 @@
    From those sums the driver, with matrices of ``TERMS`` x ``SKETCH`` numbers,
    gets the leading right singular vectors of the TF-IDF matrix of all passages
    (single-pass randomised SVD in Nystroem form).
-2. Search. Windows of ``WINDOW`` tokens, one every ``STEP``, are projected and
-   compared by cosine with the windows of all benchmark items.
+2. Search. Windows of ``WINDOW`` (for short items, also ``NARROW``) tokens, one
+   every ``STEP``, are projected and compared by cosine with the windows of all
+   benchmark items.
 3. Checks. For each candidate the longest common subsequence of the item and
    the stretch of text it lines up with must hold ``share`` of the item's
    tokens, and half of its answer (its last tokens) unless nearly all of the
@@ -40,6 +41,8 @@ SKETCH = 56
 DIMENSIONS = 48
 PASSAGE = 256
 WINDOW = 32
+#: Items shorter than a window are also sought with windows of this many tokens.
+NARROW = 16
 STEP = 8
 SLACK = 12
 BLOCK_BYTES = 32 << 20
@@ -118,7 +121,7 @@ class LatentSpace:
         return cls((idf[:, None] * left / singular).astype(np.float32))
 
 
-def _windows(vectors: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(vectors: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors, texts and first tokens of the windows of all texts, one every STEP tokens."""
     lengths = first[1:] - first[:-1]
     blocks = -(-lengths // STEP)
@@ -127,11 +130,11 @@ def _windows(vectors: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     start = first[text] + (np.arange(base[-1]) - base[text]) * STEP
     sums = np.add.reduceat(vectors, start, axis=0) if len(start) else np.zeros((0, vectors.shape[1]), np.float32)
     out = sums.copy()
-    for k in range(1, WINDOW // STEP):
+    for k in range(1, width // STEP):
         same = text[k:] == text[:-k]
         out[:-k][same] += sums[k:][same]
     # A text's last windows are parts of the one before them, except for a text of one window.
-    whole = (start + WINDOW <= first[1:][text] + STEP - 1) | (start == first[:-1][text])
+    whole = (start + width <= first[1:][text] + STEP - 1) | (start == first[:-1][text])
     out, text, start = out[whole], text[whole], start[whole]
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-12), text, start
 
@@ -142,26 +145,30 @@ class Items:
 
     ids: list[int]
     hashes: list[np.ndarray]
-    windows: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
+    #: Width: (vectors, item numbers, first tokens) of windows.
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None], space: LatentSpace) -> Items:
-        parts, rows, item, at = [], [], [], []
-        for (_, _, data, offsets) in slices(pa.array(texts, pa.large_string()), 1 << 60, 1 << 60):
+        hashes, first = np.zeros(0, np.uint64), np.zeros(1, int)
+        for _, _, data, offsets in slices(pa.array(texts, pa.large_string()), 1 << 60, 1 << 60):
             hashes, first = tokens(data, offsets)
-            for number, (a, b) in enumerate(zip(first, first[1:], strict=False)):
-                own = hashes[a:b]
-                parts.append(own)
-                begins = sorted({*range(0, max(len(own) - WINDOW, 0) + 1, WINDOW // 2), max(len(own) - WINDOW, 0)}) if len(own) else []
-                for begin in begins:
-                    vector = space.table[_terms(own[begin:begin + WINDOW])].sum(0)
+        parts = [hashes[a:b] for a, b in zip(first, first[1:], strict=False)]
+        windows = {}
+        for width in (WINDOW, NARROW):
+            rows, item, at = [], [], []
+            for number, own in enumerate(parts):
+                if not len(own) or width == NARROW and len(own) >= WINDOW:
+                    continue
+                last = max(len(own) - width, 0)
+                for begin in sorted({*range(0, last + 1, width // 2), last}):
+                    vector = space.table[_terms(own[begin:begin + width])].sum(0)
                     rows.append(vector / max(float(np.linalg.norm(vector)), 1e-12))
                     item.append(number)
                     at.append(begin)
-        width = space.table.shape[1]
-        return cls(ids, parts, np.array(rows, np.float32).reshape(-1, width), np.array(item, int), np.array(at, int))
+            if rows:
+                windows[width] = np.array(rows, np.float32), np.array(item), np.array(at)
+        return cls(ids, parts, windows)
 
 
 class _Checker:
@@ -203,34 +210,33 @@ def _search(space: Broadcast, blocks: list[Broadcast], cosine: float, share: flo
             for block in blocks:
                 items: Items = block.value
                 checkers: dict[int, _Checker] = {}
-                if not len(items.windows):
-                    continue
                 for low, _, data, offsets in slices(batch.column("text"), 1 << 19):
                     hashes, first = tokens(data, offsets)
                     if not len(hashes):
                         continue
-                    vectors, text, start = _windows(table[_terms(hashes)], first)
-                    tried: set[tuple[int, int, int]] = set()
-                    for a in range(0, len(vectors), 8192):
-                        near = vectors[a:a + 8192] @ items.windows.T
-                        top = near.max(1)
-                        np.maximum.at(best, low + text[a:a + 8192], top)
-                        rows = np.flatnonzero(top >= cosine)
-                        i, j = np.nonzero(near[rows] >= cosine)
-                        for w, q in zip((a + rows[i]).tolist(), j.tolist(), strict=True):
-                            t, number = int(text[w]), int(items.item[q])
-                            size = len(items.hashes[number])
-                            lined = int(start[w]) - int(items.at[q])
-                            if (t, number, lined // SLACK) in tried:
-                                continue
-                            tried.add((t, number, lined // SLACK))
-                            candidates[low + t] += 1
-                            checker = checkers.setdefault(number, _Checker(items.hashes[number]))
-                            region = hashes[max(lined - 2 * SLACK, int(first[t])):min(lined + size + 2 * SLACK, int(first[t + 1]))].tolist()
-                            leaked, part = checker.verdict(region, share)
-                            if leaked:
-                                own = found[low + t]
-                                own[items.ids[number]] = max(part, own.get(items.ids[number], 0.0))
+                    vectors, tried = table[_terms(hashes)], set()
+                    for width, (wanted, item, at) in items.windows.items():
+                        own, text, start = _windows(vectors, first, width)
+                        for a in range(0, len(own), 8192):
+                            near = own[a:a + 8192] @ wanted.T
+                            top = near.max(1)
+                            np.maximum.at(best, low + text[a:a + 8192], top)
+                            rows = np.flatnonzero(top >= cosine)
+                            i, j = np.nonzero(near[rows] >= cosine)
+                            for w, q in zip((a + rows[i]).tolist(), j.tolist(), strict=True):
+                                t, number, lined = int(text[w]), int(item[q]), int(start[w] - at[q])
+                                if (t, number, lined // SLACK) in tried:
+                                    continue
+                                tried.add((t, number, lined // SLACK))
+                                candidates[low + t] += 1
+                                if number not in checkers:
+                                    checkers[number] = _Checker(items.hashes[number])
+                                size = len(items.hashes[number])
+                                region = hashes[max(lined - 2 * SLACK, int(first[t])):min(lined + size + 2 * SLACK, int(first[t + 1]))]
+                                leaked, part = checkers[number].verdict(region.tolist(), share)
+                                if leaked:
+                                    of = found[low + t]
+                                    of[items.ids[number]] = max(part, of.get(items.ids[number], 0.0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([bool(x) for x in found]), pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
                  pa.array([max(x.values(), default=0.0) for x in found]), pa.array(candidates), pa.array(np.maximum(best, 0.0)), *[batch.column(c) for c in batch.schema.names if c == "own"]],
