@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygrove.llm import byte_bpe, decontaminate, language_id, minhash, quality_classifier, quality_rules, suffix_dedup, url_filter
+from querygrove.llm import byte_bpe, chat_format, decontaminate, language_id, lm_scoring, minhash, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +35,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_attention")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recovered stretch of a turn; ``true_role`` is what the table says of the chunk."""
+    chunks = chat_format.as_transcripts(table(spark, sf_dir, "conversations")).withColumnRenamed("role", "true_role")
+    return chat_format.parse_transcripts(chunks, ("true_role",))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
     return byte_bpe.digests(byte_bpe.decode(ids, vocabulary))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op5_byte_bpe": op5_byte_bpe, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
-    "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id,
+    "op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
+    "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id, "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
