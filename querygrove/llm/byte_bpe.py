@@ -17,20 +17,23 @@ result; other columns are not read.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import byte_values, mix, prefix_hashes, slices, span_hashes
 
-MEMO = 300_000
+MEMO = 600_000
+#: Ids that are decoded at a time.
+DECODED_IDS = 200_000
 #: Longer pre-tokens are not kept.
 MEMO_BYTES = 48
 
@@ -114,31 +117,32 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token that is no vocabulary entry."""
-        ranks, n = self.ranks, len(piece)
+        get, n = self.ranks.get, len(piece)
+        bits = n.bit_length()
+        mask, above = (1 << bits) - 1, 2 * bits
         end = list(range(1, n + 1))  # of the part that begins here; 0: merged into an earlier one
         before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 2))
-        heapq.heapify(heap)
+        # A heap entry is one number: rank, begin and end of a pair of neighbours.
+        heap = [rank << above | i << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i:i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            top = heappop(heap)
+            i, stop = top >> bits & mask, top & mask
             middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
+            if not middle or middle == n or end[middle] != stop:
                 continue  # one of the two has changed since
             end[i], end[middle] = stop, 0
             if stop < n:
                 before[stop] = i
-                rank = ranks.get(piece[i:end[stop]])
+                rank = get(piece[i:end[stop]])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[stop]))
+                    heappush(heap, rank << above | i << bits | end[stop])
             left = before[i]
             if left >= 0:
-                rank = ranks.get(piece[left:stop])
+                rank = get(piece[left:stop])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, left, stop))
+                    heappush(heap, rank << above | left << bits | stop)
+        ranks = self.ranks
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i:end[i]]])
@@ -226,13 +230,19 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
         table = shared.value
         for batch in batches:
             column = batch.column(ids)
-            flat = column.flatten()
-            flat = np.asarray(flat.fill_null(-1)).astype(np.int64)
-            flat = np.where((flat < 0) | (flat >= size), size, flat).tolist()
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
-            ends = np.concatenate(([0], np.cumsum(lengths))).tolist()
-            found = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.binary())], names=[*names, out])
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            low = 0
+            while low < len(column):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + DECODED_IDS, "right")) - 1)
+                high = min(high, len(column))
+                flat = np.asarray(pc.fill_null(column.slice(low, high - low).flatten(), -1)).astype(np.int64)
+                flat = np.where((flat < 0) | (flat >= size), size, flat).tolist()
+                at = (ends[low:high + 1] - ends[low]).tolist()
+                found = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(at, at[1:], strict=False)]
+                part = [batch.column(c).slice(low, high - low) for c in names]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(found, pa.binary())], names=[*names, out])
+                low = high
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, `{out}` binary")
