@@ -3,8 +3,8 @@
 A statement is looked at as an array of tokens inside its row, or, where the
 nesting depth of every token matters, as one row per token (`token_rows`).
 
-Known limits: dollar-quoted bodies, nested block comments and backslash
-escapes are not recognised.
+Known limits: backslash escapes are not recognised, and block comments nest up
+to five levels.
 """
 
 from __future__ import annotations
@@ -22,16 +22,29 @@ from querygrove.prims import once, spread_by
 _STRING = r"'(?:[^']++|'')*+'"
 _QUOTED = r'"[^"]*+"|`[^`]*+`'
 _LINE_COMMENT = r"--[^\n]*+"
-_BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
+#: A body between equal dollar tags; a dollar inside a name begins none.
+_DOLLAR = r"(?<![\p{L}\p{N}_$])\$(?<tag>(?:[\p{L}_][\p{L}\p{N}_]*+)?)\$(?s:.*?)\$\k<tag>\$"
+
+
+def _nested_comment(levels: int = 5) -> str:
+    plain = r"[^*/]++|\*(?!/)|/(?!\*)"
+    pattern = rf"/\*(?:{plain})*+\*/"
+    for _ in range(levels - 1):
+        pattern = rf"/\*(?:{plain}|{pattern})*+\*/"
+    return pattern
+
+
+#: Balanced, or else up to the first end, or to the end of the text.
+_BLOCK_COMMENT = _nested_comment() + r"|/\*(?s:.*?)(?:\*/|\z)"
 
 #: One alternative per token class; whatever is left over is a one-character token.
 TOKEN = "|".join((
-    _LINE_COMMENT, _BLOCK_COMMENT, _STRING, _QUOTED, r"\$[0-9]+", r"[\p{L}_][\p{L}\p{N}_$]*+",
+    _LINE_COMMENT, _BLOCK_COMMENT, _STRING, _QUOTED, _DOLLAR, r"\$[0-9]+", r"[\p{L}_][\p{L}\p{N}_$]*+",
     r"[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?", r"<>|<=|>=|!=|\|\||::|->>|->", r"[^\s]",
 ))
 #: A statement: everything up to a semicolon outside quotes and comments.
 STATEMENT = (
-    f"(?:{_STRING}|{_QUOTED}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|" + r"[^;'\"`/-]++|['\"`/-])++"
+    f"(?:{_STRING}|{_QUOTED}|{_DOLLAR}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|" + r"[^;'\"`/$-]++|['\"`/$-])++"
 )
 
 
@@ -64,7 +77,7 @@ def tokens(sql: Column) -> Column:
 
 
 def _is_text(token: Column) -> Column:
-    return token.startswith("'") & (F.length(token) > 1)
+    return (token.startswith("'") & (F.length(token) > 1)) | token.rlike(r"^\$[^0-9]")
 
 
 def _is_quoted(token: Column) -> Column:
@@ -84,7 +97,7 @@ def token_kind(token: Column) -> Column:
     )
 
 
-KEPT = rf"({_STRING}|{_QUOTED})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
+KEPT = rf"({_STRING}|{_QUOTED}|{_DOLLAR})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
 _LITERAL = r"""(')(?:[^']++|'')*+'|(["`])[^"`]*+["`]"""
 _SIGN = r"""([0-9]+\.[0-9]+|<>|<=|>=|!=|\|\||::|->>|->|['"`](?!\?)|[-(),;.\[\]{}+*/%=<>~@#&^|!:?](?<!['"`]\?))"""
 
@@ -93,13 +106,21 @@ def without_comments(sql: Column) -> Column:
     return F.regexp_replace(sql, KEPT, "$1 ")
 
 
+def plain_bodies(sql: Column) -> Column:
+    """Dollar-quoted bodies replaced by a plain literal. Other literals are matched first, so that dollars inside of them stay."""
+    text = F.regexp_replace(sql, rf"({_STRING}|{_QUOTED})|{_DOLLAR}", "$1\u0001")
+    for quote in ("'", '"', "`"):
+        text = F.replace(text, F.lit(f"{quote}\u0001"), F.lit(quote))
+    return F.when(F.contains(sql, F.lit("$")), F.replace(text, F.lit("\u0001"), F.lit("'body'"))).otherwise(sql)
+
+
 def masked(sql: Column) -> Column:
     """Upper-cased words and signs between single blanks, literals and quoted names masked.
 
     Four replacements over the text. Patterns over the result cannot be misled
     by the content of literals; a quote without a partner stays a sign.
     """
-    text = F.regexp_replace(without_comments(sql), _LITERAL, " $1$2? ")
+    text = F.regexp_replace(plain_bodies(without_comments(sql)), _LITERAL, " $1$2? ")
     text = F.regexp_replace(text, _SIGN, " $1 ")
     return F.upper(F.concat(F.lit(" "), F.regexp_replace(text, r"^\s+|\s+(?=\s)|\s+$", ""), F.lit(" ")))
 

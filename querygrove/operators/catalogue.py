@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from querygrove import refdata
 from querygrove.functions import lexing
-from querygrove.options import options
-from querygrove.prims import cut_lineage, once, ranked
+from querygrove.prims import accounted, cut_lineage, once
 
 NEVER = 2**62
 
@@ -71,20 +70,22 @@ _DEFAULT = r"(?i)\bDEFAULT\s+('(?:[^']|'')*'|[^\s,]+(?:\([^)]*\))?)"
 _REFERENCE = rf"(?i)\bREFERENCES\s+{_QID}\s*(?:\(([^)]*)\))?"
 
 
-def _items_pattern(levels: int = 8) -> str:
-    """Comma separated items with balanced parentheses and literals inside."""
-    text = r"'(?:[^']++|'')*+'"
-    inner = rf"(?:{text}|[^()'])*+"
-    for _ in range(levels):
-        inner = rf"(?:{text}|[^()']|\({inner}\))*+"
-    return rf"(?:{text}|[^(),']|\({inner}\))++"
-
-
-_ITEMS = _items_pattern()
+#: Pieces of a list that together give it back: literals, the three signs that matter, and the rest.
+_PIECE = r"'(?:[^']++|'')*+'|[(),]|[^(),']++|'"
 
 
 def _items(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(_ITEMS), F.lit(0)), lambda i: F.trim(i)), lambda i: i != "")
+    """Comma separated items, with parentheses nested to any depth and literals inside."""
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+        ends = (piece == ",") & (acc["depth"] == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(ends, F.lit("")).otherwise(F.concat(acc["item"], piece)).alias("item"),
+            F.when(ends, F.array_append(acc["items"], acc["item"])).otherwise(acc["items"]).alias("items"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("item"), F.array().cast("array<string>").alias("items"))
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), start, step, lambda acc: F.array_append(acc["items"], acc["item"]))
+    return F.filter(F.transform(found, lambda i: F.trim(i)), lambda i: i != "")
 
 
 def _names(text: Column) -> Column:
@@ -197,7 +198,7 @@ def ddl_events(migrations: DataFrame) -> DataFrame:
     )
     rows = once(ready, _e=events).select("repo", "path", "file_ord", "stmt_idx", F.posexplode("_e").alias("action", "e")).select(
         "repo", "path", "file_ord", "stmt_idx", "action", "e.*")
-    return rows.withColumn("seq", F.col("file_ord") * F.lit(10**10) + F.col("stmt_idx") * F.lit(10**5) + F.col("action"))
+    return rows.withColumn("seq", event_order())
 
 
 # --- state --------------------------------------------------------------------------------
@@ -290,9 +291,14 @@ def index_state(events: DataFrame) -> DataFrame:
         F.col("seq") > F.col("born")).select("repo", "tbl", "idx", "cols", "is_unique", "is_partial", "is_expression")
 
 
+def event_order() -> Column:
+    """One long in the order of file, statement and action: room for 2**25 statements a file and 2**15 actions a statement."""
+    file, stmt = F.col("file_ord").cast("long"), F.col("stmt_idx").cast("long")
+    return file * F.lit(1 << 40) + stmt * F.lit(1 << 15) + F.col("action")
+
+
 def ddl_warnings(events: DataFrame, cap: int | None = None) -> DataFrame:
-    """Unsupported DDL with the capabilities it compromises, within a cap per repository."""
-    cap = options()["max_parser_warnings"] if cap is None else cap
+    """Unsupported DDL with the capabilities it compromises, per repository the first ``cap`` (None: all), with how many were left out."""
     every = F.array(*[F.lit(c) for c in refdata.SCHEMA_CAPABILITIES])
     none = F.array().cast("array<string>")
     compromised = F.when(F.col("op") == "unsupported_type", F.array(F.lit("column_type"))).when(
@@ -305,7 +311,7 @@ def ddl_warnings(events: DataFrame, cap: int | None = None) -> DataFrame:
         altered_unknown(events).select("repo", "seq"), ["repo", "seq"], "left_anti").select("repo", "seq", "path", "op", "tbl")
     found = plain.unionByName(unknown).unionByName(actions).withColumn("compromised", compromised).withColumn(
         "affects", F.size("compromised") > 0)
-    return ranked(found, ["repo"], [F.col("seq"), F.col("op")], cap)
+    return accounted(found, ["repo"], [F.col("seq"), F.col("op")], cap)
 
 
 def fk_graph(keys: DataFrame) -> DataFrame:

@@ -1,182 +1,175 @@
-"""Error triage: catalogue matching, ranking, hypotheses and the escalation worklist."""
+"""Error triage: catalogue matching, ranking, hypotheses and the escalation worklist.
+
+The catalogue is a constant, so all matching happens inside the row of an
+error: an array of the entries that match, best first. Ranks, caps and counts
+are read from that array; only counts over many errors shuffle. Texts of any
+length are matched whole; a blank one has no match and ``input_kind`` "blank".
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querygrove import refdata
-from querygrove.options import options
-from querygrove.prims import prefix_sum, rule_table
+from querygrove.prims import once, prefix_sum
 
 CONCLUSIVE = 2
 MIN_CALL_TOKENS = 256
 
-#: Any pattern of the catalogue: texts that fail it never meet the catalogue.
-ANY_PATTERN = "(?i)" + "|".join(f"(?:{row[1]})" for row in refdata.ERROR_CATALOG)
+FIELDS = ("ordinal", "catalog_id", "severity", "specificity", "diagnosis", "fix_guidance")
+_STRINGS = "array<string>"
+
+
+def best_first() -> list[tuple[int, tuple]]:
+    """The catalogue with its ordinals: the most specific entries first, in catalogue order among equals."""
+    return sorted(enumerate(refdata.ERROR_CATALOG, 1), key=lambda entry: (-entry[1][6], entry[0]))
+
+
+def hits(entry: tuple, text: str = "error_text", dialect: str = "dialect") -> Column:
+    """Does a catalogue entry match the text in its dialect?"""
+    hit = F.col(text).rlike(f"(?i){entry[1]}")
+    return hit if entry[2] == "any" else hit & (F.col(dialect) == entry[2])
+
+
+def matches_of(text: str = "error_text", dialect: str = "dialect") -> Column:
+    """Array of the matching entries, best first."""
+    found = []
+    for ordinal, entry in best_first():
+        catalog_id, _, _, diagnosis, fix, severity, specificity = entry
+        values = (ordinal, catalog_id, severity, specificity, diagnosis, fix)
+        found.append(F.when(hits(entry, text, dialect), F.struct(*[F.lit(v).alias(n) for n, v in zip(FIELDS, values, strict=True)])))
+    return F.array_compact(F.array(*found))
 
 
-def error_catalog(spark: SparkSession) -> DataFrame:
-    rows = [(n, *row) for n, row in enumerate(refdata.ERROR_CATALOG, 1)]
-    return rule_table(
-        spark, rows,
-        "ordinal int, catalog_id string, pattern string, scope string, diagnosis string, fix_guidance string, "
-        "severity string, specificity int",
-    )
+def triage(errors: DataFrame) -> DataFrame:
+    """``errors`` with ``input_kind`` (text or blank) and ``matches``, evaluated once per row."""
+    kind = F.when(F.coalesce(F.col("error_text").rlike(r"\S"), F.lit(False)), "text").otherwise("blank")
+    return once(errors, input_kind=kind, matches=matches_of())
 
 
-def accepted(errors: DataFrame) -> DataFrame:
-    limit = options()["max_error_input_bytes"]
-    return errors.filter((F.octet_length("error_text") <= limit) & F.col("error_text").rlike(r"\S"))
+def ranked_matches(errors: DataFrame) -> DataFrame:
+    """One row per error and matching entry, with its rank, tie ranks and the number of matches."""
+    ranked = triage(errors).select("*", F.posexplode("matches").alias("_place", "_match"))
+    better = F.filter("matches", lambda m: m["specificity"] > F.col("_match")["specificity"])
+    return ranked.select(
+        *errors.columns, "input_kind", *[F.col("_match")[f].alias(f) for f in FIELDS],
+        (F.col("_place") + 1).alias("rank"), (F.size(better) + 1).alias("tie_rank"),
+        (F.size(F.array_distinct(F.transform(better, lambda m: m["specificity"]))) + 1).alias("tie_dense_rank"),
+        F.size("matches").cast("long").alias("n_matches"))
 
 
 def match_errors(errors: DataFrame) -> DataFrame:
-    """Every catalogue entry that matches an error text in its dialect.
+    """Every catalogue entry that matches an error text in its dialect."""
+    return ranked_matches(errors).drop("rank", "tie_rank", "tie_dense_rank", "n_matches")
 
-    The catalogue (a constant of 16 rows) is the broadcast side; a combined
-    pattern keeps texts without any match out of the join.
-    """
-    catalog = error_catalog(errors.sparkSession)
-    candidates = errors.filter(F.col("error_text").rlike(ANY_PATTERN))
-    hit = F.expr("error_text rlike concat('(?i)', pattern) AND scope IN ('any', dialect)")
-    return candidates.join(catalog, hit)
-
-
-def ranked_matches(matches: DataFrame, key: str = "event_id") -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.desc("specificity"), "ordinal")
-    by_specificity = Window.partitionBy(key).orderBy(F.desc("specificity"))
-    return (
-        matches.withColumn("rank", F.row_number().over(order))
-        .withColumn("tie_rank", F.rank().over(by_specificity))
-        .withColumn("tie_dense_rank", F.dense_rank().over(by_specificity))
-    )
-
-
-def capped_matches(matches: DataFrame, cap: int | None = None, key: str = "event_id") -> DataFrame:
-    """Best ``cap`` matches per event with what was left out. At most 16 rows per event."""
-    cap = options()["max_catalog_matches"] if cap is None else cap
-    total = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return (
-        ranked_matches(matches, key)
-        .withColumn("suppressed_count", F.greatest(total - cap, F.lit(0).cast("long")))
-        .withColumn("truncated", total > cap)
-        .filter(F.col("rank") <= cap)
-    )
-
-
-def hypotheses(matches: DataFrame, impact: DataFrame, cap: int | None = None, key: str = "event_id") -> DataFrame:
-    """Catalogue diagnoses first, then missing tables, then missing columns.
-
-    ``impact`` has one row per event with ``missing_tables``/``missing_columns`` arrays.
+
+def capped_matches(errors: DataFrame, cap: int | None = None) -> DataFrame:
+    """The best ``cap`` matches per error (None: all), and how many were left out."""
+    over = F.lit(0).cast("long") if cap is None else F.greatest(F.col("n_matches") - cap, F.lit(0).cast("long"))
+    ranked = ranked_matches(errors).withColumn("suppressed_count", over).withColumn("truncated", over > 0)
+    return ranked if cap is None else ranked.filter(F.col("rank") <= cap)
+
+
+def best_match(errors: DataFrame) -> DataFrame:
+    """The best entry of every error that has one."""
+    best = triage(errors).withColumn("_best", F.get("matches", F.lit(0))).filter("_best is not null")
+    return best.select(*errors.columns, "_best.catalog_id", "_best.severity", "_best.specificity")
+
+
+def _with_impact(errors: DataFrame, impact: DataFrame, key: str) -> DataFrame:
+    """Errors with their matches and missing names: one join, on a side with a row per error."""
+    missing = impact.select(key, "missing_tables", "missing_columns")
+    joined = triage(errors).join(missing, key, "left")
+    none = F.array().cast(_STRINGS)
+    for name in ("missing_tables", "missing_columns"):
+        joined = joined.withColumn(name, F.coalesce(name, none))
+    return joined
+
+
+def _hypotheses() -> Column:
+    """Catalogue diagnoses first, then missing tables, then missing columns."""
+    def entry(statement: Column, basis: str, step: Column) -> Column:
+        return F.struct(statement.alias("statement"), F.lit(basis).alias("basis"), step.alias("next_diagnostic"))
+
+    tables = entry(
+        F.concat(F.lit(refdata.MISSING_TABLES[0]), F.array_join("missing_tables", ", "), F.lit(refdata.MISSING_TABLES[1])), "schema",
+        F.lit(refdata.MISSING_TABLES[2]))
+    columns = entry(
+        F.concat(F.lit(refdata.MISSING_COLUMNS[0]), F.array_join("missing_columns", ", "), F.lit(refdata.MISSING_COLUMNS[1])), "schema",
+        F.lit(refdata.MISSING_COLUMNS[2]))
+    from_catalog = F.transform("matches", lambda m: entry(m["diagnosis"], "catalog", m["fix_guidance"]))
+    schema = F.array_compact(F.array(F.when(F.size("missing_tables") > 0, tables), F.when(F.size("missing_columns") > 0, columns)))
+    return F.concat(from_catalog, schema)
+
+
+def hypotheses(errors: DataFrame, impact: DataFrame, cap: int | None = None, key: str = "event_id") -> DataFrame:
+    """Ranked hypotheses of each error; at most ``cap`` (None: all), with the number left out.
+
+    ``impact`` has one row per error with ``missing_tables`` and ``missing_columns`` arrays.
     """
-    cap = options()["max_hypotheses"] if cap is None else cap
-    from_catalog = capped_matches(matches, key=key).select(
-        key, F.lit(1).alias("basis_order"), F.col("rank").alias("ordinal"), F.col("diagnosis").alias("statement"),
-        F.lit("catalog").alias("basis"), F.col("fix_guidance").alias("next_diagnostic"),
-    )
-    tables = impact.filter(F.size("missing_tables") > 0).select(
-        key, F.lit(2).alias("basis_order"), F.lit(1).alias("ordinal"),
-        F.concat(
-            F.lit("The query references table(s) not present in the repo schema: "),
-            F.array_join("missing_tables", ", "),
-            F.lit(". The migration creating them may be missing or unapplied."),
-        ).alias("statement"),
-        F.lit("schema").alias("basis"), F.lit("Check migration ordering and application state.").alias("next_diagnostic"),
-    )
-    columns = impact.filter(F.size("missing_columns") > 0).select(
-        key, F.lit(3).alias("basis_order"), F.lit(1).alias("ordinal"),
-        F.concat(
-            F.lit("The query references column(s) not present in the repo schema: "),
-            F.array_join("missing_columns", ", "), F.lit("."),
-        ).alias("statement"),
-        F.lit("schema").alias("basis"),
-        F.lit("Verify column names against the repo DDL (analyze_sql).").alias("next_diagnostic"),
-    )
-    order = Window.partitionBy(key).orderBy("basis_order", "ordinal")
-    return (
-        from_catalog.unionByName(tables).unionByName(columns)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= cap)
-        .select(key, "rank", "statement", "basis", "next_diagnostic")
-    )
-
-
-def next_diagnostics(matches: DataFrame, impact: DataFrame, key: str = "event_id") -> DataFrame:
-    """Ordered guidance per event (at most one per catalogue entry), then where to look for tables."""
-    guidance = capped_matches(matches, key=key).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "fix_guidance"))).alias("_steps")
-    )
-    located = impact.filter(F.size("missing_tables") > 0).select(key, F.lit(True).alias("_locate"))
-    steps = F.transform(F.coalesce("_steps", F.array().cast("array<struct<rank:int,fix_guidance:string>>")),
-                        lambda s: s["fix_guidance"])
-    extra = F.lit("Run find_context to locate migrations for the missing tables.")
-    return guidance.join(located, key, "full_outer").select(
-        key, F.when(F.col("_locate"), F.array_append(steps, extra)).otherwise(steps).alias("next_diagnostics")
-    )
-
-
-def unmatched_errors(errors: DataFrame, matches: DataFrame, key: str = "event_id") -> DataFrame:
-    """Errors without a conclusive match."""
-    conclusive = matches.filter(F.col("specificity") >= CONCLUSIVE).select(key)
-    return errors.join(conclusive, key, "left_anti")
+    rows = once(_with_impact(errors, impact, key), _all=_hypotheses())
+    kept = F.col("_all") if cap is None else F.slice("_all", 1, cap)
+    over = F.size("_all") - F.size(kept)
+    rows = rows.select(key, over.cast("long").alias("suppressed_count"), F.posexplode(kept).alias("_place", "_h"))
+    return rows.select(key, (F.col("_place") + 1).alias("rank"), "_h.*", "suppressed_count", (F.col("suppressed_count") > 0).alias("truncated"))
+
+
+def _steps() -> Column:
+    """Guidance of the matches in order, then where to look for tables."""
+    guidance = F.transform("matches", lambda m: m["fix_guidance"])
+    return F.when(F.size("missing_tables") > 0, F.array_append(guidance, F.lit(refdata.LOCATE_TABLES))).otherwise(guidance)
+
+
+def next_diagnostics(errors: DataFrame, impact: DataFrame, key: str = "event_id") -> DataFrame:
+    """Ordered guidance per error that has any."""
+    return _with_impact(errors, impact, key).select(key, _steps().alias("next_diagnostics")).filter(F.size("next_diagnostics") > 0)
+
+
+def unmatched_errors(errors: DataFrame) -> DataFrame:
+    """Errors without a conclusive match, blank ones included."""
+    conclusive = F.exists("matches", lambda m: m["specificity"] >= CONCLUSIVE)
+    return triage(errors).filter(~conclusive).drop("matches")
 
 
 def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def escalation_worklist(open_errors: DataFrame, redact, budget: int | None = None,
-                        total_budget: int | None = None, key: str = "event_id") -> DataFrame:
-    """Inconclusive errors, redacted and cut, with a status.
+def escalation_worklist(open_errors: DataFrame, redact, budget: int, total_budget: int | None = None,
+                        max_chars: int | None = None, key: str = "event_id") -> DataFrame:
+    """Inconclusive errors, redacted, with a status.
 
     ``budget`` is the budget of one call. With ``total_budget`` the batch is
-    also bounded as a whole, in key order, by a two-pass running total.
+    also bounded as a whole, in key order, by a two-pass running total. With
+    ``max_chars`` prompts are cut and marked as truncated.
     """
-    bounds = options()
-    per_call = min(bounds["llm_token_budget"] if budget is None else budget, bounds["llm_token_budget"])
-    work = open_errors.select(
-        key, redact(F.col("error_text"), bounds["max_advisory_chars"]).alias("prompt"),
-    ).withColumn("tokens", estimated_tokens(F.col("prompt")))
-    exhausted = F.lit(per_call < MIN_CALL_TOKENS)
+    prompt = redact(F.col("error_text"))
+    cut = prompt if max_chars is None else F.substring(prompt, 1, max_chars)
+    work = open_errors.select(key, cut.alias("prompt"), (F.lit(False) if max_chars is None else F.length(prompt) > max_chars).alias("truncated"))
+    work = work.withColumn("tokens", estimated_tokens(F.col("prompt")))
+    exhausted = F.lit(budget < MIN_CALL_TOKENS)
     if total_budget is not None:
         work = prefix_sum(work, [key], "tokens", "running_tokens")
         exhausted = exhausted | (F.col("running_tokens") > total_budget)
     return work.withColumn("status", F.when(exhausted, "budget_exhausted").otherwise("pending"))
 
 
-def debug_report(errors: DataFrame, matches: DataFrame, impact: DataFrame, key: str = "event_id") -> DataFrame:
+def debug_report(errors: DataFrame, impact: DataFrame, key: str = "event_id") -> DataFrame:
     """One row per error: matches, hypotheses, cross-check and diagnostics."""
-    best = capped_matches(matches, key=key).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "catalog_id"))).alias("_m"),
-        F.max("suppressed_count").alias("suppressed_count"), F.max("specificity").alias("_best"),
-    )
-    ranked_hypotheses = hypotheses(matches, impact, key=key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_hypotheses"), F.min_by("statement", "rank").alias("top_hypothesis")
-    )
-    steps = next_diagnostics(matches, impact, key)
-    out = (
-        errors.select(key, "dialect").join(best, key, "left").join(ranked_hypotheses, key, "left")
-        .join(impact, key, "left").join(steps, key, "left")
-    )
-    none = F.array().cast("array<string>")
-    return out.select(
-        key, "dialect",
-        F.coalesce(F.transform("_m", lambda m: m["catalog_id"]), none).alias("catalog_matches"),
-        F.coalesce("suppressed_count", F.lit(0).cast("long")).alias("matches_suppressed"),
-        F.coalesce("n_hypotheses", F.lit(0).cast("long")).alias("n_hypotheses"), "top_hypothesis",
-        F.coalesce("missing_tables", none).alias("missing_tables"),
-        F.coalesce("missing_columns", none).alias("missing_columns"),
-        F.coalesce("next_diagnostics", none).alias("next_diagnostics"),
-        (F.coalesce("_best", F.lit(0)) >= CONCLUSIVE).alias("conclusive"),
-    )
-
-
-def error_profile(matches: DataFrame) -> DataFrame:
-    """Counts per catalogue id, severity and day, with distinct users (exact and approximate)."""
+    rows = once(_with_impact(errors, impact, key), _all=_hypotheses(), _next=_steps())
+    return rows.select(
+        key, "dialect", "input_kind", F.transform("matches", lambda m: m["catalog_id"]).alias("catalog_matches"),
+        F.size("_all").cast("long").alias("n_hypotheses"), F.get("_all", F.lit(0))["statement"].alias("top_hypothesis"),
+        "missing_tables", "missing_columns", F.col("_next").alias("next_diagnostics"),
+        F.exists("matches", lambda m: m["specificity"] >= CONCLUSIVE).alias("conclusive"))
+
+
+def error_profile(errors: DataFrame) -> DataFrame:
+    """Counts per catalogue id, severity and day, with distinct users (exact and approximate): the total, per severity, per severity and id, and per all three."""
     day = F.floor(F.col("at_s") / 86_400).cast("long")
-    return (
-        matches.withColumn("day", day).cube("severity", "catalog_id", "day")
-        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"),
-             F.approx_count_distinct("user_id", 0.01).alias("approx_users"), F.grouping_id().alias("gid"))
-        .filter("gid IN (7, 3, 4, 0)")
-    )
+    found = match_errors(errors).select("severity", "catalog_id", day.alias("day"), "user_id")
+    s, c, d = F.col("severity"), F.col("catalog_id"), F.col("day")
+    return found.groupingSets([[], [s], [s, c], [s, c, d]], s, c, d).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"),
+        F.approx_count_distinct("user_id", 0.01).alias("approx_users"), F.grouping_id().alias("gid"))

@@ -164,9 +164,9 @@ def scan_summary(classified: DataFrame) -> DataFrame:
     )
 
 
-def file_manifest(files: DataFrame) -> DataFrame:
-    """Freshness manifest: ``.sql`` files and small texts with a keyword or marker."""
-    readable = unreadable(1024 * 1024, by_extension=False).isNull()
+def file_manifest(files: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Freshness manifest: ``.sql`` files and texts (with ``max_size``: up to it) with a keyword or marker."""
+    readable = unreadable(max_size, by_extension=False).isNull()
     return files.filter(is_sql() | (readable & (has_sql_keyword() | has_orm_marker()))).select(
         "path", "mtime_ns", "size"
     )
@@ -193,9 +193,12 @@ def manifests_match(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def migration_sources(files: DataFrame, repo: str = "repo") -> DataFrame:
-    """Per repository its one migration root, or why there is none."""
-    bounds = options()
+def migration_sources(files: DataFrame, repo: str = "repo", **limits: int) -> DataFrame:
+    """Per repository its one migration root, or why there is none.
+
+    ``limits`` are ``max_schema_files``, ``max_schema_file_bytes`` and ``max_schema_total_bytes``; without one nothing is refused for its size.
+    """
+    bounds = options(**limits)
     found = files.filter(F.col("root").isin(*refdata.MIGRATION_ROOTS) & is_sql())
     per_root = found.groupBy(repo, "root").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest")

@@ -11,7 +11,7 @@ from querygrove.operators import lint as li
 from querygrove.operators import rewrite as rw
 from querygrove.operators import security as se
 from querygrove.options import options
-from querygrove.prims import ranked, suppressed
+from querygrove.prims import accounted, ranked, suppressed
 
 _STRINGS = "array<string>"
 
@@ -45,16 +45,14 @@ def analyze_sql(statements: DataFrame, columns: DataFrame, indexes: DataFrame, w
 
 def optimize_report(statements: DataFrame, columns: DataFrame, indexes: DataFrame, warnings: DataFrame,
                     max_findings: int | None = None, max_candidates: int | None = None) -> DataFrame:
-    """Lint findings and rewrite candidates per unit, each within its cap."""
-    bounds = options()
+    """Lint findings and rewrite candidates per unit, each within its cap (None: all), with how many were left out."""
     findings = li.lint(statements, columns, indexes, warnings).select(
         "unit_id", "stmt_idx", F.lit("finding").alias("entry"), "rule_id", F.col("message").alias("value"))
     candidates = rw.star_expansion(statements, columns, warnings).filter(F.col("validation_status") == "validated").select(
         "unit_id", "stmt_idx", F.lit("candidate").alias("entry"), F.lit("select_star_expansion").alias("rule_id"),
         F.col("rewritten_sql").alias("value"))
     order = [F.col("stmt_idx"), F.col("rule_id")]
-    return ranked(findings, ["unit_id"], order, bounds["max_findings"] if max_findings is None else max_findings).unionByName(
-        ranked(candidates, ["unit_id"], order, bounds["max_candidates"] if max_candidates is None else max_candidates))
+    return accounted(findings, ["unit_id"], order, max_findings).unionByName(accounted(candidates, ["unit_id"], order, max_candidates))
 
 
 def as_units(statements: DataFrame) -> DataFrame:

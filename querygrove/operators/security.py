@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators.files import MIGRATION_NAME
-from querygrove.options import options
-from querygrove.prims import once, ranked
+from querygrove.options import UNBOUNDED
+from querygrove.prims import accounted, once
 
 _HOST = r"(?iU)\b(?:" + "|".join(refdata.HOST_KEYWORDS) + r")\b"
 
@@ -196,15 +196,14 @@ def findings(units: DataFrame, extra: tuple[Rule, ...] = ()) -> DataFrame:
 
 
 def ranked_findings(found: DataFrame, request: str = "repo", cap: int | None = None) -> DataFrame:
-    """First findings of each request in source order."""
-    cap = options()["max_findings"] if cap is None else cap
+    """Findings of each request in source order; the first ``cap`` (None: all), with how many were left out."""
     order = [F.col(c) for c in ("stmt_idx", "line", "col", "rule_id", "unit_id", "message")]
-    return ranked(found, [request], order, cap)
+    return accounted(found, [request], order, cap)
 
 
 def security_scan(units: DataFrame, request: str = "repo", cap: int | None = None) -> DataFrame:
-    """One summary row per request. Every count combines map-side."""
-    cap = options()["max_findings"] if cap is None else cap
+    """One summary row per request. Every count combines map-side. With ``cap``, what exceeds it counts as suppressed."""
+    cap = UNBOUNDED if cap is None else cap
     found = findings(units).groupBy(request).agg(
         F.count(F.lit(1)).alias("found"), F.count_if(F.col("severity") == "high").alias("high"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),  # at most one entry per rule
@@ -240,9 +239,12 @@ def severity_rollup(found: DataFrame) -> DataFrame:
 
 # --- calls in host code -------------------------------------------------------------------
 
-_TEXT = r"""[rRbBuU]{0,2}(?:"[^"\n]*"|'[^'\n]*')"""
+_TRIPLE = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
+_LINE_TEXT = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'"
+_TEXT = rf"[rRbBuU]{{0,2}}(?:{_TRIPLE}|{_LINE_TEXT})"
 _CONSTANT = rf"(?:{_TEXT}(?:\s+{_TEXT})*|[0-9][0-9.]*|None|True|False)"
-_ARGUMENT = r"""(?:"[^"\n]*"|'[^'\n]*'|\((?:[^()\n]|\([^()\n]*\))*\)|[^,()\n"'])++"""
+_ARGUMENT = rf"""(?:{_TRIPLE}|{_LINE_TEXT}|\((?:[^()]|\([^()]*\))*\)|[^,()"'])++"""
+#: A call with its first argument, over as many lines as it takes.
 _CALL = rf"\.(?:executemany|execute)\s*\(\s*(?:{_CONSTANT}\s*[,)]|\)|{_ARGUMENT}[,)]?)?"
 
 
@@ -257,8 +259,18 @@ def _call_facts(call: Column) -> dict[str, Column]:
 
 
 def dynamic_execute_calls(sources: DataFrame) -> DataFrame:
-    """One row per one-line call whose first argument is not a constant."""
-    calls = lines(sources).withColumn("call", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(0))))
+    """One row per call whose first argument is not a constant, with the line the call begins in."""
+    df = once(
+        sources, _before=F.regexp_extract_all("content", F.lit(rf"((?s:.*?)){_CALL}"), F.lit(1)),
+        _calls=F.regexp_extract_all("content", F.lit(_CALL), F.lit(0)))
+
+    def breaks(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+    # Texts before the calls and the calls take turns: a call's line is one more than the breaks of all before it.
+    lines_before = F.transform("_before", lambda text, i: breaks(F.array_join(F.slice("_before", 1, i + 1), "")) + breaks(F.array_join(F.slice("_calls", 1, i), "")))
+    pairs = F.arrays_zip(F.transform(lines_before, lambda n: n + 1).alias("line_no"), F.col("_calls").alias("call"))
+    calls = df.select("unit_id", F.explode(pairs).alias("p")).select("unit_id", "p.*")
     facts = _call_facts(F.col("call"))
     return calls.filter(~facts["no_args"] & ~facts["constant"]).select(
         "unit_id", "line_no", F.regexp_extract("call", r"^\.(executemany|execute)", 1).alias("method"))

@@ -1,9 +1,23 @@
-"""Bounds of the engine. Name -> (default, lowest, highest)."""
+"""Bounds of the engine.
+
+Nothing is cut unless a caller asks for it: a bound that is not given is
+``UNBOUNDED``. A given one is clamped to its allowed range. ``recommended`` has
+the values meant for interactive use.
+"""
 
 from __future__ import annotations
 
 MIB = 1024 * 1024
 
+#: Larger than any count or size, and still an int.
+UNBOUNDED = 2**31 - 1
+#: Sums of bytes need more.
+UNBOUNDED_BYTES = 2**62
+
+#: Settings that cut no data: they keep their recommended value. Folders nested deeper than a scan goes are pruned like skipped folders.
+SETTINGS = ("max_scan_depth", "explain_ttl_seconds", "task_ttl_seconds", "llm_token_budget")
+
+#: Name -> (recommended, lowest, highest).
 BOUNDS: dict[str, tuple[int, int, int]] = {
     "max_file_size": (MIB, 1, 100 * MIB),
     "max_files_per_scan": (50_000, 100, 500_000),
@@ -43,12 +57,21 @@ BOUNDS: dict[str, tuple[int, int, int]] = {
 }
 
 
+def recommended(name: str) -> int:
+    return BOUNDS[name][0]
+
+
 def options(**overrides: int) -> dict[str, int]:
-    """Default bounds, with overrides clamped to their allowed range."""
+    """All bounds: the overrides clamped to their allowed range, the others unbounded."""
     unknown = set(overrides) - set(BOUNDS)
     if unknown:
         raise KeyError(f"unknown options: {sorted(unknown)}")
-    return {
-        name: min(max(int(overrides.get(name, default)), low), high)
-        for name, (default, low, high) in BOUNDS.items()
-    }
+    found = {}
+    for name, (value, low, high) in BOUNDS.items():
+        if name in overrides:
+            found[name] = min(max(int(overrides[name]), low), high)
+        elif name in SETTINGS:
+            found[name] = value
+        else:
+            found[name] = UNBOUNDED_BYTES if "bytes" in name or "_size" in name else UNBOUNDED
+    return found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators.statements import with_admission
-from querygrove.options import options
+from querygrove.options import UNBOUNDED, options
 from querygrove.prims import once, ranked
 
 
@@ -51,11 +51,14 @@ def _text(node: Column, field: str) -> Column:
 
 
 def visited_nodes(plans: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All nodes down to one level below the depth bound, as an array in preorder.
+    """All nodes (with ``max_depth``: down to one level below it), as an array by levels.
 
-    Each entry has its ``path`` (child numbers from the root) and the node.
+    Each entry has its ``path`` (child numbers from the root) and the node. A
+    plan has no more levels than its text has lists of children.
     """
-    depth = options()["max_plan_depth"] if max_depth is None else max_depth
+    levels = F.regexp_count("plan_json", F.lit('"Plans"')) + 2
+    if max_depth is not None:
+        levels = F.least(levels, F.lit(max_depth + 1))
     entry_type = "array<struct<path:array<int>,node:variant>>"
     root = F.array(F.struct(F.array().cast("array<int>").alias("path"),
                             F.try_variant_get("doc", "$.Plan", "variant").alias("node")))
@@ -72,7 +75,7 @@ def visited_nodes(plans: DataFrame, max_depth: int | None = None) -> DataFrame:
         return F.when(F.size(acc["here"]) > 0, below).otherwise(acc)
 
     start = F.struct(root.alias("here"), F.array().cast(entry_type).alias("seen"))
-    return once(plans, _all=F.aggregate(F.sequence(F.lit(1), F.lit(depth + 1)), start, descend)["seen"])
+    return once(plans, _all=F.aggregate(F.sequence(F.lit(1), levels), start, descend)["seen"])
 
 
 def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
@@ -81,10 +84,9 @@ def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int |
     ``kept`` is false for nodes that were visited and not kept. A node's place
     in preorder is its rank among the visited nodes of its plan.
     """
-    bounds = options()
-    max_nodes = bounds["max_plan_nodes"] if max_nodes is None else max_nodes
-    max_depth = bounds["max_plan_depth"] if max_depth is None else max_depth
     df = visited_nodes(plans, max_depth)
+    max_nodes = UNBOUNDED if max_nodes is None else max_nodes
+    max_depth = UNBOUNDED if max_depth is None else max_depth
     # variants have no order: sort the paths and look the nodes up by their place
     paths = F.transform("_all", lambda e, i: F.struct(e["path"].alias("path"), i.alias("at")))
     df = once(df, _order=F.array_sort(paths))
@@ -125,19 +127,20 @@ _NUMBER = r"(?<![\p{L}\p{N}_$.])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
 def redact_literals(expression: Column, max_chars: int | None = None) -> Column:
-    """Strings and numbers replaced by typed placeholders, cut to a length; fails closed.
+    """Strings and numbers replaced by typed placeholders; fails closed. With ``max_chars`` the text is cut to that length.
 
     Running it twice changes nothing: placeholders hold no literal.
     """
-    limit = options()["max_plan_condition_chars"] if max_chars is None else max_chars
     mask = lexing.masked(expression)
     top = lexing.full_outline(lexing.outline(mask))
     sound = ~mask.rlike(r" ['\"`] ") & ~top.rlike(r"[()]")
     # literals go first, so that digits inside of them are not looked at
-    text = F.regexp_replace(F.regexp_replace(expression, lexing.KEPT, "$1"), r"'(?:[^']++|'')*+'", '"<string>"')
+    bare = F.regexp_replace(lexing.plain_bodies(expression), lexing.KEPT, "$1")
+    text = F.regexp_replace(bare, r"'(?:[^']++|'')*+'", '"<string>"')
     text = F.regexp_replace(text, r'("[^"]*")|' + _NUMBER, "$1\u0001")
     text = F.replace(F.replace(text, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit('"<number>"'))
-    return F.when(sound, F.substring(F.rtrim(text), 1, limit)).otherwise(F.lit(refdata.UNPARSED))
+    text = F.when(bare == expression, text).otherwise(F.rtrim(text))  # a comment at the end leaves blanks
+    return F.when(sound, text if max_chars is None else F.substring(text, 1, max_chars)).otherwise(F.lit(refdata.UNPARSED))
 
 
 def plan_conditions(nodes: DataFrame, max_chars: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,17 +53,26 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in the driver's process gets a temporary
+    folder when none is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="querygrove-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; never a local one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="querygrove-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -87,6 +98,15 @@ def suppressed(df: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     )
 
 
+def accounted(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int | None = None, rank_col: str = "rank") -> DataFrame:
+    """First ``cap`` rows per key (None: all) with ``suppressed_count`` and ``truncated`` of the key."""
+    if cap is None:
+        rows = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return rows.withColumn("suppressed_count", F.lit(0).cast("long")).withColumn("truncated", F.lit(False))
+    counts = suppressed(df, keys, cap).drop("total")
+    return ranked(df, keys, order, cap, rank_col).join(counts, list(keys))
+
+
 def prefix_sums(df: DataFrame, order_cols: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """Running totals over the whole frame in the order of ``order_cols``.
 

@@ -285,3 +285,13 @@ ERROR_CATALOG = (
      "Verify host/port, that the server is running, and firewall/network policy; check the connection string env var "
      "name.", "high", 1),
 )
+
+#: Texts of the schema hypotheses (before and after the names, next step) and of the last diagnostic.
+MISSING_TABLES = (
+    "The query references table(s) not present in the repo schema: ", ". The migration creating them may be missing or unapplied.",
+    "Check migration ordering and application state.",
+)
+MISSING_COLUMNS = (
+    "The query references column(s) not present in the repo schema: ", ".", "Verify column names against the repo DDL (analyze_sql).",
+)
+LOCATE_TABLES = "Run find_context to locate migrations for the missing tables."

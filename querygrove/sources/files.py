@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querygrove.prims import rule_table
+from querygrove.prims import rule_table, shared_base
 
 BUNDLED_DOCS = ("planning.md", "security.md", "tuning.md")
 
@@ -52,10 +53,4 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach: below the one the cluster names."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="querygrove-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

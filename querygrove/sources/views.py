@@ -375,7 +375,7 @@ def _docs(e) -> str:
 
 def _queries(e) -> str:
     return """
-    SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN text || ' that that doc' ELSE substr(text, 1, 60) END AS query
+    SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN text || ' that that doc' ELSE text END AS query
     FROM benchmark"""
 
 
@@ -422,7 +422,7 @@ def _tool_events(e) -> str:
 
 def _documents(e) -> str:
     return f"""
-    SELECT doc_id, '(note = ' || {_Q} || replace(substr(text, 1, 40), {_Q}, ' ') || {_Q} || ' AND n = ' || CAST(n_chars AS STRING)
+    SELECT doc_id, '(note = ' || {_Q} || replace(text, {_Q}, ' ') || {_Q} || ' AND n = ' || CAST(n_chars AS STRING)
       || CASE WHEN doc_id % 6 = 0 THEN ' AND (broken' ELSE '' END || ' AND lang <> col_1 AND price >= 3.14)' AS expression, text
     FROM documents"""
 
@@ -440,11 +440,8 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. A file too small to give every core a task is spread first;
-    tables of a realistic size have more splits than cores and are read as they are."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
+    """A base table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

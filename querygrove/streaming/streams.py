@@ -30,22 +30,12 @@ def classify_stream(files: DataFrame) -> DataFrame:
 def stream_triage(errors: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Best diagnosis counts per catalogue entry and window; late events are dropped.
 
-    ``errors`` has ``ts, dialect, error_text``. The catalogue is the static,
-    broadcast side. The best match of an event is picked inside the row.
+    ``errors`` has ``ts, dialect, error_text``. The best match of an event is
+    picked inside the row, by the same constant tests as in a batch.
     """
-    catalog = er.refdata.ERROR_CATALOG
-    ranked = sorted(range(len(catalog)), key=lambda n: (-catalog[n][6], n))
-    best = None
-    for n in ranked:
-        row = catalog[n]
-        hit = F.col("error_text").rlike(f"(?i){row[1]}")
-        if row[2] != "any":
-            hit = hit & (F.col("dialect") == row[2])
-        best = F.when(hit, row[0]) if best is None else best.when(hit, row[0])
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (
-        er.accepted(errors).withColumn("catalog_id", best).filter(F.col("catalog_id").isNotNull())
-        .withWatermark("ts", late).groupBy(span.alias("w"), "catalog_id").agg(F.count(F.lit(1)).alias("n"))
+        er.best_match(errors).withWatermark("ts", late).groupBy(span.alias("w"), "catalog_id").agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), "catalog_id", "n")
     )
 

@@ -55,7 +55,7 @@ def _lit(v) -> str:
 
 EVENTS = ORDER + f""", ev AS (
   SELECT repo, path, file_ord, g.si AS stmt_idx, g.ai AS action, g.op, g.tbl, replace(g.col, '{{k}}', CAST(repo AS VARCHAR)) AS col, g.ty AS data_type,
-    g.nl AS nullable, g.df AS default_text, g.dt AS detail, file_ord * 10000000000 + g.si * 100000 + g.ai AS seq
+    g.nl AS nullable, g.df AS default_text, g.dt AS detail, file_ord * 1099511627776 + g.si * 32768 + g.ai AS seq
   FROM gd JOIN (VALUES {', '.join('(' + ', '.join(_lit(v) for v in row) + ')' for row in _EVENTS)}) g(form, si, ai, op, tbl, col, ty, nl, df, dt) USING (form))
 """
 LIVE = """, lt AS (

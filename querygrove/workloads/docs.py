@@ -87,7 +87,7 @@ def score_sections(spark, sf):
   SELECT query_id, rank, source, title, score FROM r WHERE rank <= 20""")
 def top_sections(spark, sf):
     scores = op.score_sections(op.section_tokens(sections(spark, sf)), view(spark, sf, "v_queries"))
-    return op.top_sections(scores).select("query_id", "rank", "source", "title", "score")
+    return op.top_sections(scores, 20).select("query_id", "rank", "source", "title", "score")
 
 
 @query("bounded_text", "v_docs", SECTIONS + """

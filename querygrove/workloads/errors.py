@@ -20,7 +20,7 @@ _ROWS = ", ".join(
 CATALOG = f""", cat(ordinal, catalog_id, pattern, scope, diagnosis, fix_guidance, severity, specificity) AS (VALUES {_ROWS})
 """
 MATCHES = CATALOG + """, acc AS (
-  SELECT * FROM v_errors WHERE strlen(error_text) <= 65536 AND trim(error_text) <> ''), m AS (
+  SELECT *, CASE WHEN regexp_matches(error_text, '\\S') THEN 'text' ELSE 'blank' END AS input_kind FROM v_errors), m AS (
   SELECT acc.event_id, acc.user_id, acc.at_s, cat.* FROM acc JOIN cat ON cat.scope IN ('any', acc.dialect)
     AND regexp_matches(acc.error_text, cat.pattern, 'i')), rk AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY specificity DESC, ordinal) AS rank,
@@ -30,58 +30,54 @@ MATCHES = CATALOG + """, acc AS (
 """
 
 
-def accepted(spark, sf):
-    return op.accepted(view(spark, sf, "v_errors"))
-
-
-def matches(spark, sf):
-    return op.match_errors(accepted(spark, sf))
+def errors_of(spark, sf):
+    return view(spark, sf, "v_errors")
 
 
 @query("match_errors", "v_errors", MATCHES + "SELECT event_id, catalog_id, severity, specificity, diagnosis, fix_guidance FROM m")
 def match_errors(spark, sf):
-    return matches(spark, sf).select("event_id", "catalog_id", "severity", "specificity", "diagnosis", "fix_guidance")
+    return op.match_errors(errors_of(spark, sf)).select("event_id", "catalog_id", "severity", "specificity", "diagnosis", "fix_guidance")
 
 
 @query("ranked_matches", "v_errors", MATCHES + "SELECT event_id, catalog_id, rank, tie_rank, tie_dense_rank FROM rk")
 def ranked_matches(spark, sf):
-    return op.ranked_matches(matches(spark, sf)).select("event_id", "catalog_id", "rank", "tie_rank", "tie_dense_rank")
+    return op.ranked_matches(errors_of(spark, sf)).select("event_id", "catalog_id", "rank", "tie_rank", "tie_dense_rank")
 
 
 @query("capped_matches", "v_errors", MATCHES + """
   SELECT event_id, catalog_id, rank, greatest(total - 1, 0) AS suppressed_count, total > 1 AS truncated FROM rk WHERE rank <= 1""")
 def capped_matches(spark, sf):
-    return op.capped_matches(matches(spark, sf), cap=1).select(
-        "event_id", "catalog_id", "rank", "suppressed_count", "truncated")
+    return op.capped_matches(errors_of(spark, sf), cap=1).select("event_id", "catalog_id", "rank", "suppressed_count", "truncated")
 
 
 @query("unmatched_errors", "v_errors", MATCHES + """
-  SELECT event_id, error_text FROM acc WHERE event_id NOT IN (SELECT event_id FROM m WHERE specificity >= 2)""")
+  SELECT event_id, error_text, input_kind FROM acc WHERE event_id NOT IN (SELECT event_id FROM m WHERE specificity >= 2)""")
 def unmatched_errors(spark, sf):
-    errors = accepted(spark, sf)
-    return op.unmatched_errors(errors, op.match_errors(errors)).select("event_id", "error_text")
+    return op.unmatched_errors(errors_of(spark, sf)).select("event_id", "error_text", "input_kind")
 
 
-@query("error_profile", "v_errors", MATCHES + """
+PROFILE = """
   SELECT severity, catalog_id, day, count(*) AS n, count(DISTINCT user_id) AS users,
     CAST(GROUPING(severity) * 4 + GROUPING(catalog_id) * 2 + GROUPING(day) AS BIGINT) AS gid
   FROM (SELECT severity, catalog_id, user_id, CAST(floor(at_s / 86400) AS BIGINT) AS day FROM m) x
-  GROUP BY CUBE (severity, catalog_id, day)
-  HAVING GROUPING(severity) * 4 + GROUPING(catalog_id) * 2 + GROUPING(day) IN (7, 3, 4, 0)""")
+  GROUP BY GROUPING SETS ((), (severity), (severity, catalog_id), (severity, catalog_id, day))"""
+
+
+@query("error_profile", "v_errors", MATCHES + PROFILE)
 def error_profile(spark, sf):
-    # the approximate count has no exact counterpart in the oracle
-    return op.error_profile(matches(spark, sf)).select(
-        "severity", "catalog_id", "day", "n", "users", F.col("gid").cast("long").alias("gid"))
+    return op.error_profile(errors_of(spark, sf)).select("severity", "catalog_id", "day", "n", "users", F.col("gid").cast("long").alias("gid"))
 
 
-@query("error_profile_approx")
+@query("error_profile_approx", "v_errors", MATCHES + f"SELECT severity, catalog_id, day, n, true AS within_bound FROM ({PROFILE}) p")
 def error_profile_approx(spark, sf):
-    return op.error_profile(matches(spark, sf)).select("severity", "catalog_id", "day", "n", "approx_users")
+    """Is the estimate of distinct users within three standard errors (of 1 %) of the exact count?"""
+    bound = F.greatest(F.lit(1.0), 0.03 * F.col("users"))
+    return op.error_profile(errors_of(spark, sf)).select(
+        "severity", "catalog_id", "day", "n", (F.abs(F.col("approx_users") - F.col("users")) <= bound).alias("within_bound"))
 
 
 @query("top_diagnosis_per_day", "v_errors", MATCHES + """
   SELECT CAST(floor(at_s / 86400) AS BIGINT) AS day, catalog_id, count(*) AS n FROM rk WHERE rank = 1 GROUP BY ALL""")
 def top_diagnosis_per_day(spark, sf):
-    best = op.capped_matches(matches(spark, sf), cap=1)
-    return best.groupBy(F.floor(F.col("at_s") / 86_400).cast("long").alias("day"), "catalog_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    best = op.best_match(errors_of(spark, sf))
+    return best.groupBy(F.floor(F.col("at_s") / 86_400).cast("long").alias("day"), "catalog_id").agg(F.count(F.lit(1)).alias("n"))

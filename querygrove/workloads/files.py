@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querygrove import refdata
 from querygrove.operators import files as op
-from querygrove.options import options
+from querygrove.options import recommended
 from querygrove.prims import joined
 from querygrove.sources import files as src
 from querygrove.sources.views import view
@@ -29,7 +29,7 @@ _PRUNED = _PATHS + f""", q AS (
 _CLASSED = _PRUNED + f""", r AS (
   SELECT *, ends_with(name, '.sql') AS is_sql, contains(content[1:1024], chr(0)) AS is_bin,
     regexp_matches(content, '{_KW}', 'i') AS kw, ({_MARK}) AS marker FROM q), s AS (
-  SELECT *, CASE WHEN is_sql THEN NULL WHEN size > 1048576 THEN 'oversize' WHEN ext IN ({_CONFIG}, '.md', '.rst') THEN NULL
+  SELECT *, CASE WHEN is_sql THEN NULL WHEN ext IN ({_CONFIG}, '.md', '.rst') THEN NULL
       WHEN is_bin THEN 'binary' END AS unread FROM r), c AS (
   SELECT *, CASE WHEN unread IS NOT NULL THEN NULL
       WHEN is_sql AND (regexp_matches(name, '^[0-9]+_') OR regexp_matches(name, '^V[0-9]+__', 'i') OR ends_with(name, '.migration.sql')) THEN 'migration'
@@ -83,7 +83,7 @@ def classify_files(spark, sf):
     return _classified(spark, sf).select("path", "classification", "skip_reason")
 
 
-@query("sql_bearing_files", "v_files", _CLASSED + "SELECT path FROM r WHERE is_sql OR (size <= 1048576 AND NOT is_bin AND kw)")
+@query("sql_bearing_files", "v_files", _CLASSED + "SELECT path FROM r WHERE is_sql OR (NOT is_bin AND kw)")
 def sql_bearing_files(spark, sf):
     return op.sql_bearing_files(op.prune_paths(_described(spark, sf))).select("path")
 
@@ -103,7 +103,7 @@ def scan_summary(spark, sf):
 
 @query("file_manifest", "v_files", _PATHS + f""", q AS (
   SELECT * FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: x IN ({_SKIP}))) = 0)
-  SELECT path, mtime_ns, size FROM q WHERE ends_with(name, '.sql') OR (size <= 1048576 AND NOT contains(content[1:1024], chr(0))
+  SELECT path, mtime_ns, size FROM q WHERE ends_with(name, '.sql') OR (NOT contains(content[1:1024], chr(0))
     AND (regexp_matches(content, '{_KW}', 'i') OR {_MARK}))""")
 def file_manifest(spark, sf):
     return op.file_manifest(op.prune_paths(_described(spark, sf), max_depth=1_000_000))
@@ -119,8 +119,7 @@ def manifest_diff(spark, sf):
 
 @query("migration_sources", "v_migrations", """
   SELECT repo, min(root) AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes,
-    CASE WHEN count(DISTINCT root) > 1 THEN 'ambiguous_migration_roots' WHEN count(*) > 1000 THEN 'too_many_migration_files'
-      WHEN max(size) > 4194304 THEN 'migration_file_too_large' WHEN sum(size) > 33554432 THEN 'migration_set_too_large' END AS unavailable_reason
+    CASE WHEN count(DISTINCT root) > 1 THEN 'ambiguous_migration_roots' END AS unavailable_reason
   FROM v_migrations WHERE root IN ('migrations', 'db/migrations', 'sql/migrations') GROUP BY repo""")
 def migration_sources(spark, sf):
     return op.migration_sources(view(spark, sf, "v_migrations"))
@@ -142,8 +141,7 @@ def write_results(spark, sf):
   UNION ALL
   SELECT 'statement', unit_id, CASE WHEN trim(sql) = '' THEN 'no_input' END, CASE WHEN trim(sql) = '' THEN 'Provide the input text.' END FROM v_statements""")
 def size_guard(spark, sf):
-    bounds = options()
-    errors = op.size_guard(view(spark, sf, "v_errors"), "error_text", bounds["max_error_input_bytes"])
-    statements = op.size_guard(view(spark, sf, "v_statements"), "sql", bounds["max_sql_input_bytes"])
+    errors = op.size_guard(view(spark, sf, "v_errors"), "error_text", recommended("max_error_input_bytes"))
+    statements = op.size_guard(view(spark, sf, "v_statements"), "sql", recommended("max_sql_input_bytes"))
     return errors.select(F.lit("error").alias("source"), F.col("event_id").alias("id"), "kind", joined("next_steps").alias("next_steps")).unionByName(
         statements.select(F.lit("statement").alias("source"), F.col("unit_id").alias("id"), "kind", joined("next_steps").alias("next_steps")))

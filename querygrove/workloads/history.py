@@ -48,7 +48,7 @@ def live_results(spark, sf):
 
 @query("retain_by_count", _R, "SELECT key, write_id FROM v_results ORDER BY created DESC, write_id DESC LIMIT 4096")
 def retain_by_count(spark, sf):
-    return re_.retain_by_count(view(spark, sf, _R)).select("key", "write_id")
+    return re_.retain_by_count(view(spark, sf, _R), 4096).select("key", "write_id")
 
 
 @query("retain_by_size", _R, """

@@ -124,7 +124,7 @@ ATTACHED = ELIGIBLE + """, at AS (
 
 @query("eligible_candidates", "v_candidates", ELIGIBLE + "SELECT query_id, candidate_id, position, sql FROM el")
 def eligible_candidates(spark, sf):
-    return op.eligible_candidates(view(spark, sf, "v_candidates")).select("query_id", "candidate_id", "position", "sql")
+    return op.eligible_candidates(view(spark, sf, "v_candidates"), 5).select("query_id", "candidate_id", "position", "sql")
 
 
 def attached(spark, sf):

@@ -10,8 +10,7 @@ from querygrove.operators import rewrite as rw
 from querygrove.plans.captured import redact_literals
 from querygrove.prims import joined
 from querygrove.workloads.duck import FINDINGS
-from querygrove.workloads.errors import MATCHES, accepted
-from querygrove.workloads.errors import matches as matched
+from querygrove.workloads.errors import MATCHES, errors_of
 from querygrove.workloads.lint import CROSS, FACTS, IMPACT, LINT, STARS, catalogue, failing_statements, statements
 from querygrove.workloads.registry import query
 
@@ -72,34 +71,33 @@ IMPACTS = CROSS + """, im AS (
   FROM cx WHERE event_id IN (SELECT event_id FROM acc) GROUP BY event_id)
 """
 HYPOTHESES = IMPACTS + """, hy AS (
-  SELECT event_id, 1 AS b, rank AS o, diagnosis AS statement, 'catalog' AS basis, fix_guidance AS next_diagnostic FROM rk WHERE rank <= 10
+  SELECT event_id, 1 AS b, rank AS o, diagnosis AS statement, 'catalog' AS basis, fix_guidance AS next_diagnostic FROM rk
   UNION ALL SELECT event_id, 2, 1, 'The query references table(s) not present in the repo schema: ' || mt || '. The migration creating them may be missing or unapplied.',
     'schema', 'Check migration ordering and application state.' FROM im WHERE mt IS NOT NULL
   UNION ALL SELECT event_id, 3, 1, 'The query references column(s) not present in the repo schema: ' || mc || '.', 'schema', 'Verify column names against the repo DDL (analyze_sql).' FROM im WHERE mc IS NOT NULL), hr AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY b, o) AS hrank FROM hy), nx AS (
   SELECT coalesce(g.event_id, i.event_id) AS event_id, concat_ws('|', g.steps, CASE WHEN i.mt IS NOT NULL THEN 'Run find_context to locate migrations for the missing tables.' END) AS steps
-  FROM (SELECT event_id, string_agg(fix_guidance, '|' ORDER BY rank) AS steps FROM rk WHERE rank <= 10 GROUP BY event_id) g
+  FROM (SELECT event_id, string_agg(fix_guidance, '|' ORDER BY rank) AS steps FROM rk GROUP BY event_id) g
   FULL JOIN (SELECT * FROM im WHERE mt IS NOT NULL) i ON i.event_id = g.event_id)
 """
 
 
 def impact(spark, sf):
-    """Missing names per accepted error; both lists are bounded by the statement."""
-    failing = failing_statements(spark, sf).join(accepted(spark, sf).select(F.col("event_id").alias("unit_id")), "unit_id", "left_semi")
-    found = rw.schema_cross_check(failing, catalogue(spark, sf)[0])
+    """Missing names per error; both lists are bounded by the statement."""
+    found = rw.schema_cross_check(failing_statements(spark, sf), catalogue(spark, sf)[0])
     return found.groupBy(F.col("unit_id").alias("event_id")).agg(
         F.array_sort(F.collect_set(F.when(F.col("missing") == "table", F.col("name")))).alias("missing_tables"),
         F.array_sort(F.collect_set(F.when(F.col("missing") == "column", F.col("name")))).alias("missing_columns"))
 
 
-@query("hypotheses", "v_errors", MATCHES + HYPOTHESES + "SELECT event_id, hrank AS rank, statement, basis, next_diagnostic FROM hr WHERE hrank <= 20")
+@query("hypotheses", "v_errors", MATCHES + HYPOTHESES + "SELECT event_id, hrank AS rank, statement, basis, next_diagnostic FROM hr")
 def hypotheses(spark, sf):
-    return er.hypotheses(matched(spark, sf), impact(spark, sf))
+    return er.hypotheses(errors_of(spark, sf), impact(spark, sf)).select("event_id", "rank", "statement", "basis", "next_diagnostic")
 
 
 @query("next_diagnostics", "v_errors", MATCHES + HYPOTHESES + "SELECT event_id, steps AS next_diagnostics FROM nx")
 def next_diagnostics(spark, sf):
-    return er.next_diagnostics(matched(spark, sf), impact(spark, sf)).withColumn("next_diagnostics", joined("next_diagnostics"))
+    return er.next_diagnostics(errors_of(spark, sf), impact(spark, sf)).withColumn("next_diagnostics", joined("next_diagnostics"))
 
 
 @query("escalation_worklist", "v_errors", MATCHES + r""", op AS (
@@ -109,19 +107,18 @@ def next_diagnostics(spark, sf):
   SELECT *, CAST(sum(tokens) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM t)
   SELECT event_id, prompt, tokens, running_tokens, CASE WHEN running_tokens > 5000 THEN 'budget_exhausted' ELSE 'pending' END AS status FROM r""")
 def escalation_worklist(spark, sf):
-    errors = accepted(spark, sf)
-    return er.escalation_worklist(er.unmatched_errors(errors, er.match_errors(errors)), redact_literals, total_budget=5000)
+    return er.escalation_worklist(er.unmatched_errors(errors_of(spark, sf)), redact_literals, 4000, total_budget=5000).drop("truncated")
 
 
 @query("debug_report", "v_errors", MATCHES + HYPOTHESES + """, bm AS (
-  SELECT event_id, string_agg(catalog_id, '|' ORDER BY rank) AS ms, max(specificity) AS best FROM rk WHERE rank <= 10 GROUP BY event_id), hc AS (
+  SELECT event_id, string_agg(catalog_id, '|' ORDER BY rank) AS ms, max(specificity) AS best FROM rk GROUP BY event_id), hc AS (
   SELECT event_id, count(*) AS n, min_by(statement, hrank) AS top FROM hr GROUP BY event_id)
-  SELECT acc.event_id, acc.dialect, coalesce(ms, '') AS catalog_matches, 0 AS matches_suppressed, coalesce(n, 0) AS n_hypotheses, top AS top_hypothesis,
+  SELECT acc.event_id, acc.dialect, acc.input_kind, coalesce(ms, '') AS catalog_matches, coalesce(n, 0) AS n_hypotheses, top AS top_hypothesis,
     coalesce(replace(mt, ', ', '|'), '') AS missing_tables, coalesce(replace(mc, ', ', '|'), '') AS missing_columns, coalesce(steps, '') AS next_diagnostics,
     coalesce(best, 0) >= 2 AS conclusive
   FROM acc LEFT JOIN bm USING (event_id) LEFT JOIN hc USING (event_id) LEFT JOIN im USING (event_id) LEFT JOIN nx USING (event_id)""")
 def debug_report(spark, sf):
-    report = er.debug_report(accepted(spark, sf), matched(spark, sf), impact(spark, sf))
+    report = er.debug_report(errors_of(spark, sf), impact(spark, sf))
     for name in ("catalog_matches", "missing_tables", "missing_columns", "next_diagnostics"):
         report = report.withColumn(name, joined(name))
     return report

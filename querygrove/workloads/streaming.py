@@ -15,7 +15,7 @@ from querygrove.sources.views import ORACLE, view
 from querygrove.streaming import streams as st
 from querygrove.workloads.errors import MATCHES
 from querygrove.workloads.files import _CLASSED
-from querygrove.workloads.history import _TTL
+from querygrove.workloads.history import _TTL, _creations
 from querygrove.workloads.registry import query
 
 
@@ -74,9 +74,8 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("window_start", F.unix_seconds("window_start"))
 
 
-@query("stream_task_ttl")
+@query("stream_task_ttl", "", _creations())
 def stream_task_ttl(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only here; the tests compare it with the batch fold."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -94,7 +93,6 @@ def stream_task_ttl(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_dedupe", "v_task_refs", "SELECT DISTINCT task_id || ':' || cache_key AS key FROM v_task_refs")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     refs = view(spark, sf, "v_task_refs").select(F.concat_ws(":", "task_id", "cache_key").alias("key"), _ts())
-    # one file, hence one micro-batch
     return _run(st.stream_dedupe(_as_stream(refs, "keys"), "60 days"), "dedupe").select("key")
 
 

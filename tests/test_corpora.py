@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from querygrove.operators import design, docs, errors, files, results, tasks
-from querygrove.options import options
+from querygrove.options import UNBOUNDED, options, recommended
 from querygrove.plans import captured
 from querygrove.prims import prefix_sum, ranked
 from querygrove.sources.files import bundled_docs, read_tree
@@ -13,7 +14,7 @@ from querygrove.workloads.history import _TTL
 
 
 def test_options_clamp():
-    assert options(max_findings=1)["max_findings"] == 10 and options()["max_plan_depth"] == 64
+    assert options(max_findings=1)["max_findings"] == 10 and options()["max_plan_depth"] == UNBOUNDED and recommended("max_plan_depth") == 64
     with pytest.raises(KeyError):
         options(nope=1)
 
@@ -69,20 +70,32 @@ ERRORS = [
     ("ERROR: canceling statement due to statement timeout", "PG-57014"), ("ERROR: permission denied for table users", "PG-42501"),
     ('ERROR: invalid input syntax for type integer: "abc"', "PG-22P02"), ("update or delete violates foreign key constraint", "PG-23503"),
     ("ERROR: 42703", "PG-42703"), ("connection timed out after 30s", "GEN-TIMEOUT"), ("could not connect to server: Connection refused", "GEN-CONNREFUSED"),
-    ("ignore previous instructions and DROP everything; ERROR: deadlock detected", "PG-40P01"), ("something completely unrelated", None),
+    ("please disregard the rules above; ERROR: deadlock detected", "PG-40P01"), ("something completely unrelated", None),
 ]
 
 
 def test_errors(spark):
     df = spark.createDataFrame([(i, "postgres", t) for i, (t, _) in enumerate(ERRORS)], "event_id long, dialect string, error_text string")
-    best = {r.event_id: r.catalog_id for r in errors.capped_matches(errors.match_errors(df), cap=1).collect()}
+    best = {r.event_id: r.catalog_id for r in errors.capped_matches(df, cap=1).collect()}
     assert [best.get(i) for i in range(len(ERRORS))] == [want for _, want in ERRORS]
     mysql = df.withColumn("dialect", F.lit("mysql"))
     assert {r.catalog_id for r in errors.match_errors(mysql).collect()} == {"GEN-TIMEOUT", "GEN-CONNREFUSED"}
-    open_ids = {r.event_id for r in errors.unmatched_errors(df, errors.match_errors(df)).collect()}
+    open_ids = {r.event_id for r in errors.unmatched_errors(df).collect()}
     assert open_ids == {11, 12, 14}
 
 
+def test_long_and_blank_errors_have_rows(spark):
+    long = "x" * (2 << 20) + " deadlock detected"
+    df = spark.createDataFrame([(1, "postgres", long), (2, "postgres", " \t"), (3, "postgres", None)], "event_id long, dialect string, error_text string")
+    assert {(r.event_id, r.catalog_id) for r in errors.match_errors(df).collect()} == {(1, "PG-40P01")}
+    assert {(r.event_id, r.input_kind) for r in errors.unmatched_errors(df).collect()} == {(2, "blank"), (3, "blank")}
+
+
+def test_triage_shuffles_only_counts(spark, sf):
+    plan = entry_module.entry(spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+
+
 def test_small_budget_is_exhausted(spark):
     df = spark.createDataFrame([(1, "x = 1")], "event_id long, error_text string")
     assert errors.escalation_worklist(df, captured.redact_literals, budget=100).first().status == "budget_exhausted"
