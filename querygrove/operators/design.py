@@ -9,7 +9,7 @@ from querygrove import refdata
 from querygrove.operators.files import size_guard
 from querygrove.operators.security import findings
 from querygrove.options import options
-from querygrove.prims import broadcast_if_small, once
+from querygrove.prims import once
 
 _ENTITY = r"""(?iU)\b(?:table|entity|model|store|record)\s+(?:called\s+|named\s+)?["'`]?([A-Za-z][A-Za-z0-9_]*)["'`]?"""
 _NAME = r"^[a-z_][a-z0-9_]*$"
@@ -92,7 +92,7 @@ def withhold_unsafe_ddl(ddl: DataFrame, dialect: str = "postgres") -> tuple[Data
 
 def proposal_conflicts(tables: DataFrame, catalog: DataFrame) -> DataFrame:
     """Proposed tables the repository already has."""
-    known = broadcast_if_small(catalog.select("repo", F.col("tbl").alias("name")).distinct())
+    known = catalog.select("repo", F.col("tbl").alias("name")).distinct()
     return tables.join(known, ["repo", "name"]).select(
         "doc_id", "repo", "name",
         F.concat(F.lit("Proposed table '"), "name", F.lit("' already exists in the repo schema (source: repo-ddl).")).alias("risk"))

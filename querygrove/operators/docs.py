@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.options import options
-from querygrove.prims import broadcast_if_small, once, ranked, spread_by
+from querygrove.prims import once, ranked, spread_by
 
 _FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 _ENTRY = r"(?m)^[A-Za-z_][A-Za-z0-9_-]*:.*$"
@@ -89,11 +89,11 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def score_sections(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Score of every section that shares a token with a query.
 
-    While the queries are few enough to broadcast, the index stays partitioned
-    by section, the sums need no further shuffle and frequent tokens never
-    meet in one task. Many queries join by token, where AQE splits hot tokens.
+    While the queries are small enough for Spark to broadcast, the index stays
+    partitioned by section, the sums need no further shuffle and frequent tokens
+    never meet in one task. Larger ones join by token, where AQE splits hot tokens.
     """
-    hits = index.join(broadcast_if_small(query_tokens(queries)), "token")
+    hits = index.join(query_tokens(queries), "token")
     return hits.groupBy("source", "sec_no", "query_id").agg(
         F.sum(F.col("weight") * F.col("times")).cast("double").alias("score"), F.first("title").alias("title"))
 

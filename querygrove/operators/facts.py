@@ -30,14 +30,15 @@ def bare(token: Column) -> Column:
     return F.regexp_replace(token, '^["`]|["`]$', "")
 
 
-def statement_tokens(statements: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Classified token rows of well-formed statements.
+def statement_tokens(statements: DataFrame, keep: Sequence[str] = (), only: Column | None = None) -> DataFrame:
+    """Classified token rows of well-formed statements; with ``only``, of those whose profile passes that test.
 
     Adds ``stmt_kind``, ``paren_root``, ``nested`` (has a subquery) and the
     flags of ``classified``.
     """
     opaque = ("explain", "command", "txn", "grant", "copy", "execute")
     ready = lexing.with_profile(statements).filter(F.col("problem").isNull() & ~F.col("kind").isin(*opaque))
+    ready = ready if only is None else ready.filter(only)
     rows = lexing.token_rows(
         ready.select(
             *KEYS, "sql", *keep, F.col("kind").alias("stmt_kind"), F.col("prof.parenthesised").alias("paren_root"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators import facts
-from querygrove.prims import broadcast_if_small, cut_lineage
+from querygrove.prims import cut_lineage
 
 KEYS = list(facts.KEYS)
 FIELDS = (*KEYS, "repo", "rule_id", "title", "severity", "evidence", "kind", "subject", "message")
@@ -26,10 +26,10 @@ def all_tokens(statements: DataFrame) -> DataFrame:
 
 
 def lint_tokens(statements: DataFrame) -> DataFrame:
-    """The same for the rules alone, which only look at SELECT statements."""
-    rows = facts.statement_tokens(statements, keep=("repo", "dialect")).filter(
-        (F.col("stmt_kind") == "select") & ~F.col("paren_root")
-        & (F.col("is_table") | F.col("is_column") | F.col("tok").isin("(", ")", "*") | F.col("word").isin(*refdata.CLAUSE_WORDS)))
+    """The same for the rules alone: of SELECT statements with a WHERE or a subquery, which are picked before they are cut into tokens."""
+    able = (F.col("kind") == "select") & ~F.col("prof.parenthesised") & F.col("mask").rlike(r" WHERE | \( (SELECT|WITH) ")
+    rows = facts.statement_tokens(statements, keep=("repo", "dialect"), only=able).filter(
+        (F.col("is_table") | F.col("is_column") | F.col("tok").isin("(", ")", "*") | F.col("word").isin(*refdata.CLAUSE_WORDS)))
     return cut_lineage(rows.drop("owner", "clause", "head", "head2", "is_name"))
 
 
@@ -120,7 +120,7 @@ def opt_003(rows: DataFrame, columns: DataFrame) -> DataFrame:
     typed = columns.withColumn("col_class", type_class(F.col("data_type"))).filter(F.col("col_class").isNotNull())
     hits = (
         comparisons(rows).filter(F.col("literal").isNotNull())
-        .join(broadcast_if_small(typed), ["repo", "col"])
+        .join(typed, ["repo", "col"])
         .withColumn("lit_class", literal_class(F.col("literal")))
         .filter(F.col("col_class") != F.col("lit_class"))
     )
@@ -164,7 +164,7 @@ def opt_004(rows: DataFrame, columns: DataFrame, indexes: DataFrame, warnings: D
     """
     support = index_support(columns, indexes, warnings).filter(F.col("support") != "usable")
     decided = (
-        comparisons(rows).join(broadcast_if_small(support), ["repo", "col"])
+        comparisons(rows).join(support, ["repo", "col"])
         .groupBy(*KEYS, "repo", "pos", "col").agg(F.min_by("support", "tbl_ord").alias("support"))
         .filter(F.col("support") == "unusable")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querygrove.functions import lexing
 from querygrove.operators import facts
-from querygrove.prims import broadcast_if_small, cut_lineage
+from querygrove.prims import cut_lineage
 
 KEYS = list(facts.KEYS)
 
@@ -43,9 +43,9 @@ def star_expansion(statements: DataFrame, columns: DataFrame, warnings: DataFram
         F.count_if(block & p1.isin("JOIN", ",", "LATERAL") & (F.col("clause") == "FROM")).alias("join_block"),
         F.collect_list(F.when(star, F.struct("pos", (p1 == ".").alias("qualified")))).alias("stars"),
     )
-    known = broadcast_if_small(_table_columns(columns))
-    warned = broadcast_if_small(warnings.select("repo", F.col("object_name").alias("tbl")).distinct().withColumn("_warned", F.lit(True)))
-    schemas = broadcast_if_small(columns.select("repo").distinct().withColumn("_schema", F.lit(True)))
+    known = _table_columns(columns)
+    warned = warnings.select("repo", F.col("object_name").alias("tbl")).distinct().withColumn("_warned", F.lit(True))
+    schemas = columns.select("repo").distinct().withColumn("_schema", F.lit(True))
     judged = per.join(known, ["repo", "tbl"], "left").join(warned, ["repo", "tbl"], "left").join(schemas, "repo", "left")
     reason = (
         F.when(F.col("_schema").isNull(), "schema unavailable")
@@ -85,7 +85,7 @@ def _spelled_out() -> Column:
 
 def _with_schema(df: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows of repositories that have a catalogue at all."""
-    return df.join(broadcast_if_small(columns.select("repo").distinct()), "repo", "left_semi")
+    return df.join(columns.select("repo").distinct(), "repo", "left_semi")
 
 
 def _references(statements: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,13 +107,13 @@ def schema_impact(statements: DataFrame, columns: DataFrame, rows: DataFrame | N
         tables, cols = _references(_with_schema(statements, columns))
     else:
         tables, cols = _references(statements, _with_schema(rows, columns))
-    known = broadcast_if_small(columns.select("repo", "tbl").distinct())
+    known = columns.select("repo", "tbl").distinct()
     missing_tables = tables.join(known, ["repo", "tbl"], "left_anti").select(
         *KEYS, F.lit("table").alias("missing"), F.col("tbl").alias("name")).distinct()
     present = tables.join(known, ["repo", "tbl"], "left_semi").select(*KEYS, "repo", "tbl").distinct()
     tested = cols.select(*KEYS, "qualifier", "col").distinct().join(present, KEYS).filter(
         F.col("qualifier").isNull() | (F.col("qualifier") == F.col("tbl")))
-    missing_columns = tested.join(broadcast_if_small(columns.select("repo", "tbl", "col")), ["repo", "tbl", "col"], "left_anti").select(
+    missing_columns = tested.join(columns.select("repo", "tbl", "col"), ["repo", "tbl", "col"], "left_anti").select(
         *KEYS, F.lit("column").alias("missing"), F.concat_ws(".", "tbl", "col").alias("name")).distinct()
     return missing_tables.unionByName(missing_columns)
 
@@ -125,12 +125,12 @@ def schema_cross_check(statements: DataFrame, columns: DataFrame) -> DataFrame:
     qualifier that is no known table (an alias) is skipped.
     """
     tables, cols = _references(_with_schema(statements, columns))
-    known = broadcast_if_small(columns.select("repo", "tbl").distinct())
+    known = columns.select("repo", "tbl").distinct()
     missing_tables = tables.join(known, ["repo", "tbl"], "left_anti").select(
         *KEYS, F.lit("table").alias("missing"), F.col("tbl").alias("name")).distinct()
     first = tables.join(known, ["repo", "tbl"], "left_semi").groupBy(*KEYS).agg(F.min_by("tbl", "pos").alias("first"))
     owned = cols.join(first, KEYS, "left").select(*KEYS, "repo", F.coalesce("qualifier", "first").alias("tbl"), "col").filter(
         F.col("tbl").isNotNull()).join(known, ["repo", "tbl"], "left_semi")
-    missing_columns = owned.join(broadcast_if_small(columns.select("repo", "tbl", "col")), ["repo", "tbl", "col"], "left_anti").select(
+    missing_columns = owned.join(columns.select("repo", "tbl", "col"), ["repo", "tbl", "col"], "left_anti").select(
         *KEYS, F.lit("column").alias("missing"), F.concat_ws(".", "tbl", "col").alias("name")).distinct()
     return missing_tables.unionByName(missing_columns)

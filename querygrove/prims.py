@@ -9,23 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest lookup side that is sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows of ``df``.
-
-    Past the bound the frame comes back unchanged, so that the join shuffles
-    and AQE can split its skewed partitions.
-    """
-    if df.isStreaming:
-        return df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A fixed rule table. Its size is the length of a constant in this package."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))

@@ -8,6 +8,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querygrove.operators.results import upsert_results
 from querygrove.prims import rule_table, shared_base
 
 BUNDLED_DOCS = ("planning.md", "security.md", "tuning.md")
@@ -42,13 +43,46 @@ def bundled_docs(spark: SparkSession) -> DataFrame:
     return rule_table(spark, rows, "source string, content string")
 
 
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions of a store, oldest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*")) or [])]
+    done = [p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{p.toString()}/_SUCCESS"))]
+    return sorted(done)
+
+
 def write_results(results: DataFrame, folder: str) -> None:
-    """Stores result rows, one folder per domain."""
-    results.write.mode("overwrite").partitionBy("domain").parquet(folder)
+    """Inserts or replaces results by key: nothing else in the store changes.
+
+    Each write is a new version of the store, which readers see once it is
+    complete; earlier versions stay until ``drop_old_versions``. One writer at a time.
+    """
+    spark = results.sparkSession
+    versions = _versions(spark, folder)
+    stored = read_version(spark, versions[-1]) if versions else results.limit(0)
+    number = int(versions[-1].rsplit("=", 1)[1]) + 1 if versions else 1
+    merged = upsert_results(stored.select(*results.columns), results)
+    merged.write.partitionBy("domain").parquet(f"{folder}/version={number:08d}")
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.withColumn("domain", F.col("domain").cast("string"))
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    """The latest complete version of a store."""
+    return read_version(spark, _versions(spark, folder)[-1])
+
+
+def drop_old_versions(spark: SparkSession, folder: str) -> None:
+    """Deletes all versions but the latest."""
+    jvm = spark.sparkContext._jvm
+    for path in _versions(spark, folder)[:-1]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

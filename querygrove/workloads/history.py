@@ -17,6 +17,14 @@ LATEST = """, up AS (
 """
 
 
+def accessed(spark, sf):
+    """The latest result of every key with the time of its last read or write."""
+    stored = view(spark, sf, _R)
+    latest = re_.upsert_results(stored, stored.limit(0))
+    reads = view(spark, sf, "v_task_refs").select(F.col("cache_key").alias("key"), "at_s")
+    return re_.last_access(latest, reads)
+
+
 @query("result_keys", "v_statements", """
   SELECT unit_id, sha256('dialect=' || dialect || '|domain=analysis|lint_ruleset_version=1|schema_hash=|schema_model_version=1|sql_hash=' || sha256(sql)) AS analysis_key,
     sha256('dialect=' || dialect || '|domain=security|files=|input_mode=sql|resolved_role=' || input_role || '|security_ruleset_version=1|sql_hash=' || sha256(sql)) AS security_key
@@ -51,11 +59,14 @@ def retain_by_count(spark, sf):
     return re_.retain_by_count(view(spark, sf, _R), 4096).select("key", "write_id")
 
 
-@query("retain_by_size", _R, """
-  SELECT key, write_id, running FROM (SELECT *, CAST(sum(size) OVER (ORDER BY created DESC, write_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v_results) x
-  WHERE running <= 500000000""")
+@query("retain_by_size", "v_results v_task_refs", LATEST + """, rd AS (
+  SELECT cache_key AS key, max(at_s) AS r FROM v_task_refs GROUP BY 1), la AS (
+  SELECT key, write_id, size, greatest(created, coalesce(r, created)) AS last_access FROM up LEFT JOIN rd USING (key))
+  SELECT key, write_id, running FROM (SELECT *, CAST(sum(size) OVER (ORDER BY last_access DESC, write_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM la) x
+  WHERE running <= 50000000""")
 def retain_by_size(spark, sf):
-    return re_.retain_by_size(view(spark, sf, _R), 500_000_000).select("key", "write_id", "running")
+    """The most recently read or written results that fit."""
+    return re_.retain_by_size(accessed(spark, sf), 50_000_000, "last_access").select("key", "write_id", "running")
 
 
 @query("reject_poisoned", _R, """
@@ -75,10 +86,7 @@ def upsert_results(spark, sf):
   SELECT cache_key AS key, max(at_s) AS r FROM v_task_refs GROUP BY 1)
   SELECT key, write_id, greatest(created, coalesce(r, created)) AS last_access FROM up LEFT JOIN rd USING (key)""")
 def last_access(spark, sf):
-    stored = view(spark, sf, _R)
-    latest = re_.upsert_results(stored, stored.limit(0))
-    reads = view(spark, sf, "v_task_refs").select(F.col("cache_key").alias("key"), "at_s")
-    return re_.last_access(latest, reads).select("key", "write_id", "last_access")
+    return accessed(spark, sf).select("key", "write_id", "last_access")
 
 
 @query("hit_rate", _R, f"""
