@@ -105,7 +105,7 @@ def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int |
     )
 
 
-def plan_bounds(nodes: DataFrame, max_nodes: int, key: str = "query_id") -> DataFrame:
+def plan_bounds(nodes: DataFrame, key: str = "query_id") -> DataFrame:
     """Kept and suppressed nodes per plan.
 
     Only cut roots count as suppressed: nodes that were left out below a kept

@@ -52,7 +52,7 @@ def plan_nodes(spark, sf):
   SELECT query_id, count(*) FILTER (kept) AS nodes, count(*) FILTER (NOT kept AND parent_kept) AS nodes_suppressed,
     bool_or(NOT kept AND parent_kept) AS truncated, NULL AS error FROM c GROUP BY query_id""")
 def plan_bounds(spark, sf):
-    return op.plan_bounds(nodes(spark, sf, max_nodes=4, max_depth=2), 4)
+    return op.plan_bounds(nodes(spark, sf, max_nodes=4, max_depth=2))
 
 
 @query("plan_conditions", _P, NODES + """

@@ -8,7 +8,7 @@ from querygrove.operators import design, docs, errors, files, results, tasks
 from querygrove.options import UNBOUNDED, options, recommended
 from querygrove.plans import captured
 from querygrove.prims import prefix_sum, ranked
-from querygrove.sources.files import bundled_docs, read_tree
+from querygrove.sources.files import bundled_docs, drop_old_versions, read_results, read_tree, write_results
 from querygrove.streaming import streams
 from querygrove.workloads.history import _TTL
 
@@ -127,11 +127,32 @@ def test_plan_bounds(spark):
     for _ in range(80):
         node = {"Node Type": "Nested Loop", "Plans": [node]}
     ok = captured.good_plans(plans(spark, [json.dumps([{"Plan": node}])]))
-    deep = captured.plan_bounds(captured.plan_nodes(ok), 500).first()
+    whole = captured.plan_bounds(captured.plan_nodes(ok)).first()
+    assert (whole.nodes, whole.nodes_suppressed, whole.truncated) == (81, 0, False)
+    deep = captured.plan_bounds(captured.plan_nodes(ok, max_depth=64)).first()
     assert (deep.nodes, deep.nodes_suppressed, deep.truncated) == (64, 1, True)
-    few = captured.plan_bounds(captured.plan_nodes(ok, max_nodes=5), 5).first()
+    few = captured.plan_bounds(captured.plan_nodes(ok, max_nodes=5)).first()
     assert (few.nodes, few.nodes_suppressed) == (5, 1)
-    assert captured.plan_bounds(captured.plan_nodes(ok, max_nodes=0), 0).first().error is not None
+    assert captured.plan_bounds(captured.plan_nodes(ok, max_nodes=0)).first().error is not None
+
+
+def test_wide_plans_are_whole(spark):
+    node = {"Node Type": "Append", "Plans": [{"Node Type": "Seq Scan", "Filter": "(a = '" + "x" * 3000 + "' AND b > 1)"} for _ in range(700)]}
+    nodes = captured.plan_nodes(captured.good_plans(plans(spark, [json.dumps([{"Plan": node}])])))
+    assert captured.plan_summary(nodes).first().node_count == 701
+    assert {r.expression for r in captured.plan_conditions(nodes).collect()} == {'(a = "<string>" AND b > "<number>")'}
+
+
+def test_store_is_upserted(spark, tmp_path):
+    schema = "key string, write_id long, domain string, value string, created long"
+    first = spark.createDataFrame([("a", 1, "scan", "1", 10), ("b", 2, "scan", "2", 10)], schema)
+    second = spark.createDataFrame([("b", 3, "debug", "3", 20), ("c", 4, "debug", "4", 20)], schema)
+    folder = f"{tmp_path}/store"
+    for part in (first, second):
+        write_results(part, folder)
+    for _ in range(2):
+        assert {(r.key, r.value, r.domain) for r in read_results(spark, folder).collect()} == {("a", "1", "scan"), ("b", "3", "debug"), ("c", "4", "debug")}
+        drop_old_versions(spark, folder)
 
 
 def test_redaction(spark):

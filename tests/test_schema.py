@@ -126,3 +126,10 @@ def test_rename_chains_match_a_fold(spark):
 def test_type_class(spark):
     df = spark.createDataFrame([("VARCHAR(50)",), (" Int ",), ("numeric(10, 2)",), ("uuid",)], "t string")
     assert [r[0] for r in df.select(li.type_class(F.col("t"))).collect()] == ["text", "integer", "numeric", None]
+
+
+def test_deep_lists_and_long_files(spark):
+    deep = "CREATE TABLE d (a INT CHECK (a > " + "(" * 12 + "1" + ")" * 12 + "), b TEXT DEFAULT 'x, (y', PRIMARY KEY (a))"
+    many = "CREATE TABLE m (id INT);" + "SELECT 1;" * 100_000 + "ALTER TABLE m ADD COLUMN late INT"
+    _, ev = events(spark, [("001_a.sql", deep), ("002_b.sql", many), ("003_c.sql", "ALTER TABLE m DROP COLUMN late")])
+    assert columns_of(ev) == {("d", "a"): "INT", ("d", "b"): "TEXT", ("m", "id"): "INT"}

@@ -122,6 +122,28 @@ def test_execute_calls(spark):
     assert {r.unit_id: r.safe for r in security.parameterized_files(df).collect()} == {"0": False, "1": True, "2": False, "3": False, "4": False}
 
 
+def test_execute_calls_over_several_lines(spark):
+    sources = ['cur.execute("""SELECT 1""")', 'cur.execute("""\nSELECT 1\n""", (x,))', "a = 1\ncur.execute(\n    'SELECT ' 'a\\'b',\n    (x,))",
+               'a = 1\n\ncur.execute(\n  f"""SELECT {x}\n""")\ncur.executemany(\n  sql, rows)', "cur.execute('''a''' + b)"]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(sources)], "unit_id string, content string")
+    got = {(r.unit_id, r.line_no, r.method) for r in security.dynamic_execute_calls(df).collect()}
+    assert got == {("3", 3, "execute"), ("3", 6, "executemany"), ("4", 1, "execute")}
+    assert {r.unit_id: r.safe for r in security.parameterized_files(df).collect()} == {"0": True, "1": True, "2": True, "3": False, "4": False}
+
+
+def test_dollar_quotes_and_nested_comments(spark):
+    body = "CREATE FUNCTION f() RETURNS int AS $$ BEGIN DELETE FROM users; UPDATE t SET a = 1; END $$ LANGUAGE plpgsql"
+    tagged = "SELECT $t$ it's; $$ -- here $t$, '$$;$$', a$b$c FROM x"
+    nested = "SELECT 1 /* a /* b; */ c; */ + 2"
+    parts = op.split_statements(statements(spark, [f"{body}; {tagged}; {nested}; SELECT $1"]).drop("stmt_idx")).orderBy("stmt_idx").collect()
+    assert [r.sql for r in parts] == [body, tagged, nested, "SELECT $1"]
+    got = [r[0] for r in statements(spark, [body, tagged, nested]).orderBy("unit_id").select(lexing.tokens(F.col("sql"))).collect()]
+    assert "$$ BEGIN DELETE FROM users; UPDATE t SET a = 1; END $$" in got[0]
+    assert got[1][:4] == ["SELECT", "$t$ it's; $$ -- here $t$", ",", "'$$;$$'"] and "a$b$c" in got[1] and got[2] == ["SELECT", "1", "+", "2"]
+    units = statements(spark, [body], role="migration").withColumnRenamed("sql", "content").drop("stmt_idx").withColumn("unit_id", F.col("unit_id").cast("string"))
+    assert not {"SEC-005", "SEC-006"} & {r.rule_id for r in security.findings(units).collect()}
+
+
 def test_security_and_user_rule(spark):
     units = statements(spark, ["DROP TABLE users", "DELETE FROM users", "SELECT 1", "UPDATE t SET a = (SELECT 1 WHERE true)"], role="migration")
     units = units.withColumnRenamed("sql", "content").drop("stmt_idx").withColumn("unit_id", F.col("unit_id").cast("string"))
