@@ -43,8 +43,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return byte_bpe.digests(byte_bpe.decode(ids, vocabulary))
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, decoded="decoded"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +74,38 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_quality_classifier": op3_quality_classifier, "op4_chat_format": op4_chat_format, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_minhash": op7_minhash, "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id, "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+#: A text as the hexadecimal digits of its bytes; strings of 200 bytes by digest; covered runs; what lies between them.
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 199 AS BIGINT))) AS i FROM d WHERE length(h) >= 400),
+g AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS k FROM p),
+c AS (SELECT doc_id, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM r GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS a, lo AS b FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), any_value(length(h) // 2) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+#: Shingle sets, links by counting shared shingles, and the reach of every document over links.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sh), n AS MATERIALIZED (SELECT doc_id, len(s) AS size FROM sh),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.size + ny.size - c)),
+links AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT doc_id, CAST(any_value(size) AS BIGINT) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_minhash": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
