@@ -78,11 +78,11 @@ def visited_nodes(plans: DataFrame, max_depth: int | None = None) -> DataFrame:
     return once(plans, _all=F.aggregate(F.sequence(F.lit(1), levels), start, descend)["seen"])
 
 
-def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """Node rows of good plans within the bounds, and the cut roots of what was left out.
+def plan_tree(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """``plans`` with ``_nodes``: their visited nodes in preorder, as an array inside the row.
 
-    ``kept`` is false for nodes that were visited and not kept. A node's place
-    in preorder is its rank among the visited nodes of its plan.
+    ``kept`` is false for nodes that were visited and are beyond a bound. A
+    node's place in preorder is its rank among the visited nodes of its plan.
     """
     df = visited_nodes(plans, max_depth)
     max_nodes = UNBOUNDED if max_nodes is None else max_nodes
@@ -90,37 +90,46 @@ def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int |
     # variants have no order: sort the paths and look the nodes up by their place
     paths = F.transform("_all", lambda e, i: F.struct(e["path"].alias("path"), i.alias("at")))
     df = once(df, _order=F.array_sort(paths))
-    order = F.transform("_order", lambda o: F.struct(o["path"].alias("path"), F.get(F.col("_all"), o["at"])["node"].alias("node")))
-    keep = [c for c in plans.columns if c not in ("plan_json", "doc", "error")]
-    rows = df.select(*keep, F.posexplode(order).alias("preorder", "e")).select(*keep, "preorder", "e.path", "e.node")
-    rows = rows.withColumn("depth", F.size("path") + 1).withColumn(
-        "kept", (F.col("preorder") < max_nodes) & (F.col("depth") <= max_depth))
-    node = F.col("node")
-    return rows.select(
-        *keep, "preorder", "path", "depth", "kept", "node",
-        F.coalesce(_text(node, "Node Type"), F.lit("Unknown")).alias("op"), _text(node, "Relation Name").alias("relation"),
-        _text(node, "Index Name").alias("index"), _number(node, "Startup Cost", "double").alias("startup_cost"),
-        _number(node, "Total Cost", "double").alias("total_cost"), _number(node, "Plan Rows", "double").cast("long").alias("n_rows"),
-        _number(node, "Plan Width", "double").cast("long").alias("width"),
-    )
+
+    def entry(o: Column, i: Column) -> Column:
+        node = F.get(F.col("_all"), o["at"])["node"]
+        depth = F.size(o["path"]) + 1
+        return F.struct(
+            i.alias("preorder"), o["path"].alias("path"), depth.alias("depth"), ((i < max_nodes) & (depth <= max_depth)).alias("kept"), node.alias("node"),
+            F.coalesce(_text(node, "Node Type"), F.lit("Unknown")).alias("op"), _text(node, "Relation Name").alias("relation"),
+            _text(node, "Index Name").alias("index"), _number(node, "Startup Cost", "double").alias("startup_cost"),
+            _number(node, "Total Cost", "double").alias("total_cost"), _number(node, "Plan Rows", "double").cast("long").alias("n_rows"),
+            _number(node, "Plan Width", "double").cast("long").alias("width"))
+
+    return once(df, _nodes=F.transform("_order", entry)).drop("_all", "_order")
+
+
+def _kept_columns(plans: DataFrame) -> list[str]:
+    return [c for c in plans.columns if c not in ("plan_json", "doc", "error")]
 
 
-def plan_bounds(nodes: DataFrame, key: str = "query_id") -> DataFrame:
-    """Kept and suppressed nodes per plan.
+def plan_nodes(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Node rows of good plans within the bounds, and the cut roots of what was left out."""
+    keep = _kept_columns(plans)
+    return plan_tree(plans, max_nodes, max_depth).select(*keep, F.explode("_nodes").alias("_n")).select(*keep, "_n.*")
+
+
+def plan_bounds(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Kept and suppressed nodes per plan, counted inside the row.
 
     Only cut roots count as suppressed: nodes that were left out below a kept
-    parent. Preorder ranks below the node bound have all their ancestors kept
-    unless the depth bound cut them, so the parent test is about its rank.
+    parent. In preorder a node's parent is the last node one level up.
     """
-    parents = nodes.select(key, F.col("path").alias("parent"), F.col("kept").alias("_parent_kept"))
-    child = nodes.withColumn("parent", F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1)))
-    joined = child.join(parents, [key, "parent"], "left")
-    cut = ~F.col("kept") & F.coalesce("_parent_kept", F.lit(True))
-    return joined.groupBy(key).agg(
-        F.count_if(F.col("kept")).alias("nodes"), F.count_if(cut).alias("nodes_suppressed"),
-        F.bool_or(cut).alias("truncated"),
-        F.when(F.bool_or((F.size("path") == 0) & ~F.col("kept")), "plan root suppressed by bounds").alias("error"),
-    )
+    def step(acc: Column, n: Column) -> Column:
+        parent_kept = F.coalesce(F.get(acc["above"], n["depth"] - 2), F.lit(True))
+        above = F.concat(F.slice(acc["above"], 1, n["depth"] - 1), F.array(n["kept"]))
+        return F.struct(above.alias("above"), (acc["cut"] + F.when(~n["kept"] & parent_kept, 1).otherwise(0)).alias("cut"))
+
+    start = F.struct(F.array().cast("array<boolean>").alias("above"), F.lit(0).alias("cut"))
+    tree = once(plan_tree(plans, max_nodes, max_depth), _cut=F.aggregate("_nodes", start, step)["cut"].cast("long"))
+    return tree.select(
+        *_kept_columns(plans), F.size(F.filter("_nodes", lambda n: n["kept"])).cast("long").alias("nodes"), F.col("_cut").alias("nodes_suppressed"),
+        (F.col("_cut") > 0).alias("truncated"), F.when(~F.get("_nodes", F.lit(0))["kept"], "plan root suppressed by bounds").alias("error"))
 
 
 _NUMBER = r"(?<![\p{L}\p{N}_$.])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
@@ -175,20 +184,20 @@ def planning_time(doc: Column) -> Column:
     return _number(doc, "Planning Time", "double")
 
 
-def plan_summary(nodes: DataFrame, key: str = "query_id") -> DataFrame:
-    """Root, node count, scans and joins in preorder per plan (at most the node bound)."""
-    kept = nodes.filter("kept")
-    scan = F.contains("op", F.lit("Scan"))
-    join = F.contains("op", F.lit("Join")) | (F.col("op") == "Nested Loop")
+def plan_summary(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Root, node count, scans and joins in preorder per plan, read inside the row; and whether a bound cut nodes."""
+    tree = once(plan_tree(plans, max_nodes, max_depth), _kept=F.filter("_nodes", lambda n: n["kept"]))
+    root = F.get("_kept", F.lit(0))
 
-    def in_order(test: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("preorder", "op")))), lambda x: x["op"])
+    def ops(test) -> Column:
+        return F.transform(F.filter("_kept", lambda n: test(n["op"])), lambda n: n["op"])
 
-    return kept.groupBy(key).agg(
-        F.min_by("op", "preorder").alias("root_op"), F.min_by("relation", "preorder").alias("root_relation"),
-        F.min_by("total_cost", "preorder").alias("root_total_cost"), F.min_by("n_rows", "preorder").alias("root_rows"),
-        F.count(F.lit(1)).alias("node_count"), in_order(scan).alias("scan_ops"), in_order(join).alias("join_ops"),
-    )
+    return tree.filter(F.size("_kept") > 0).select(
+        *_kept_columns(plans), root["op"].alias("root_op"), root["relation"].alias("root_relation"), root["total_cost"].alias("root_total_cost"),
+        root["n_rows"].alias("root_rows"), F.size("_kept").cast("long").alias("node_count"),
+        ops(lambda op: F.contains(op, F.lit("Scan"))).alias("scan_ops"),
+        ops(lambda op: F.contains(op, F.lit("Join")) | (op == "Nested Loop")).alias("join_ops"),
+        (F.size("_kept") < F.size("_nodes")).alias("truncated"))
 
 
 def plan_delta(pairs: DataFrame) -> DataFrame:
@@ -212,9 +221,9 @@ def eligible_candidates(candidates: DataFrame, cap: int | None = None) -> DataFr
     return ranked(admitted, ["query_id"], [F.col("candidate_id")], cap, "position")
 
 
-def attach_plan_evidence(candidates: DataFrame, originals: DataFrame) -> DataFrame:
-    """Candidates with the delta of their own plan, joined by candidate id, never re-ranked."""
-    eligible = eligible_candidates(candidates).select("query_id", "candidate_id", F.lit(True).alias("_eligible"))
+def attach_plan_evidence(candidates: DataFrame, originals: DataFrame, cap: int | None = None) -> DataFrame:
+    """Candidates with the delta of their own plan, joined by candidate id, never re-ranked; ``cap`` bounds the explained ones per query."""
+    eligible = eligible_candidates(candidates, cap).select("query_id", "candidate_id", F.lit(True).alias("_eligible"))
     pairs = candidates.join(eligible, ["query_id", "candidate_id"], "left").join(
         originals.select("query_id", "original_cost", "original_rows"), "query_id", "left")
     planned = F.col("_eligible") & F.col("failure").isNull() & F.col("original_cost").isNotNull()
@@ -258,12 +267,9 @@ LIMITATIONS = (
 
 def plan_report(plans: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Summary per captured plan; a plan that cannot be read is a row with its error."""
-    read = plan_ingest(plans)
-    good = read.filter(F.col("error").isNull())
-    summary = plan_summary(plan_nodes(good, max_nodes))
-    heads = plan_settings(good).select(
-        "query_id", planning_time(F.col("doc")).alias("planning_time_ms"), "settings", F.sha2("plan_json", 256).alias("fingerprint"))
-    fine = heads.join(summary, "query_id").withColumn("error", F.lit(None).cast("string")).withColumn(
+    read = plan_ingest(plans).withColumn("fingerprint", F.sha2("plan_json", 256))
+    good = plan_settings(read.filter(F.col("error").isNull()).withColumn("planning_time_ms", planning_time(F.col("doc"))))
+    fine = plan_summary(good, max_nodes).withColumn("error", F.lit(None).cast("string")).withColumn(
         "limitations", F.array(*[F.lit(t) for t in LIMITATIONS]))
-    bad = read.filter(F.col("error").isNotNull()).select("query_id", "error", F.sha2("plan_json", 256).alias("fingerprint"))
+    bad = read.filter(F.col("error").isNotNull()).select("query_id", "error", "fingerprint")
     return fine.unionByName(bad, allowMissingColumns=True)

@@ -52,7 +52,8 @@ def plan_nodes(spark, sf):
   SELECT query_id, count(*) FILTER (kept) AS nodes, count(*) FILTER (NOT kept AND parent_kept) AS nodes_suppressed,
     bool_or(NOT kept AND parent_kept) AS truncated, NULL AS error FROM c GROUP BY query_id""")
 def plan_bounds(spark, sf):
-    return op.plan_bounds(nodes(spark, sf, max_nodes=4, max_depth=2))
+    return op.plan_bounds(good(spark, sf), max_nodes=4, max_depth=2).select(
+        "query_id", "nodes", "nodes_suppressed", "truncated", "error")
 
 
 @query("plan_conditions", _P, NODES + """
@@ -88,7 +89,7 @@ SUMMARY = NODES + """, sm AS (
 
 @query("plan_summary", _P, SUMMARY + "SELECT * FROM sm")
 def plan_summary(spark, sf):
-    return op.plan_summary(nodes(spark, sf)).withColumn("scan_ops", joined("scan_ops")).withColumn("join_ops", joined("join_ops"))
+    return op.plan_summary(good(spark, sf)).drop("truncated").withColumn("scan_ops", joined("scan_ops")).withColumn("join_ops", joined("join_ops"))
 
 
 DELTA = """, dl AS (
@@ -128,7 +129,7 @@ def eligible_candidates(spark, sf):
 
 
 def attached(spark, sf):
-    return op.attach_plan_evidence(view(spark, sf, "v_candidates"), view(spark, sf, "v_plan_pairs"))
+    return op.attach_plan_evidence(view(spark, sf, "v_candidates"), view(spark, sf, "v_plan_pairs"), 5)
 
 
 @query("attach_plan_evidence", "v_candidates v_plan_pairs", ATTACHED + """

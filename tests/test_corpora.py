@@ -117,7 +117,7 @@ def test_plan_shapes(spark):
     assert [(r.op, r.depth, r.total_cost) for r in nodes.orderBy("preorder").collect()] == [
         ("Nested Loop", 1, 100.0), ("Seq Scan", 2, None), ("Index Scan", 2, None), ("Sort", 3, None)]
     assert captured.plan_settings(ok).first().settings == {"work_mem": "4MB"}
-    summary = captured.plan_summary(nodes).first()
+    summary = captured.plan_summary(ok).first()
     assert summary.node_count == 4 and summary.scan_ops == ["Seq Scan", "Index Scan"] and summary.join_ops == ["Nested Loop"]
     assert {(r.kind, r.expression) for r in captured.plan_conditions(nodes).collect()} == {("filter", '(a = "<number>")'), ("filter", '(b = "<string>")')}
 
@@ -127,19 +127,21 @@ def test_plan_bounds(spark):
     for _ in range(80):
         node = {"Node Type": "Nested Loop", "Plans": [node]}
     ok = captured.good_plans(plans(spark, [json.dumps([{"Plan": node}])]))
-    whole = captured.plan_bounds(captured.plan_nodes(ok)).first()
+    whole = captured.plan_bounds(ok).first()
     assert (whole.nodes, whole.nodes_suppressed, whole.truncated) == (81, 0, False)
-    deep = captured.plan_bounds(captured.plan_nodes(ok, max_depth=64)).first()
+    deep = captured.plan_bounds(ok, max_depth=64).first()
     assert (deep.nodes, deep.nodes_suppressed, deep.truncated) == (64, 1, True)
-    few = captured.plan_bounds(captured.plan_nodes(ok, max_nodes=5)).first()
+    few = captured.plan_bounds(ok, max_nodes=5).first()
     assert (few.nodes, few.nodes_suppressed) == (5, 1)
-    assert captured.plan_bounds(captured.plan_nodes(ok, max_nodes=0)).first().error is not None
+    assert captured.plan_bounds(ok, max_nodes=0).first().error is not None
 
 
 def test_wide_plans_are_whole(spark):
     node = {"Node Type": "Append", "Plans": [{"Node Type": "Seq Scan", "Filter": "(a = '" + "x" * 3000 + "' AND b > 1)"} for _ in range(700)]}
-    nodes = captured.plan_nodes(captured.good_plans(plans(spark, [json.dumps([{"Plan": node}])])))
-    assert captured.plan_summary(nodes).first().node_count == 701
+    good = captured.good_plans(plans(spark, [json.dumps([{"Plan": node}])]))
+    nodes = captured.plan_nodes(good)
+    assert captured.plan_summary(good).first().node_count == 701 and captured.plan_summary(good, max_nodes=500).first().truncated
+    assert "Exchange" not in captured.plan_summary(good)._jdf.queryExecution().executedPlan().toString()
     assert {r.expression for r in captured.plan_conditions(nodes).collect()} == {'(a = "<string>" AND b > "<number>")'}
 
 
