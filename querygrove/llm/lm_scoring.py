@@ -158,8 +158,10 @@ class WindowNetwork:
 def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float = 4.0) -> WindowNetwork:
     """Counts, a warm start, and one round of averaged training over all documents."""
     model = WindowNetwork.start(word_counts(docs))
-    known = docs.filter("text is not null").select("text")
-    warm = known.orderBy(F.xxhash64("text")).limit(warm_rows).toArrow().column("text").to_pylist()
+    # The first texts in hash order: hashes alone are sorted, and texts come once the last hash is known.
+    known = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = known.select("h").orderBy("h").limit(warm_rows).agg(F.max("h")).first()[0]
+    warm = known.filter(F.col("h") <= F.lit(last)).limit(warm_rows).toArrow().column("text").to_pylist() if last is not None else []
     for _ in range(warm_passes):
         for _, _, data, offsets in slices(pa.array(warm, pa.large_string())):
             model.train(*buckets(data, offsets), rate)
