@@ -321,11 +321,20 @@ def fk_graph(keys: DataFrame) -> DataFrame:
         "repo", "src", F.transform("_t", lambda t: t["ref_tbl"]).alias("targets"))
 
 
-def schema_fingerprint(migrations: DataFrame) -> DataFrame:
-    """Order-sensitive hash over the paths and contents of a repository's migrations."""
+def schema_fingerprint(migrations: DataFrame, block: int = 4096) -> DataFrame:
+    """Order-sensitive hash over the paths and contents of a repository's migrations.
+
+    Hashes of ``block`` consecutive files are hashed, and then those: no list
+    holds all files of a repository.
+    """
     part = F.concat_ws(":", "path", F.sha2("content", 256))
-    return migrations.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("file_ord", part.alias("part")))).alias("_p")).select(
-        "repo", F.sha2(F.array_join(F.transform("_p", lambda p: p["part"]), "|"), 256).alias("fingerprint"))
+    parts = migrations.select("repo", F.floor(F.col("file_ord") / block).alias("at"), "file_ord", part.alias("part"))
+
+    def folded(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(order, "part")))
+        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda p: p["part"]), "|"), 256).alias("part"))
+
+    return folded(folded(parts, ["repo", "at"], "file_ord"), ["repo"], "at").withColumnRenamed("part", "fingerprint")
 
 
 def catalogue_of(events: DataFrame) -> DataFrame:

@@ -166,7 +166,8 @@ def ddl_warnings(spark, sf):
 
 
 @query("schema_fingerprint", _M, ORDER + """
-  SELECT repo, sha256(string_agg(path || ':' || sha256(content), '|' ORDER BY file_ord)) AS fingerprint FROM gd GROUP BY repo""")
+  SELECT repo, sha256(string_agg(part, '|' ORDER BY blk)) AS fingerprint FROM (
+    SELECT repo, file_ord // 4096 AS blk, sha256(string_agg(path || ':' || sha256(content), '|' ORDER BY file_ord)) AS part FROM gd GROUP BY 1, 2) x GROUP BY repo""")
 def schema_fingerprint(spark, sf):
     return op.schema_fingerprint(op.ordered_migrations(migrations(spark, sf)))
 
