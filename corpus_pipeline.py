@@ -42,7 +42,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each text, their number, and the digests of ids and decoded bytes."""
     vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary), ["doc_id", "ids"])
+    return byte_bpe.digests(byte_bpe.encode(docs, vocabulary, decoded="decoded"), ["doc_id", "ids"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,8 +6,8 @@ is merged with a heap of adjacent pairs over a doubly linked list of bytes,
 lowest rank first, leftmost first among equals, in O(n log n) for any length.
 
 Texts are encoded in tasks, batch by batch, without a shuffle. The vocabulary
-tables travel as one broadcast; their size is that of the rank file. A worker
-keeps the ids of pre-tokens it has met, up to ``MEMO`` of them.
+tables travel as one broadcast; their size is that of the rank file. A task
+keeps the ids of pre-tokens it has met, up to ``MEMO`` + ``ONCE`` of them.
 
 Defined cases: a null text is empty and has no ids; malformed UTF-8 counts as
 U+FFFD; unknown and null ids decode to nothing; an empty table gives an empty
@@ -17,6 +17,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
@@ -30,10 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import byte_values, mix, prefix_hashes, slices, span_hashes
-
-MEMO = 600_000
-#: Ids that are decoded at a time.
-DECODED_IDS = 200_000
+from querygrove.llm.scratch import text_batches
+
+MEMO = 400_000
+#: Pre-tokens met once, which are kept if they come again.
+ONCE = 400_000
+RANK_BITS = 24
+#: Bytes of text encoded, and ids decoded, at a time.
+ENCODED_BYTES = 1 << 18
+DECODED_IDS = 100_000
 #: Longer pre-tokens are not kept.
 MEMO_BYTES = 48
 
@@ -100,8 +106,10 @@ class Vocabulary:
     pattern: str
     table: MinimalPerfectHash = field(init=False)
     by_slot: list[bytes] = field(init=False)
+    single: list[int | None] = field(init=False)
 
     def __post_init__(self) -> None:
+        self.single = [self.ranks.get(bytes([byte])) for byte in range(256)]
         keys = list(self.ranks)
         self.table = MinimalPerfectHash.build(keys)
         self.by_slot = [b""] * len(keys)
@@ -115,15 +123,26 @@ class Vocabulary:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         return cls(ranks, pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
+    def pairs(self) -> dict[int, int]:
+        """Rank of every pair of entries that together are an entry, keyed by both ranks."""
+        found, get = {}, self.ranks.get
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = get(token[:cut]), get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << RANK_BITS | right] = rank
+        return found
+
+    def merge(self, piece: bytes, pairs: dict[int, int]) -> list[int]:
         """Ids of one pre-token that is no vocabulary entry."""
-        get, n = self.ranks.get, len(piece)
+        get, n = pairs.get, len(piece)
         bits = n.bit_length()
         mask, above = (1 << bits) - 1, 2 * bits
-        end = list(range(1, n + 1))  # of the part that begins here; 0: merged into an earlier one
+        ids = [self.single[byte] for byte in piece]  # of the part that begins here
+        end = list(range(1, n + 1))  # of that part; 0: merged into an earlier one
         before = list(range(-1, n - 1))
         # A heap entry is one number: rank, begin and end of a pair of neighbours.
-        heap = [rank << above | i << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i:i + 2])) is not None]
+        heap = [rank << above | i << bits | i + 2 for i in range(n - 1) if (rank := get(ids[i] << RANK_BITS | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
@@ -131,25 +150,20 @@ class Vocabulary:
             middle = end[i]
             if not middle or middle == n or end[middle] != stop:
                 continue  # one of the two has changed since
-            end[i], end[middle] = stop, 0
+            end[i], end[middle], ids[i] = stop, 0, top >> above
             if stop < n:
                 before[stop] = i
-                rank = get(piece[i:end[stop]])
+                rank = get(ids[i] << RANK_BITS | ids[stop])
                 if rank is not None:
                     heappush(heap, rank << above | i << bits | end[stop])
             left = before[i]
             if left >= 0:
-                rank = get(piece[left:stop])
+                rank = get(ids[left] << RANK_BITS | ids[i])
                 if rank is not None:
                     heappush(heap, rank << above | left << bits | stop)
-        ranks = self.ranks
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:end[i]]])
-            i = end[i]
-        return out
-
-    def resolve(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        return [ids[i] for i in range(n) if end[i]]
+
+    def resolve(self, pieces: list[str], pairs: dict[int, int]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pre-tokens: one vectorised lookup for all, merges for the misses."""
         raw = [piece.encode("utf-8", "replace") for piece in pieces]
         found = {}
@@ -157,91 +171,127 @@ class Vocabulary:
             if self.ranks and self.by_slot[slot] == key:
                 found[piece] = (self.ranks[key],)
             else:
-                found[piece] = tuple(self.merge(key))
+                found[piece] = tuple(self.merge(key, pairs))
         return found
 
 
+#: The pattern of the public rank files, and the same for the standard library, which is faster. The two
+#: agree on text of Latin-1 characters other than LATIN_ODD, where their character classes differ.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+LATIN_ODD = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+
+
+def splitter(pattern: str):
+    """Splits a text into pre-tokens."""
+    general = regex.compile(pattern).findall
+    if pattern != PATTERN:
+        return general
+    latin = re.compile(LATIN_PATTERN).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text) if len(raw.translate(None, LATIN_ODD)) == len(raw) else general(text)
+
+    return split
+
+
 class Encoder:
-    """Encodes texts with a memory of pre-tokens that lives as long as the Python worker."""
+    """Encodes texts with a memory of pre-tokens, which a task gives up at its end.
+
+    A pre-token is kept for good when it comes a second time; those met once
+    are kept apart, as most of them never come again.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.split = regex.compile(vocabulary.pattern).findall
+        self.split = splitter(vocabulary.pattern)
+        self.pairs = vocabulary.pairs()
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.once: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        memo = self.memo
+        memo, once = self.memo, self.once
         if len(memo) > MEMO:
             memo.clear()
+        if len(once) > ONCE:
+            once.clear()
         split = [self.split(text) for text in texts]
-        missing = list(set().union(*split).difference(memo)) if split else []
-        extra = self.vocabulary.resolve(missing)
-        memo.update((k, v) for k, v in extra.items() if len(k) <= MEMO_BYTES)
-        long = {k: v for k, v in extra.items() if len(k) > MEMO_BYTES}
-        look = memo.__getitem__ if not long else (lambda piece: long.get(piece) or memo[piece])
-        return [list(chain.from_iterable(map(look, pieces))) for pieces in split]
-
-
-_ENCODERS: dict[int, Encoder] = {}
+        missing = set().union(*split).difference(memo) if split else set()
+        again = missing.intersection(once)
+        for piece in again:
+            memo[piece] = once.pop(piece)
+        extra = self.vocabulary.resolve(list(missing - again), self.pairs)
+        memo.update(extra)
+        look = memo.__getitem__
+        found = [list(chain.from_iterable(map(look, pieces))) for pieces in split]
+        for piece, ids in extra.items():
+            del memo[piece]
+            if len(piece) <= MEMO_BYTES:
+                once[piece] = ids
+        return found
 
 
-def _encoder(broadcast) -> Encoder:
-    if broadcast.value is not None and id(broadcast.value) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[id(broadcast.value)] = Encoder(broadcast.value)
-    return _ENCODERS[id(broadcast.value)]
+def _pieces(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of every id, and no bytes for all ids beyond."""
+    pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 2)
+    for token, rank in vocabulary.ranks.items():
+        pieces[rank] = token
+    return pieces
 
 
-def _blob(column: pa.Array) -> pa.Array:
-    return column.cast(pa.large_string() if pa.types.is_string(column.type) else column.type).cast(pa.large_binary())
+def _decoded(flat: np.ndarray, ends: np.ndarray, pieces: list[bytes]) -> pa.Array:
+    """The bytes of consecutive lists of ids."""
+    beyond = len(pieces) - 1
+    ids = np.where((flat < 0) | (flat > beyond), beyond, flat).tolist()
+    at = ends.tolist()
+    return pa.array([b"".join(map(pieces.__getitem__, ids[a:b])) for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``out``, the ids of each whole text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, out: str = "ids",
+           decoded: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``out``, the ids of each whole text; ``decoded`` names a column for the bytes they decode to."""
+    text_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)
+        pieces = _pieces(encoder.vocabulary) if decoded else []
         for batch in batches:
-            for low, high, data, offsets in slices(_blob(batch.column(text))):
+            for low, high, data, offsets in slices(batch.column(text), ENCODED_BYTES):
                 raw, at = data.tobytes(), offsets.tolist()
                 ids = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in keep], lists], names=[*keep, out])
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))] + ([_decoded(flat, ends, pieces)] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in keep], *made], names=[*keep, out, *([decoded] if decoded else [])])
 
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` array<int>"] + ([f"`{decoded}` binary"] if decoded else [])
+    return source.mapInArrow(run, ", ".join(fields))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for."""
-    size = max(vocabulary.ranks.values(), default=-1) + 1
-    pieces = [b""] * (size + 1)
-    for token, rank in vocabulary.ranks.items():
-        pieces[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
-    names = encoded.columns
+    text_batches(encoded.sparkSession)
+    shared, names = encoded.sparkSession.sparkContext.broadcast(vocabulary), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        pieces = _pieces(shared.value)
         for batch in batches:
             column = batch.column(ids)
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-            ends = np.concatenate(([0], np.cumsum(lengths)))
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)))))
             low = 0
             while low < len(column):
                 high = max(low + 1, int(np.searchsorted(ends, ends[low] + DECODED_IDS, "right")) - 1)
                 high = min(high, len(column))
-                flat = np.asarray(pc.fill_null(column.slice(low, high - low).flatten(), -1)).astype(np.int64)
-                flat = np.where((flat < 0) | (flat >= size), size, flat).tolist()
-                at = (ends[low:high + 1] - ends[low]).tolist()
-                found = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(at, at[1:], strict=False)]
-                part = [batch.column(c).slice(low, high - low) for c in names]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(found, pa.binary())], names=[*names, out])
+                flat = np.asarray(pc.fill_null(column.slice(low, high - low).flatten(), -1))
+                found = _decoded(flat, ends[low:high + 1] - ends[low], pieces)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in names], found], names=[*names, out])
                 low = high
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
