@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import SPACE, byte_values, owner, prefix_hashes, slices, span_hashes, spans
+from querygrove.llm.scratch import text_batches
 
 TERMS = 4096
 SKETCH = 56
@@ -80,7 +81,7 @@ def _counts(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     random, total, seen, passages = _random(), np.zeros((TERMS, SKETCH)), np.zeros(TERMS), 0
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column("text"), 1 << 19):
+        for _, _, data, offsets in slices(batch.column("text")):
             hashes, first = tokens(data, offsets)
             if len(hashes):
                 c = np.sqrt(_counts(hashes, first, PASSAGE))
@@ -210,7 +211,7 @@ def _search(space: Broadcast, blocks: list[Broadcast], cosine: float, share: flo
             for block in blocks:
                 items: Items = block.value
                 checkers: dict[int, _Checker] = {}
-                for low, _, data, offsets in slices(batch.column("text"), 1 << 19):
+                for low, _, data, offsets in slices(batch.column("text")):
                     hashes, first = tokens(data, offsets)
                     if not len(hashes):
                         continue
@@ -251,6 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.62, share: fl
     With ``own`` the row itself comes along as a struct.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     space = LatentSpace.fit(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

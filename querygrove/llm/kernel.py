@@ -14,7 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+#: A little under a power of two, so that a slice with its prefix sums stays within it.
+SLICE_BYTES = (1 << 18) - 64
+#: Powers kept for the next call.
+KEPT_POWERS = 1 << 19
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -43,14 +46,17 @@ def byte_values(seed: int, lower: bool = False) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, kept for the next call."""
-    if len(_POWERS["up"]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the hash base and of its inverse modulo 2**64; those of usual slices are kept for the next call."""
+    if len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    size, made = 1 << max(n - 1, 1).bit_length(), {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps)
+    if size <= KEPT_POWERS:
+        _POWERS.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def prefix_hashes(data: np.ndarray, values: np.ndarray) -> np.ndarray:

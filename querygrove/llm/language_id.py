@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import LOWER, mix, owner, slices
+from querygrove.llm.scratch import text_batches
 
 BUCKETS = 4096
 
@@ -122,6 +123,7 @@ def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(labelled: DataFrame, sample_rows: int = 2400, max_languages: int = 200) -> Model:
     """Fits a model on (doc_id, lang, text) rows, on at most ``sample_rows`` of them, an equal share per language."""
+    text_batches(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).count()
     if not found:
@@ -137,6 +139,7 @@ def fit(labelled: DataFrame, sample_rows: int = 2400, max_languages: int = 200)
 
 def predict(docs: DataFrame, model: Model, close: float = 0.15) -> DataFrame:
     """doc_id, lang_pred, score and whether the decision is ambiguous, for every row of ``docs`` (doc_id, text)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from querygrove.llm.components import components
 from querygrove.llm.kernel import byte_values, combine, mix, prefix_hashes, slices, span_hashes, words
-from querygrove.llm.scratch import written
+from querygrove.llm.scratch import text_batches, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 3
@@ -232,6 +232,7 @@ def _links_of(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = written(docs.mapInArrow(_describe, f"doc_id {kind}, n_shingles long, k1 long, k2 long, n_bytes long, bands array<long>"), "minhash-rows")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import SPACE, byte_values, combine, counts_of, owner, prefix_hashes, slices, span_hashes, spans, words
-from querygrove.llm.scratch import fresh, written
+from querygrove.llm.scratch import fresh, text_batches, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_punct", "n_stutter")
 #: Transformed statistics, their smallest standard deviation (statistics that are zero in most texts
@@ -114,6 +114,7 @@ def _count_batches(text: str, others: list[str]):
 
 def text_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, as ``_name``, the COUNTS of each whole text."""
+    text_batches(docs.sparkSession)
     keep = ["doc_id", "lang", "source"] if keep is None else keep
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
     fields = [source.schema[c] for c in keep]

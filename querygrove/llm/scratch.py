@@ -7,6 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 400
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small: Spark counts rows only, and its default of 10,000 texts can be a gigabyte.
+
+    A session that sets its own number keeps it.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import byte_values, mix, owner, powers, prefix_hashes, slices, span_hashes
-from querygrove.llm.scratch import remove, written
+from querygrove.llm.scratch import remove, text_batches, written
 
 LENGTH = 200
 PREFIX = 64
@@ -214,8 +214,8 @@ def _repeats_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new)
     low = 0
     while low < len(group):
-        # Whole groups of about 8192 pieces at a time.
-        high = int(np.searchsorted(group, group[min(low + 8192, len(group)) - 1], "right"))
+        # Whole groups of about 1024 pieces at a time.
+        high = int(np.searchsorted(group, group[min(low + 1024, len(group)) - 1], "right"))
         part = table.slice(low, high - low)
         ((_, _, data, offsets),) = slices(part.column("blob"), 1 << 60, 1 << 60)
         strings = (offsets[1:] - offsets[:-1]) - LENGTH + 1
@@ -316,6 +316,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """For every row of ``docs``: the row as struct ``own``, n_bytes, n_removed, the removed spans, and the remaining bytes ``kept``."""
+    text_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", _row_key().alias("row"), F.struct(*[c for c in docs.columns if c != "text"]).alias("own"))
     spans = written(repeated_spans(keyed.select("doc_id", "text", "row"), batches), "suffix-spans")
     bloom = Bloom(spans.select("row"), "row", 22)
