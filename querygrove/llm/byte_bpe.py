@@ -6,7 +6,7 @@ is merged with a heap of adjacent pairs over a doubly linked list of bytes,
 lowest rank first, leftmost first among equals, in O(n log n) for any length.
 
 Texts are encoded in tasks, batch by batch, without a shuffle. The vocabulary
-tables travel as one broadcast; their size is that of the rank file. A task
+tables travel as one broadcast; their size is that of the rank file. A worker
 keeps the ids of pre-tokens it has met, up to ``MEMO`` + ``ONCE`` of them.
 
 Defined cases: a null text is empty and has no ids; malformed UTF-8 counts as
@@ -200,7 +200,7 @@ def splitter(pattern: str):
 
 
 class Encoder:
-    """Encodes texts with a memory of pre-tokens, which a task gives up at its end.
+    """Encodes texts with a memory of pre-tokens that lives as long as the Python worker.
 
     A pre-token is kept for good when it comes a second time; those met once
     are kept apart, as most of them never come again.
@@ -235,6 +235,16 @@ class Encoder:
         return found
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(broadcast) -> Encoder:
+    if id(broadcast.value) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(broadcast.value)] = Encoder(broadcast.value)
+    return _ENCODERS[id(broadcast.value)]
+
+
 def _pieces(vocabulary: Vocabulary) -> list[bytes]:
     """The bytes of every id, and no bytes for all ids beyond."""
     pieces = [b""] * (max(vocabulary.ranks.values(), default=-1) + 2)
@@ -259,7 +269,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         pieces = _pieces(encoder.vocabulary) if decoded else []
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(text), ENCODED_BYTES):
