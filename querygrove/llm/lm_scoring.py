@@ -1,17 +1,24 @@
 """Language-model scores: masked pseudo-likelihood of a bidirectional window network.
 
 Every word is predicted from the words on both sides of it, itself masked; the
-log-probabilities of all words of a text add up to its score. Words hash to
-``BUCKETS``; the most frequent buckets are classes of their own and the others
-share classes of equal mass. The network predicts the class from the classes in
-the window, and the word's share of its class comes from corpus counts, so that
-log p(word | both sides) = log p(class | both sides) + log p(word | class).
-
-Counts cover all documents (one row per bucket and task is shuffled). The
-network is written in numpy: it starts from a bounded sample of ``warm_rows``
-texts, then every task trains a copy on all its documents and Spark sums the
-copies, weighted by words: the average is the model. Sums of floats depend on
-the order of tasks in their last digits.
+log-probabilities of all words of a text add up to its score. Words are counted
+one by one; the ``OWN_BUCKETS`` most frequent have a bucket of their own, the
+others share buckets by hash. The most frequent buckets are classes of their
+own and the others share classes of equal mass. The network predicts the class
+from the classes in the window, and the shares come from corpus counts, so that
+log p(word | both sides) = log p(class | both sides) + log p(bucket | class)
++ log p(word | bucket), the last from the word's own count.
+
+Counts cover all documents and stay a distributed table of one row per word.
+The ``HEAD_WORDS`` most frequent are broadcast; the other words of a document,
+each once with its number, are joined to the table. So no word that is joined is
+frequent in the corpus. A word that was not counted gets the part of its bucket
+that ``UNSEEN`` occurrences have.
+
+The network is written in numpy: it starts from a bounded sample of
+``warm_rows`` texts, then every task trains a copy on all its documents and
+Spark sums the copies, weighted by words: the average is the model. Sums of
+floats depend on the order of tasks in their last digits.
 
 Defined cases: texts that are null or without words have no words, score 0 and
 a null mean; an empty table gives an empty result; repeated rows are scored
@@ -29,40 +36,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove.llm.kernel import byte_values, prefix_hashes, slices, span_hashes, words
-from querygrove.llm.scratch import text_batches
-
-BUCKETS = 1 << 16
+from querygrove.llm.scratch import text_batches, written
+
+#: Outputs of the network: the most frequent words have one each, the others share the rest by hash.
+BUCKETS = 1 << 13
+OWN_BUCKETS = 3 * BUCKETS // 4
+#: Words whose exact counts are broadcast; the counts of all others stay in a distributed table.
+HEAD_WORDS = 1 << 17
+#: Words whose counts a task holds before it sends them on.
+HELD_WORDS = 1 << 20
 OWN_CLASSES, SHARED_CLASSES = 95, 33
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 24
 STEP_WORDS = 4096
+#: What a word that was not counted counts.
+UNSEEN = 0.5
 
 _VALUES = byte_values(6, lower=True)
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every word of a slice."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every word of a slice."""
     starts, ends, text = words(data, offsets)
-    hashes = span_hashes(prefix_hashes(data, _VALUES), starts, ends)
-    return (hashes >> np.uint64(13)).astype(np.int64) & (BUCKETS - 1), text
+    return span_hashes(prefix_hashes(data, _VALUES), starts, ends).view(np.int64), text
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    word, where = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+    return word, np.bincount(where, np.concatenate([n for _, n in held]), minlength=len(word)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
-            total += np.bincount(buckets(data, offsets)[0], minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+            held.append(np.unique(word_hashes(data, offsets)[0], return_counts=True))
+            if sum(len(w) for w, _ in held) > HELD_WORDS:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD_WORDS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["word", "n"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names=["word", "n"])
+
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """word (64-bit hash) and n, its occurrences in all texts: a distributed table that grows with the vocabulary."""
+    text_batches(docs.sparkSession)
+    return written(docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+@dataclass
+class Vocabulary:
+    """Exact counts of the most frequent words, sorted by hash, and the occurrences of each bucket."""
+
+    word: np.ndarray
+    n: np.ndarray
+    bucket: np.ndarray
+    counts: np.ndarray
+    own: int
+
+    @classmethod
+    def of(cls, table: DataFrame, head_words: int = HEAD_WORDS, own_buckets: int = OWN_BUCKETS) -> Vocabulary:
+        # Whole steps of frequency are taken while they fit, so neither the driver nor a task ranks the table.
+        step, lowest, taken = F.floor(F.log2("n") * 64), None, 0
+        for row in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+            taken += row["count"]
+            if taken > head_words:
+                break
+            lowest = row["step"]
+        got = table.filter(step >= lowest if lowest is not None else F.lit(False)).toArrow()
+        word, n = got.column("word").to_numpy(), got.column("n").to_numpy()
+        order = np.argsort(word)
+        word, n = word[order], n[order]
+        top = np.lexsort((word, -n))[:own_buckets]
+        bucket = cls._shared(word, own_buckets)
+        counts = np.zeros(BUCKETS, np.int64)
+        hashed = table.groupBy(F.pmod("word", F.lit(BUCKETS - own_buckets)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+        counts[own_buckets + hashed.column("bucket").to_numpy().astype(np.int64)] = hashed.column("n").to_numpy()
+        np.subtract.at(counts, bucket[top], n[top])
+        bucket[top] = np.arange(len(top))
+        counts[:len(top)] = n[top]
+        return cls(word, n, bucket, counts, own_buckets)
+
+    @staticmethod
+    def _shared(word: np.ndarray, own: int) -> np.ndarray:
+        return own + word % (BUCKETS - own)
+
+    def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each word, log share in its bucket, and whether its count is in the table only.
+
+        The share of such a word lacks the logarithm of its count.
+        """
+        bucket, count, known = self._shared(word, self.own), np.ones(len(word)), np.zeros(len(word), bool)
+        if len(self.word):
+            at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+            known = self.word[at] == word
+            bucket[known], count[known] = self.bucket[at[known]], self.n[at[known]]
+        own = bucket < self.own
+        return bucket, np.where(own, 0.0, np.log(count) - np.log(self.counts[bucket] + UNSEEN)), ~known
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of each bucket in all texts."""
-    got = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return counts
+    return Vocabulary.of(word_table(docs)).counts
 
 
 @dataclass
@@ -156,25 +233,36 @@ class WindowNetwork:
         return WindowNetwork(self.classes, self.share, *parts)
 
 
-def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float = 4.0) -> WindowNetwork:
+@dataclass
+class Model:
+    network: WindowNetwork
+    vocabulary: Vocabulary
+    table: DataFrame
+
+
+def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float = 4.0) -> Model:
     """Counts, a warm start, and one round of averaged training over all documents."""
     text_batches(docs.sparkSession)
-    model = WindowNetwork.start(word_counts(docs))
+    table = word_table(docs)
+    vocabulary = Vocabulary.of(table)
+    model = WindowNetwork.start(vocabulary.counts)
     # The first texts in hash order: hashes alone are sorted, and texts come once the last hash is known.
     known = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
     last = known.select("h").orderBy("h").limit(warm_rows).agg(F.max("h")).first()[0]
     warm = known.filter(F.col("h") <= F.lit(last)).limit(warm_rows).toArrow().column("text").to_pylist() if last is not None else []
     for _ in range(warm_passes):
         for _, _, data, offsets in slices(pa.array(warm, pa.large_string())):
-            model.train(*buckets(data, offsets), rate)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            word, text = word_hashes(data, offsets)
+            model.train(vocabulary.look_up(word)[0], text, rate)
+    shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value.with_vector(shared.value.vector().copy()), 0
+        start, known_words = shared.value
+        own, seen = start.with_vector(start.vector().copy()), 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
-                word, text = buckets(data, offsets)
-                own.train(word, text, rate / 4)
+                word, text = word_hashes(data, offsets)
+                own.train(known_words.look_up(word)[0], text, rate / 4)
                 seen += len(word)
         if seen:
             flat = own.vector().astype(float)
@@ -182,26 +270,42 @@ def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float
 
     copies = docs.select("text").mapInArrow(learn, "i int, v double, seen long")
     got = copies.groupBy("i").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).toArrow()
-    if not len(got):
-        return model
-    flat = np.empty(len(got))
-    flat[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("seen").to_numpy()
-    return model.with_vector(flat)
+    if len(got):
+        flat = np.empty(len(got))
+        flat[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("seen").to_numpy()
+        model = model.with_vector(flat)
+    return Model(model, vocabulary, table)
 
 
-def score(docs: DataFrame, model: WindowNetwork) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over words) and mean_log_probability, for every row of ``docs``."""
     text_batches(docs.sparkSession)
-    shared, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema["doc_id"].dataType.simpleString()
+    shared, kind = docs.sparkSession.sparkContext.broadcast((model.network, model.vocabulary)), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, vocabulary = shared.value
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
-                word, text = buckets(data, offsets)
-                n = np.bincount(text, minlength=high - low)
-                total = np.bincount(text, shared.value.log_probability(word, text).astype(float), minlength=high - low) if len(word) else np.zeros(high - low)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), pa.array(total), mean],
-                                                 names=["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double")
+                word, text = word_hashes(data, offsets)
+                bucket, share, open_ = vocabulary.look_up(word)
+                n, total = np.bincount(text, minlength=high - low), np.zeros(high - low)
+                if len(word):
+                    total = np.bincount(text, network.log_probability(bucket, text) + share, minlength=high - low)
+                # Words of a text whose counts the table has, each once.
+                rare, owner = word[open_], text[open_]
+                order = np.lexsort((rare, owner))
+                rare, owner = rare[order], owner[order]
+                first = np.flatnonzero((np.diff(rare, prepend=0) != 0) | (np.diff(owner, prepend=-1) != 0))
+                times = np.diff(np.append(first, len(rare)))
+                ends = np.searchsorted(owner[first], np.arange(high - low + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(rare[first]), pa.array(times.astype(np.int64))], names=["word", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                                                 names=["doc_id", "n_words", "known", "rare"])
+
+    source = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, known double, rare array<struct<word: long, times: long>>")
+    # Written once, so that a row keeps its number in both branches.
+    rows = written(source.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rare = rows.select("row", F.inline("rare")).join(model.table, "word", "left")
+    more = rare.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("more"))
+    total = F.col("known") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("rare").join(more, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))

@@ -328,6 +328,34 @@ def test_probabilities_sum_to_one():
     assert np.allclose(total, 1) and np.allclose(shares[shares > 0], 1, atol=1e-3)
 
 
+def test_words_of_a_bucket_keep_their_own_counts(spark):
+    """A rare word does not score as a frequent one that hashes alike, whether its count is broadcast or joined."""
+    rows = [(n, " ".join(f"w{k}" for k in range(200) for _ in range(1 + 9 * (k % 2)))) for n in range(3)]
+    counts = collections.Counter(w for _, t in rows for w in t.split())
+    names = sorted(counts)
+    asked = documents(spark, [*enumerate(names), (900, "never"), (None, "w0 w0"), (None, "w0 w0"), (901, None)])
+    table = lm_scoring.word_table(documents(spark, rows))
+    assert sorted(r.n for r in table.collect()) == sorted(counts.values())
+
+    def scores(head, own):
+        vocabulary = lm_scoring.Vocabulary.of(table, head, own)
+        assert len(vocabulary.word) == (200 if head else 0) and vocabulary.counts.sum() == sum(counts.values())
+        return lm_scoring.score(asked, lm_scoring.Model(lm_scoring.WindowNetwork.start(vocabulary.counts), vocabulary, table)).collect()
+
+    def ordered(got):
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, round(r.log_likelihood, 4)) for r in got)
+
+    assert ordered(scores(0, 0)) == ordered(scores(1000, 0))
+    got = scores(0, lm_scoring.BUCKETS - 2)  # all words share two buckets
+    value = {r.doc_id: r.log_likelihood for r in got}
+    word = lm_scoring.word_hashes(np.frombuffer("".join(names).encode(), np.uint8), np.cumsum([0, *map(len, names)]))[0]
+    for side in (0, 1):
+        members = [(counts[w], value[d]) for d, w in enumerate(names) if word[d] % 2 == side]
+        assert {n for n, _ in members} == {3, 30}
+        assert all(abs((v - members[0][1]) - np.log(n / members[0][0])) < 1e-6 for n, v in members)
+    assert len(got) == 204 and value[900] < min(v for d, v in value.items() if d is not None and d < 200) and value[901] == 0
+
+
 # --- op7 ------------------------------------------------------------------------------------
 
 
