@@ -5,9 +5,11 @@ log-probabilities of all words of a text add up to its score. Words are counted
 one by one; the ``OWN_BUCKETS`` most frequent have a bucket of their own, the
 others share buckets by hash. The most frequent buckets are classes of their
 own and the others share classes of equal mass. The network predicts the class
-from the classes in the window, and the shares come from corpus counts, so that
-log p(word | both sides) = log p(class | both sides) + log p(bucket | class)
-+ log p(word | bucket), the last from the word's own count.
+and the bucket in its class from the words in the window, so that
+log p(word | both sides) = log p(class | both sides)
++ log p(bucket | class, both sides) + log p(word | bucket), the last from the
+word's own count. The ``OWN_INPUTS`` most frequent words are inputs of their
+own, the others share inputs by hash.
 
 Counts cover all documents and stay a distributed table of one row per word.
 The ``HEAD_WORDS`` most frequent are broadcast; the other words of a document,
@@ -49,7 +51,13 @@ OWN_CLASSES, SHARED_CLASSES = 95, 33
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 24
+#: Rate of the second level against the first, and the fewest words its mean is taken over.
+INNER_RATE, INNER_WORDS = 0.5, 64
 STEP_WORDS = 4096
+#: Inputs of the network: buckets of the most frequent words, and others by hash.
+OWN_INPUTS, INPUTS = 1536, 2048
+#: Parameters in a row that tasks send.
+CHUNK = 256
 #: What a word that was not counted counts.
 UNSEEN = 0.5
 
@@ -142,43 +150,73 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return Vocabulary.of(word_table(docs)).counts
 
 
+def _softmax(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Probabilities, in the memory of ``logits``."""
+    logits += bias
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= 1 / logits.sum(1, keepdims=True)
+    return logits
+
+
+def _log_softmax(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of column ``at`` of each row; overwrites ``logits``."""
+    logits += bias
+    logits -= logits.max(1, keepdims=True)
+    picked = logits[np.arange(len(logits)), at]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits.sum(1))
+
+
 @dataclass
 class WindowNetwork:
-    """Class of each bucket, log share of each bucket in its class, and the parameters."""
+    """Class of each bucket, log share of each bucket in its class, place of each bucket among those sorted by class, bounds of classes, and the parameters."""
 
     classes: np.ndarray
     share: np.ndarray
+    place: np.ndarray
+    bounds: np.ndarray
     embed: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 6) -> WindowNetwork:
         order = np.argsort(-counts, kind="stable")
-        classes = np.empty(BUCKETS, np.int64)
+        classes, place = np.empty(BUCKETS, np.int16), np.empty(BUCKETS, np.int64)  # short integers sort by radix
         classes[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
         rest = order[OWN_CLASSES:]
         mass = np.cumsum(counts[rest] + 0.5)
         classes[rest] = OWN_CLASSES + np.minimum((mass / mass[-1] * SHARED_CLASSES).astype(int), SHARED_CLASSES - 1)
+        place[order] = np.arange(BUCKETS)
         smooth = counts + 0.5
         total = np.bincount(classes, smooth, minlength=CLASSES)
+        share = np.log(smooth / np.maximum(total[classes], 1e-9)).astype(np.float32)
         rng = np.random.default_rng(seed)
-        return cls(classes, np.log(smooth / np.maximum(total[classes], 1e-9)).astype(np.float32),
-                   rng.normal(0, 0.3, (len(OFFSETS), CLASSES + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
-                   rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.log(np.maximum(total, 1) / max(total.sum(), 1)).astype(np.float32))
+        return cls(classes, share, place, np.searchsorted(classes[order], np.arange(CLASSES + 1)),
+                   rng.normal(0, 0.3, (len(OFFSETS), INPUTS + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
+                   rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.log(np.maximum(total, 1) / max(total.sum(), 1)).astype(np.float32),
+                   np.zeros((BUCKETS, HIDDEN), np.float32), share[order])
+
+    @staticmethod
+    def inputs(word: np.ndarray) -> np.ndarray:
+        """Input of each bucket."""
+        return np.where(word < OWN_INPUTS, word, OWN_INPUTS + word % (INPUTS - OWN_INPUTS))
 
-    def context(self, cls_of: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Classes around each word, CLASSES beyond the ends of its text."""
-        n, out = len(cls_of), np.full((len(OFFSETS), len(cls_of)), CLASSES)
+    def context(self, inputs: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Inputs around each word, INPUTS beyond the ends of its text."""
+        n, out = len(inputs), np.full((len(OFFSETS), len(inputs)), INPUTS, np.int16)
         for k, offset in enumerate(OFFSETS):
             d = abs(offset)
             if n > d:
                 same = text[d:] == text[:-d]
                 if offset < 0:
-                    out[k, d:][same] = cls_of[:-d][same]
+                    out[k, d:][same] = inputs[:-d][same]
                 else:
-                    out[k, :-d][same] = cls_of[d:][same]
+                    out[k, :-d][same] = inputs[d:][same]
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -187,50 +225,82 @@ class WindowNetwork:
             total += self.embed[k][context[k]]
         return np.tanh(total)
 
+    def _groups(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """The words of each class of several buckets, and the bounds of the class."""
+        order = np.argsort(own, kind="stable")
+        at = np.searchsorted(own[order], np.arange(OWN_CLASSES, CLASSES + 1))
+        for k, (low, high) in enumerate(zip(at, at[1:], strict=False), OWN_CLASSES):
+            if high > low and self.bounds[k + 1] - self.bounds[k] > 1:
+                yield order[low:high], self.bounds[k], self.bounds[k + 1]
+
     def log_probability(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Log-probability of each word given both sides."""
-        own = self.classes[word]
-        context, out = self.context(own, text), np.empty(len(word), np.float32)
+        """Log-probability of each bucket given both sides."""
+        own, place = self.classes[word], self.place[word]
+        context, out = self.context(self.inputs(word), text), np.empty(len(word), np.float32)
         for low in range(0, len(word), STEP_WORDS):
             part = slice(low, low + STEP_WORDS)
-            logits = self.hidden(context[:, part]) @ self.out + self.out_bias
-            top = logits.max(1)
-            norm = top + np.log(np.exp(logits - top[:, None]).sum(1))
-            out[part] = logits[np.arange(len(logits)), own[part]] - norm
-        return out + self.share[word]
+            h = self.hidden(context[:, part])
+            out[part] = _log_softmax(h @ self.out, self.out_bias, own[part])
+            for rows, a, b in self._groups(own[part]):
+                out[low + rows] += _log_softmax(h[rows] @ self.inner[a:b].T, self.inner_bias[a:b], place[low + rows] - a)
+        return out
 
     def train(self, word: np.ndarray, text: np.ndarray, rate: float) -> None:
         """One pass of stochastic gradient steps."""
-        own = self.classes[word]
-        context = self.context(own, text)
+        own, place = self.classes[word], self.place[word]
+        context = self.context(self.inputs(word), text)
         for low in range(0, len(word), STEP_WORDS):
             part = slice(low, low + STEP_WORDS)
             around, target = context[:, part], own[part]
             h = self.hidden(around)
-            logits = h @ self.out + self.out_bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            p = _softmax(h @ self.out, self.out_bias)
             p[np.arange(len(p)), target] -= 1
             scale = rate / len(p)
-            dh = (p @ self.out.T) * (1 - h * h)
+            pull = p @ self.out.T
+            for rows, a, b in self._groups(target):
+                mine = h[rows]
+                q = _softmax(mine @ self.inner[a:b].T, self.inner_bias[a:b])
+                q[np.arange(len(rows)), place[low + rows] - a] -= 1
+                pull[rows] += q @ self.inner[a:b]
+                # A class is an outcome of its own: its step is a mean over its words.
+                step = rate * INNER_RATE / max(len(rows), INNER_WORDS)
+                self.inner[a:b] -= step * (q.T @ mine)
+                self.inner_bias[a:b] -= step * q.sum(0)
+            dh = pull * (1 - h * h)
             self.out -= scale * (h.T @ p)
             self.out_bias -= scale * p.sum(0)
             self.bias -= scale * dh.sum(0)
             for k in range(len(OFFSETS)):
-                # Rows of a class are summed by a product with its indicator, not one by one.
+                # Rows of an input are summed at once, not one by one.
                 order = np.argsort(around[k], kind="stable")
-                first = np.flatnonzero(np.diff(around[k][order], prepend=-1))
+                first = np.flatnonzero(np.diff(around[k][order], prepend=np.int16(-1)))
                 self.embed[k][around[k][order[first]]] -= scale * np.add.reduceat(dh[order], first, axis=0)
 
+    def _parameters(self) -> tuple[np.ndarray, ...]:
+        return self.embed, self.bias, self.out, self.out_bias, self.inner, self.inner_bias
+
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.embed, self.bias, self.out, self.out_bias)])
+        return np.concatenate([x.ravel() for x in self._parameters()])
 
     def with_vector(self, flat: np.ndarray) -> WindowNetwork:
         parts, at = [], 0
-        for x in (self.embed, self.bias, self.out, self.out_bias):
+        for x in self._parameters():
             parts.append(flat[at:at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return WindowNetwork(self.classes, self.share, *parts)
+        return WindowNetwork(self.classes, self.share, self.place, self.bounds, *parts)
+
+
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the copies of each chunk, weighted by words."""
+    total: dict[int, np.ndarray] = {}
+    words_of: dict[int, int] = {}
+    for batch in batches:
+        for chunk, seen, v in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seen", "v")), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(v, np.float32).astype(float) * seen
+            words_of[chunk] = words_of.get(chunk, 0) + seen
+    if total:
+        means = [(v / words_of[chunk]).astype(np.float32).tobytes() for chunk, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(means, pa.binary())], names=["chunk", "v"])
 
 
 @dataclass
@@ -265,15 +335,16 @@ def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float
                 own.train(known_words.look_up(word)[0], text, rate / 4)
                 seen += len(word)
         if seen:
-            flat = own.vector().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "v", "seen"])
+            flat = own.vector()
+            parts = [flat[low:low + CHUNK].tobytes() for low in range(0, len(flat), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), seen)), pa.array(parts, pa.binary())], names=["chunk", "seen", "v"])
 
-    copies = docs.select("text").mapInArrow(learn, "i int, v double, seen long")
-    got = copies.groupBy("i").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).toArrow()
+    copies = docs.select("text").mapInArrow(learn, "chunk int, seen long, v binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = copies.repartition(n, "chunk").mapInArrow(_weighted, "chunk int, v binary").toArrow()
     if len(got):
-        flat = np.empty(len(got))
-        flat[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("seen").to_numpy()
-        model = model.with_vector(flat)
+        parts = dict(zip(got.column("chunk").to_pylist(), got.column("v").to_pylist(), strict=True))
+        model = model.with_vector(np.concatenate([np.frombuffer(parts[k], np.float32) for k in range(len(parts))]))
     return Model(model, vocabulary, table)
 
 

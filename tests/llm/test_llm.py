@@ -356,6 +356,27 @@ def test_words_of_a_bucket_keep_their_own_counts(spark):
     assert len(got) == 204 and value[900] < min(v for d, v in value.items() if d is not None and d < 200) and value[901] == 0
 
 
+def test_words_of_one_class_are_told_apart_by_both_sides():
+    """Of two equally frequent words of a class, the network learns which one stands between which neighbours."""
+    counts = (1e6 / np.arange(1, lm_scoring.BUCKETS + 1)).astype(int)
+    model = lm_scoring.WindowNetwork.start(counts)
+    x, y = np.flatnonzero(model.classes == lm_scoring.OWN_CLASSES + 20)[:2]
+    left, right = np.flatnonzero(model.classes == lm_scoring.OWN_CLASSES + 3)[:2]
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        pick = rng.integers(0, 2, 1000)
+        train = np.stack([np.where(pick, left, right), np.where(pick, x, y), np.where(pick, left, right)], 1).ravel()
+        model.train(train, np.repeat(np.arange(1000), 3), 4.0)
+    word = np.array([left, x, left, left, y, left, right, y, right, right, x, right])
+    got = model.log_probability(word, np.repeat(np.arange(4), 3)).reshape(4, 3)
+    assert got[0, 1] > got[1, 1] + 1 and got[2, 1] > got[3, 1] + 1
+    assert got[0, 0] > got[1, 0] and got[2, 0] > got[3, 0]  # and the neighbours' own terms see the word
+    every = np.arange(lm_scoring.BUCKETS)
+    text = np.repeat(every, 3)
+    lines = np.stack([np.full(len(every), left), every, np.full(len(every), right)], 1).ravel()
+    assert abs(np.exp(model.log_probability(lines, text)[1::3].astype(float)).sum() - 1) < 1e-3
+
+
 # --- op7 ------------------------------------------------------------------------------------
 
 
