@@ -9,6 +9,8 @@
 2. Search. Windows of ``WINDOW`` (for short items, also ``NARROW``) tokens, one
    every ``STEP``, are projected and compared by cosine with the windows of all
    benchmark items.
+   Items below ``NARROW`` tokens fill too little of a window; a text that holds
+   all of their tokens in a row is found by the hash of that run instead.
 3. Checks. For each candidate the longest common subsequence of the item and
    the stretch of text it lines up with must hold ``share`` of the item's
    tokens, and half of its answer (its last tokens) unless nearly all of the
@@ -34,7 +36,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querygrove.llm.kernel import SPACE, byte_values, owner, prefix_hashes, slices, span_hashes, spans
+from querygrove.llm.kernel import SPACE, byte_values, combine, owner, prefix_hashes, slices, span_hashes, spans
 from querygrove.llm.scratch import text_batches
 
 TERMS = 4096
@@ -148,6 +150,8 @@ class Items:
     hashes: list[np.ndarray]
     #: Width: (vectors, item numbers, first tokens) of windows.
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: Tokens of an item below NARROW: (sorted hashes of whole items, item numbers).
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None], space: LatentSpace) -> Items:
@@ -169,7 +173,26 @@ class Items:
                     at.append(begin)
             if rows:
                 windows[width] = np.array(rows, np.float32), np.array(item), np.array(at)
-        return cls(ids, parts, windows)
+        runs = {}
+        for size in sorted({len(own) for own in parts if 0 < len(own) < NARROW}):
+            item = np.array([number for number, own in enumerate(parts) if len(own) == size])
+            run = np.concatenate([combine(parts[number], size) for number in item])
+            order = np.argsort(run, kind="stable")
+            runs[size] = run[order], item[order]
+        return cls(ids, parts, windows, runs)
+
+    def whole(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item number) of the short items whose tokens stand in a row in a text."""
+        found: set[tuple[int, int]] = set()
+        text = np.repeat(np.arange(len(first) - 1), first[1:] - first[:-1])
+        for size, (run, item) in self.runs.items():
+            own = combine(hashes, size)
+            inside = text[:len(own)] == text[size - 1:] if len(own) else np.zeros(0, bool)
+            own, of = own[inside], text[:len(inside)][inside]
+            low, high = np.searchsorted(run, own), np.searchsorted(run, own, "right")
+            for t, a, b in {(t, a, b) for t, a, b in zip(of[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True)}:
+                found.update((t, number) for number in item[a:b].tolist())
+        return found
 
 
 class _Checker:
@@ -215,6 +238,9 @@ def _search(space: Broadcast, blocks: list[Broadcast], cosine: float, share: flo
                     hashes, first = tokens(data, offsets)
                     if not len(hashes):
                         continue
+                    for t, number in items.whole(hashes, first):
+                        candidates[low + t] += 1
+                        found[low + t][items.ids[number]] = 1.0
                     vectors, tried = table[_terms(hashes)], set()
                     for width, (wanted, item, at) in items.windows.items():
                         own, text, start = _windows(vectors, first, width)

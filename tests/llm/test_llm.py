@@ -150,6 +150,20 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(documents(spark, rows), benchmark).collect()} == set(got) - set(range(4))
 
 
+def test_short_items_are_found(spark):
+    """Items of 3 to 12 tokens in the middle of long texts, at every place relative to the windows."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices(["an", "the", "ing", "or", "st", "ed", "on", "re", "ou"], k=rnd.randint(2, 5)))
+    items = [" ".join(word() for _ in range(n)) for n in (3, 4, 5, 6, 7, 8, 9, 10, 12) for _ in range(8)]
+    prose = [[word() for _ in range(300)] for _ in items]
+    rows = [(d, " ".join([*p[:100 + d % 8], items[d].upper(), *p[100 + d % 8:]])) for d, p in enumerate(prose)]
+    rows += [(1000 + d, " ".join([*p, *items[d].split()[:-1]])) for d, p in enumerate(prose[:16])]  # the last token is missing: too short, or no whole run
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = rows_of(decontaminate.leaks(documents(spark, rows), benchmark))
+    assert all(d in got[d].item_ids and got[d].common_share == 1 for d in range(len(items)))
+    assert not any(got[1000 + d].contaminated for d in range(8))
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.leaks(documents(spark, [(1, "a b c")]), none).collect())
