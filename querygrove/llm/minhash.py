@@ -232,6 +232,11 @@ def _links_of(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    return _verdicts(docs, percent).drop("k1", "k2")
+
+
+def _verdicts(docs: DataFrame, percent: int) -> DataFrame:
+    """The columns of ``near_duplicates`` and the class of each row."""
     text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -265,11 +270,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     answer = answer.select("k1", "k2", F.coalesce("component_id", "_first").alias("_component"), F.lit(1).alias("_able"))
     rows = described.join(answer, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    rows = rows.select("doc_id", "n_shingles", component.alias("component_id"), "k1", "k2")
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [class_keys(*shingle_sets(data, offsets)) for _, _, data, offsets in slices(batch.column("text"))]
+        k1, k2 = (np.concatenate([k[side] for k in keys]) if keys else np.zeros(0, np.int64) for side in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(k1), pa.array(k2)], names=["own", "k1", "k2"])
+
+
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` without the documents that another of their group stands for."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` without the documents that another of their group stands for.
+
+    Where an id stands for several texts, each of them is decided by itself.
+    """
+    verdicts = written(_verdicts(docs, percent).filter("doc_id is not null").groupBy("doc_id", "k1", "k2").agg(F.max("kept").alias("kept")), "minhash-verdicts")
+    ids = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+    mixed = written(ids.filter("some and not all").select("_gone"), "minhash-mixed")
+    rest = docs.join(ids.filter("not all").select("_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    if mixed.isEmpty():  # no second pass over the texts
+        return rest
+    source = docs.select("text", F.struct(*docs.columns).alias("own")).join(mixed, F.col("own.doc_id") == F.col("_gone"), "left_semi")
+    keyed = source.mapInArrow(_keyed, f"own {source.schema['own'].dataType.simpleString()}, k1 long, k2 long")
+    gone = verdicts.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    several = keyed.join(gone, (F.col("own.doc_id") == F.col("_gone")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
+    return rest.unionByName(several.select("own.*"))

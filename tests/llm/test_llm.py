@@ -438,6 +438,14 @@ def test_near_duplicate_edges(spark, texts):
     assert sorted(r.doc_id or -1 for r in minhash.keep_first(documents(spark, rows)).collect()) == [-1, 5, 5, 5]
 
 
+def test_texts_that_share_an_id_are_decided_one_by_one(spark, texts):
+    rows = [(1, texts[0][1]), (2, texts[0][1]), (2, "a text that stands only here and must stay"), (2, None), (3, texts[1][1]), (4, texts[1][1])]
+    docs = documents(spark, rows)
+    got = minhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, texts[0][1]), (2, rows[2][1]), (2, ""), (3, texts[1][1])])
+
+
 def test_bit_counts_estimate_similarity():
     rng = np.random.default_rng(3)
     common, errors = rng.integers(0, 1 << 63, 400).astype(np.uint64), []
