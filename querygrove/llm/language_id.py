@@ -6,7 +6,7 @@ codeword with the least loss, each bit weighted by how well its classifier did
 in training. A text whose two best codewords are close is flagged.
 
 The classifiers are fitted in numpy on at most ``sample_rows`` labelled texts,
-an equal share per language, chosen by hash; what comes back to the driver are
+an equal share per language, chosen by hash (one of each where languages are more); what comes back to the driver are
 their n-gram profiles. Prediction runs over Arrow batches without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
@@ -71,7 +71,7 @@ def codewords(n: int, seed: int = 10) -> np.ndarray:
     for _ in range(300):
         code = rng.choice([-1.0, 1.0], (n, bits))
         split = np.abs(code.sum(0)) < n
-        apart = (code[:, None, :] != code[None, :, :]).sum(2) + bits * np.eye(n, dtype=int)
+        apart = (bits - code @ code.T) / 2 + bits * np.eye(n, dtype=int)
         score = apart.min() + split.all()
         if score > best:
             best, found = score, code
@@ -121,17 +121,17 @@ def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(low, high - low), pa.array(packed, pa.binary())], names=["lang", "profile"])
 
 
-def fit(labelled: DataFrame, sample_rows: int = 2400, max_languages: int = 200) -> Model:
-    """Fits a model on (doc_id, lang, text) rows, on at most ``sample_rows`` of them, an equal share per language."""
+def fit(labelled: DataFrame, sample_rows: int = 2400) -> Model:
+    """Fits a model on (doc_id, lang, text) rows, on at most ``sample_rows`` of them or one per language, an equal share per language."""
     text_batches(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).count()
+    found = rows.select("lang").distinct().count()
     if not found:
         return fit_codes(np.zeros((0, BUCKETS), np.float32), [])
     share = max(1, sample_rows // found)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     picked = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= share).select("doc_id", F.col("lang").alias("_lang"))
-    sample = rows.join(F.broadcast(picked.limit(sample_rows + found)), "doc_id").filter("lang = _lang").select("lang", "text").limit(2 * sample_rows + found)
+    sample = rows.join(F.broadcast(picked), "doc_id").filter("lang = _lang").select("lang", "text").limit(2 * sample_rows + found)
     got = sample.mapInArrow(_profile_rows, "lang string, profile binary").toArrow()
     x = [np.frombuffer(zlib.decompress(p.as_py()), np.float16) for p in got.column("profile")]
     return fit_codes(np.stack(x), [str(v) for v in got.column("lang").to_pylist()])

@@ -231,6 +231,13 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(asked, language_id.fit(table.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than rows of the sample, and more than 216."""
+    rows = [(n, f"text of {n}", f"l{n % 260:03}") for n in range(520)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=240)
+    assert model.languages == [f"l{n:03}" for n in range(260)]
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 9):
         code = language_id.codewords(n)
