@@ -22,7 +22,8 @@ Both passes read whole texts and shuffle none. Items are broadcast in blocks of
 Defined cases: null and empty texts, and texts without tokens, are clean; items
 without tokens match nothing; without documents or items the result has no
 contaminated row; repeated rows are judged each; of items that repeat an
-item_id each counts; other columns are not read.
+item_id each counts; an item without item_id contaminates, and is not named in
+item_ids; other columns are not read.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def _windows(vectors: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
 class Items:
     """A block of benchmark items with their windows in the latent space."""
 
-    ids: list[int]
+    ids: list[int | None]
     hashes: list[np.ndarray]
     #: Width: (vectors, item numbers, first tokens) of windows.
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -154,7 +155,7 @@ class Items:
     runs: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None], space: LatentSpace) -> Items:
+    def of(cls, ids: list[int | None], texts: list[str | None], space: LatentSpace) -> Items:
         hashes, first = np.zeros(0, np.uint64), np.zeros(1, int)
         for _, _, data, offsets in slices(pa.array(texts, pa.large_string()), 1 << 60, 1 << 60):
             hashes, first = tokens(data, offsets)
@@ -229,7 +230,7 @@ def _search(space: Broadcast, blocks: list[Broadcast], cosine: float, share: flo
         table = space.value.table
         for batch in batches:
             n = len(batch)
-            found: list[dict[int, float]] = [{} for _ in range(n)]
+            found: list[dict[int | None, float]] = [{} for _ in range(n)]
             best, candidates = np.full(n, -1.0), np.zeros(n, np.int64)
             for block in blocks:
                 items: Items = block.value
@@ -265,7 +266,7 @@ def _search(space: Broadcast, blocks: list[Broadcast], cosine: float, share: flo
                                     of = found[low + t]
                                     of[items.ids[number]] = max(part, of.get(items.ids[number], 0.0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([bool(x) for x in found]), pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
+                [batch.column("doc_id"), pa.array([bool(x) for x in found]), pa.array([sorted(i for i in x if i is not None) for x in found], pa.list_(pa.int64())),
                  pa.array([max(x.values(), default=0.0) for x in found]), pa.array(candidates), pa.array(np.maximum(best, 0.0)), *[batch.column(c) for c in batch.schema.names if c == "own"]],
                 names=["doc_id", "contaminated", "item_ids", "common_share", "candidates", "cosine", *[c for c in batch.schema.names if c == "own"]])
 
@@ -280,11 +281,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.62, share: fl
     spark = docs.sparkSession
     text_batches(spark)
     space = LatentSpace.fit(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts, blocks = max(1, -(-size // BLOCK_BYTES)), []
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
         blocks.append(spark.sparkContext.broadcast(Items.of(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), space)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", "text", *([F.struct(*docs.columns).alias("own")] if own else []))

@@ -150,6 +150,15 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(documents(spark, rows), benchmark).collect()} == set(got) - set(range(4))
 
 
+def test_items_without_id_contaminate(spark):
+    words = [f"w{n % 97}x{n % 89}" for n in range(400)]
+    long, short = " ".join(words[100:140]), " ".join(words[200:206])
+    docs = documents(spark, [(1, " ".join(words[:150])), (2, " ".join(words[190:])), (3, " ".join(words[300:]))])
+    benchmark = spark.createDataFrame([(None, long), (None, short), (7, short)], "item_id long, text string")
+    got = rows_of(decontaminate.leaks(docs, benchmark))
+    assert {d: (r.contaminated, r.item_ids) for d, r in got.items()} == {1: (True, []), 2: (True, [7]), 3: (False, [])}
+
+
 def test_short_items_are_found(spark):
     """Items of 3 to 12 tokens in the middle of long texts, at every place relative to the windows."""
     rnd = random.Random(7)
