@@ -99,7 +99,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     bitmaps = dropped_bits(docs.select("doc_id", "text"), min_chars, min_docs)
     own = fresh(docs, "own")
     rows = docs.select(F.struct(*docs.columns).alias(own), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.join(bitmaps, ["doc_id", "text_hash"], "left")
+    # Bitmaps grow with the documents: never a broadcast, so that a small table is planned like a large one.
+    rows = rows.join(bitmaps.hint("merge"), ["doc_id", "text_hash"], "left")
     count = F.coalesce(F.aggregate("words", F.lit(0), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0)).cast("long")
     rows = rows.select(F.col(own).alias("own"), "words", "text", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), count.alias("n_dropped"),
                        dense(F.col("words")).alias("_bits"))
