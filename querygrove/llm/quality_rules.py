@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from querygrove.llm.kernel import SPACE, byte_values, combine, counts_of, owner, prefix_hashes, slices, span_hashes, spans, words
 from querygrove.llm.scratch import fresh, text_batches, written
@@ -39,6 +40,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "punct", "stutter")
 FLOORS = (0.12, 0.10, 0.30, 0.30, 0.06, 0.06, 0.08)
 PRIOR_WORDS = 40.0
+#: Groups whose estimates (57 numbers each) are broadcast, and shares of a group beyond that.
+BROADCAST_GROUPS = 20_000
+SALTS = 64
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -117,8 +121,7 @@ def text_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     text_batches(docs.sparkSession)
     keep = ["doc_id", "lang", "source"] if keep is None else keep
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
-    fields = [source.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"_{c} long" for c in COUNTS])
+    schema = StructType([source.schema[c] for c in keep] + [StructField(f"_{c}", LongType()) for c in COUNTS])
     return source.mapInArrow(_count_batches(text, keep), schema)
 
 
@@ -181,6 +184,21 @@ def _group(lang: str, source: str) -> F.Column:
     return F.to_json(F.array(F.col(lang).cast("string"), F.col(source).cast("string")), {"ignoreNullFields": "false"})
 
 
+def _by_group(rows: DataFrame, table: DataFrame, key: str, groups: int) -> DataFrame:
+    """``rows`` with the columns of ``table`` (at most ``groups`` rows, one per ``key``); no row stays without one.
+
+    Up to ``BROADCAST_GROUPS`` groups the table is broadcast and the rows stay
+    where they are. Beyond that rows and table are dealt by key in ``SALTS``
+    shares, so that a group with a third of all rows spreads over as many tasks.
+    """
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), key)
+    share = fresh(rows, "_share")
+    dealt = rows.withColumn(share, F.pmod(F.xxhash64("_x", F.spark_partition_id()), F.lit(SALTS)).cast("int"))
+    shares = table.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(shares, [key, share]).drop(share)
+
+
 def estimates(counts: DataFrame, support: float = 0.75, min_group: int = 60, steps: int = 4) -> tuple[DataFrame, DataFrame]:
     """(groups, estimates) of counted rows.
 
@@ -195,7 +213,8 @@ def estimates(counts: DataFrame, support: float = 0.75, min_group: int = 60, ste
     sized = sizes.join(small, "_lang", "left")
     group = F.when(F.col("_n") >= min_group, F.col("_key")).when(F.col("_m") >= min_group, F.col("_lang")).otherwise(F.lit("rest"))
     groups = written(sized.select("_key", group.alias("_g")), "quality-groups")
-    rows = written(rows.drop("_lang").join(groups, "_key").drop("_key"), "quality-vectors")
+    n = groups.count()
+    rows = written(_by_group(rows.drop("_lang"), groups, "_key", n).drop("_key"), "quality-vectors")
 
     middle = rows.groupBy("_g").agg(*[F.percentile_approx(F.col("_x")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(d)])
     # The start: a diagonal covariance from quartiles.
@@ -206,14 +225,14 @@ def estimates(counts: DataFrame, support: float = 0.75, min_group: int = 60, ste
             inverse.append(1.0 / (sd * sd + FLOORS[i] ** 2) if i == j else F.lit(0.0))
     fit = middle.select("_g", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("_center"), F.array(*inverse).alias("_inverse"))
     for _ in range(steps):
-        judged = rows.join(fit, "_g").select("_g", "_x", _distance().alias("_d"))
+        judged = _by_group(rows, fit, "_g", n).select("_g", "_x", _distance().alias("_d"))
         cut = judged.groupBy("_g").agg(F.percentile_approx("_d", support, 2000).alias("_cut"))
-        kept = judged.join(cut, "_g").filter(F.col("_d") <= F.col("_cut"))
+        kept = _by_group(judged, cut, "_g", n).filter(F.col("_d") <= F.col("_cut"))
         moments = [F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(d)]
         moments += [F.avg(F.col("_x")[i] * F.col("_x")[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
         schema = "_g string, _center array<double>, _inverse array<double>, _logdet double"
         fit = written(kept.groupBy("_g").agg(*moments).mapInPandas(_inverted, schema), "quality-fit").drop("_logdet")
-    judged = rows.join(fit, "_g").select("_g", _distance().alias("_d"))
+    judged = _by_group(rows, fit, "_g", n).select("_g", _distance().alias("_d"))
     scale = judged.groupBy("_g").agg((F.percentile_approx("_d", 0.5, 2000) / chi2_quantile(0.5, d)).alias("_scale"))
     # A group may be tighter than the floors; its scale never shrinks the distances' unit below them.
     scale = scale.withColumn("_scale", F.greatest(F.coalesce("_scale", F.lit(0.0)), F.lit(0.15)))
@@ -223,7 +242,7 @@ def estimates(counts: DataFrame, support: float = 0.75, min_group: int = 60, ste
 def judged(counts: DataFrame, groups: DataFrame, fit: DataFrame, quantile: float = 0.99999) -> DataFrame:
     """``counts`` with ``_group``, ``_distance``, ``_base_failed`` and ``_kept``."""
     keyed = counts.withColumn("_key", _group("lang", "source")).withColumn("_x", _vector())
-    rows = keyed.join(groups, "_key", "left").join(fit, "_g", "left").withColumn("_distance", F.sqrt(_distance() / F.col("_scale")))
+    rows = _by_group(keyed, groups.join(fit, "_g"), "_key", groups.count()).withColumn("_distance", F.sqrt(_distance() / F.col("_scale")))
     limit = chi2_quantile(quantile, len(FEATURES)) ** 0.5
     verdict = ~F.col("_base_failed") & F.coalesce(F.col("_distance") <= limit, F.lit(True))
     return rows.withColumn("_base_failed", _base_failed()).withColumn("_kept", verdict).withColumnRenamed("_g", "_group")
@@ -245,7 +264,7 @@ def keep_good(docs: DataFrame, quantile: float = 0.99999, min_group: int = 60) -
     they decide on: that costs no shuffle of texts and needs no key.
     """
     groups, fit = estimates(written(text_counts(docs), "quality-counts"), min_group=min_group)
-    counted = text_counts(docs, keep=docs.columns)
-    row = fresh(docs, "_row")
-    own = counted.select(F.struct(*docs.columns).alias(row), "lang", "source", *[f"_{c}" for c in COUNTS])
-    return judged(own, groups, fit, quantile).filter("_kept").select(f"{row}.*")
+    # The row travels as one struct, so that none of its columns clashes with a count.
+    source = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
+    own = text_counts(source, keep=["_row", "lang", "source"])
+    return judged(own, groups, fit, quantile).filter("_kept").select("_row.*")
