@@ -6,7 +6,7 @@
 2. Texts with equal sets are one class. Classes that share a band key are
    candidates: the smallest class of a key stands for it, so that a key of n
    classes gives n edges, and connected candidates form a cluster.
-3. Clusters are dealt to tasks in blocks of ``BLOCK_BYTES`` of text; a larger
+3. Clusters are dealt to tasks in blocks of ``BLOCK_BYTES`` of text and ``BLOCK_TEXTS`` texts; a larger
    cluster is compared block against block. In a task, similarities are
    estimated from bit counts of packed signatures, corrected for chance
    collisions of low bits; pairs that may reach the threshold are confirmed on
@@ -33,17 +33,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from querygrove.llm.components import components
 from querygrove.llm.kernel import byte_values, combine, mix, prefix_hashes, slices, span_hashes, words
-from querygrove.llm.scratch import text_batches, written
+from querygrove.llm.scratch import fresh, text_batches, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 3
 BITS = 4
 MINIMA = 96
 MARGIN = 0.25
+#: A block has at most about this many bytes of text and this many texts.
 BLOCK_BYTES = 4 << 20
+BLOCK_TEXTS = 8192
+#: Pairs whose similarity is estimated together.
+PAIRS = 1 << 18
 
 _VALUES = byte_values(7, lower=True)
 _RNG = np.random.default_rng(7)
@@ -131,31 +136,41 @@ class _Forest:
 
 
 def confirmed_links(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of ``left`` and of ``right`` (index arrays, equal or disjoint)."""
+    """A spanning forest of the links between members of ``left`` and of ``right`` (index arrays, equal or disjoint).
+
+    Rows of ``left`` are taken a few at a time, so that about ``PAIRS`` pairs are
+    held whatever the sizes, and each is confirmed before the next are looked
+    at: pairs of one group are not estimated again.
+    """
     sizes, forest, links = np.array([len(s) for s in sets]), _Forest(len(sets)), []
-    found = []
-    for low in range(0, len(left), 256):
-        rows = left[low:low + 256]
-        close = estimated(signatures[rows], signatures[right])
-        smaller, larger = np.minimum(sizes[rows][:, None], sizes[right][None, :]), np.maximum(sizes[rows][:, None], sizes[right][None, :])
+    low = 0
+    while low < len(left):
+        rows, others = left[low:low + max(1, PAIRS // len(right))], right
+        low += len(rows)
+        groups = np.unique(forest.label[rows])
+        if len(groups) == 1:
+            others = others[forest.label[others] != groups[0]]
+        if not len(others):
+            continue
+        close = estimated(signatures[rows], signatures[others])
+        smaller, larger = np.minimum(sizes[rows][:, None], sizes[others][None, :]), np.maximum(sizes[rows][:, None], sizes[others][None, :])
         able = (close >= percent / 100 - MARGIN) & (100 * smaller >= percent * larger)
         if left is right:
-            able &= rows[:, None] < right[None, :]
+            able &= rows[:, None] < others[None, :]
+        able &= forest.label[rows][:, None] != forest.label[others][None, :]
         i, j = np.nonzero(able)
-        found.append((rows[i].astype(np.int32), right[j].astype(np.int32), close[i, j].astype(np.float32)))
-    a, b, close = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(-close, kind="stable")
-    a, b = a[order], b[order]
-    for low in range(0, len(a), 1024):
-        x, y = a[low:low + 1024], b[low:low + 1024]
-        apart = forest.label[x] != forest.label[y]
-        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-            if forest.label[i] == forest.label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                forest.join(i, j)
-                links.append((i, j))
+        order = np.argsort(-close[i, j], kind="stable")
+        a, b = rows[i[order]], others[j[order]]
+        for at in range(0, len(a), 1024):
+            x, y = a[at:at + 1024], b[at:at + 1024]
+            apart = forest.label[x] != forest.label[y]
+            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                if forest.label[i] == forest.label[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    forest.join(i, j)
+                    links.append((i, j))
     return links
 
 
@@ -249,7 +264,7 @@ def _verdicts(docs: DataFrame, percent: int) -> DataFrame:
     clusters = components(edges)
     classes = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     members = written(classes.join(clusters.withColumnRenamed("node", "k1"), "k1").select("root", "k1", "k2", "doc_id", "n_bytes"), "minhash-members")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n_bytes") / BLOCK_BYTES).alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.greatest("blocks", F.lit(1))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("doc_id", "root", "k1", "k2", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -284,16 +299,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` without the documents that another of their group stands for.
 
-    Where an id stands for several texts, each of them is decided by itself.
+    Where an id stands for several texts, each of them is decided by itself;
+    of rows with the same id and class (a repeated row), and of rows without an
+    id and of one class, one stays.
     """
-    verdicts = written(_verdicts(docs, percent).filter("doc_id is not null").groupBy("doc_id", "k1", "k2").agg(F.max("kept").alias("kept")), "minhash-verdicts")
-    ids = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
-    mixed = written(ids.filter("some and not all").select("_gone"), "minhash-mixed")
-    rest = docs.join(ids.filter("not all").select("_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
-    if mixed.isEmpty():  # no second pass over the texts
+    rows = written(_verdicts(docs, percent).groupBy("doc_id", "k1", "k2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "minhash-verdicts")
+    gone, own = fresh(docs, "_gone"), "own"
+    ids = rows.groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("some"), F.sum("n").alias("n"))
+    # Ids with one row are decided by their id; the others by id and class, in a second pass over their texts.
+    several = written(ids.filter((F.col("n") > 1) & F.col("some") & F.col(gone).isNotNull()).select(gone), "minhash-several")
+    others = ids.filter((F.col("n") > 1) | ~F.col("some")).select(gone)
+    rest = docs.filter(docs["doc_id"].isNotNull()).join(others, docs["doc_id"] == F.col(gone), "left_anti")
+    nameless = rows.filter("doc_id is null").isEmpty()
+    if several.isEmpty() and nameless:
         return rest
-    source = docs.select("text", F.struct(*docs.columns).alias("own")).join(mixed, F.col("own.doc_id") == F.col("_gone"), "left_semi")
-    keyed = source.mapInArrow(_keyed, f"own {source.schema['own'].dataType.simpleString()}, k1 long, k2 long")
-    gone = verdicts.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    several = keyed.join(gone, (F.col("own.doc_id") == F.col("_gone")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
-    return rest.unionByName(several.select("own.*"))
+    source = docs.select("text", F.struct(*docs.columns).alias(own))
+    picked = source.filter("own.doc_id is null").unionByName(source.join(several, F.col("own.doc_id") == F.col(gone), "left_semi"))
+    keyed = picked.mapInArrow(_keyed, StructType([picked.schema[own], StructField("k1", LongType()), StructField("k2", LongType())]))
+    one = keyed.groupBy("own.doc_id", "k1", "k2").agg(F.min_by("own", "own.text").alias(own))
+    kept = rows.filter("kept").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    return rest.unionByName(one.join(kept, stays, "left_semi").select("own.*"))
