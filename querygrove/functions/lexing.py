@@ -3,13 +3,14 @@
 A statement is looked at as an array of tokens inside its row, or, where the
 nesting depth of every token matters, as one row per token (`token_rows`).
 
-Known limits: backslash escapes are not recognised, and block comments nest up
-to five levels.
+Backslashes escape in literals that begin with E, and in all of them where a
+``dialect`` column names a dialect that reads them so. Block comments nest up to
+12 levels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +20,18 @@ from querygrove.prims import once, spread_by
 
 # Possessive quantifiers keep the matcher linear and free of deep recursion on
 # long literals, comments and scripts.
-_STRING = r"'(?:[^']++|'')*+'"
+_BACKSLASHED = r"'(?:[^'\\]++|\\(?s:.)|'')*+'"
+_PREFIX = r"(?<![\p{L}\p{N}_$])[eE]"
+#: An E before the quote belongs to the literal.
+_STRING = rf"(?<={_PREFIX}){_BACKSLASHED}|'(?:[^']++|'')*+'"
 _QUOTED = r'"[^"]*+"|`[^`]*+`'
+_QUOTED_BACKSLASHED = r'"(?:[^"\\]++|\\(?s:.)|"")*+"|`[^`]*+`'
 _LINE_COMMENT = r"--[^\n]*+"
 #: A body between equal dollar tags; a dollar inside a name begins none.
 _DOLLAR = r"(?<![\p{L}\p{N}_$])\$(?<tag>(?:[\p{L}_][\p{L}\p{N}_]*+)?)\$(?s:.*?)\$\k<tag>\$"
 
 
-def _nested_comment(levels: int = 5) -> str:
+def _nested_comment(levels: int = 12) -> str:
     plain = r"[^*/]++|\*(?!/)|/(?!\*)"
     pattern = rf"/\*(?:{plain})*+\*/"
     for _ in range(levels - 1):
@@ -37,15 +42,41 @@ def _nested_comment(levels: int = 5) -> str:
 #: Balanced, or else up to the first end, or to the end of the text.
 _BLOCK_COMMENT = _nested_comment() + r"|/\*(?s:.*?)(?:\*/|\z)"
 
-#: One alternative per token class; whatever is left over is a one-character token.
-TOKEN = "|".join((
-    _LINE_COMMENT, _BLOCK_COMMENT, _STRING, _QUOTED, _DOLLAR, r"\$[0-9]+", r"[\p{L}_][\p{L}\p{N}_$]*+",
-    r"[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?", r"<>|<=|>=|!=|\|\||::|->>|->", r"[^\s]",
-))
-#: A statement: everything up to a semicolon outside quotes and comments.
-STATEMENT = (
-    f"(?:{_STRING}|{_QUOTED}|{_DOLLAR}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|" + r"[^;'\"`/$-]++|['\"`/$-])++"
-)
+def _token(string: str, quoted: str) -> str:
+    """One alternative per token class; whatever is left over is a one-character token."""
+    return "|".join((
+        _LINE_COMMENT, _BLOCK_COMMENT, f"[eE]{_BACKSLASHED}", string, quoted, _DOLLAR, r"\$[0-9]+", r"[\p{L}_][\p{L}\p{N}_$]*+",
+        r"[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?", r"<>|<=|>=|!=|\|\||::|->>|->", r"[^\s]",
+    ))
+
+
+def _statement(string: str, quoted: str) -> str:
+    """A statement: everything up to a semicolon outside quotes and comments."""
+    return f"(?:{string}|{quoted}|{_DOLLAR}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|" + r"[^;'\"`/$-]++|['\"`/$-])++"
+
+
+def _kept(string: str, quoted: str) -> str:
+    """Literals and quoted names, kept, or a comment."""
+    return rf"({string}|{quoted}|{_DOLLAR})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
+
+
+#: How literals and quoted names read: usually, and where all backslashes escape.
+_USUAL, _ESCAPING = (_STRING, _QUOTED), (_BACKSLASHED, _QUOTED_BACKSLASHED)
+
+
+def dialect_of(df: DataFrame) -> Column | None:
+    return F.col("dialect") if "dialect" in df.columns else None
+
+
+def _escaping(sql: Column, dialect: Column | None) -> Column | None:
+    """Do backslashes escape in this text? None: the dialect is not known."""
+    return None if dialect is None else dialect.isin(*refdata.BACKSLASH_DIALECTS) & F.contains(sql, F.lit("\\"))
+
+
+def _read(sql: Column, dialect: Column | None, apply: Callable[[str, str], Column]) -> Column:
+    """``apply`` with the literals of the text's dialect."""
+    escaping = _escaping(sql, dialect)
+    return apply(*_USUAL) if escaping is None else F.when(escaping, apply(*_ESCAPING)).otherwise(apply(*_USUAL))
 
 
 def clean(sql: Column) -> Column:
@@ -57,27 +88,34 @@ def strip(sql: Column) -> Column:
     return F.btrim(sql, F.lit(" \t\r\n\f"))
 
 
-def statement_texts(sql: Column) -> Column:
+def statement_texts(sql: Column, dialect: Column | None = None) -> Column:
     """Non-empty statement texts of a script, in order."""
-    parts = F.transform(F.regexp_extract_all(clean(sql), F.lit(STATEMENT), F.lit(0)), strip)
-    return F.filter(parts, lambda part: part != "")
+    text = clean(sql)
+    parts = _read(text, dialect, lambda *literals: F.regexp_extract_all(text, F.lit(_statement(*literals)), F.lit(0)))
+    return F.filter(F.transform(parts, strip), lambda part: part != "")
+
 
+def all_pieces(sql: Column, dialect: Column | None = None) -> Column:
+    """Tokens and blanks, which together give the text back."""
+    return _read(sql, dialect, lambda *literals: F.regexp_extract_all(sql, F.lit(_token(*literals).replace(r"[^\s]", r"\s+|[^\s]")), F.lit(0)))
 
-def all_tokens(sql: Column) -> Column:
-    return F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0))
+
+def all_tokens(sql: Column, dialect: Column | None = None) -> Column:
+    return _read(sql, dialect, lambda *literals: F.regexp_extract_all(sql, F.lit(_token(*literals)), F.lit(0)))
 
 
 def is_comment(token: Column) -> Column:
     return token.startswith("--") | token.startswith("/*")
 
 
-def tokens(sql: Column) -> Column:
-    """Tokens of a statement without its comments."""
-    return F.filter(all_tokens(sql), lambda token: ~is_comment(token))
+def tokens(sql: Column, dialect: Column | None = None) -> Column:
+    """Tokens of a statement without its comments; literals without their prefix."""
+    found = F.filter(all_tokens(sql, dialect), lambda token: ~is_comment(token))
+    return F.when(sql.rlike("[eE]'"), F.transform(found, lambda token: F.regexp_replace(token, "^[eE](?=')", ""))).otherwise(found)
 
 
 def _is_text(token: Column) -> Column:
-    return (token.startswith("'") & (F.length(token) > 1)) | token.rlike(r"^\$[^0-9]")
+    return (token.startswith("'") & (F.length(token) > 1)) | token.rlike(r"^\$[^0-9]|^[eE]'")
 
 
 def _is_quoted(token: Column) -> Column:
@@ -97,13 +135,23 @@ def token_kind(token: Column) -> Column:
     )
 
 
-KEPT = rf"({_STRING}|{_QUOTED}|{_DOLLAR})|{_LINE_COMMENT}|{_BLOCK_COMMENT}"
-_LITERAL = r"""(')(?:[^']++|'')*+'|(["`])[^"`]*+["`]"""
+KEPT = _kept(*_USUAL)
+_LITERAL = rf"{_PREFIX}('){_BACKSLASHED[1:]}" + r"""|(')(?:[^']++|'')*+'|(["`])[^"`]*+["`]"""
 _SIGN = r"""([0-9]+\.[0-9]+|<>|<=|>=|!=|\|\||::|->>|->|['"`](?!\?)|[-(),;.\[\]{}+*/%=<>~@#&^|!:?](?<!['"`]\?))"""
 
 
-def without_comments(sql: Column) -> Column:
-    return F.regexp_replace(sql, KEPT, "$1 ")
+def without_comments(sql: Column, dialect: Column | None = None) -> Column:
+    """Every comment as a blank."""
+    return _read(sql, dialect, lambda *literals: F.regexp_replace(sql, _kept(*literals), "$1 "))
+
+
+def plain_escapes(sql: Column, dialect: Column | None) -> Column:
+    """Literals with backslashes as empty ones, where the dialect reads them so; a text without comments is expected."""
+    escaping = _escaping(sql, dialect)
+    if escaping is None:
+        return sql
+    text = F.regexp_replace(sql, rf"(`[^`]*+`)|(['\"])(?:(?<=')(?:[^'\\]++|\\(?s:.)|'')*+'|(?<=\")(?:[^\"\\]++|\\(?s:.)|\"\")*+\")", "$1$2$2")
+    return F.when(escaping, text).otherwise(sql)
 
 
 def plain_bodies(sql: Column) -> Column:
@@ -114,15 +162,36 @@ def plain_bodies(sql: Column) -> Column:
     return F.when(F.contains(sql, F.lit("$")), F.replace(text, F.lit("\u0001"), F.lit("'body'"))).otherwise(sql)
 
 
+def _spaced(plain: Column) -> Column:
+    text = F.regexp_replace(plain, _LITERAL, " $1$2$3? ")
+    text = F.regexp_replace(text, _SIGN, " $1 ")
+    return F.upper(F.concat(F.lit(" "), F.regexp_replace(text, r"^\s+|\s+(?=\s)|\s+$", ""), F.lit(" ")))
+
+
 def masked(sql: Column) -> Column:
     """Upper-cased words and signs between single blanks, literals and quoted names masked.
 
     Four replacements over the text. Patterns over the result cannot be misled
     by the content of literals; a quote without a partner stays a sign.
     """
-    text = F.regexp_replace(plain_bodies(without_comments(sql)), _LITERAL, " $1$2? ")
-    text = F.regexp_replace(text, _SIGN, " $1 ")
-    return F.upper(F.concat(F.lit(" "), F.regexp_replace(text, r"^\s+|\s+(?=\s)|\s+$", ""), F.lit(" ")))
+    return _spaced(plain_bodies(without_comments(sql)))
+
+
+def with_mask(df: DataFrame, sql: str = "sql") -> DataFrame:
+    """Adds ``mask``: ``masked`` of a text without byte order mark, read by its dialect.
+
+    Each step is a column, which later steps may use several times; a text
+    without the signs of a comment, an escape or a dollar quote is not searched for them.
+    """
+    dialect, text = dialect_of(df), F.col("_text")
+    comment = F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*"))
+    steps = (
+        df.withColumn("_text", clean(F.col(sql)))
+        .withColumn("_text", F.when(comment, without_comments(text, dialect)).otherwise(text))
+        .withColumn("_text", plain_escapes(text, dialect)).withColumn("_text", plain_bodies(text))
+    )
+    # A barrier: filters on what follows would else be pushed below it and repeat every step.
+    return once(steps, mask=_spaced(text)).drop("_text")
 
 
 def canonical(toks: Column) -> Column:
@@ -219,7 +288,7 @@ def with_profile(df: DataFrame, sql: str = "sql") -> DataFrame:
     is a barrier that keeps later filters from repeating all of them.
     """
     df = (
-        df.withColumn("mask", masked(clean(F.col(sql))))
+        with_mask(df, sql)
         .withColumn("_outline", outline(F.col("mask")))
         .withColumn("_top", full_outline(F.col("_outline")))
         .withColumn("prof", profile(F.col("mask"), F.col("_top")))
@@ -308,7 +377,7 @@ def token_rows(df: DataFrame, keys: Sequence[str], sql: str = "sql", keep: Seque
     )
     opening, closing = F.col("tok") == "(", F.col("tok") == ")"
     rows = (
-        once(spread_by(df, *keys), _toks=tokens(clean(F.col(sql))))
+        once(spread_by(df, *keys), _toks=tokens(clean(F.col(sql)), dialect_of(df)))
         .select(*keys, *keep, F.explode(F.expr(_near())).alias("near"))
         .select(*keys, *keep, "near.*")
         .withColumn("_after", F.sum(F.when(opening, 1).when(closing, -1).otherwise(0)).over(in_order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querygrove import refdata
 from querygrove.functions import lexing
-from querygrove.prims import accounted, cut_lineage, once
+from querygrove.prims import accounted, cut_lineage, once, segmented
 
 NEVER = 2**62
 
@@ -29,26 +29,36 @@ def migration_convention(files: DataFrame) -> DataFrame:
     return files.withColumn("convention", convention(_name()))
 
 
-def migration_order(files: DataFrame, lexical: bool = False) -> DataFrame:
-    """Files with a convention, numbered per repository by version.
-
-    Versions are compared as numbers; ``lexical`` compares their text without
-    leading zeros instead. A repository has at most ``max_schema_files`` files.
-    """
+def _versioned(files: DataFrame) -> DataFrame:
+    """Files with a convention and their ``version``, as text without leading zeros."""
     digits = F.regexp_extract(_name(), r"(?i)^V?(\d+)_", 1)
     kept = migration_convention(files).filter(F.col("convention").isNotNull())
     text = F.when(F.col("convention").isin("numeric", "flyway"),
                   F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(digits)
-    keyed = kept.withColumn("version", text)
+    return kept.withColumn("version", text)
+
+
+def _numbered(keyed: DataFrame, lexical: bool) -> DataFrame:
     # numbers too long for a bigint still compare right: by length, then text
     order = [F.col("version")] if lexical else [F.length("version"), F.col("version")]
-    return keyed.withColumn("file_ord", F.row_number().over(Window.partitionBy("repo").orderBy(*order, "path")))
+    ranks = segmented(keyed.select("repo", "path", "version").distinct(), ["repo"], [*order, F.col("path")], {"file_ord": ("sum", F.lit(1))})
+    return keyed.join(ranks.select("repo", "path", "version", F.col("file_ord").cast("int").alias("file_ord")), ["repo", "path", "version"])
+
+
+def migration_order(files: DataFrame, lexical: bool = False) -> DataFrame:
+    """Files with a convention, numbered per repository by version.
+
+    Versions are compared as numbers; ``lexical`` compares their text without
+    leading zeros instead. Only paths and versions are scanned in order; a
+    repository with most of the files spreads over all tasks.
+    """
+    return _numbered(_versioned(files), lexical)
 
 
 def ambiguous_migrations(files: DataFrame) -> DataFrame:
     """Repositories whose files cannot be put in order, with the reason."""
-    keyed = migration_order(files)
-    mixed = keyed.groupBy("repo").agg(F.countDistinct("convention").alias("n"), F.min("convention").alias("lo"), F.max("convention").alias("hi")).filter("n > 1").select(
+    keyed = _versioned(files)
+    mixed = keyed.groupBy("repo").agg(F.min("convention").alias("lo"), F.max("convention").alias("hi")).filter("lo <> hi").select(
         "repo", F.lit("ambiguous_migration_conventions").alias("kind"), F.concat_ws(",", "lo", "hi").alias("detail"))
     twice = keyed.groupBy("repo", "version").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi")).filter("n > 1")
     twice = twice.groupBy("repo").agg(F.min(F.struct("version", "lo", "hi")).alias("d")).select(
@@ -57,8 +67,9 @@ def ambiguous_migrations(files: DataFrame) -> DataFrame:
 
 
 def ordered_migrations(files: DataFrame) -> DataFrame:
-    bad = ambiguous_migrations(files).select("repo")
-    return migration_order(files).join(bad, "repo", "left_anti")
+    """Numbered files of the repositories that can be put in order."""
+    good = files.join(ambiguous_migrations(files).select("repo"), "repo", "left_anti")
+    return migration_order(good)
 
 
 # --- change events ------------------------------------------------------------------------
@@ -210,67 +221,137 @@ def live_tables(events: DataFrame) -> DataFrame:
     return last.filter(F.col("op") == "create_table").drop("op")
 
 
-def schema_state(events: DataFrame) -> DataFrame:
-    """Final columns of the live tables.
+_COLUMN_OPS = ("add_column", "drop_column", "rename_column")
+_TABLE_OPS = ("create_table", "drop_table")
 
-    Only events after a table's last CREATE count. A column's last event
-    decides, except for renames: the new name exists when the old one did just
-    before, else the rename did nothing and the event before it decides. These
-    look-backs are followed for all columns at once, one join per step, and
-    end when no column is left open.
+
+def with_table_state(events: DataFrame) -> DataFrame:
+    """``events`` with ``_table``: (seq, op) of the last CREATE or DROP of its table before it; a scan that a hot table does not hold up."""
+    mark = F.when(F.col("op").isin(*_TABLE_OPS), F.struct("seq", "op"))
+    return segmented(events, ["repo", "tbl"], ["seq"], {"_table": ("max_before", mark)})
+
+
+def _followed(nodes: DataFrame, rounds: int) -> DataFrame:
+    """Pointer doubling: every node (at, next, exit, hops) with the hops to the end of its chain and the exit there.
+
+    In a round each node asks the one it points to. Nodes and questions meet by
+    key in one shuffle, and the plan grows by one step a round: nothing is
+    written and no job runs in between. A node that is asked for and does not
+    exist is an end that is still open.
     """
-    live = live_tables(events)
-    recent = events.filter(F.col("op").isin("add_column", "drop_column", "rename_column")).join(live, ["repo", "tbl"]).filter(
-        (F.col("seq") > F.col("born")) & (F.coalesce("new_col", F.lit("")) != F.col("col")))
-    touches = cut_lineage(
-        recent.select("repo", "tbl", "seq", F.explode(F.when(
-            F.col("op") == "rename_column",
-            F.array(F.struct(F.col("col").alias("cur"), F.lit("gone").alias("kind"), F.lit(None).cast("string").alias("data_type"), F.lit(None).cast("string").alias("src")),
-                    F.struct(F.col("new_col").alias("cur"), F.lit("from").alias("kind"), F.lit(None).cast("string").alias("data_type"), F.col("col").alias("src"))),
-        ).otherwise(F.array(F.struct(
-            F.col("col").alias("cur"), F.when(F.col("op") == "add_column", "add").otherwise("gone").alias("kind"),
-            F.col("data_type"), F.lit(None).cast("string").alias("src"))))).alias("t")).select("repo", "tbl", "seq", "t.*"))
-    frontier = touches.select("repo", "tbl", F.col("cur").alias("col")).distinct().select(
-        "repo", "tbl", "col", F.col("col").alias("cur"), F.lit(NEVER).alias("before"),
-        F.array().cast("array<struct<cur:string,before:bigint>>").alias("stack"))
-    found: list[DataFrame] = []
-    while True:
-        hits = frontier.join(touches, ["repo", "tbl", "cur"], "left").groupBy("repo", "tbl", "col").agg(
-            F.max(F.when(F.col("seq") < F.col("before"), F.struct("seq", "kind", "data_type", "src"))).alias("hit"),
-            F.first("cur").alias("cur"), F.first("stack").alias("stack"))
-        kind = F.coalesce(F.col("hit.kind"), F.lit("gone"))
-        step = cut_lineage(hits.withColumn("kind", kind))
-        found.append(step.filter(F.col("kind") == "add").select("repo", "tbl", "col", "hit.data_type"))
-        renamed = step.filter(F.col("kind") == "from").select(
-            "repo", "tbl", "col", F.col("hit.src").alias("cur"), F.col("hit.seq").alias("before"),
-            F.array_append("stack", F.struct("cur", F.col("hit.seq").alias("before"))).alias("stack"))
-        retried = step.filter((F.col("kind") == "gone") & (F.size("stack") > 0)).select(
-            "repo", "tbl", "col", F.element_at("stack", -1)["cur"].alias("cur"), F.element_at("stack", -1)["before"].alias("before"),
-            F.slice("stack", 1, F.size("stack") - 1).alias("stack"))
-        frontier = renamed.unionByName(retried)
-        if frontier.isEmpty():
-            break
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    for _ in range(rounds):
+        met = nodes.select("*", F.explode(F.when(
+            F.col("next").isNull(), F.array(F.struct(F.col("at").alias("key"), F.lit(False).alias("ask"))),
+        ).otherwise(F.array(F.struct(F.col("at").alias("key"), F.lit(False).alias("ask")), F.struct(F.col("next").alias("key"), F.lit(True).alias("ask"))))).alias("q"))
+        told = met.withColumn("own", F.first(F.when(~F.col("q.ask"), F.struct("next", "exit", "hops")), ignorenulls=True).over(Window.partitionBy("q.key")))
+        ask = F.col("q.ask")
+        nodes = told.filter(ask | F.col("next").isNull()).select(
+            "at", F.when(ask, F.col("own.next")).alias("next"), F.when(ask, F.col("own.exit")).otherwise(F.col("exit")).alias("exit"),
+            F.when(ask & F.col("own").isNotNull(), F.concat("hops", "own.hops")).otherwise(F.col("hops")).alias("hops"))
+    return nodes
+
+
+def column_history(events: DataFrame) -> DataFrame:
+    """Every column with the span of its validity: repo, tbl, col, data_type, valid_from, valid_to (null: still there).
+
+    Events count from a table's CREATE to its next CREATE or DROP. In that time
+    a name is cut into segments at the events that clear it (ADD, DROP, RENAME
+    to another name). An added column starts in its segment and moves on to the
+    new name's segment where a RENAME ends it, so that each segment has one
+    successor and all chains are followed together in as many rounds as the
+    logarithm of the longest possible one. Where two columns come to be in a
+    segment the later one replaces the other; a RENAME without a column moves nothing.
+    A column's row holds one entry per rename it went through.
+    """
+    marked = with_table_state(events.filter(F.col("tbl").isNotNull()).select("repo", "tbl", "seq", "op", "col", "new_col", "data_type"))
+    marked = marked.filter(F.col("_table.op") == "create_table").withColumn("born", F.col("_table.seq"))
+    ended = marked.filter(F.col("op").isin(*_TABLE_OPS)).select("repo", "tbl", "born", F.col("seq").alias("ended"))
+    spans = _column_spans(marked).join(ended, ["repo", "tbl", "born"], "left")
+    return spans.select("repo", "tbl", "col", "data_type", "valid_from", F.coalesce("valid_to", "ended").alias("valid_to"))
+
+
+def _column_spans(marked: DataFrame) -> DataFrame:
+    """Spans of the columns in the time of their table, which began at ``born``."""
+    recent = marked.filter(F.col("op").isin(*_COLUMN_OPS) & (F.coalesce("new_col", F.lit("")) != F.col("col")))
+
+    def touch(name: str, kind: str) -> Column:
+        return F.struct(F.col(name).alias("name"), F.lit(kind).alias("kind"))
+
+    touches = recent.select("repo", "tbl", "born", "seq", "data_type", F.explode(
+        F.when(F.col("op") == "rename_column", F.array(touch("col", "away"), touch("new_col", "into")))
+        .when(F.col("op") == "add_column", F.array(touch("col", "add"))).otherwise(F.array(touch("col", "drop")))).alias("t")).select(
+        "repo", "tbl", "born", "seq", "data_type", "t.*")
+    earlier = Window.partitionBy("repo", "tbl", "born", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    touches = cut_lineage(touches.withColumn("start", F.coalesce(F.max(F.when(F.col("kind") != "into", F.col("seq"))).over(earlier), F.col("born"))))
+
+    def segment(name: str, start: str) -> Column:
+        return F.struct("repo", "tbl", "born", F.col(name).alias("name"), F.col(start).alias("start"))
+
+    renamed = touches.filter(F.col("kind").isin("away", "into")).groupBy("repo", "tbl", "born", "seq").agg(*[
+        F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in ("away", "into") for c in ("name", "start")])
+    hop = F.struct(F.col("into_name").alias("name"), F.col("into_start").alias("start"), F.col("seq").alias("entry"))
+    links = renamed.select(segment("away_name", "away_start").alias("at"), segment("into_name", "into_start").alias("next"), F.col("seq").alias("exit"), F.array(hop).alias("hops"))
+    nothing = F.lit(None).cast(links.schema["next"].dataType).alias("next"), F.array().cast(links.schema["hops"].dataType).alias("hops")
+    closed = touches.filter(F.col("kind").isin("add", "drop")).select(segment("name", "start").alias("at"), nothing[0], F.col("seq").alias("exit"), nothing[1])
+    longest = renamed.groupBy("repo", "tbl", "born").count().agg(F.max("count")).first()[0] or 0
+    ends = _followed(links.unionByName(closed), longest.bit_length())
+
+    added = touches.filter("kind = 'add'").select("data_type", F.col("seq").alias("entry"), segment("name", "seq").alias("at"))
+    added = added.join(ends, "at", "left")
+    first = F.array(F.struct(F.col("at.name").alias("name"), F.col("at.start").alias("start"), F.col("entry").alias("entry")))
+    added = added.withColumn("stay", F.concat(first, F.coalesce("hops", nothing[1])))
+    stays = added.select("at", "data_type", "exit", "stay", F.posexplode(F.transform("stay", lambda x: x["entry"])).alias("i", "from"))
+    stays = stays.select(
+        F.col("at.repo").alias("repo"), F.col("at.tbl").alias("tbl"), F.col("at.born").alias("born"), F.get("stay", F.col("i"))["name"].alias("col"),
+        F.get("stay", F.col("i"))["start"].alias("start"), "from", "data_type", F.coalesce(F.get("stay", F.col("i") + 1)["entry"], F.col("exit")).alias("leave"),
+        F.reverse(F.slice(F.transform("stay", lambda x: x["entry"]), F.lit(1), F.col("i") + 1)).alias("path"))
+    place = ["repo", "tbl", "born", "col", "start"]
+    # Of columns that took the same rename, only the one that had replaced the others was there.
+    real = stays.groupBy(*place, "from").agg(F.max_by(F.struct("data_type", "leave"), "path").alias("c"))
+    pushed = F.lead("from").over(Window.partitionBy(*place).orderBy("from"))
+    return real.select("repo", "tbl", "born", "col", "c.data_type", F.col("from").alias("valid_from"), F.least(F.col("c.leave"), pushed).alias("valid_to"))
+
+
+def live_columns(events: DataFrame) -> DataFrame:
+    """Final columns of the live tables with the event they came from: only what follows the last CREATE is looked at."""
+    recent = events.select("repo", "tbl", "seq", "op", "col", "new_col", "data_type").join(live_tables(events), ["repo", "tbl"]).filter(F.col("seq") > F.col("born"))
+    return _column_spans(recent).filter("valid_to is null").drop("valid_to")
 
 
-def schema_as_of(events: DataFrame, seq: int) -> DataFrame:
-    return schema_state(events.filter(F.col("seq") <= seq))
+def schema_state(events: DataFrame) -> DataFrame:
+    """Final columns of the live tables."""
+    return live_columns(events).select("repo", "tbl", "col", "data_type")
 
 
-def altered_unknown(events: DataFrame) -> DataFrame:
-    """ALTER events on tables that do not exist at that moment.
+def schema_as_of(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """Columns at each requested point: ``requests`` (repo, version) with tbl, col and data_type.
 
-    The last create or drop before an event decides; both are merged into one
-    ordered window per table, over DDL of one repository's bounded migrations.
+    An as-of join by interval tree: a span is filed under the smallest binary
+    range of versions that holds it, and a request looks into its one range per
+    size. All comparisons are by equal keys, and what is met in a range but not
+    valid at the request is no more than what is valid at the range's middle.
     """
-    order = Window.partitionBy("repo", "tbl").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = events.filter(F.col("tbl").isNotNull()).withColumn(
-        "_state", F.max(F.when(F.col("op").isin("create_table", "drop_table"), F.struct("seq", "op"))).over(order)["op"])
-    alters = ("add_column", "drop_column", "rename_column", "unsupported_alter_action")
-    return marked.filter(F.col("op").isin(*alters) & (F.coalesce("_state", F.lit("drop_table")) == "drop_table")).drop("_state")
+    spans = column_history(events).withColumn("_last", F.coalesce("valid_to", F.lit(NEVER)) - 1)
+    differ = F.col("valid_from").bitwiseXOR(F.col("_last"))
+    spans = spans.withColumn("_level", F.when(differ == 0, 0).otherwise(F.length(F.bin(differ))))
+    spans = spans.withColumn("_range", F.expr("shiftright(valid_from, _level)"))
+    wanted = requests.select("repo", "version", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("_level")).withColumn("_range", F.expr("shiftright(version, _level)"))
+    met = wanted.join(spans, ["repo", "_level", "_range"]).filter("valid_from <= version and version <= _last")
+    return met.select("repo", "version", "tbl", "col", "data_type")
+
+
+_ALTERS = ("add_column", "drop_column", "rename_column", "unsupported_alter_action")
+
+
+def _alters_unknown() -> Column:
+    """For events of ``with_table_state``: an ALTER on a table that does not exist at that moment."""
+    missing = F.coalesce(F.col("_table.op"), F.lit("drop_table")) == "drop_table"
+    return F.col("tbl").isNotNull() & F.col("op").isin(*_ALTERS) & missing
+
+
+def altered_unknown(events: DataFrame) -> DataFrame:
+    """ALTER events on tables that do not exist at that moment: the last create or drop before an event decides."""
+    return with_table_state(events).filter(_alters_unknown()).drop("_table")
 
 
 def foreign_keys(events: DataFrame) -> DataFrame:
@@ -292,9 +373,11 @@ def index_state(events: DataFrame) -> DataFrame:
 
 
 def event_order() -> Column:
-    """One long in the order of file, statement and action: room for 2**25 statements a file and 2**15 actions a statement."""
+    """One long in the order of file, statement and action: room for 2**25 statements a file and 2**15 actions a statement; more is an error."""
     file, stmt = F.col("file_ord").cast("long"), F.col("stmt_idx").cast("long")
-    return file * F.lit(1 << 40) + stmt * F.lit(1 << 15) + F.col("action")
+    fits = (stmt < (1 << 25)) & (F.col("action") < (1 << 15))
+    return F.when(fits, file * F.lit(1 << 40) + stmt * F.lit(1 << 15) + F.col("action")).otherwise(
+        F.raise_error(F.concat(F.lit("too many statements or actions in "), "path")).cast("long"))
 
 
 def ddl_warnings(events: DataFrame, cap: int | None = None) -> DataFrame:
@@ -303,13 +386,11 @@ def ddl_warnings(events: DataFrame, cap: int | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     compromised = F.when(F.col("op") == "unsupported_type", F.array(F.lit("column_type"))).when(
         F.col("op") == "parse_failure", every).otherwise(none)
-    plain = events.filter(F.col("op").startswith("unsupported") | (F.col("op") == "parse_failure")).filter(
-        F.col("op") != "unsupported_alter_action").select("repo", "seq", "path", "op", "tbl")
-    unknown = altered_unknown(events).dropDuplicates(["repo", "path", "stmt_idx"]).select(
-        "repo", "seq", "path", F.lit("alter_unknown_table").alias("op"), "tbl")
-    actions = events.filter(F.col("op") == "unsupported_alter_action").join(
-        altered_unknown(events).select("repo", "seq"), ["repo", "seq"], "left_anti").select("repo", "seq", "path", "op", "tbl")
-    found = plain.unionByName(unknown).unionByName(actions).withColumn("compromised", compromised).withColumn(
+    marked = with_table_state(events.select("repo", "seq", "path", "stmt_idx", "op", "tbl")).withColumn("_unknown", _alters_unknown())
+    plain = marked.filter((F.col("op").startswith("unsupported") | (F.col("op") == "parse_failure")) & ~F.col("_unknown")).select("repo", "seq", "path", "op", "tbl")
+    unknown = marked.filter("_unknown").groupBy("repo", "path", "stmt_idx").agg(F.min(F.struct("seq", "tbl")).alias("u")).select(
+        "repo", "u.seq", "path", F.lit("alter_unknown_table").alias("op"), "u.tbl")
+    found = plain.unionByName(unknown).withColumn("compromised", compromised).withColumn(
         "affects", F.size("compromised") > 0)
     return accounted(found, ["repo"], [F.col("seq"), F.col("op")], cap)
 
@@ -338,7 +419,5 @@ def schema_fingerprint(migrations: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def catalogue_of(events: DataFrame) -> DataFrame:
-    """Column catalogue in the form the lint rules read, from replayed events."""
-    first = events.filter(F.col("op") == "add_column").groupBy("repo", "tbl", "col").agg(F.max("seq").alias("ordinal"))
-    tables = live_tables(events).select("repo", "tbl", F.col("born").alias("tbl_ord"))
-    return schema_state(events).join(first, ["repo", "tbl", "col"], "left").join(tables, ["repo", "tbl"])
+    """Column catalogue in the form the lint rules read, from replayed events: columns in the order in which they came to be."""
+    return live_columns(events).select("repo", "tbl", "col", F.col("valid_from").alias("ordinal"), "data_type", F.col("born").alias("tbl_ord"))

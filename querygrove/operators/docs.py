@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from querygrove.options import options
 from querygrove.prims import once, ranked, spread_by
@@ -11,6 +19,7 @@ from querygrove.prims import once, ranked, spread_by
 _FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 _ENTRY = r"(?m)^[A-Za-z_][A-Za-z0-9_-]*:.*$"
 _WORD = r"[a-z_][a-z0-9_]*"
+_WORDS = re.compile(_WORD)
 MARKDOWN = r"(?m)(?=^#{1,6}\s+.)"
 MARKDOWN_TITLE = r"(?m)\A#{1,6}\s+(.+)$"
 HTML = r"(?i)(?=<h[1-6][\s>])"
@@ -87,17 +96,112 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def score_sections(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Score of every section that shares a token with a query.
+    """Score of every section that shares a token with a query, by joining the index with the queries' tokens.
 
-    While the queries are small enough for Spark to broadcast, the index stays
-    partitioned by section, the sums need no further shuffle and frequent tokens
-    never meet in one task. Larger ones join by token, where AQE splits hot tokens.
+    For query sets of any size; AQE splits frequent tokens. ``match_sections`` needs no shuffle
+    while the queries fit its bound.
     """
     hits = index.join(query_tokens(queries), "token")
     return hits.groupBy("source", "sec_no", "query_id").agg(
         F.sum(F.col("weight") * F.col("times")).cast("double").alias("score"), F.first("title").alias("title"))
 
 
+#: (query, token) pairs that are sent to every task at once.
+MAX_QUERY_TOKENS = 200_000
+#: Scores that a task holds at once.
+_SCORES = 1 << 22
+_FIELDS = (("title", 3), ("keywords", 2), ("text", 1))
+
+
+class _Queries:
+    """Tokens of the queries, and for each token the queries that have it, side by side in arrays."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids = list(dict.fromkeys(r["query_id"] for r in rows))
+        place = {q: i for i, q in enumerate(self.ids)}
+        rows = sorted(rows, key=lambda r: r["token"])
+        self.token: dict[str, int] = {}
+        starts = []
+        for at, row in enumerate(rows):
+            if row["token"] not in self.token:
+                self.token[row["token"]] = len(starts)
+                starts.append(at)
+        self.starts = np.array([*starts, len(rows)])
+        self.query = np.array([place[r["query_id"]] for r in rows], np.int64)
+        self.times = np.array([r["times"] for r in rows], np.int64)
+
+    def scores(self, sections: pa.RecordBatch) -> np.ndarray:
+        """Score of every section with every query: sums over the shared tokens only."""
+        rows, tokens, weights = [], [], []
+        for name, weight in _FIELDS:
+            for i, value in enumerate(sections.column(name).to_pylist()):
+                found = [self.token[t] for t in set(_WORDS.findall((value or "").lower())) if t in self.token]
+                rows += [i] * len(found)
+                tokens += found
+                weights += [weight] * len(found)
+        n, token = len(self.ids), np.array(tokens, np.int64)
+        sizes = self.starts[token + 1] - self.starts[token]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.starts[token] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        cell = np.repeat(np.array(rows, np.int64) * n, sizes) + self.query[place]
+        total = np.bincount(cell, weights=np.repeat(np.array(weights), sizes) * self.times[place], minlength=len(sections) * n)
+        return total.reshape(len(sections), n)
+
+
+def _matched(queries: _Queries, k: int | None, schema: pa.Schema):
+    """Scores of sections inside a task: all, or the best ``k`` of each query."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        step = max(1, _SCORES // max(len(queries.ids), 1))
+        for batch in batches:
+            for low in range(0, len(batch), step):
+                part = batch.slice(low, step)
+                yield part, queries.scores(part)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, score in parts(batches):
+            i, q = np.nonzero(score)
+            taken = part.take(pa.array(i))
+            ids = pa.array([queries.ids[x] for x in q.tolist()], schema.field("query_id").type)
+            yield pa.RecordBatch.from_arrays([ids, *[taken.column(c) for c in ("source", "sec_no", "title")], pa.array(score[i, q])], names=schema.names)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: list[list[tuple]] = [[] for _ in queries.ids]
+        bound = np.zeros(len(top))  # a section below its query's k-th best score so far cannot come in
+        for part, score in parts(batches):
+            source, number, title = (part.column(c).to_pylist() for c in ("source", "sec_no", "title"))
+            for q in np.flatnonzero((score >= np.maximum(bound, 1e-9)).any(0)).tolist():
+                at = np.flatnonzero((score[:, q] > 0) & (score[:, q] >= bound[q]))
+                if len(at) > k:
+                    least = np.partition(score[at, q], len(at) - k)[len(at) - k]
+                    at = at[score[at, q] >= least]
+                entries = [(-score[i, q], source[i], title[i], number[i]) for i in at.tolist()]
+                top[q] = heapq.nsmallest(k, top[q] + entries)
+                if len(top[q]) == k:
+                    bound[q] = -top[q][-1][0]
+        rows = [(queries.ids[q], source, number, title, -score) for q, entries in enumerate(top) for score, source, title, number in entries]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    return every if k is None else best
+
+
+def match_sections(sections: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """Scores of sections with queries: query_id, source, sec_no, title, score; with ``k`` the best of each task only.
+
+    Sections (source, sec_no, title, keywords, text) are scored where they are read, against the
+    tokens of all queries; nothing is shuffled, and with ``k`` only as many rows per
+    query leave a task. Query sets of more than ``MAX_QUERY_TOKENS`` tokens are joined instead.
+    """
+    tokens = query_tokens(queries)
+    rows = tokens.limit(MAX_QUERY_TOKENS + 1).collect()
+    if len(rows) > MAX_QUERY_TOKENS:
+        return score_sections(section_tokens(sections), queries).select("query_id", "source", "sec_no", "title", "score")
+    fields = sections.select("source", "sec_no", "title", "keywords", "text")
+    schema = StructType([queries.schema["query_id"], *[fields.schema[c] for c in ("source", "sec_no", "title")], StructField("score", DoubleType())])
+    return fields.mapInArrow(_matched(_Queries(rows), k, to_arrow_schema(schema)), schema)
+
+
 def top_sections(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Best ``k`` sections per query; limited per task before the shuffle."""
     k = options()["max_doc_sections"] if k is None else k

@@ -8,6 +8,9 @@ length are matched whole; a blank one has no match and ``input_kind`` "blank".
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +29,75 @@ def best_first() -> list[tuple[int, tuple]]:
     return sorted(enumerate(refdata.ERROR_CATALOG, 1), key=lambda entry: (-entry[1][6], entry[0]))
 
 
-def hits(entry: tuple, text: str = "error_text", dialect: str = "dialect") -> Column:
-    """Does a catalogue entry match the text in its dialect?"""
-    hit = F.col(text).rlike(f"(?i){entry[1]}")
-    return hit if entry[2] == "any" else hit & (F.col(dialect) == entry[2])
+def required_literals(pattern: str) -> tuple[str, ...] | None:
+    """Lower-cased texts of which a match of ``pattern`` holds at least one: the longest of each alternative.
+
+    None where the pattern has more than word borders and gaps, so that nothing is known to be required.
+    """
+    found = []
+    for alternative in pattern.split("|"):
+        longest = max(re.split(r"\\b|\.\*", alternative), key=len).lower()
+        if not longest or re.search(r"[\\.^$*+?{}\[\]()]", longest):
+            return None
+        found.append(longest)
+    return tuple(dict.fromkeys(found))
+
+
+def _coded(literal: str) -> bool:
+    """An error code: it has a digit, and most texts have none."""
+    return any(c.isdigit() for c in literal)
+
+
+def literal_index(catalog: Sequence[tuple]) -> dict[str, int]:
+    """Every literal that some pattern requires, with its place in the array of ``literals_found``."""
+    every = [literal for entry in catalog for literal in required_literals(entry[1]) or ()]
+    return {literal: place for place, literal in enumerate(dict.fromkeys(every))}
+
+
+_INDEX = literal_index(refdata.ERROR_CATALOG)
+
+
+def _text(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals_found(low: str = "_low", digit: str = "_digit") -> Column:
+    """Which literals of the index a lowered text holds: one plain search per literal, whatever the number of patterns that share it."""
+    held = [f"{digit} AND contains({low}, {_text(t)})" if _coded(t) else f"contains({low}, {_text(t)})" for t in _INDEX]
+    return F.expr(f"array({', '.join(held)})")
+
+
+def hits(entry: tuple, text: str = "error_text", dialect: str = "dialect", found: str = "_found") -> str:
+    """SQL: does a catalogue entry match the text in its dialect? Its pattern runs where a literal it requires was found."""
+    tests = [] if entry[2] == "any" else [f"{dialect} = {_text(entry[2])}"]
+    required = required_literals(entry[1])
+    if required is not None:
+        tests.append("(" + " OR ".join(f"{found}[{_INDEX[t]}]" for t in required) + ")")
+    return " AND ".join([*tests, f"{text} RLIKE {_text('(?i)' + entry[1])}"])
 
 
 def matches_of(text: str = "error_text", dialect: str = "dialect") -> Column:
-    """Array of the matching entries, best first."""
+    """Array of the matching entries, best first. One SQL text: spelled call by call it takes seconds to build."""
     found = []
     for ordinal, entry in best_first():
         catalog_id, _, _, diagnosis, fix, severity, specificity = entry
-        values = (ordinal, catalog_id, severity, specificity, diagnosis, fix)
-        found.append(F.when(hits(entry, text, dialect), F.struct(*[F.lit(v).alias(n) for n, v in zip(FIELDS, values, strict=True)])))
-    return F.array_compact(F.array(*found))
+        values = (ordinal, _text(catalog_id), _text(severity), specificity, _text(diagnosis), _text(fix))
+        fields = ", ".join(f"'{n}', {v}" for n, v in zip(FIELDS, values, strict=True))
+        found.append(f"CASE WHEN {hits(entry, text, dialect)} THEN named_struct({fields}) END")
+    return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
 def triage(errors: DataFrame) -> DataFrame:
-    """``errors`` with ``input_kind`` (text or blank) and ``matches``, evaluated once per row."""
+    """``errors`` with ``input_kind`` (text or blank) and ``matches``, evaluated once per row.
+
+    Lowered text, literals found, matches: each is one step inside the row, and only
+    the few patterns whose literal occurs run over a long text.
+    """
     kind = F.when(F.coalesce(F.col("error_text").rlike(r"\S"), F.lit(False)), "text").otherwise("blank")
-    return once(errors, input_kind=kind, matches=matches_of())
+    lowered = once(errors, input_kind=kind, _low=F.lower("error_text"), _digit=F.col("error_text").rlike("[0-9]"))
+    indexed = once(lowered, _found=literals_found()).drop("_low", "_digit")
+    return once(indexed, matches=matches_of()).drop("_found")
 
 
 def ranked_matches(errors: DataFrame) -> DataFrame:

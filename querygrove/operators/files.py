@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querygrove import refdata
 from querygrove.options import options
-from querygrove.prims import prefix_sums
+from querygrove.prims import cut_lineage, first_over
 
 SCAN_KEYWORD = r"(?iU)\b(?:" + "|".join(refdata.SCAN_KEYWORDS) + r")\b"
 ORM_MARKER = "|".join(marker.replace(".", r"\.") for marker in refdata.ORM_MARKERS)
@@ -125,16 +125,22 @@ def admit_within_budget(classified: DataFrame, max_files: int | None = None,
         .withColumn("_hit", hit.cast("long"))
         .withColumn("_bytes", F.when(hit & ~is_sql(), F.col("size")).otherwise(F.lit(0)).cast("long"))
     )
-    running = prefix_sums(counted, ["path"], {"_hit": "_seen", "_bytes": "_used"})
-    full = (F.col("_seen") - F.col("_hit") >= max_files) | (
-        ~is_sql() & (F.col("_used") - F.col("_bytes") + F.col("size") > max_bytes)
-    )
-    stop = running.agg(F.min(F.when(full, F.col("path"))).alias("_stop"))  # one row
-    return (
-        running.filter(hit)
-        .join(F.broadcast(stop), F.col("_stop").isNull() | (F.col("path") < F.col("_stop")))
-        .select("path", "dir", "name", "size", "classification", F.col("_stop").isNotNull().alias("truncated"))
-    )
+    # Names and sizes are written once: what they were derived from, the contents, is not read again.
+    counted, room = cut_lineage(counted), F.lit(max_bytes)
+
+    def exceeded(before: dict[str, Column]) -> Column:
+        return (before["seen"] >= max_files) | (~is_sql() & (before["used"] + F.col("size") > room))
+
+    def bounds(before: dict[str, float], bucket) -> tuple[bool, bool]:
+        largest = bucket["largest"] or 0
+        may = before["seen"] + bucket["seen"] >= max_files or (bucket["largest"] is not None and before["used"] + bucket["used"] + largest > max_bytes)
+        must = before["seen"] >= max_files or (bucket["largest"] is not None and before["used"] + largest > max_bytes)
+        return may, must
+
+    stop = first_over(counted.drop("dir", "classification"), ["path"], {"seen": "_hit", "used": "_bytes"}, exceeded, bounds,
+                      {"largest": F.max(F.when(~is_sql(), F.col("size")))})
+    admitted = counted.filter(hit) if stop is None else counted.filter(hit & (F.col("path") < stop["path"]))
+    return admitted.select("path", "dir", "name", "size", "classification", F.lit(stop is not None).alias("truncated"))
 
 
 def context_map(classified: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrove.options import options
-from querygrove.prims import prefix_sum
+from querygrove.prims import WINDOW_ROWS, first_over, key_literal, prefix_sum, stretch_over
 
 #: Parts of a key per domain besides the domain itself. Fixed values.
 KEY_PARTS = {
@@ -63,10 +63,27 @@ def retain_by_count(results: DataFrame, n: int | None = None) -> DataFrame:
     return results.orderBy(F.desc("created"), F.desc("write_id")).limit(n)
 
 
-def retain_by_size(results: DataFrame, max_bytes: int, access: str = "created") -> DataFrame:
-    """Newest results whose sizes add up to at most ``max_bytes``."""
+def retain_by_size(results: DataFrame, max_bytes: int, access: str = "created", running: str | None = None) -> DataFrame:
+    """Newest results whose sizes add up to at most ``max_bytes``.
+
+    The place of the cut is found from sums per stretch of the order, and one
+    filter keeps what lies before it: stored values are neither sorted nor
+    shuffled. ``running`` names a column for the running total, which is added
+    over the kept results, whose size is bounded.
+    """
+    order = ["_age", "_tie"]
     newest = results.withColumn("_age", -F.col(access)).withColumn("_tie", -F.col("write_id"))
-    return prefix_sum(newest, ["_age", "_tie"], "size", "running").filter(F.col("running") <= max_bytes).drop("_age", "_tie")
+    keys, passes = newest.select(*order, "size"), lambda before, bucket: (before["used"] + bucket["used"] > max_bytes,) * 2
+    part = stretch_over(keys, order, {"used": "size"}, passes)
+    if part is not None and part.ahead + part.rows <= WINDOW_ROWS:  # few are kept: one window over them and the stretch of the cut
+        total = running or "_running"
+        near = newest.filter(part.reached(newest, order)).withColumn(total, F.sum("size").over(Window.orderBy(*order)))
+        kept = near.filter(F.col(total) <= max_bytes)
+        return kept.drop(*order) if running else kept.drop(*order, total)
+    if part is not None:
+        stop = first_over(keys, order, {"used": "size"}, lambda before: before["used"] + F.col("size") > max_bytes, passes)
+        newest = newest.filter(F.struct(*order) < key_literal(newest, order, stop))
+    return (prefix_sum(newest, order, "size", running) if running else newest).drop(*order)
 
 
 def reject_poisoned(results: DataFrame, schema: str = "kind string, rows bigint") -> DataFrame:

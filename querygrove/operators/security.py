@@ -165,7 +165,7 @@ def statement_findings(units: DataFrame) -> DataFrame:
     """SEC-003 to SEC-009 on the statements of SQL units. No shuffle."""
     keep = [c for c in units.columns if c != "content"]
     statements = units.filter(F.col("input_kind") == "sql").select(
-        *keep, F.posexplode(lexing.statement_texts(F.col("content"))).alias("stmt_idx", "sql"))
+        *keep, F.posexplode(lexing.statement_texts(F.col("content"), lexing.dialect_of(units))).alias("stmt_idx", "sql"))
     good = lexing.with_profile(statements).filter(F.col("problem").isNull())
     hits = once(good, _hits=statement_rules(F.col("input_role"), F.col("dialect")))
     return hits.withColumn("_hit", F.explode("_hits")).select(
@@ -239,48 +239,74 @@ def severity_rollup(found: DataFrame) -> DataFrame:
 
 # --- calls in host code -------------------------------------------------------------------
 
-_TRIPLE = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
-_LINE_TEXT = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'"
-_TEXT = rf"[rRbBuU]{{0,2}}(?:{_TRIPLE}|{_LINE_TEXT})"
-_CONSTANT = rf"(?:{_TEXT}(?:\s+{_TEXT})*|[0-9][0-9.]*|None|True|False)"
-_ARGUMENT = rf"""(?:{_TRIPLE}|{_LINE_TEXT}|\((?:[^()]|\([^()]*\))*\)|[^,()"'])++"""
-#: A call with its first argument, over as many lines as it takes.
-_CALL = rf"\.(?:executemany|execute)\s*\(\s*(?:{_CONSTANT}\s*[,)]|\)|{_ARGUMENT}[,)]?)?"
+_TRIPLE = r'"""(?s:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?s:[^'\\]++|\\.|'(?!''))*+'''"
+_LINE_TEXT = r'"(?:[^"\\\n]|\\(?s:.))*+"' + r"|'(?:[^'\\\n]|\\(?s:.))*+'"
+#: Comments, literals with their prefix, and what lies between: together they give the text back.
+_HOST_PIECE = (
+    rf"#[^\n]*+|(?:(?<![A-Za-z0-9_])[rRbBuUfF]{{1,2}})?(?:{_TRIPLE}|{_LINE_TEXT})"
+    + r"""|(?:(?![rRbBuUfF]{0,2}['"])[^#'"])++|(?s:.)""")
+#: Signs around the number of a line, see ``host_code``.
+_MARK, _END = "\u0002", "\u0003"
 
 
-def _call_facts(call: Column) -> dict[str, Column]:
-    body = F.regexp_replace(call, r"^\.(?:executemany|execute)\s*\(\s*", "")
-    return {
-        "no_args": body.rlike(r"^\)"),
-        "constant": body.rlike(rf"^{_CONSTANT}\s*[,)]$"),
-        "text_constant": body.rlike(rf"^{_TEXT}(?:\s+{_TEXT})*\s*[,)]$"),
-        "more_args": body.rlike(r",$"),
-    }
+def host_code(source: Column) -> Column:
+    """Source text without comments, every literal as ``"S"`` or, where it interpolates, ``"F"``, and every line ended by its number.
 
+    Line breaks stay, those inside of literals too, so that lines keep their numbers.
+    """
+    def plain(piece: Column) -> Column:
+        literal = piece.rlike(r"""(?s)^[rRbBuUfF]{0,2}['"].""")
+        breaks = F.regexp_replace(piece, r"[^\n]+", "")
+        mark = F.when(piece.rlike("^[rRbBuU]?[fF]"), '"F"').otherwise('"S"')
+        return F.when(piece.startswith("#"), F.lit("")).when(literal, F.concat(mark, breaks)).otherwise(piece)
 
-def dynamic_execute_calls(sources: DataFrame) -> DataFrame:
-    """One row per call whose first argument is not a constant, with the line the call begins in."""
-    df = once(
-        sources, _before=F.regexp_extract_all("content", F.lit(rf"((?s:.*?)){_CALL}"), F.lit(1)),
-        _calls=F.regexp_extract_all("content", F.lit(_CALL), F.lit(0)))
+    code = F.array_join(F.transform(F.regexp_extract_all(source, F.lit(_HOST_PIECE), F.lit(0)), plain), "")
+    numbered = F.transform(F.split(code, "\n"), lambda line, i: F.concat(line, F.lit(_MARK), (i + 1).cast("string"), F.lit(_END)))
+    return F.array_join(numbered, "\n")
+
+
+def _bracketed(levels: int = 12) -> str:
+    """A pair of brackets with what it holds, pairs nested to ``levels``."""
+    inner = r"[^()\[\]{}]"
+    pattern = rf"[(\[{{]{inner}*+[)\]}}]"
+    for _ in range(levels - 1):
+        pattern = rf"[(\[{{](?:{inner}|{pattern})*+[)\]}}]"
+    return pattern
+
+
+_BLANK = rf"(?:\s|{_MARK}[0-9]++{_END})*+"
+_LITERALS = rf'"S"(?:{_BLANK}"S")*+'
+_CONSTANT = rf"(?:{_LITERALS}|[0-9][0-9A-Za-z_.]*+|None\b|True\b|False\b|\.\.\.)"
+_KEYWORD = rf"(?:\*\*|[A-Za-z_]\w*+{_BLANK}=(?!=))"
+#: No positional argument, or a constant one: alone or in brackets.
+_FIRST = rf"\)|{_KEYWORD}|(?:{_CONSTANT}|\({_BLANK}{_CONSTANT}{_BLANK}\)){_BLANK}[,)]"
+#: A positional argument with another one behind it.
+_MORE = rf"(?:[^,()\[\]{{}}]|{_bracketed()})++,{_BLANK}(?!\)|{_KEYWORD})"
+#: A call: line, method, its first argument where that is simple, and its first two where there are two.
+_CALL = rf"(?=[^{_MARK}]*+{_MARK}([0-9]++))\.{_BLANK}(executemany|execute){_BLANK}\({_BLANK}(?=({_FIRST}|))(?=({_MORE}|))"
 
-    def breaks(text: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit("\n")))
 
-    # Texts before the calls and the calls take turns: a call's line is one more than the breaks of all before it.
-    lines_before = F.transform("_before", lambda text, i: breaks(F.array_join(F.slice("_before", 1, i + 1), "")) + breaks(F.array_join(F.slice("_calls", 1, i), "")))
-    pairs = F.arrays_zip(F.transform(lines_before, lambda n: n + 1).alias("line_no"), F.col("_calls").alias("call"))
-    calls = df.select("unit_id", F.explode(pairs).alias("p")).select("unit_id", "p.*")
-    facts = _call_facts(F.col("call"))
-    return calls.filter(~facts["no_args"] & ~facts["constant"]).select(
-        "unit_id", "line_no", F.regexp_extract("call", r"^\.(executemany|execute)", 1).alias("method"))
+def host_calls(sources: DataFrame) -> DataFrame:
+    """unit_id and ``calls``: line, method and facts of every call of an execute method in the code, calls inside of arguments included."""
+    code = once(sources.select("unit_id", "content"), _code=host_code(F.col("content"))).drop("content")
+    found = once(code, **{f"_g{i}": F.regexp_extract_all("_code", F.lit(_CALL), F.lit(i)) for i in range(1, 5)})
+
+    def facts(c: Column) -> Column:
+        first, none = c["_g3"], c["_g3"].rlike(rf"^(?:\)|{_KEYWORD})")
+        return F.struct(
+            c["_g1"].cast("int").alias("line_no"), c["_g2"].alias("method"), none.alias("no_args"), ((first != "") & ~none).alias("constant"),
+            first.rlike(rf'^\(?{_BLANK}"S"').alias("text"), (c["_g4"] != "").alias("more_args"))
+
+    return found.select("unit_id", F.transform(F.arrays_zip("_g1", "_g2", "_g3", "_g4"), facts).alias("calls"))
+
+
+def dynamic_execute_calls(sources: DataFrame) -> DataFrame:
+    """One row per call whose first argument is not a constant, with the line the call begins in; comments and literals hold no calls."""
+    dynamic = F.filter("calls", lambda c: ~c["no_args"] & ~c["constant"])
+    return host_calls(sources).select("unit_id", F.inline(F.transform(dynamic, lambda c: F.struct(c["line_no"].alias("line_no"), c["method"].alias("method")))))
 
 
 def parameterized_files(sources: DataFrame) -> DataFrame:
     """A file is safe when it has calls and each has a constant text or more arguments."""
-    def fine(call: Column) -> Column:
-        facts = _call_facts(call)
-        return facts["no_args"] | facts["text_constant"] | facts["more_args"]
-
-    calls = F.regexp_extract_all("content", F.lit(_CALL), F.lit(0))
-    return sources.select("unit_id", ((F.size(calls) > 0) & F.forall(calls, fine)).alias("safe"))
+    fine = F.forall("calls", lambda c: c["no_args"] | c["text"] | c["more_args"])
+    return host_calls(sources).select("unit_id", ((F.size("calls") > 0) & fine).alias("safe"))

@@ -18,7 +18,7 @@ KEYS = ("unit_id", "stmt_idx")
 def tokenize(scripts: DataFrame) -> DataFrame:
     """Token rows of every script; comments and literals are single tokens."""
     return scripts.select(
-        "unit_id", F.posexplode(lexing.all_tokens(lexing.clean(F.col("sql")))).alias("pos", "text")
+        "unit_id", F.posexplode(lexing.all_tokens(lexing.clean(F.col("sql")), lexing.dialect_of(scripts))).alias("pos", "text")
     ).withColumn("kind", lexing.token_kind(F.col("text")))
 
 
@@ -33,14 +33,14 @@ def split_statements(scripts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     The split is one regex over the script's text, so it needs no shuffle.
     """
     return scripts.select(
-        "unit_id", *keep, F.posexplode(lexing.statement_texts(F.col("sql"))).alias("stmt_idx", "sql")
+        "unit_id", *keep, F.posexplode(lexing.statement_texts(F.col("sql"), lexing.dialect_of(scripts))).alias("stmt_idx", "sql")
     )
 
 
 def statement_budget(scripts: DataFrame, cap: int | None = None) -> DataFrame:
     """First ``cap`` statements of each script, and an error row where there were more."""
     cap = options()["max_statements"] if cap is None else cap
-    texts = lexing.statement_texts(F.col("sql"))
+    texts = lexing.statement_texts(F.col("sql"), lexing.dialect_of(scripts))
     kept = F.transform(
         F.slice(texts, 1, cap),
         lambda text, i: F.struct(i.alias("stmt_idx"), text.alias("sql"), F.lit(None).cast("string").alias("error"),
@@ -56,7 +56,7 @@ def statement_budget(scripts: DataFrame, cap: int | None = None) -> DataFrame:
 
 def single_statement_only(scripts: DataFrame) -> DataFrame:
     """The statement of one-statement scripts; the others are rejected, never cut."""
-    texts = lexing.statement_texts(F.col("sql"))
+    texts = lexing.statement_texts(F.col("sql"), lexing.dialect_of(scripts))
     n = F.size(texts)
     return scripts.select(
         "unit_id", n.alias("statements"), F.when(n == 1, F.get(texts, F.lit(0))).alias("sql"),
@@ -176,8 +176,7 @@ def source_spans(scripts: DataFrame) -> DataFrame:
     The text is cut into tokens and blanks that together give it back, so that
     offsets are running sums of lengths. One script is one key.
     """
-    piece = lexing.TOKEN.replace(r"[^\s]", r"\s+|[^\s]")
-    pieces = F.regexp_extract_all(lexing.clean(F.col("sql")), F.lit(piece), F.lit(0))
+    pieces = lexing.all_pieces(lexing.clean(F.col("sql")), lexing.dialect_of(scripts))
     rows = spread_by(scripts, "unit_id").select("unit_id", F.posexplode(pieces).alias("i", "text"))
     before = Window.partitionBy("unit_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("text")

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querygrove import refdata
 from querygrove.options import options
-from querygrove.prims import rule_table, spread_by
+from querygrove.prims import rule_table, segmented, spread_by
 
 
 def active_tasks(refs: DataFrame, ttl: int | None = None) -> DataFrame:
     """Creations of each task: first use, then the first use after each expiry.
 
     Expiry counts from the creation and is not moved by later uses. Uses are
-    first reduced to distinct seconds per span of one time to live, which
-    bounds every list by ``ttl`` however many rows a task has. The spans of a
-    task then pass one after the other through a fold whose state is the
-    current creation time.
+    first reduced to distinct seconds per span of one time to live, combined
+    map-side, which bounds every list by ``ttl`` however many rows a task has.
+    Creations are more than a time to live apart, so a span has one at most:
+    the spans of a task pass through a fold of one search each, whose state is
+    the current creation time.
     """
     ttl = options()["task_ttl_seconds"] if ttl is None else ttl
     spans = refs.groupBy("task_id", F.floor(F.col("at_s") / ttl).cast("long").alias("span")).agg(
@@ -32,10 +34,10 @@ def active_tasks(refs: DataFrame, ttl: int | None = None) -> DataFrame:
         for batch in batches:
             out: list[tuple[str, int]] = []
             for name, uses in zip(batch["task_id"], batch["uses"]):
-                for at in uses:
-                    if name != task or at - created > ttl:
-                        task, created = name, int(at)
-                        out.append((task, created))
+                first = bisect_right(uses, created + ttl) if name == task else 0
+                if first < len(uses):
+                    task, created = name, int(uses[first])
+                    out.append((task, created))
             yield pd.DataFrame(out, columns=["task_id", "created"])
 
     return ordered.mapInPandas(fold, "task_id string, created long")
@@ -78,33 +80,17 @@ def redact_fields(events: DataFrame) -> DataFrame:
 def usage_by_user_window(events: DataFrame, gap: int = 3600, tiles: int = 4) -> DataFrame:
     """Per event of a user: neighbours, session start, running count and quartile.
 
-    Windows only span one user and day; what crosses days comes from one small
-    row per user and day. A user with very many events is spread over days.
+    One segmented scan: a user with very many events, on one day or on many,
+    fills several ranges and is scanned in as many tasks.
     """
-    day = F.floor(F.col("at_s") / 86_400).cast("long")
-    rows = events.withColumn("day", day)
-    inside = Window.partitionBy("user_id", "day").orderBy("at_s", "event_id")
-    days = rows.groupBy("user_id", "day").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("at_s").alias("_first"), F.max("at_s").alias("_last"))
-    by_day = Window.partitionBy("user_id").orderBy("day")
-    days = days.select(
-        "user_id", "day",
-        F.coalesce(F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.lag("_last").over(by_day).alias("_prev_day"), F.lead("_first").over(by_day).alias("_next_day"),
-        F.sum("_n").over(Window.partitionBy("user_id")).alias("_total"),
-    )
-    out = (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_lag", F.lag("at_s").over(inside)).withColumn("_lead", F.lead("at_s").over(inside))
-        .join(days, ["user_id", "day"])
-        .withColumn("running", F.col("_rn") + F.col("_before"))
-        .withColumn("prev_at", F.coalesce("_lag", "_prev_day")).withColumn("next_at", F.coalesce("_lead", "_next_day"))
-    )
+    at = F.struct("at_s", "event_id")
+    rows = segmented(events.select("event_id", "user_id", "at_s"), ["user_id"], ["at_s", "event_id"], {
+        "running": ("sum", F.lit(1)), "_prev": ("max_before", at), "_next": ("next", at), "_total": ("total", F.lit(1))})
     base, extra = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
     long_part = extra * (base + 1)
     tile = F.when(F.col("running") <= long_part, F.ceil(F.col("running") / (base + 1))).otherwise(
         extra + F.ceil((F.col("running") - long_part) / base))
-    return out.select(
-        "event_id", "user_id", "prev_at", "next_at", "running",
-        (F.col("prev_at").isNull() | (F.col("at_s") - F.col("prev_at") > gap)).alias("session_start"),
-        tile.cast("int").alias("quartile"))
+    prev_at = F.col("_prev.at_s")
+    return rows.select(
+        "event_id", "user_id", prev_at.alias("prev_at"), F.col("_next.at_s").alias("next_at"), "running",
+        (prev_at.isNull() | (F.col("at_s") - prev_at > gap)).alias("session_start"), tile.cast("int").alias("quartile"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+
 
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A fixed rule table. Its size is the length of a constant in this package."""
@@ -84,7 +88,8 @@ def suppressed(df: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
 def accounted(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int | None = None, rank_col: str = "rank") -> DataFrame:
     """First ``cap`` rows per key (None: all) with ``suppressed_count`` and ``truncated`` of the key."""
     if cap is None:
-        rows = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        rows = segmented(df, keys, order, {rank_col: ("sum", F.lit(1))})
+        rows = rows.withColumn(rank_col, F.col(rank_col).cast("int"))
         return rows.withColumn("suppressed_count", F.lit(0).cast("long")).withColumn("truncated", F.lit(False))
     counts = suppressed(df, keys, cap).drop("total")
     return ranked(df, keys, order, cap, rank_col).join(counts, list(keys))
@@ -121,6 +126,168 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sums: dict[str, str])
     )
 
 
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], running: dict[str, tuple[str, Column]],
+              partitions: int | None = None) -> DataFrame:
+    """Values along each key in the order of ``order``; a key with most of the rows spreads over all tasks.
+
+    ``running`` maps an output column to (kind, value):
+
+    * "sum", "max": over the rows of the key up to and with the row itself;
+    * "max_before": over the rows before it. The last value so far is the maximum of a struct that begins with the order;
+    * "next": the value of the row after it, which has to grow with the order;
+    * "total": the sum over all rows of the key.
+
+    Rows are range partitioned by key and order, so a large key fills several
+    ranges. Each range is scanned per key. Only the first and the last key of a
+    range can reach over its borders, so what is carried between ranges is at
+    most two rows a range: their totals, scanned in turn and broadcast. No
+    window holds more of a key than one range. The order has to be unique
+    inside a key for "sum" to be well defined.
+    """
+    names = {out: f"_v_{i}" for i, out in enumerate(running)}
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    valued = df.select("*", *[value.alias(names[out]) for out, (_, value) in running.items()])
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = valued.repartitionByRange(partitions, *by) if partitions else valued.repartitionByRange(*by)
+    # The range borders come from a sample: all steps must read one materialisation.
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    key = F.struct(*keys)
+    ends = ranged.groupBy("_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    border = ranged.join(F.broadcast(ends), "_part").filter(key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high")))
+    total = {"sum": F.sum, "total": F.sum, "max": F.max, "max_before": F.max, "next": F.min}
+    border = border.groupBy("_part", *keys).agg(*[total[kind](names[out]).alias(names[out]) for out, (kind, _) in running.items()])
+    parts = Window.partitionBy(*keys).orderBy("_part")
+    earlier, later = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+
+    def carry(out: str, kind: str) -> Column:
+        value = F.col(names[out])
+        if kind == "total":
+            return F.sum(value).over(Window.partitionBy(*keys)) - value
+        return F.min(value).over(later) if kind == "next" else total[kind](value).over(earlier)
+
+    carried = border.select(F.col("_part").alias("_at"), *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
+                            *[carry(out, kind).alias(f"_c{names[out]}") for out, (kind, _) in running.items()])
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+
+    def scanned(out: str, kind: str) -> Column:
+        value = F.col(names[out])
+        if kind == "next":
+            return F.lead(value).over(inside)
+        if kind == "total":
+            return F.sum(value).over(Window.partitionBy("_part", *keys))
+        return total[kind](value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if kind == "max_before" else Window.currentRow))
+
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    local = ranged.select("*", *[scanned(out, kind).alias(f"_r{names[out]}") for out, (kind, _) in running.items()])
+
+    def value(out: str, kind: str) -> Column:
+        own, carry = F.col(f"_r{names[out]}"), F.col(f"_c{names[out]}")
+        if kind in ("sum", "total"):
+            return F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        return F.coalesce(own, carry) if kind == "next" else F.greatest(own, carry)
+
+    rows = local.join(F.broadcast(carried), same, "left")
+    return rows.select(*df.columns, *[value(out, kind).alias(out) for out, (kind, _) in running.items()])
+
+
+#: Rows that one ordered window may hold.
+WINDOW_ROWS = 100_000
+#: Borders that cut an order into buckets.
+BORDERS = 63
+
+
+def _bucket(df: DataFrame, order: Sequence[str], borders: Sequence[Sequence]) -> Column:
+    """How many of ``borders`` are at or below the order key; the borders are one constant, whatever their number."""
+    kind = StructType([StructField(c, df.schema[c].dataType) for c in order])
+    table = F.from_json(F.lit(json.dumps([dict(zip(order, b, strict=True)) for b in borders])), ArrayType(kind))
+    return F.size(F.filter(table, lambda b: b <= F.struct(*order)))
+
+
+def key_literal(df: DataFrame, order: Sequence[str], row: Sequence) -> Column:
+    """A constant that compares with ``F.struct(*order)`` of ``df``."""
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, row, strict=True)])
+
+
+@dataclass
+class Stretch:
+    """Where in an order the first row over a limit lies: its rows, those before it, and the sums before it."""
+
+    low: Sequence | None
+    high: Sequence | None
+    rows: int
+    ahead: int
+    before: dict[str, float]
+
+    def holds(self, df: DataFrame, order: Sequence[str]) -> Column:
+        low = F.lit(True) if self.low is None else F.struct(*order) >= key_literal(df, order, self.low)
+        return low & self.reached(df, order)
+
+    def reached(self, df: DataFrame, order: Sequence[str]) -> Column:
+        """Rows of the stretch and before it."""
+        return F.lit(True) if self.high is None else F.struct(*order) < key_literal(df, order, self.high)
+
+
+def stretch_over(df: DataFrame, order: Sequence[str], sums: dict[str, str], bounds: Callable[[dict[str, float], Row], tuple[bool, bool]],
+                 extremes: dict[str, Column] | None = None) -> Stretch | None:
+    """The stretch of the order in which a limit is first passed; None where it never is.
+
+    A selection by weight without a sort: a few dozen keys cut the order into
+    buckets, one aggregation gives the sums of ``sums`` (value column by name) and the
+    ``extremes`` of each bucket, and only the buckets that may hold the first such row are
+    looked at again, until they have few enough rows for one ordered window. ``bounds`` tells of
+    a bucket, from the sums before it and its own row of aggregates, whether a row in it
+    may pass the limit and whether one surely does. Only order keys and numbers are read, and nothing is shuffled but sums.
+    """
+    found = Stretch(None, None, 0, 0, dict.fromkeys(sums, 0))
+    while True:
+        rows = df.filter(found.holds(df, order))
+        keys = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(BORDERS).orderBy(*order).collect()
+        borders = list(dict.fromkeys(tuple(r) for r in keys))
+        total = rows.withColumn("_bucket", _bucket(df, order, borders)).groupBy("_bucket").agg(
+            F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(name) for name, v in sums.items()],
+            *[c.alias(name) for name, c in (extremes or {}).items()])
+        buckets = sorted(total.collect(), key=lambda r: r["_bucket"])
+        reached, ahead, region, start = dict(found.before), found.ahead, [], None
+        for bucket in buckets:
+            may, must = bounds(reached, bucket)
+            if may and start is None:
+                start = dict(reached)
+            if start is not None:
+                region.append(bucket)
+            else:
+                ahead += bucket["_n"]
+            if must:
+                break
+            for name in sums:
+                reached[name] += bucket[name]
+        if start is None:
+            return None
+        first, last = region[0]["_bucket"], region[-1]["_bucket"]
+        n = sum(b["_n"] for b in region)
+        found = Stretch(borders[first - 1] if first else found.low, borders[last] if last < len(borders) else found.high, n, ahead, start)
+        if n <= WINDOW_ROWS or len(region) == len(buckets):  # few rows, or keys that no border parts
+            return found
+
+
+def first_over(df: DataFrame, order: Sequence[str], sums: dict[str, str], exceeded: Callable[[dict[str, Column]], Column],
+               bounds: Callable[[dict[str, float], Row], tuple[bool, bool]], extremes: dict[str, Column] | None = None) -> Row | None:
+    """The order key of the first row at which ``exceeded`` holds; it reads the sums of the rows before a row. The rest as ``stretch_over``."""
+    part = stretch_over(df, order, sums, bounds, extremes)
+    if part is None:
+        return None
+    rows = df.filter(part.holds(df, order))
+    if part.rows <= WINDOW_ROWS:
+        ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        exact = rows.select("*", *[(F.coalesce(F.sum(v).over(ahead), F.lit(0)) + F.lit(part.before[name])).alias(f"_before_{name}") for name, v in sums.items()])
+    else:
+        exact = prefix_sums(rows, order, {v: f"_upto_{name}" for name, v in sums.items()})
+        exact = exact.select("*", *[(F.col(f"_upto_{name}") - F.col(v) + F.lit(part.before[name])).alias(f"_before_{name}") for name, v in sums.items()])
+    hit = exact.filter(exceeded({name: F.col(f"_before_{name}") for name in sums}))
+    return hit.agg(F.min(F.struct(*order)).alias("stop")).first()["stop"]
+
+
 def prefix_sum(df: DataFrame, order_cols: Sequence[str], value: str, out: str = "running") -> DataFrame:
     return prefix_sums(df, order_cols, {value: out})
 

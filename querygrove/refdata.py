@@ -295,3 +295,6 @@ MISSING_COLUMNS = (
     "The query references column(s) not present in the repo schema: ", ".", "Verify column names against the repo DDL (analyze_sql).",
 )
 LOCATE_TABLES = "Run find_context to locate migrations for the missing tables."
+
+#: Dialects in which a backslash escapes the next character of a literal. Fixed values.
+BACKSLASH_DIALECTS = ("mysql", "bigquery")

@@ -21,6 +21,7 @@ TABLES = (
 
 _Q = "chr(39)"
 _NL = "chr(10)"
+_BS = "chr(92)"
 
 
 def _files(e) -> str:
@@ -69,13 +70,18 @@ def _scripts(e) -> str:
     k = "CAST(o_orderkey AS STRING)"
     return f"""
     SELECT o_orderkey AS unit_id, o_custkey AS repo,
+      CASE WHEN o_orderkey % 32 = 20 THEN 'mysql' ELSE 'postgres' END AS dialect,
       CASE o_orderkey % 8
         WHEN 0 THEN 'SELECT ' || {k} || ' AS a; SELECT ' || {_Q} || 'x;y' || {_Q} || ' AS b'
         WHEN 1 THEN '-- note; not a split' || {_NL} || 'SELECT * FROM orders WHERE o_orderkey = ' || {k} || ';'
                     || {_NL} || 'DELETE FROM lineitem WHERE l_orderkey = ' || {k} || ';'
         WHEN 2 THEN '/* a; b */ UPDATE orders SET o_totalprice = 1 WHERE o_orderkey = ' || {k} || ';;; SELECT 1'
         WHEN 3 THEN {e.bom()} || 'SELECT 1; SELECT FROM WHERE; SELECT ' || {k}
-        WHEN 4 THEN '   '
+        WHEN 4 THEN CASE CAST(floor(o_orderkey / 8) AS BIGINT) % 4
+          WHEN 0 THEN '   '
+          WHEN 1 THEN 'SELECT E' || {_Q} || 'a' || {_BS} || {_Q} || ';b' || {_Q} || ' AS x; SELECT ' || {k} || ' WHERE name = e' || {_Q} || {_BS} || {_BS} || {_Q}
+          WHEN 2 THEN 'SELECT ' || {_Q} || 'it' || {_BS} || {_Q} || 's; here' || {_Q} || ' AS b; SELECT "q' || {_BS} || '";r"; SELECT ' || {k}
+          ELSE repeat('/* ', 10) || 'x; y' || repeat(' */', 10) || ' SELECT 1; /* a /* b; */ c; */ SELECT ' || {k} END
         WHEN 5 THEN 'SELECT "a;b" FROM t; DROP TABLE tmp_' || {k}
         WHEN 6 THEN 'SELECT (1 + ' || {k} || '; INSERT INTO t VALUES (1, 2); SELECT ' || {_Q} || 'open'
         ELSE 'CREATE TABLE t_' || {k} || ' (' || {_NL} || '  id INT,' || {_NL} || '  note TEXT' || {_NL} || ');'
@@ -148,7 +154,11 @@ def _source(e) -> str:
         WHEN 4 THEN 'q = base + " WHERE id = 5"' || {_NL} || 'cur.executemany(q)' || {_NL} || 'cur.execute("SELECT 1")'
         WHEN 5 THEN 'q = "SELECT * FROM users"' || {_NL} || 'conn.cursor().execute(build(1), args)'
         WHEN 6 THEN 'q = f"SELECT * FROM users"'
-        ELSE '# nothing here'
+        ELSE CASE CAST(floor(p_partkey / 8) AS BIGINT) % 4
+          WHEN 0 THEN '# nothing here'
+          WHEN 1 THEN '# cur.execute(q)' || {_NL} || 's = "cur.execute(q)"'
+          WHEN 2 THEN repeat('"', 3) || {_NL} || 'cur.execute(x)' || {_NL} || repeat('"', 3) || {_NL} || 'cur.execute(build(cur.fetch("a, b"), [1, 2]),' || {_NL} || '  timeout=3)'
+          ELSE 'cur.execute(outer(cur.executemany(q), {{1: 2}}), 1)  # cur.execute(z)' || {_NL} || 'cur.execute(r"a" "b", x)' END
       END || {_NL} || 'done = True' AS content
     FROM part"""
 
@@ -256,6 +266,12 @@ def _ddl_events(e) -> str:
     FROM events"""
 
 
+def _schema_requests(e) -> str:
+    return """
+    SELECT user_id % 20 AS repo, CAST(floor(max(event_id) * v / 3) AS BIGINT) AS version
+    FROM events, (VALUES (1), (2)) AS g(v) GROUP BY user_id % 20, v"""
+
+
 def _plan_lines(e) -> str:
     return """
     SELECT l_orderkey AS query_id,
@@ -431,7 +447,7 @@ VIEWS = {
     "v_files": (_files, ()), "v_files_prev": (_files_prev, ("v_files",)), "v_scripts": (_scripts, ()),
     "v_statements": (_statements, ()), "v_source": (_source, ()), "v_units": (_units, ("v_statements", "v_source")),
     "v_cat_columns": (_cat_columns, ()), "v_cat_indexes": (_cat_indexes, ()), "v_cat_warnings": (_cat_warnings, ()),
-    "v_migrations": (_migrations, ()), "v_ddl_events": (_ddl_events, ()), "v_plan_lines": (_plan_lines, ()),
+    "v_migrations": (_migrations, ()), "v_ddl_events": (_ddl_events, ()), "v_schema_requests": (_schema_requests, ()), "v_plan_lines": (_plan_lines, ()),
     "v_plans": (_plans, ("v_plan_lines",)), "v_plan_pairs": (_plan_pairs, ("v_plan_lines",)),
     "v_candidates": (_candidates, ("v_plan_lines",)), "v_errors": (_errors, ()), "v_docs": (_docs, ()),
     "v_queries": (_queries, ()), "v_requirements": (_requirements, ()), "v_results": (_results, ()),

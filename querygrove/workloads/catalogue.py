@@ -99,34 +99,40 @@ def ddl_events(spark, sf):
     return events(spark, sf).select("repo", "seq", "op", "tbl", "col", "data_type", "nullable", "default_text", detail.alias("detail"))
 
 
-def _replay(until: str) -> str:
-    """Oracle: one event per table and step, the columns of a table as a map."""
-    body = oracle("v_ddl_events", f"SELECT * FROM v_ddl_events {until}")
-    return f"""WITH RECURSIVE ev AS MATERIALIZED ({body}), b AS MATERIALIZED (
-      SELECT repo, tbl, max(seq) AS born, max_by(op, seq) AS last FROM ev WHERE op IN ('create_table', 'drop_table') GROUP BY ALL), s AS MATERIALIZED (
-      SELECT ev.*, row_number() OVER (PARTITION BY ev.repo, ev.tbl ORDER BY seq) AS r FROM ev JOIN b USING (repo, tbl)
-      WHERE b.last = 'create_table' AND seq > born), f AS (
-      SELECT repo, tbl, 0::BIGINT AS r, MAP(CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])) AS m FROM b WHERE last = 'create_table'
+def _replay(versions: str, source: str = "SELECT * FROM v_ddl_events", views: str = "v_ddl_events") -> str:
+    """Oracle: for each (repo, version) one event per table and step, the columns of a table as a map."""
+    body = oracle(f"{views} v_schema_requests", source)
+    wanted = oracle(f"{views} v_schema_requests", versions)
+    return f"""WITH RECURSIVE al AS MATERIALIZED ({body}), rq AS MATERIALIZED ({wanted}), ev AS MATERIALIZED (
+      SELECT al.*, version FROM al JOIN rq ON al.repo = rq.repo AND seq <= version), b AS MATERIALIZED (
+      SELECT repo, version, tbl, max(seq) AS born, max_by(op, seq) AS last FROM ev WHERE op IN ('create_table', 'drop_table') GROUP BY ALL), s AS MATERIALIZED (
+      SELECT ev.*, row_number() OVER (PARTITION BY ev.repo, ev.version, ev.tbl ORDER BY seq) AS r FROM ev JOIN b USING (repo, version, tbl)
+      WHERE b.last = 'create_table' AND seq > born AND op IN ('add_column', 'drop_column', 'rename_column')), f AS (
+      SELECT repo, version, tbl, 0::BIGINT AS r, MAP(CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])) AS m FROM b WHERE last = 'create_table'
       UNION ALL
-      SELECT f.repo, f.tbl, s.r, CASE
+      SELECT f.repo, f.version, f.tbl, s.r, CASE
           WHEN s.op = 'add_column' THEN map_concat(f.m, MAP([s.col], [s.data_type]))
           WHEN s.op = 'drop_column' THEN map_from_entries(list_filter(map_entries(f.m), lambda x: x.key <> s.col))
           WHEN s.op = 'rename_column' AND s.col <> s.new_col AND list_contains(map_keys(f.m), s.col) THEN
             map_concat(map_from_entries(list_filter(map_entries(f.m), lambda x: x.key <> s.col)), MAP([s.new_col], [f.m[s.col]]))
           ELSE f.m END
-      FROM f JOIN s ON s.repo = f.repo AND s.tbl = f.tbl AND s.r = f.r + 1), fin AS (
-      SELECT repo, tbl, max_by(m, r) AS m FROM f GROUP BY ALL)
-      SELECT repo, tbl, e.key AS col, e.value AS data_type FROM (SELECT repo, tbl, unnest(map_entries(m)) AS e FROM fin) x"""
+      FROM f JOIN s ON s.repo = f.repo AND s.version = f.version AND s.tbl = f.tbl AND s.r = f.r + 1), fin AS (
+      SELECT repo, version, tbl, max_by(m, r) AS m FROM f GROUP BY ALL)
+      SELECT repo, version, tbl, e.key AS col, e.value AS data_type FROM (SELECT repo, version, tbl, unnest(map_entries(m)) AS e FROM fin) x"""
 
 
-@query("schema_state", "", _replay(""))
+_LAST = "SELECT repo, max(seq) AS version FROM v_ddl_events GROUP BY repo"
+
+
+@query("schema_state", "", f"SELECT repo, tbl, col, data_type FROM ({_replay(_LAST)})")
 def schema_state(spark, sf):
     return op.schema_state(view(spark, sf, "v_ddl_events"))
 
 
-@query("schema_as_of", "", _replay("WHERE seq <= 5000"))
+@query("schema_as_of", "", _replay("SELECT * FROM v_schema_requests"))
 def schema_as_of(spark, sf):
-    return op.schema_as_of(view(spark, sf, "v_ddl_events"), 5000)
+    """The schemas of every repository at a third and at two thirds of the change log."""
+    return op.schema_as_of(view(spark, sf, "v_ddl_events"), view(spark, sf, "v_schema_requests"))
 
 
 FKS = EVENTS + """, fk AS (

@@ -78,15 +78,14 @@ def section_tokens(spark, sf):
 
 @query("score_sections", "v_docs v_queries", SCORES + "SELECT query_id, source, sec_no, score FROM s")
 def score_sections(spark, sf):
-    return op.score_sections(op.section_tokens(sections(spark, sf)), view(spark, sf, "v_queries")).select(
-        "query_id", "source", "sec_no", "score")
+    return op.match_sections(sections(spark, sf), view(spark, sf, "v_queries")).select("query_id", "source", "sec_no", "score")
 
 
 @query("top_sections", "v_docs v_queries", SCORES + """, r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, title, sec_no) AS rank FROM s)
   SELECT query_id, rank, source, title, score FROM r WHERE rank <= 20""")
 def top_sections(spark, sf):
-    scores = op.score_sections(op.section_tokens(sections(spark, sf)), view(spark, sf, "v_queries"))
+    scores = op.match_sections(sections(spark, sf), view(spark, sf, "v_queries"), 20)
     return op.top_sections(scores, 20).select("query_id", "rank", "source", "title", "score")
 
 

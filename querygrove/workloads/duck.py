@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-#: The lexer in the oracle engine's regex dialect.
-LEX = (
-    r"--[^\n]*|/\*(?s:.*?)\*/|''(?:[^'']|'''')*''|\"[^\"]*\"|`[^`]*`|\$[0-9]+|[\p{L}_][\p{L}\p{N}_$]*|"
-    r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|<>|<=|>=|!=|\|\||::|->>|->|[^\s]"
-)
-PIECES = LEX[: -len(r"[^\s]")] + r"\s+|[^\s]"
+def _comment(levels: int) -> str:
+    pattern = r"/\*(?s:.*?)\*/"
+    for _ in range(levels):
+        pattern = rf"/\*(?:[^*/]|{pattern})*\*/"
+    return pattern
+
+
+def _lex(string: str, quoted: str) -> str:
+    """The lexer in the oracle engine's regex dialect."""
+    return (
+        rf"--[^\n]*|{_comment(11)}|[eE]''(?:[^''\\]|\\.|'''')*''|{string}|{quoted}|`[^`]*`|\$[0-9]+|[\p{{L}}_][\p{{L}}\p{{N}}_$]*|"
+        r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|<>|<=|>=|!=|\|\||::|->>|->|[^\s]"
+    )
+
+
+_USUAL = _lex("''(?:[^'']|'''')*''", '"[^"]*"')
+_ESCAPING = _lex(r"''(?:[^''\\]|\\.|'''')*''", r'"(?:[^"\\]|\\.)*"')
+
+
+def lexed(pieces: bool = False) -> str:
+    """Tokens of ``sql``, read by its dialect; with ``pieces`` blanks too."""
+    usual, escaping = (p[: -len(r"[^\s]")] + r"\s+|[^\s]" if pieces else p for p in (_USUAL, _ESCAPING))
+    text = "ltrim(sql, chr(65279))"
+    return f"CASE WHEN dialect = 'mysql' THEN regexp_extract_all({text}, '{escaping}') ELSE regexp_extract_all({text}, '{usual}') END"
+
 
 KIND = r"""CASE WHEN starts_with({t}, '--') OR starts_with({t}, '/*') THEN 'comment'
-  WHEN length({t}) > 1 AND starts_with({t}, '''') THEN 'string' WHEN length({t}) > 1 AND {t}[1] IN ('"', '`') THEN 'identifier'
+  WHEN length({t}) > 1 AND starts_with({t}, '''') OR regexp_matches({t}, '^[eE]''') THEN 'string' WHEN length({t}) > 1 AND {t}[1] IN ('"', '`') THEN 'identifier'
   WHEN regexp_matches({t}, '^[\p{{L}}_]') THEN 'identifier' WHEN regexp_matches({t}, '^[0-9]') THEN 'number'
   WHEN regexp_matches({t}, '^\$[0-9]') THEN 'parameter' ELSE 'operator' END"""
 
 #: Statements of v_scripts, by a running count of semicolons over the pieces of each script.
 SPLIT = f""", pc AS (
   SELECT unit_id, repo, unnest(t) AS piece, generate_subscripts(t, 1) AS i
-  FROM (SELECT unit_id, repo, regexp_extract_all(ltrim(sql, chr(65279)), '{PIECES}') AS t FROM v_scripts) x), sq AS (
+  FROM (SELECT unit_id, repo, {lexed(pieces=True)} AS t FROM v_scripts) x), sq AS (
   SELECT *, sum(CASE WHEN piece = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY i) AS seq FROM pc), sg AS (
   SELECT unit_id, seq, trim(string_agg(piece, '' ORDER BY i), ' ' || chr(10)) AS sql
   FROM sq WHERE piece <> ';' GROUP BY unit_id, seq), st AS (

@@ -66,7 +66,7 @@ def retain_by_count(spark, sf):
   WHERE running <= 50000000""")
 def retain_by_size(spark, sf):
     """The most recently read or written results that fit."""
-    return re_.retain_by_size(accessed(spark, sf), 50_000_000, "last_access").select("key", "write_id", "running")
+    return re_.retain_by_size(accessed(spark, sf), 50_000_000, "last_access", "running").select("key", "write_id", "running")
 
 
 @query("reject_poisoned", _R, """

@@ -76,8 +76,9 @@ for _key in _KEYS:
 
 
 @query("dynamic_execute_calls", "v_source", """
-  SELECT unit_id, g.line_no, g.method FROM v_source JOIN (VALUES (0, 3, 'execute'), (1, 3, 'execute'), (4, 3, 'executemany'), (5, 3, 'execute'))
-    g(t, line_no, method) ON p_partkey % 8 = g.t""")
+  SELECT unit_id, g.line_no, g.method FROM v_source JOIN (VALUES (0, -1, 3, 'execute'), (1, -1, 3, 'execute'), (4, -1, 3, 'executemany'), (5, -1, 3, 'execute'),
+    (7, 2, 5, 'execute'), (7, 3, 2, 'execute'), (7, 3, 2, 'executemany')) g(t, u, line_no, method)
+    ON p_partkey % 8 = g.t AND (u = -1 OR (p_partkey // 8) % 4 = u)""")
 def dynamic_execute_calls(spark, sf):
     return op.dynamic_execute_calls(view(spark, sf, "v_source"))
 

@@ -9,14 +9,14 @@ from querygrove.functions.lexing import masked
 from querygrove.operators import statements as op
 from querygrove.prims import joined
 from querygrove.sources.views import view
-from querygrove.workloads.duck import KIND, LEX, PIECES, SPLIT, by_template
+from querygrove.workloads.duck import KIND, SPLIT, by_template, lexed
 from querygrove.workloads.errors import sql_text
 from querygrove.workloads.registry import query
 
 
 @query("tokenize", "v_scripts", f""", x AS (
   SELECT unit_id, unnest(t) AS text, CAST(generate_subscripts(t, 1) - 1 AS INT) AS pos
-  FROM (SELECT unit_id, regexp_extract_all(ltrim(sql, chr(65279)), '{LEX}') AS t FROM v_scripts) s)
+  FROM (SELECT unit_id, {lexed()} AS t FROM v_scripts) s)
   SELECT unit_id, pos, text, {KIND.format(t='text')} AS kind FROM x""")
 def tokenize(spark, sf):
     return op.tokenize(view(spark, sf, "v_scripts"))
@@ -54,7 +54,7 @@ def single_statement_only(spark, sf):
     (6, 2, 'unclosed_quote'), (7, 3, 'unknown_statement'), (7, 4, 'no_statement')) g(t, i, error)
     ON st.unit_id % 8 = g.t AND st.stmt_idx = g.i""")
 def malformed_statements(spark, sf):
-    return op.malformed_statements(op.split_statements(view(spark, sf, "v_scripts")))
+    return op.malformed_statements(op.split_statements(view(spark, sf, "v_scripts"), ("dialect",)))
 
 
 _KINDS = {
@@ -133,7 +133,7 @@ def statement_fingerprint(spark, sf):
 
 @query("source_spans", "v_scripts", f""", pc AS (
   SELECT unit_id, unnest(t) AS text, generate_subscripts(t, 1) AS i
-  FROM (SELECT unit_id, regexp_extract_all(ltrim(sql, chr(65279)), '{PIECES}') AS t FROM v_scripts) x), pf AS (
+  FROM (SELECT unit_id, {lexed(pieces=True)} AS t FROM v_scripts) x), pf AS (
   SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY unit_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
     sum(CASE WHEN text = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY i) AS seq FROM pc)
   SELECT unit_id, CAST(dense_rank() OVER (PARTITION BY unit_id ORDER BY seq) - 1 AS INT) AS stmt_idx, length(pre) AS start, text,
