@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -105,10 +106,12 @@ def slice_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_batches(text: str, others: list[str]):
+def _count_batches(text: str, others: list[str], row: str | None = None):
+    """Counts of the column ``text``, or of that field of the struct ``row``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [slice_counts(data, offsets) for _, _, data, offsets in slices(batch.column(text))]
+            texts = batch.column(text) if row is None else pc.struct_field(batch.column(row), text)
+            parts = [slice_counts(data, offsets) for _, _, data, offsets in slices(texts)]
             counts = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
             arrays = [batch.column(c) for c in others] + [pa.array(counts[:, k]) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, *[f"_{c}" for c in COUNTS]])
@@ -265,6 +268,7 @@ def keep_good(docs: DataFrame, quantile: float = 0.99999, min_group: int = 60) -
     """
     groups, fit = estimates(written(text_counts(docs), "quality-counts"), min_group=min_group)
     # The row travels as one struct, so that none of its columns clashes with a count.
-    source = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
-    own = text_counts(source, keep=["_row", "lang", "source"])
+    source = docs.select(F.struct(*docs.columns).alias("_row"))
+    schema = StructType([source.schema["_row"]] + [StructField(f"_{c}", LongType()) for c in COUNTS])
+    own = source.mapInArrow(_count_batches("text", ["_row"], "_row"), schema).select("*", "_row.lang", "_row.source")
     return judged(own, groups, fit, quantile).filter("_kept").select("_row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of whole texts in an Arrow batch.
-TEXT_ROWS = 400
+TEXT_ROWS = 128
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
