@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of whole texts in an Arrow batch.
-TEXT_ROWS = 128
+TEXT_ROWS = 400
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def text_batches(spark: SparkSession) -> None:
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Keeps Arrow batches of whole texts small: Spark counts rows only, and its default of 10,000 texts can be a gigabyte.
 
     A session that sets its own number keeps it.
     """
     if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(TEXT_ROWS))
+        spark.conf.set(_BATCH, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
