@@ -13,7 +13,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from querygrove.llm import byte_bpe, decontaminate, minhash, quality_rules, suffix_dedup
-from querygrove.llm.scratch import written
+from querygrove.llm.scratch import text_batches, written
+
+#: Texts in an Arrow batch: executors that run all stages hold less at once than those of a single operator.
+BATCH_ROWS = 128
 
 #: No stage but the first is expressible in SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL: str | None = None
@@ -21,6 +24,7 @@ ORACLE_SQL: str | None = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    text_batches(spark, BATCH_ROWS)
     return quality_rules.keep_good(docs)
 
 
