@@ -78,6 +78,8 @@ _ID = r'["`]?([\p{L}_][\p{L}\p{N}_$]*)["`]?'
 _QID = rf"(?:{_ID}\s*\.\s*)?{_ID}"
 _ATTRIBUTE = r"(?i)\s+(?:NOT\s+NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|CONSTRAINT|COLLATE|GENERATED)\b.*$"
 _DEFAULT = r"(?i)\bDEFAULT\s+('(?:[^']|'')*'|[^\s,]+(?:\([^)]*\))?)"
+#: A table that a statement names, whatever else it says.
+_MENTION = rf"(?i)\b(?:TABLE|ON|REFERENCES|INTO|UPDATE|FROM|JOIN)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:ONLY\s+)?{_QID}"
 _REFERENCE = rf"(?i)\bREFERENCES\s+{_QID}\s*(?:\(([^)]*)\))?"
 
 
@@ -197,11 +199,13 @@ def ddl_events(migrations: DataFrame) -> DataFrame:
     dropped = rf"(?i)^DROP TABLE (?:IF EXISTS )?"
     drops = F.transform(_names(F.regexp_replace(t, dropped, "")), lambda n: _event("drop_table", tbl=F.regexp_replace(n, r"^.*\.", "")))
     drop_index = rf"(?i)^DROP INDEX (?:CONCURRENTLY )?(?:IF EXISTS )?{_QID}"
+    mentioned = F.array_distinct(F.regexp_extract_all(t, F.lit(_MENTION), F.lit(2)))
+    new_type = F.array(F.regexp_extract(t, rf"(?i)^CREATE TYPE {_QID}", 2))
     events = (
-        F.when(F.col("problem").isin("unclosed_quote", "unbalanced_parentheses"), F.array(_event("parse_failure")))
+        F.when(F.col("problem").isin("unclosed_quote", "unbalanced_parentheses"), F.array(_event("parse_failure", cols=mentioned)))
         .when(F.col("problem") == "no_statement", F.array().cast(_EVENTS))
         .when(t.rlike(create), created).when(t.rlike(index), indexed)
-        .when(mask.rlike("^ CREATE TYPE "), F.array(_event("unsupported_type")))
+        .when(mask.rlike("^ CREATE TYPE "), F.array(_event("unsupported_type", cols=new_type)))
         .when(mask.rlike("^ CREATE "), F.array(_event("unsupported_create")))
         .when(t.rlike(alter), altered).when(t.rlike(dropped), drops)
         .when(t.rlike(drop_index), F.array(_event("drop_index", idx=F.regexp_extract(t, drop_index, 2))))
@@ -395,6 +399,28 @@ def ddl_warnings(events: DataFrame, cap: int | None = None) -> DataFrame:
     return accounted(found, ["repo"], [F.col("seq"), F.col("op")], cap)
 
 
+def completeness_warnings(events: DataFrame, columns: DataFrame) -> DataFrame:
+    """(repo, object_name, capability): what the replayed catalogue cannot be sure of, table by table.
+
+    A statement that could not be read compromises every capability of the
+    tables it names; a type that is not understood, the type of the columns
+    declared with it.
+    """
+    every = F.array(*[F.lit(c) for c in refdata.SCHEMA_CAPABILITIES])
+    unread = events.filter("op = 'parse_failure'").select("repo", F.explode("cols").alias("object_name")).distinct().select(
+        "repo", "object_name", F.explode(every).alias("capability"))
+    types = events.filter("op = 'unsupported_type'").select("repo", F.upper(F.get("cols", F.lit(0))).alias("data_type")).distinct()
+    typed = columns.join(types, ["repo", "data_type"], "left_semi").select("repo", F.col("tbl").alias("object_name"), F.lit("column_type").alias("capability"))
+    return unread.unionByName(typed).distinct()
+
+
+def replayed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The catalogue of replayed events as the lint rules read it: columns, indexes and warnings."""
+    columns = cut_lineage(catalogue_of(events))
+    indexes = index_state(events).withColumnRenamed("cols", "columns")
+    return columns, indexes, completeness_warnings(events, columns)
+
+
 def fk_graph(keys: DataFrame) -> DataFrame:
     """Adjacency of tables: targets in key order (one table has a bounded number of keys)."""
     return keys.groupBy("repo", F.col("tbl").alias("src")).agg(

@@ -25,12 +25,25 @@ def all_tokens(statements: DataFrame) -> DataFrame:
     return cut_lineage(rows.drop("head", "head2", "is_name"))
 
 
-def lint_tokens(statements: DataFrame) -> DataFrame:
+def rule_tokens(statements: DataFrame) -> DataFrame:
     """The same for the rules alone: of SELECT statements with a WHERE or a subquery, which are picked before they are cut into tokens."""
     able = (F.col("kind") == "select") & ~F.col("prof.parenthesised") & F.col("mask").rlike(r" WHERE | \( (SELECT|WITH) ")
     rows = facts.statement_tokens(statements, keep=("repo", "dialect"), only=able).filter(
         (F.col("is_table") | F.col("is_column") | F.col("tok").isin("(", ")", "*") | F.col("word").isin(*refdata.CLAUSE_WORDS)))
-    return cut_lineage(rows.drop("owner", "clause", "head", "head2", "is_name"))
+    return rows.drop("owner", "clause", "head", "head2", "is_name")
+
+
+def lint_tokens(statements: DataFrame) -> DataFrame:
+    """``rule_tokens`` written once for several rules; a single rule reads them without that."""
+    return cut_lineage(rule_tokens(statements))
+
+
+def compared_tokens(statements: DataFrame) -> DataFrame:
+    """``rule_tokens`` of the statements whose comparisons can be judged: with a WHERE, in a known dialect."""
+    able = (F.col("kind") == "select") & ~F.col("prof.parenthesised") & F.contains("mask", F.lit(" WHERE ")) & (F.col("dialect") != "unknown")
+    rows = facts.statement_tokens(statements, keep=("repo", "dialect"), only=able)
+    return rows.filter(F.col("is_column") | F.col("word").isin(*refdata.CLAUSE_WORDS)).select(
+        *KEYS, "repo", "dialect", "stmt_kind", "paren_root", "pos", "tok", "word", "p1", "depth", "is_column", "side", "literal")
 
 
 def _finding(df: DataFrame, rule_id: str, subject: Column, message: Column, title: Column | None = None) -> DataFrame:
@@ -109,23 +122,33 @@ def type_class(data_type: Column) -> Column:
     return F.try_element_at(pairs, F.trim(F.split(F.lower(F.trim(data_type)), r"\(")[0]))
 
 
+#: What ``literal_class`` tells apart.
+LITERAL_CLASSES = ("text", "numeric", "integer")
+
+
 def literal_class(literal: Column) -> Column:
     return (
         F.when(literal.startswith("'"), "text").when(F.contains(literal, F.lit(".")), "numeric").otherwise("integer")
     )
 
 
-def opt_003(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """A column compared with a literal of another type class; first per statement."""
+def mismatches(columns: DataFrame) -> DataFrame:
+    """Per column name and class of a literal, the first table whose column of that name is of another class."""
     typed = columns.withColumn("col_class", type_class(F.col("data_type"))).filter(F.col("col_class").isNotNull())
-    hits = (
-        comparisons(rows).filter(F.col("literal").isNotNull())
-        .join(typed, ["repo", "col"])
-        .withColumn("lit_class", literal_class(F.col("literal")))
-        .filter(F.col("col_class") != F.col("lit_class"))
-    )
-    first = hits.groupBy(*KEYS, "repo").agg(
-        F.min_by(F.struct("col", "data_type", "col_class", "lit_class"), F.struct("pos", "tbl_ord")).alias("f")
+    pairs = typed.withColumn("lit_class", F.explode(F.array(*[F.lit(c) for c in LITERAL_CLASSES]))).filter("col_class <> lit_class")
+    return pairs.groupBy("repo", "col", "lit_class").agg(F.min_by(F.struct("data_type", "col_class"), "tbl_ord").alias("_first")).select(
+        "repo", "col", "lit_class", "_first.*")
+
+
+def opt_003(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """A column compared with a literal of another type class; first per statement.
+
+    The catalogue is first reduced to one row per question, so that a
+    comparison meets one row however many tables have a column of that name.
+    """
+    asked = comparisons(rows).filter(F.col("literal").isNotNull()).withColumn("lit_class", literal_class(F.col("literal")))
+    first = asked.join(mismatches(columns), ["repo", "col", "lit_class"]).groupBy(*KEYS, "repo").agg(
+        F.min_by(F.struct("col", "data_type", "col_class", "lit_class"), "pos").alias("f")
     ).select(*KEYS, "repo", "f.*")
     message = F.concat(
         F.lit("Schema model indicates column "), "col", F.lit(" is "), "data_type", F.lit(" (class "), "col_class",
@@ -156,19 +179,21 @@ def index_support(columns: DataFrame, indexes: DataFrame, warnings: DataFrame) -
     )
 
 
+def unsupported_columns(columns: DataFrame, indexes: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Column names per repository of which the first table without a usable index (in catalogue order) surely has none."""
+    support = index_support(columns, indexes, warnings).filter(F.col("support") != "usable")
+    return support.groupBy("repo", "col").agg(F.min_by("support", "tbl_ord").alias("support")).filter(F.col("support") == "unusable").select("repo", "col")
+
+
 def opt_004(rows: DataFrame, columns: DataFrame, indexes: DataFrame, warnings: DataFrame) -> DataFrame:
     """A predicate column without an obviously usable index; first per statement.
 
     The first table (in catalogue order) that has the column and no usable
     index for it decides; when it is withheld, the comparison says nothing.
+    That is decided per column name before the comparisons are looked at.
     """
-    support = index_support(columns, indexes, warnings).filter(F.col("support") != "usable")
-    decided = (
-        comparisons(rows).join(support, ["repo", "col"])
-        .groupBy(*KEYS, "repo", "pos", "col").agg(F.min_by("support", "tbl_ord").alias("support"))
-        .filter(F.col("support") == "unusable")
-    )
-    first = decided.groupBy(*KEYS, "repo").agg(F.min_by("col", "pos").alias("col"))
+    hits = comparisons(rows).join(unsupported_columns(columns, indexes, warnings), ["repo", "col"], "left_semi")
+    first = hits.groupBy(*KEYS, "repo").agg(F.min_by("col", "pos").alias("col"))
     message = F.concat(
         F.lit("No obviously usable index found in schema model for predicate on "), "col",
         F.lit(". This is a static inference; the optimizer may use a different plan."))

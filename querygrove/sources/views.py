@@ -228,11 +228,13 @@ def _migrations(e) -> str:
                || 'CREATE TABLE items (id BIGINT, order_id INT, qty INT, CHECK (qty > 0), FOREIGN KEY (order_id) REFERENCES orders (id));' || {_NL}
                || 'CREATE INDEX idx_qty ON items (qty) WHERE qty > 1;' || {_NL} || 'ALTER TABLE nowhere ADD COLUMN x INT;'
           WHEN 3 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'DROP TABLE orders;' || {_NL} || 'CREATE TYPE mood AS ENUM (' || {_Q} || 'a' || {_Q} || ');'
+                    || ' ALTER TABLE users ADD COLUMN feel mood;'
                ELSE 'ALTER TABLE orders RENAME COLUMN amount TO total;' || {_NL} || 'DROP INDEX idx_qty;' || {_NL}
                     || 'CREATE INDEX idx_lower ON users (lower(email));' END
           ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'CREATE TABLE users (uid BIGINT NOT NULL, nick TEXT);' || {_NL} || 'CREATE VIEW v AS SELECT 1;'
                ELSE 'ALTER TABLE items ADD COLUMN note VARCHAR(20);' || {_NL} || 'INSERT INTO users VALUES (1);' || {_NL}
-                    || 'CREATE TRIGGER trg BEFORE INSERT ON users FOR EACH ROW EXECUTE PROCEDURE f();' END
+                    || 'CREATE TRIGGER trg BEFORE INSERT ON users FOR EACH ROW EXECUTE PROCEDURE f();'
+                    || CASE WHEN s_suppkey % 5 = 0 THEN ' ALTER TABLE items ADD CHECK (qty > (1;' ELSE '' END END
         END"""
     return f"""
     SELECT repo, root, name, root || '/' || name AS path, content, {e.octets('content')} AS size
@@ -255,6 +257,14 @@ def _migrations(e) -> str:
     ) m"""
 
 
+def _repo_statements(e) -> str:
+    return """
+    SELECT s_suppkey * 4 + t AS unit_id, CAST(0 AS INT) AS stmt_idx, s_suppkey AS repo, 'query' AS input_role, 'postgres' AS dialect,
+      CASE t WHEN 0 THEN 'SELECT * FROM users' WHEN 1 THEN 'SELECT * FROM items' WHEN 2 THEN 'SELECT id FROM items WHERE order_id = 5'
+        ELSE 'SELECT id FROM users WHERE email = 7' END AS sql
+    FROM supplier, (VALUES (0), (1), (2), (3)) AS g(t)"""
+
+
 def _ddl_events(e) -> str:
     return """
     SELECT user_id % 20 AS repo, event_id AS seq, 't' || CAST(event_id % 5 AS STRING) AS tbl,
@@ -447,7 +457,7 @@ VIEWS = {
     "v_files": (_files, ()), "v_files_prev": (_files_prev, ("v_files",)), "v_scripts": (_scripts, ()),
     "v_statements": (_statements, ()), "v_source": (_source, ()), "v_units": (_units, ("v_statements", "v_source")),
     "v_cat_columns": (_cat_columns, ()), "v_cat_indexes": (_cat_indexes, ()), "v_cat_warnings": (_cat_warnings, ()),
-    "v_migrations": (_migrations, ()), "v_ddl_events": (_ddl_events, ()), "v_schema_requests": (_schema_requests, ()), "v_plan_lines": (_plan_lines, ()),
+    "v_migrations": (_migrations, ()), "v_ddl_events": (_ddl_events, ()), "v_schema_requests": (_schema_requests, ()), "v_repo_statements": (_repo_statements, ()), "v_plan_lines": (_plan_lines, ()),
     "v_plans": (_plans, ("v_plan_lines",)), "v_plan_pairs": (_plan_pairs, ("v_plan_lines",)),
     "v_candidates": (_candidates, ("v_plan_lines",)), "v_errors": (_errors, ()), "v_docs": (_docs, ()),
     "v_queries": (_queries, ()), "v_requirements": (_requirements, ()), "v_results": (_results, ()),

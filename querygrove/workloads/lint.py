@@ -130,7 +130,7 @@ def opt_001(spark, sf):
 
 @query("opt_002", "v_statements", LINT + "SELECT unit_id, rule_id, severity, subject FROM lx WHERE rule_id = 'OPT-002'")
 def opt_002(spark, sf):
-    return li.opt_002(li.lint_tokens(statements(spark, sf))).select("unit_id", "rule_id", "severity", "subject")
+    return li.opt_002(li.rule_tokens(statements(spark, sf))).select("unit_id", "rule_id", "severity", "subject")
 
 
 @query("opt_003", "v_statements", f"""
@@ -138,13 +138,13 @@ def opt_002(spark, sf):
     || '); predicate compares to ' || g.lc || ' literal. Implicit conversion behavior depends on the database.' AS message
   FROM v_statements JOIN {by_template([(t, *v) for t, v in _MISMATCH.items()], 'col, ty, cc, lc')} ON unit_id % 32 = g.t WHERE dialect <> 'unknown'""")
 def opt_003(spark, sf):
-    return li.opt_003(li.lint_tokens(statements(spark, sf)), catalogue(spark, sf)[0]).select(
+    return li.opt_003(li.compared_tokens(statements(spark, sf)), catalogue(spark, sf)[0]).select(
         "unit_id", "rule_id", "subject", "message")
 
 
 @query("opt_004", "v_statements", LINT + "SELECT unit_id, rule_id, severity, subject FROM lx WHERE rule_id = 'OPT-004'")
 def opt_004(spark, sf):
-    return li.opt_004(li.lint_tokens(statements(spark, sf)), *catalogue(spark, sf)).select(
+    return li.opt_004(li.compared_tokens(statements(spark, sf)), *catalogue(spark, sf)).select(
         "unit_id", "rule_id", "severity", "subject")
 
 
