@@ -85,6 +85,21 @@ def drop_old_versions(spark: SparkSession, folder: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def subfolders(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths below ``folder`` whose name fits the glob ``pattern``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [found.getPath().toString() for found in (fs.globStatus(path) or [])]
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder within one file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"cannot rename {source}")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach: below the one the cluster names."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from querygrove.operators import errors as er
 from querygrove.operators import files as fi
 from querygrove.options import options
-from querygrove.sources.files import FILES_SCHEMA, relative
+from querygrove.sources.files import FILES_SCHEMA, move, relative, subfolders
 
 
 def stream_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -48,7 +50,8 @@ def stream_counters(events: DataFrame, window: str = "1 day", late: str = "1 hou
 class TaskClock(StatefulProcessor):
     """Creation time of a task; a timer at creation plus time to live clears it.
 
-    Uses do not move the timer, so expiry counts from the creation.
+    Uses do not move the timer, so expiry counts from the creation. The uses of
+    a batch are searched, not walked: one search per creation.
     """
 
     def __init__(self, ttl: int) -> None:
@@ -59,13 +62,14 @@ class TaskClock(StatefulProcessor):
         self.created = handle.getValueState("created", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        uses = sorted(int(at) for batch in rows for at in batch["at_s"])
+        uses = sorted({int(at) for batch in rows for at in batch["at_s"].unique()})
         created = self.created.get()[0] if self.created.exists() else None
         out = []
-        for at in uses:
-            if created is None or at - created > self.ttl:
-                created = at
-                out.append((key[0], at))
+        nxt = 0 if created is None else bisect_right(uses, created + self.ttl)
+        while nxt < len(uses):
+            created = uses[nxt]
+            out.append((key[0], created))
+            nxt = bisect_right(uses, created + self.ttl, nxt + 1)
         if created is not None:
             self.created.update((created,))
             if out:
@@ -118,3 +122,27 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
 
         query = writer.outputMode("update").foreachBatch(save).start()
     query.awaitTermination()
+
+
+def replay(rows: DataFrame, step: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append") -> DataFrame:
+    """Feeds ``rows`` to the stream ``build`` makes, one micro-batch per value of the whole number ``step``, in its order.
+
+    The files of a step land once the run over the steps before has ended, and
+    every run goes on from the checkpoint of the last. Within a step rows keep
+    no order. Watermarks move between steps, as a run ends with a batch without
+    data if its rows moved the mark: windows close, and rows of later steps
+    that are behind the mark are dropped. No rows at all: an empty result.
+    """
+    spark = rows.sparkSession
+    rows.write.partitionBy(step).parquet(f"{folder}/staged")
+    landing = f"{folder}/landing"
+    steps = sorted(subfolders(spark, f"{folder}/staged", f"{step}=*"), key=lambda path: int(path.rsplit("=", 1)[1]))
+    spark.createDataFrame([], rows.drop(step).schema).write.parquet(landing)
+    stream = build(spark.readStream.schema(rows.drop(step).schema).option("recursiveFileLookup", "true").parquet(landing))
+    for number, path in enumerate(steps):
+        move(spark, path, f"{landing}/step-{number:06d}")
+        run_to_table(stream, folder, mode)
+    schema = stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("epoch", IntegerType())])
+    if not steps:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/out")

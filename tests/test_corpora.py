@@ -217,6 +217,20 @@ def test_task_expiry_is_not_sliding(spark):
     assert {tuple(r) for r in tasks.active_tasks(df, 100).collect()} == {("t", 0), ("t", 101), ("t", 202), ("u", 60)}
 
 
+def test_replay_drops_late_rows_and_lets_expired_keys_pass_again(spark, tmp_path):
+    hour = 3600
+    rows = [("a", 0, 0), ("a", 1 * hour, 0), ("a", 2 * hour, 1), ("b", 10 * hour, 1), ("a", 11 * hour, 2), ("c", 2 * hour, 2)]
+    events = spark.createDataFrame(rows, "key string, at_s long, step int").selectExpr("key", "timestamp_seconds(at_s) ts", "step")
+    passed = streams.replay(events, "step", lambda s: streams.stream_dedupe(s, "3 hours"), str(tmp_path / "keys"))
+    # a of step 1 is a repetition, a of step 2 comes after it expired, c is behind the mark
+    assert sorted(r["key"] for r in passed.collect()) == ["a", "a", "b"]
+    named = events.selectExpr("key AS name", "1L AS n", "ts", "step")
+    counted = streams.replay(named, "step", lambda s: streams.stream_counters(s, "1 hour"), str(tmp_path / "counts"), "update")
+    got = {(r["name"], r["window_start"].hour): r["value"] for r in counted.collect()}
+    assert got == {("a", 0): 1, ("a", 1): 1, ("a", 2): 1, ("b", 10): 1, ("a", 11): 1}
+    assert streams.replay(events.limit(0), "step", lambda s: streams.stream_dedupe(s, "3 hours"), str(tmp_path / "none")).count() == 0
+
+
 def test_stream_task_ttl_equals_batch(spark, sf):
     from querygrove.sources.views import view
     from querygrove.workloads.streaming import stream_task_ttl

@@ -11,7 +11,7 @@ CHECKED = (
     "split_statements", "malformed_statements", "admit_read_only", "infer_dialect", "source_spans", "rule_coverage", "sec_008", "ranked_findings",
     "security_scan", "extract_columns", "lint", "star_expansion", "schema_impact", "plan_nodes", "plan_conditions", "attach_plan_evidence",
     "ddl_events", "schema_state", "ddl_warnings", "top_sections", "design_report", "retain_by_size", "resolve_refs", "usage_by_user_window",
-    "proposed_changes", "debug_report", "stream_triage",
+    "proposed_changes", "debug_report", "stream_triage", "stream_counters", "stream_dedupe", "session_activity",
 )
 
 
