@@ -107,9 +107,11 @@ class Vocabulary:
     table: MinimalPerfectHash = field(init=False)
     by_slot: list[bytes] = field(init=False)
     single: list[int | None] = field(init=False)
+    double: list[list[int | None]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.single = [self.ranks.get(bytes([byte])) for byte in range(256)]
+        self.double = [[self.ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
         keys = list(self.ranks)
         self.table = MinimalPerfectHash.build(keys)
         self.by_slot = [b""] * len(keys)
@@ -135,14 +137,14 @@ class Vocabulary:
 
     def merge(self, piece: bytes, pairs: dict[int, int]) -> list[int]:
         """Ids of one pre-token that is no vocabulary entry."""
-        get, n = pairs.get, len(piece)
+        get, double, n = pairs.get, self.double, len(piece)
         bits = n.bit_length()
         mask, above = (1 << bits) - 1, 2 * bits
-        ids = [self.single[byte] for byte in piece]  # of the part that begins here
+        ids = list(map(self.single.__getitem__, piece))  # of the part that begins here
         end = list(range(1, n + 1))  # of that part; 0: merged into an earlier one
         before = list(range(-1, n - 1))
         # A heap entry is one number: rank, begin and end of a pair of neighbours.
-        heap = [rank << above | i << bits | i + 2 for i in range(n - 1) if (rank := get(ids[i] << RANK_BITS | ids[i + 1])) is not None]
+        heap = [rank << above | i << bits | i + 2 for i in range(n - 1) if (rank := double[piece[i]][piece[i + 1]]) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
@@ -221,7 +223,7 @@ class Encoder:
             once.clear()
         split = [self.split(text) for text in texts]
         missing = set().union(*split).difference(memo) if split else set()
-        again = missing.intersection(once)
+        again = {piece for piece in missing if piece in once}  # an intersection would walk through all that is kept
         for piece in again:
             memo[piece] = once.pop(piece)
         extra = self.vocabulary.resolve(list(missing - again), self.pairs)
@@ -276,7 +278,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
                 raw, at = data.tobytes(), offsets.tolist()
                 ids = encoder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                flat = np.array(list(chain.from_iterable(ids)), np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))] + ([_decoded(flat, ends, pieces)] if decoded else [])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in keep], *made], names=[*keep, out, *([decoded] if decoded else [])])
 
