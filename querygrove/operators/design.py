@@ -99,18 +99,29 @@ def proposal_conflicts(tables: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def design_report(requirements: DataFrame, catalog: DataFrame, cap: int | None = None) -> DataFrame:
-    """One row per text: status, tables within the cap, risks and strategy, or why it was refused."""
+    """One row per text: status, tables within the cap with their DDL, risks and strategy, or why it was refused.
+
+    ``withheld`` lists tables whose DDL breaks a rule, with the rules; their DDL is left out.
+    """
     cap = options()["max_design_tables"] if cap is None else cap
     checked = guarded(requirements)
     tables = proposed_tables(checked.filter(F.col("kind").isNull()).select("doc_id", "repo", "requirements"))
     found = tables.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tables"),
         F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("_t"))  # bounded by the text's size
-    risks = proposal_conflicts(tables, catalog).groupBy("doc_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    safe, unsafe = withhold_unsafe_ddl(proposal_ddl(tables.filter(F.col("ordinal") < cap)))
+    # the lists are bounded by the cap or by the size of the text
+    ddl = safe.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "ddl"))).alias("_ddl"))
+    withheld = unsafe.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", "rule_ids"))).alias("withheld"))
+    risks = proposal_conflicts(tables, catalog).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("conflicts"), F.array_sort(F.collect_list("risk")).alias("risks"))
     total = F.coalesce("n_tables", F.lit(0).cast("long"))
     status = F.when(F.col("kind").isNotNull(), F.lit(None).cast("string")).when(total > 0, "derived").otherwise("inconclusive")
     strategy = F.when(total > 0, F.array(*[F.lit(s) for s in refdata.MIGRATION_STRATEGY])).otherwise(F.array().cast("array<string>"))
-    return checked.join(found, "doc_id", "left").join(risks, "doc_id", "left").select(
+    no_text = F.array().cast("array<string>")
+    return checked.join(found, "doc_id", "left").join(risks, "doc_id", "left").join(ddl, "doc_id", "left").join(withheld, "doc_id", "left").select(
+        F.coalesce(F.transform("_ddl", lambda d: d["ddl"]), no_text).alias("ddl"), F.coalesce("risks", no_text).alias("risks"),
+        F.coalesce("withheld", F.array().cast("array<struct<name:string,rule_ids:array<string>>>")).alias("withheld"),
         "doc_id", "kind", status.alias("derivation_status"),
         F.transform(F.slice(F.coalesce("_t", F.array().cast("array<struct<ordinal:int,name:string>>")), 1, cap), lambda t: t["name"]).alias("tables"),
         strategy.alias("migration_strategy"), F.coalesce("conflicts", F.lit(0).cast("long")).alias("conflicts"),

@@ -16,7 +16,7 @@ from querygrove import refdata
 from querygrove.functions import lexing
 from querygrove.operators.files import MIGRATION_NAME
 from querygrove.options import UNBOUNDED
-from querygrove.prims import accounted, once
+from querygrove.prims import accounted, once, ranked
 
 _HOST = r"(?iU)\b(?:" + "|".join(refdata.HOST_KEYWORDS) + r")\b"
 
@@ -202,9 +202,19 @@ def ranked_findings(found: DataFrame, request: str = "repo", cap: int | None = N
 
 
 def security_scan(units: DataFrame, request: str = "repo", cap: int | None = None) -> DataFrame:
-    """One summary row per request. Every count combines map-side. With ``cap``, what exceeds it counts as suppressed."""
+    """One row per request: counts, which combine map-side, and coverage.
+
+    With ``cap`` also ``findings``, the first ``cap`` in the order of
+    ``ranked_findings``; what exceeds it counts as suppressed. Without one, take
+    the findings as rows from ``ranked_findings``.
+    """
+    found_rows = findings(units)
+    first = None if cap is None else ranked(
+        found_rows, [request], [F.col(c) for c in ("stmt_idx", "line", "col", "rule_id", "unit_id", "message")], cap
+    ).groupBy(request).agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "unit_id", "stmt_idx", "line", "rule_id", "severity", "message"))).alias("findings"))  # at most cap entries
     cap = UNBOUNDED if cap is None else cap
-    found = findings(units).groupBy(request).agg(
+    found = found_rows.groupBy(request).agg(
         F.count(F.lit(1)).alias("found"), F.count_if(F.col("severity") == "high").alias("high"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),  # at most one entry per rule
     )
@@ -215,9 +225,12 @@ def security_scan(units: DataFrame, request: str = "repo", cap: int | None = Non
     )
     roles = units.groupBy(request).agg(
         F.count(F.lit(1)).alias("units"), F.min("input_role").alias("_low"), F.max("input_role").alias("_high"))
+    rows = roles.join(covered, request).join(found, request, "left")
+    if first is not None:
+        rows = rows.join(first, request, "left").withColumn("findings", F.coalesce(
+            "findings", F.array().cast(first.schema["findings"].dataType)))
     return (
-        roles.join(covered, request).join(found, request, "left")
-        .withColumn("input_role_resolved", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("mixed"))
+        rows.withColumn("input_role_resolved", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("mixed"))
         .withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
         .withColumn("high", F.coalesce("high", F.lit(0).cast("long")))
         .withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))

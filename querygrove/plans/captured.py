@@ -184,8 +184,14 @@ def planning_time(doc: Column) -> Column:
     return _number(doc, "Planning Time", "double")
 
 
-def plan_summary(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """Root, node count, scans and joins in preorder per plan, read inside the row; and whether a bound cut nodes."""
+_NODE_FIELDS = ("preorder", "path", "depth", "op", "relation", "index", "startup_cost", "total_cost", "n_rows", "width")
+
+
+def plan_summary(plans: DataFrame, max_nodes: int | None = None, max_depth: int | None = None, listed: bool = False) -> DataFrame:
+    """Root, node count, scans and joins in preorder per plan, read inside the row; and whether a bound cut nodes.
+
+    ``listed`` adds ``nodes``: the kept nodes in preorder.
+    """
     tree = once(plan_tree(plans, max_nodes, max_depth), _kept=F.filter("_nodes", lambda n: n["kept"]))
     root = F.get("_kept", F.lit(0))
 
@@ -197,7 +203,8 @@ def plan_summary(plans: DataFrame, max_nodes: int | None = None, max_depth: int
         root["n_rows"].alias("root_rows"), F.size("_kept").cast("long").alias("node_count"),
         ops(lambda op: F.contains(op, F.lit("Scan"))).alias("scan_ops"),
         ops(lambda op: F.contains(op, F.lit("Join")) | (op == "Nested Loop")).alias("join_ops"),
-        (F.size("_kept") < F.size("_nodes")).alias("truncated"))
+        (F.size("_kept") < F.size("_nodes")).alias("truncated"),
+        *([F.transform("_kept", lambda n: F.struct(*[n[f].alias(f) for f in _NODE_FIELDS])).alias("nodes")] if listed else []))
 
 
 def plan_delta(pairs: DataFrame) -> DataFrame:
@@ -266,10 +273,10 @@ LIMITATIONS = (
 
 
 def plan_report(plans: DataFrame, max_nodes: int | None = None) -> DataFrame:
-    """Summary per captured plan; a plan that cannot be read is a row with its error."""
+    """Summary and nodes per captured plan; a plan that cannot be read is a row with its error."""
     read = plan_ingest(plans).withColumn("fingerprint", F.sha2("plan_json", 256))
     good = plan_settings(read.filter(F.col("error").isNull()).withColumn("planning_time_ms", planning_time(F.col("doc"))))
-    fine = plan_summary(good, max_nodes).withColumn("error", F.lit(None).cast("string")).withColumn(
+    fine = plan_summary(good, max_nodes, listed=True).withColumn("error", F.lit(None).cast("string")).withColumn(
         "limitations", F.array(*[F.lit(t) for t in LIMITATIONS]))
     bad = read.filter(F.col("error").isNotNull()).select("query_id", "error", "fingerprint")
     return fine.unionByName(bad, allowMissingColumns=True)

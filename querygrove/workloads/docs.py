@@ -180,12 +180,17 @@ def proposal_conflicts(spark, sf):
 _STRATEGY = sql_text("|".join(refdata.MIGRATION_STRATEGY))
 
 
-@query("design_report", _RQ, ENTITIES + f""", n AS (
-  SELECT doc_id, count(*) AS n, string_agg(name, '|' ORDER BY ordinal) FILTER (ordinal < 1) AS names FROM ent GROUP BY doc_id)
-  SELECT rq.doc_id, CASE WHEN t = 5 THEN 'no_input' END AS kind, CASE WHEN t = 5 THEN NULL WHEN n.n > 0 THEN 'derived' ELSE 'inconclusive' END AS derivation_status,
+@query("design_report", "v_requirements v_cat_columns", ENTITIES + f""", n AS (
+  SELECT doc_id, count(*) AS n, string_agg(name, '|' ORDER BY ordinal) FILTER (ordinal < 1) AS names FROM ent GROUP BY doc_id), dl AS (
+  SELECT doc_id, string_agg(ddl, '|' ORDER BY ordinal) AS ddl FROM dd JOIN (SELECT doc_id, name, ordinal FROM ent WHERE ordinal < 1) x USING (doc_id, name) GROUP BY doc_id), ri AS (
+  SELECT doc_id, string_agg('Proposed table ''' || name || ''' already exists in the repo schema (source: repo-ddl).', '|' ORDER BY name) AS risks
+  FROM (SELECT DISTINCT doc_id, e.name FROM ent e JOIN v_cat_columns c ON c.repo = e.repo AND c.tbl = e.name) x GROUP BY doc_id)
+  SELECT coalesce(dl.ddl, '') AS ddl, coalesce(risks, '') AS risks, '' AS withheld, rq.doc_id, CASE WHEN t = 5 THEN 'no_input' END AS kind, CASE WHEN t = 5 THEN NULL WHEN n.n > 0 THEN 'derived' ELSE 'inconclusive' END AS derivation_status,
     coalesce(names, '') AS tables, CASE WHEN n.n > 0 THEN {_STRATEGY} ELSE '' END AS migration_strategy,
     CASE WHEN t = 4 THEN 2 ELSE 0 END AS conflicts, coalesce(n.n, 0) > 1 AS tables_truncated, greatest(coalesce(n.n, 0) - 1, 0) AS tables_suppressed
-  FROM rq LEFT JOIN n USING (doc_id)""")
+  FROM rq LEFT JOIN n USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN ri USING (doc_id)""")
 def design_report(spark, sf):
     report = de.design_report(view(spark, sf, _RQ), view(spark, sf, "v_cat_columns"), cap=1)
-    return report.withColumn("tables", joined("tables")).withColumn("migration_strategy", joined("migration_strategy"))
+    broken = F.array_join(F.transform("withheld", lambda w: F.concat(w["name"], F.lit(":"), F.array_join(w["rule_ids"], ","))), "|")
+    return report.withColumn("withheld", broken).withColumn("ddl", joined("ddl")).withColumn("risks", joined("risks")).withColumn(
+        "tables", joined("tables")).withColumn("migration_strategy", joined("migration_strategy"))

@@ -159,9 +159,17 @@ def plan_regressions(spark, sf):
         shares.select(F.lit("seq_share").alias("report"), F.col("relation").alias("subject"), F.col("seq_share").alias("value")))
 
 
-@query("plan_report", _P, SUMMARY + """
-  SELECT p.query_id, sha256(plan_json) AS fingerprint, CASE p.query_id % 50 WHEN 7 THEN 'invalid_json' WHEN 8 THEN 'unexpected_structure' WHEN 9 THEN 'missing_plan' WHEN 10 THEN 'missing_plan' END AS error,
-    CASE WHEN p.query_id % 3 = 0 AND sm.query_id IS NOT NULL THEN 0.5::DOUBLE END AS planning_time_ms, sm.root_op, sm.root_total_cost, sm.node_count FROM v_plans p LEFT JOIN sm USING (query_id)""")
+@query("plan_report", _P, SUMMARY + """, nl AS (
+  SELECT query_id, string_agg(concat_ws(':', preorder, path, depth, op, relation, index, n_rows, width), '|' ORDER BY preorder) AS nodes FROM pn GROUP BY query_id)
+  SELECT coalesce(nl.nodes, '') AS nodes, p.query_id, sha256(plan_json) AS fingerprint, CASE p.query_id % 50 WHEN 7 THEN 'invalid_json' WHEN 8 THEN 'unexpected_structure' WHEN 9 THEN 'missing_plan' WHEN 10 THEN 'missing_plan' END AS error,
+    CASE WHEN p.query_id % 3 = 0 AND sm.query_id IS NOT NULL THEN 0.5::DOUBLE END AS planning_time_ms, sm.root_op, sm.root_total_cost, sm.node_count
+  FROM v_plans p LEFT JOIN sm USING (query_id) LEFT JOIN nl USING (query_id)""")
 def plan_report(spark, sf):
+    def text(node):
+        path = F.array_join(node["path"].cast("array<string>"), ".")
+        return F.concat_ws(":", node["preorder"].cast("string"), path, node["depth"].cast("string"), node["op"], node["relation"],
+                           node["index"], node["n_rows"].cast("string"), node["width"].cast("string"))
+
+    nodes = F.coalesce(F.array_join(F.transform("nodes", text), "|"), F.lit("")).alias("nodes")
     return op.plan_report(view(spark, sf, _P)).select(
-        "query_id", "fingerprint", "error", "planning_time_ms", "root_op", "root_total_cost", "node_count")
+        nodes, "query_id", "fingerprint", "error", "planning_time_ms", "root_op", "root_total_cost", "node_count")

@@ -97,14 +97,19 @@ def ranked_findings(spark, sf):
 
 @query("security_scan", _U, FINDINGS + COVERAGE.replace(", rl(", ", rl(", 1) + """, ro AS (
   SELECT repo, count(*) AS units, CASE WHEN count(DISTINCT input_role) > 1 THEN 'mixed' ELSE min(input_role) END AS role FROM v_units GROUP BY repo), fs AS (
-  SELECT repo, count(*) AS found, count(*) FILTER (severity = 'high') AS high, string_agg(DISTINCT rule_id, '|' ORDER BY rule_id) AS rules FROM fnd GROUP BY repo), cs AS (
+  SELECT repo, count(*) AS found, count(*) FILTER (severity = 'high') AS high, string_agg(DISTINCT rule_id, '|' ORDER BY rule_id) AS rules FROM fnd GROUP BY repo), rk AS (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY stmt_idx, line, rule_id, unit_id, note) AS rank FROM fnd), fl AS (
+  SELECT repo, string_agg(unit_id || ':' || stmt_idx || ':' || line || ':' || rule_id || ':' || severity, '|' ORDER BY rank) AS findings FROM rk WHERE rank <= 10 GROUP BY repo), cs AS (
   SELECT repo, count(*) FILTER (status = 'evaluated') AS evaluated, count(*) FILTER (status = 'skipped') AS skipped,
     count(*) FILTER (status = 'not_applicable') AS not_applicable FROM cv GROUP BY repo)
   SELECT ro.repo, units, evaluated, skipped, not_applicable, coalesce(found, 0) AS found, coalesce(high, 0) AS high, coalesce(rules, '') AS rules,
-    role AS input_role_resolved, coalesce(found, 0) > 10 AS truncated, greatest(coalesce(found, 0) - 10, 0) AS suppressed_count, '1' AS ruleset_version
-  FROM ro JOIN cs USING (repo) LEFT JOIN fs USING (repo)""")
+    role AS input_role_resolved, coalesce(found, 0) > 10 AS truncated, greatest(coalesce(found, 0) - 10, 0) AS suppressed_count, '1' AS ruleset_version,
+    coalesce(findings, '') AS findings
+  FROM ro JOIN cs USING (repo) LEFT JOIN fs USING (repo) LEFT JOIN fl USING (repo)""")
 def security_scan(spark, sf):
-    return op.security_scan(view(spark, sf, _U), cap=10).withColumn("rules", joined("rules"))
+    listed = F.array_join(F.transform("findings", lambda f: F.concat_ws(
+        ":", f["unit_id"].cast("string"), f["stmt_idx"].cast("string"), f["line"].cast("string"), f["rule_id"], f["severity"])), "|")
+    return op.security_scan(view(spark, sf, _U), cap=10).withColumn("rules", joined("rules")).withColumn("findings", listed)
 
 
 @query("severity_rollup", _U, FINDINGS + """
