@@ -65,8 +65,8 @@ def _rules(extra: tuple[Rule, ...] = ()) -> list[Column]:
     ]
 
 
-def rule_coverage(units: DataFrame, extra: tuple[Rule, ...] = ()) -> DataFrame:
-    """Dense matrix of rules and units; the rules are a constant array, so no join."""
+def _covered(units: DataFrame, extra: tuple[Rule, ...] = ()) -> DataFrame:
+    """Rows of ``units`` without their content, once per rule with its status; the rules are a constant array, so no join."""
     known = F.col("dialect") != "unknown"
     reason = (
         F.when(F.col("input_kind") != F.col("rule_kind"), "input_kind_mismatch")
@@ -82,10 +82,15 @@ def rule_coverage(units: DataFrame, extra: tuple[Rule, ...] = ()) -> DataFrame:
     return (
         units.select(*others, F.explode(F.array(*_rules(extra))).alias("rule")).select(*others, "rule.*")
         .withColumn("reason", reason).withColumn("status", status)
-        .select("unit_id", *[c for c in ("repo",) if c in others], "rule_id", "status", "reason")
     )
 
 
+def rule_coverage(units: DataFrame, extra: tuple[Rule, ...] = ()) -> DataFrame:
+    """Dense matrix of rules and units."""
+    return _covered(units, extra).select(
+        "unit_id", *[c for c in ("repo",) if c in units.columns], "rule_id", "status", "reason")
+
+
 def lines(units: DataFrame) -> DataFrame:
     """Source lines numbered from 1."""
     keep = [c for c in units.columns if c != "content"]
@@ -218,13 +223,13 @@ def security_scan(units: DataFrame, request: str = "repo", cap: int | None = Non
         F.count(F.lit(1)).alias("found"), F.count_if(F.col("severity") == "high").alias("high"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),  # at most one entry per rule
     )
-    covered = rule_coverage(units).groupBy(request).agg(
-        F.count_if(F.col("status") == "evaluated").alias("evaluated"),
-        F.count_if(F.col("status") == "skipped").alias("skipped"),
-        F.count_if(F.col("status") == "not_applicable").alias("not_applicable"),
-    )
-    roles = units.groupBy(request).agg(
-        F.count(F.lit(1)).alias("units"), F.min("input_role").alias("_low"), F.max("input_role").alias("_high"))
+    # rules are judged once per kind of unit, not per unit
+    alike = units.groupBy(request, "input_kind", "input_role", "dialect").agg(F.count(F.lit(1)).alias("_n"))
+    covered = _covered(alike).groupBy(request).agg(*[
+        F.sum(F.when(F.col("status") == status, F.col("_n")).otherwise(0)).alias(status)
+        for status in ("evaluated", "skipped", "not_applicable")])
+    roles = alike.groupBy(request).agg(
+        F.sum("_n").alias("units"), F.min("input_role").alias("_low"), F.max("input_role").alias("_high"))
     rows = roles.join(covered, request).join(found, request, "left")
     if first is not None:
         rows = rows.join(first, request, "left").withColumn("findings", F.coalesce(
