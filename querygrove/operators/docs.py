@@ -108,8 +108,8 @@ def score_sections(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 #: (query, token) pairs that are sent to every task at once.
 MAX_QUERY_TOKENS = 200_000
-#: Scores that a task holds at once.
-_SCORES = 1 << 22
+#: Sections that are read at once; their scores with all queries and the (section, token, query) triples behind these, and bytes of a batch of results.
+_SECTIONS, _SCORES, _TRIPLES, _BYTES = 512, 1 << 21, 1 << 20, 1 << 23
 _FIELDS = (("title", 3), ("keywords", 2), ("text", 1))
 
 
@@ -130,46 +130,67 @@ class _Queries:
         self.query = np.array([place[r["query_id"]] for r in rows], np.int64)
         self.times = np.array([r["times"] for r in rows], np.int64)
 
-    def scores(self, sections: pa.RecordBatch) -> np.ndarray:
-        """Score of every section with every query: sums over the shared tokens only."""
+    def found(self, sections: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of queries in the sections: the section's row, in order, the token and its weight."""
         rows, tokens, weights = [], [], []
         for name, weight in _FIELDS:
             for i, value in enumerate(sections.column(name).to_pylist()):
-                found = [self.token[t] for t in set(_WORDS.findall((value or "").lower())) if t in self.token]
-                rows += [i] * len(found)
-                tokens += found
-                weights += [weight] * len(found)
-        n, token = len(self.ids), np.array(tokens, np.int64)
-        sizes = self.starts[token + 1] - self.starts[token]
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.starts[token] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        cell = np.repeat(np.array(rows, np.int64) * n, sizes) + self.query[place]
-        total = np.bincount(cell, weights=np.repeat(np.array(weights), sizes) * self.times[place], minlength=len(sections) * n)
-        return total.reshape(len(sections), n)
+                here = [self.token[t] for t in set(_WORDS.findall((value or "").lower())) if t in self.token]
+                rows += [i] * len(here)
+                tokens += here
+                weights += [weight] * len(here)
+        order = np.argsort(np.array(rows, np.int64), kind="stable")
+        return tuple(np.array(x, np.int64)[order] for x in (rows, tokens, weights))
+
+    def scores(self, sections: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores of the sections with every query, sums over the shared tokens only: a few sections at a time, with the place of the first.
+
+        As many sections as have ``_TRIPLES`` triples; one alone has no more than three per token of the queries.
+        """
+        rows, tokens, weights = self.found(sections)
+        n, many = len(self.ids), self.starts[tokens + 1] - self.starts[tokens]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ends = np.searchsorted(rows, np.arange(len(sections)), "right")
+        low = begin = 0
+        while low < len(sections):
+            high = max(low + 1, int(np.searchsorted(upto[ends], upto[begin] + _TRIPLES, "right")))
+            part = slice(begin, int(ends[high - 1]))
+            sizes, token = many[part], tokens[part]
+            place = np.repeat(self.starts[token] - (upto[part] - upto[begin]), sizes) + np.arange(sizes.sum())
+            cell = np.repeat((rows[part] - low) * n, sizes) + self.query[place]
+            total = np.bincount(cell, weights=np.repeat(weights[part], sizes) * self.times[place], minlength=(high - low) * n)
+            yield low, total.reshape(high - low, n)
+            low, begin = high, part.stop
 
 
 def _matched(queries: _Queries, k: int | None, schema: pa.Schema):
-    """Scores of sections inside a task: all, or the best ``k`` of each query."""
+    """Scores of sections inside a task: all, or the best ``k`` of each query. Only names of sections are copied per score, never their texts."""
+    names = ["source", "sec_no", "title"]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        step = max(1, _SCORES // max(len(queries.ids), 1))
+        step = min(_SECTIONS, max(1, _SCORES // max(len(queries.ids), 1)))
         for batch in batches:
             for low in range(0, len(batch), step):
                 part = batch.slice(low, step)
-                yield part, queries.scores(part)
+                for at, score in queries.scores(part):
+                    yield part.slice(at, len(score)).select(names), score
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, score in parts(batches):
-            i, q = np.nonzero(score)
-            taken = part.take(pa.array(i))
-            ids = pa.array([queries.ids[x] for x in q.tolist()], schema.field("query_id").type)
-            yield pa.RecordBatch.from_arrays([ids, *[taken.column(c) for c in ("source", "sec_no", "title")], pa.array(score[i, q])], names=schema.names)
+            longest = max(sum(len(str(v or "").encode()) for v in row.values()) for row in part.to_pylist())
+            at, of = np.nonzero(score)
+            rows = max(1, _BYTES // (longest + 64))
+            for begin in range(0, len(at), rows):
+                i, q = at[begin:begin + rows], of[begin:begin + rows]
+                taken = part.take(pa.array(i))
+                ids = pa.array([queries.ids[x] for x in q.tolist()], schema.field("query_id").type)
+                yield pa.RecordBatch.from_arrays([ids, *taken.columns, pa.array(score[i, q])], names=schema.names)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: list[list[tuple]] = [[] for _ in queries.ids]
         bound = np.zeros(len(top))  # a section below its query's k-th best score so far cannot come in
         for part, score in parts(batches):
-            source, number, title = (part.column(c).to_pylist() for c in ("source", "sec_no", "title"))
+            source, number, title = (part.column(c).to_pylist() for c in names)
             for q in np.flatnonzero((score >= np.maximum(bound, 1e-9)).any(0)).tolist():
                 at = np.flatnonzero((score[:, q] > 0) & (score[:, q] >= bound[q]))
                 if len(at) > k:

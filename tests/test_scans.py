@@ -4,6 +4,7 @@ import ast
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,23 @@ def test_best_sections_inside_a_task(spark, monkeypatch):
     assert sorted(map(tuple, docs.match_sections(sections, queries).select(*fields).collect())) == sorted(map(tuple, every.select(*fields).collect()))
 
 
+def test_scores_of_long_sections_take_little_memory():
+    texts = [f"{i} " + "plan of a lock " * 1300 for i in range(100)]
+    sections = pa.RecordBatch.from_pydict({
+        "source": [f"s{i}" for i in range(100)], "sec_no": pa.array(range(100), pa.int32()), "title": ["t"] * 100, "keywords": [""] * 100, "text": texts})
+    queries = docs._Queries([{"query_id": q, "token": t, "times": 1} for q in range(300) for t in ("plan", "of", "lock")])
+    schema = pa.schema([("query_id", pa.int64()), ("source", pa.string()), ("sec_no", pa.int32()), ("title", pa.string()), ("score", pa.float64())])
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    usual = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        out = [(b.num_rows, set(b.column("score").to_pylist())) for b in docs._matched(queries, None, schema)(iter([sections]))]
+    finally:
+        pa.set_memory_pool(usual)
+    assert sum(n for n, _ in out) == 30_000 and {s for _, found in out for s in found} == {3.0}
+    assert pool.max_memory() < 20_000_000  # a text per score would be 600 MB
+
+
 CALLS = [
     "# cur.execute(q)", 's = "cur.execute(q)"', 'x = """\ncur.execute(q)\n"""\ncur.execute(q)', 'cur.execute("a" "b", x)', 'cur.execute(f"a{b}", x)',
     "cur.execute(q, timeout=1)", "cur.execute(sql=q)", "cur.execute(*a)", 'cur.execute(("x"))', 'cur.execute(("x",), 1)', "cur.execute(\n  # note\n  q,\n  1)",
