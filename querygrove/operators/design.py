@@ -9,7 +9,7 @@ from querygrove import refdata
 from querygrove.operators.files import size_guard
 from querygrove.operators.security import findings
 from querygrove.options import options
-from querygrove.prims import once
+from querygrove.prims import once, written
 
 _ENTITY = r"""(?iU)\b(?:table|entity|model|store|record)\s+(?:called\s+|named\s+)?["'`]?([A-Za-z][A-Za-z0-9_]*)["'`]?"""
 _NAME = r"^[a-z_][a-z0-9_]*$"
@@ -82,12 +82,13 @@ def withhold_unsafe_ddl(ddl: DataFrame, dialect: str = "postgres") -> tuple[Data
     """DDL that passes the security rules, and the rules violated by the rest."""
     keyed = ddl.withColumn("unit_id", F.concat_ws(":", "doc_id", "name"))
     units = keyed.select(
-        "unit_id", F.lit("sql").alias("input_kind"), F.lit("query").alias("input_role"), F.lit(dialect).alias("dialect"),
+        "doc_id", "name", "unit_id", F.lit("sql").alias("input_kind"), F.lit("query").alias("input_role"), F.lit(dialect).alias("dialect"),
         F.col("ddl").alias("content"))
-    bad = findings(units).filter(F.col("severity").isin("critical", "high")).select("unit_id", "rule_id")
-    safe = keyed.join(bad, "unit_id", "left_anti")
-    withheld = keyed.join(bad, "unit_id").groupBy("doc_id", "name").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
-    return safe.drop("unit_id"), withheld
+    # the texts are read once: a unit is one doc_id and name, which its findings keep, and what is withheld is written for both results
+    bad = findings(units).filter(F.col("severity").isin("critical", "high")).groupBy("unit_id").agg(
+        F.first("doc_id").alias("doc_id"), F.first("name").alias("name"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
+    bad = written(bad, "withheld")
+    return keyed.join(bad.select("unit_id"), "unit_id", "left_anti").drop("unit_id"), bad.drop("unit_id")
 
 
 def proposal_conflicts(tables: DataFrame, catalog: DataFrame) -> DataFrame:
