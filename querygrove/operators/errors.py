@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querygrove import refdata
-from querygrove.prims import once, prefix_sum
+from querygrove.prims import once, prefix_sum, written
 
 CONCLUSIVE = 2
 MIN_CALL_TOKENS = 256
@@ -196,12 +196,14 @@ def escalation_worklist(open_errors: DataFrame, redact, budget: int, total_budge
     also bounded as a whole, in key order, by a two-pass running total. With
     ``max_chars`` prompts are cut and marked as truncated.
     """
-    prompt = redact(F.col("error_text"))
+    prompt = F.col("_prompt")
     cut = prompt if max_chars is None else F.substring(prompt, 1, max_chars)
-    work = open_errors.select(key, cut.alias("prompt"), (F.lit(False) if max_chars is None else F.length(prompt) > max_chars).alias("truncated"))
+    work = once(open_errors.select(key, "error_text"), _prompt=redact(F.col("error_text")))
+    work = work.select(key, cut.alias("prompt"), (F.lit(False) if max_chars is None else F.length(prompt) > max_chars).alias("truncated"))
     work = work.withColumn("tokens", estimated_tokens(F.col("prompt")))
     exhausted = F.lit(budget < MIN_CALL_TOKENS)
     if total_budget is not None:
+        work = written(work, "worklist")  # ranges are sampled before they are built: texts are redacted once
         work = prefix_sum(work, [key], "tokens", "running_tokens")
         exhausted = exhausted | (F.col("running_tokens") > total_budget)
     return work.withColumn("status", F.when(exhausted, "budget_exhausted").otherwise("pending"))
@@ -221,7 +223,10 @@ def error_profile(errors: DataFrame) -> DataFrame:
     """Counts per catalogue id, severity and day, with distinct users (exact and approximate): the total, per severity, per severity and id, and per all three."""
     day = F.floor(F.col("at_s") / 86_400).cast("long")
     found = match_errors(errors).select("severity", "catalog_id", day.alias("day"), "user_id")
-    s, c, d = F.col("severity"), F.col("catalog_id"), F.col("day")
-    return found.groupingSets([[], [s], [s, c], [s, c, d]], s, c, d).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"),
-        F.approx_count_distinct("user_id", 0.01).alias("approx_users"), F.grouping_id().alias("gid"))
+    s, c, d, u = F.col("severity"), F.col("catalog_id"), F.col("day"), F.col("user_id")
+    # a row per user first: next to a distinct count, every user of a group would have a sketch of its own
+    users = found.groupingSets([[u], [s, u], [s, c, u], [s, c, d, u]], s, c, d, u).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid"))
+    return users.groupBy("severity", "catalog_id", "day", F.shiftright("_gid", 1).alias("gid")).agg(
+        F.sum("_n").alias("n"), F.count("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("approx_users")).select(
+        "severity", "catalog_id", "day", "n", "users", "approx_users", "gid")

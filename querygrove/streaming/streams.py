@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from querygrove.operators import errors as er
 from querygrove.operators import files as fi
 from querygrove.options import options
+from querygrove.prims import spread
 from querygrove.sources.files import FILES_SCHEMA, move, relative, subfolders
 
 
@@ -134,7 +135,8 @@ def replay(rows: DataFrame, step: str, build: Callable[[DataFrame], DataFrame],
     that are behind the mark are dropped. No rows at all: an empty result.
     """
     spark = rows.sparkSession
-    rows.write.partitionBy(step).parquet(f"{folder}/staged")
+    # files of a step for every task: a stream is read by no more tasks than that
+    spread(rows).write.partitionBy(step).parquet(f"{folder}/staged")
     landing = f"{folder}/landing"
     steps = sorted(subfolders(spark, f"{folder}/staged", f"{step}=*"), key=lambda path: int(path.rsplit("=", 1)[1]))
     spark.createDataFrame([], rows.drop(step).schema).write.parquet(landing)
