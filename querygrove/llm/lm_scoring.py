@@ -58,16 +58,32 @@ STEP_WORDS = 4096
 OWN_INPUTS, INPUTS = 1536, 2048
 #: Parameters in a row that tasks send.
 CHUNK = 256
+#: Bytes of texts whose words are hashed at once.
+HASHED_BYTES = 1 << 16
 #: What a word that was not counted counts.
 UNSEEN = 0.5
+#: Leading bits of a hash by which a task finds counted words.
+BITS = 18
+#: Sums of exponentials beyond which (or below whose inverse) the largest logit of each row is taken off first.
+_LARGE = 1e20
+#: Words, and logits of them, that are held at once when texts are scored.
+SCORED_WORDS = 16 * STEP_WORDS
+_LOGITS = STEP_WORDS * CLASSES
 
 _VALUES = byte_values(6, lower=True)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every word of a slice."""
-    starts, ends, text = words(data, offsets)
-    return span_hashes(prefix_hashes(data, _VALUES), starts, ends).view(np.int64), text
+    """Hash and text of every word of a slice, a few texts at a time: their sums stay in the memory that was used before."""
+    hashes, texts, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + HASHED_BYTES, "right")) - 1)
+        part = data[offsets[low]:offsets[high]]
+        starts, ends, text = words(part, offsets[low:high + 1] - offsets[low])
+        hashes.append(span_hashes(prefix_hashes(part, _VALUES), starts, ends).view(np.int64))
+        texts.append(text + low)
+        low = high
+    return np.concatenate(hashes), np.concatenate(texts)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +120,12 @@ class Vocabulary:
     counts: np.ndarray
     own: int
 
+    def __post_init__(self) -> None:
+        self.first = np.searchsorted(self.word, np.arange(-(1 << BITS - 1), 1 << BITS - 1) << 64 - BITS).astype(np.int32)
+        self.rest = -np.log(self.counts + UNSEEN)
+        self.share = np.where(self.bucket < self.own, 0.0, np.log(self.n) + self.rest[self.bucket])
+        self.ended = np.append(self.word, np.iinfo(np.int64).max)
+
     @classmethod
     def of(cls, table: DataFrame, head_words: int = HEAD_WORDS, own_buckets: int = OWN_BUCKETS) -> Vocabulary:
         # Whole steps of frequency are taken while they fit, so neither the driver nor a task ranks the table.
@@ -136,13 +158,16 @@ class Vocabulary:
 
         The share of such a word lacks the logarithm of its count.
         """
-        bucket, count, known = self._shared(word, self.own), np.ones(len(word)), np.zeros(len(word), bool)
-        if len(self.word):
-            at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-            known = self.word[at] == word
-            bucket[known], count[known] = self.bucket[at[known]], self.n[at[known]]
-        own = bucket < self.own
-        return bucket, np.where(own, 0.0, np.log(count) - np.log(self.counts[bucket] + UNSEEN)), ~known
+        at = self.first[(word >> 64 - BITS) + (1 << BITS - 1)]
+        below = np.flatnonzero(self.ended[at] < word)
+        while len(below):  # as often as words share their leading bits
+            at[below] += 1
+            below = below[self.ended[at[below]] < word[below]]
+        known = (self.ended[at] == word) & (at < len(self.word))
+        bucket = self._shared(word, self.own)
+        share, there = self.rest[bucket], at[known]
+        bucket[known], share[known] = self.bucket[there], self.share[there]
+        return bucket, share, ~known
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -150,22 +175,42 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return Vocabulary.of(word_table(docs)).counts
 
 
-def _softmax(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Probabilities, in the memory of ``logits``."""
-    logits += bias
-    logits -= logits.max(1, keepdims=True)
+def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of the logits ``h @ weights.T``, their sum in each row, and what was taken off the row's logits before.
+
+    Nothing is, unless exponentials overflow or vanish. The last column of ``h`` is 1, that of ``weights`` the bias.
+    """
+    logits, one = h @ weights.T, np.ones(len(weights), np.float32)
+    np.exp(logits, out=logits)
+    total = logits @ one
+    if 1 / _LARGE < total.min() and total.max() < _LARGE:
+        return logits, total, 0.0
+    logits = h @ weights.T
+    top = logits.max(1)
+    logits -= top[:, None]
     np.exp(logits, out=logits)
-    logits *= 1 / logits.sum(1, keepdims=True)
-    return logits
+    return logits, logits @ one, top
 
 
-def _log_softmax(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the probability of column ``at`` of each row; overwrites ``logits``."""
-    logits += bias
-    logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(logits)), at]
-    np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(1))
+def _log_softmax(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of outcome ``at`` of each row."""
+    out, rows = np.einsum("ij,ij->i", h, weights[at]), max(_LOGITS // len(weights), 1)
+    for low in range(0, len(h), rows):
+        _, total, top = _exponentials(h[low:low + rows], weights)
+        out[low:low + rows] -= top + np.log(total)
+    return out
+
+
+def _step(h: np.ndarray, weights: np.ndarray, at: np.ndarray, rate: float) -> np.ndarray:
+    """Moves ``weights`` along the gradient of the summed -log p of outcomes ``at``; the gradient of ``h`` without its last column, before that."""
+    p, total, _ = _exponentials(h, weights)
+    p[np.arange(len(p)), at] -= total
+    part = (1 / total)[:, None]  # the narrow factors are divided, not the probabilities
+    pull = p @ weights[:, :-1]
+    pull *= part
+    part *= np.float32(rate)
+    weights -= p.T @ (h * part)
+    return pull
 
 
 @dataclass
@@ -220,61 +265,77 @@ class WindowNetwork:
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.embed[0][context[0]]
+        total = self.embed[0].take(context[0], 0)
+        total += self.bias
         for k in range(1, len(OFFSETS)):
-            total += self.embed[k][context[k]]
-        return np.tanh(total)
+            total += self.embed[k].take(context[k], 0)
+        return np.tanh(total, out=total)
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Copies of the weights of classes and of buckets, a row each, the bias last."""
+        return np.column_stack((self.out.T, self.out_bias)), np.column_stack((self.inner, self.inner_bias))
+
+    def _with_one(self, context: np.ndarray) -> np.ndarray:
+        h = np.ones((context.shape[1], HIDDEN + 1), np.float32)
+        h[:, :-1] = self.hidden(context)
+        return h
 
-    def _groups(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """The words of each class of several buckets, and the bounds of the class."""
+    def _groups(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, int, int]]]:
+        """The words whose class has several buckets, by class; for each class where they stand, and its bounds."""
         order = np.argsort(own, kind="stable")
         at = np.searchsorted(own[order], np.arange(OWN_CLASSES, CLASSES + 1))
-        for k, (low, high) in enumerate(zip(at, at[1:], strict=False), OWN_CLASSES):
-            if high > low and self.bounds[k + 1] - self.bounds[k] > 1:
-                yield order[low:high], self.bounds[k], self.bounds[k + 1]
+        order, at = order[at[0]:], (at - at[0]).tolist()
+        bounds = self.bounds[OWN_CLASSES:].tolist()
+        return order, [(slice(low, high), a, b) for low, high, a, b in zip(at, at[1:], bounds, bounds[1:], strict=False) if high > low and b - a > 1]
 
+    @np.errstate(over="ignore")
     def log_probability(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Log-probability of each bucket given both sides."""
         own, place = self.classes[word], self.place[word]
         context, out = self.context(self.inputs(word), text), np.empty(len(word), np.float32)
-        for low in range(0, len(word), STEP_WORDS):
-            part = slice(low, low + STEP_WORDS)
-            h = self.hidden(context[:, part])
-            out[part] = _log_softmax(h @ self.out, self.out_bias, own[part])
-            for rows, a, b in self._groups(own[part]):
-                out[low + rows] += _log_softmax(h[rows] @ self.inner[a:b].T, self.inner_bias[a:b], place[low + rows] - a)
+        outer, inner = self._weights()
+        for low in range(0, len(word), SCORED_WORDS):
+            part = slice(low, low + SCORED_WORDS)
+            h = self._with_one(context[:, part])
+            found = _log_softmax(h, outer, own[part])
+            order, groups = self._groups(own[part])
+            mine, mine_at, more = h[order], place[part][order], np.zeros(len(order), np.float32)
+            for rows, a, b in groups:
+                more[rows] = _log_softmax(mine[rows], inner[a:b], mine_at[rows] - a)
+            found[order] += more
+            out[part] = found
         return out
 
+    @np.errstate(over="ignore")
     def train(self, word: np.ndarray, text: np.ndarray, rate: float) -> None:
         """One pass of stochastic gradient steps."""
         own, place = self.classes[word], self.place[word]
         context = self.context(self.inputs(word), text)
+        outer, inner = self._weights()
+        # Rows of all embeddings and of their gradients as pairs of numbers, which are summed at once.
+        pairs, pair = self.embed.reshape(-1).view(np.complex64), np.arange(HIDDEN // 2)
+        first = np.arange(len(OFFSETS))[:, None] * (INPUTS + 1)
         for low in range(0, len(word), STEP_WORDS):
             part = slice(low, low + STEP_WORDS)
             around, target = context[:, part], own[part]
-            h = self.hidden(around)
-            p = _softmax(h @ self.out, self.out_bias)
-            p[np.arange(len(p)), target] -= 1
-            scale = rate / len(p)
-            pull = p @ self.out.T
-            for rows, a, b in self._groups(target):
-                mine = h[rows]
-                q = _softmax(mine @ self.inner[a:b].T, self.inner_bias[a:b])
-                q[np.arange(len(rows)), place[low + rows] - a] -= 1
-                pull[rows] += q @ self.inner[a:b]
+            h = self._with_one(around)
+            scale = rate / len(h)
+            pull = _step(h, outer, target, scale)
+            order, groups = self._groups(target)
+            mine, mine_at, more = h[order], place[part][order], np.zeros((len(order), HIDDEN), np.float32)
+            for rows, a, b in groups:
                 # A class is an outcome of its own: its step is a mean over its words.
-                step = rate * INNER_RATE / max(len(rows), INNER_WORDS)
-                self.inner[a:b] -= step * (q.T @ mine)
-                self.inner_bias[a:b] -= step * q.sum(0)
-            dh = pull * (1 - h * h)
-            self.out -= scale * (h.T @ p)
-            self.out_bias -= scale * p.sum(0)
-            self.bias -= scale * dh.sum(0)
-            for k in range(len(OFFSETS)):
-                # Rows of an input are summed at once, not one by one.
-                order = np.argsort(around[k], kind="stable")
-                first = np.flatnonzero(np.diff(around[k][order], prepend=np.int16(-1)))
-                self.embed[k][around[k][order[first]]] -= scale * np.add.reduceat(dh[order], first, axis=0)
+                more[rows] = _step(mine[rows], inner[a:b], mine_at[rows] - a, rate * INNER_RATE / max(rows.stop - rows.start, INNER_WORDS))
+            pull[order] += more
+            h = h[:, :-1]
+            pull *= 1 - h * h
+            pull *= np.float32(-scale)
+            self.bias += pull.sum(0)
+            moves = pull.reshape(-1).view(np.complex64)
+            for start in (first + around) * (HIDDEN // 2):
+                np.add.at(pairs, (start[:, None] + pair).ravel(), moves)
+        self.out[:], self.out_bias[:] = outer[:, :-1].T, outer[:, -1]
+        self.inner[:], self.inner_bias[:] = inner[:, :-1], inner[:, -1]
 
     def _parameters(self) -> tuple[np.ndarray, ...]:
         return self.embed, self.bias, self.out, self.out_bias, self.inner, self.inner_bias

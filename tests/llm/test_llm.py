@@ -407,6 +407,101 @@ def test_words_of_one_class_are_told_apart_by_both_sides():
     assert abs(np.exp(model.log_probability(lines, text)[1::3].astype(float)).sum() - 1) < 1e-3
 
 
+def test_logits_of_any_size_give_probabilities():
+    """Exponentials that would overflow or vanish lose the largest logit first; the others keep their value."""
+    rng = np.random.default_rng(2)
+    h = np.ones((60, lm_scoring.HIDDEN + 1), np.float32)
+    h[:, :-1] = rng.uniform(-1, 1, (60, lm_scoring.HIDDEN))
+    at = rng.integers(0, 40, 60)
+    for size, bias in ((0.1, 0), (0.1, -200), (0.1, 200), (30, 0)):
+        weights = rng.normal(0, size, (40, lm_scoring.HIDDEN + 1)).astype(np.float32)
+        weights[:, -1] += bias
+        logits = h.astype(float) @ weights.T.astype(float)
+        logits -= logits.max(1, keepdims=True)
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        with np.errstate(over="ignore"):
+            got = lm_scoring._log_softmax(h, weights, at)
+            moved = weights.copy()
+            pull = lm_scoring._step(h, moved, at, 0.5)
+        assert np.allclose(got, logits[np.arange(60), at] - np.log(np.exp(logits).sum(1)), rtol=1e-3, atol=1e-3)
+        p[np.arange(60), at] -= 1
+        assert np.allclose(pull, p @ weights[:, :-1], rtol=1e-2, atol=1e-2 * size)
+        assert np.allclose(weights - moved, 0.5 * p.T @ h, atol=1e-3)
+
+
+def test_a_step_moves_every_parameter_along_the_gradient():
+    """Training against plain differentiation, one word at a time, in double precision."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 500, lm_scoring.BUCKETS)
+    model = lm_scoring.WindowNetwork.start(counts)
+    model.inner[:] = rng.normal(0, 0.1, model.inner.shape)
+    word = rng.choice(np.argsort(-counts)[:600], 700)
+    text = np.sort(rng.integers(0, 9, 700))
+    embed, bias, out, out_bias, inner, inner_bias = (x.astype(float) for x in model._parameters())
+    own, place, context = model.classes[word], model.place[word], model.context(model.inputs(word), text)
+    members = np.bincount(own, minlength=lm_scoring.CLASSES)
+    moved = [x.copy() for x in (embed, bias, out, out_bias, inner, inner_bias)]
+    scores = np.empty(700)
+    for i in range(700):
+        h = np.tanh(bias + sum(embed[k, context[k, i]] for k in range(4)))
+        p = np.exp(h @ out + out_bias)
+        p /= p.sum()
+        scores[i] = np.log(p[own[i]])
+        p[own[i]] -= 1
+        pull = out @ p
+        moved[2] -= 2.0 / 700 * np.outer(h, p)
+        moved[3] -= 2.0 / 700 * p
+        a, b = model.bounds[own[i]], model.bounds[own[i] + 1]
+        if b - a > 1:
+            q = np.exp(inner[a:b] @ h + inner_bias[a:b])
+            q /= q.sum()
+            scores[i] += np.log(q[place[i] - a])
+            q[place[i] - a] -= 1
+            pull += q @ inner[a:b]
+            rate = 2.0 * lm_scoring.INNER_RATE / max(members[own[i]], lm_scoring.INNER_WORDS)
+            moved[4][a:b] -= rate * np.outer(q, h)
+            moved[5][a:b] -= rate * q
+        dh = pull * (1 - h * h)
+        moved[1] -= 2.0 / 700 * dh
+        for k in range(4):
+            moved[0][k, context[k, i]] -= 2.0 / 700 * dh
+    assert np.allclose(model.log_probability(word, text), scores, atol=1e-4)
+    model.train(word, text, 2.0)
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(model._parameters(), moved, strict=True))
+    assert not np.allclose(moved[4], inner, atol=1e-4)
+
+
+def test_counted_words_are_found_whatever_their_leading_bits():
+    rng = np.random.default_rng(5)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    near = (rng.integers(-9, 9, 8) << 40)[:, None] + np.arange(30)  # many with the same leading bits
+    word = np.unique(np.concatenate([near.ravel(), rng.integers(low, high, 500), [low, high, 0, -1]]))
+    asked = np.concatenate([word, word[:-1] + 1, rng.integers(low, high, 500), [high - 1, low + 1]])
+    n = rng.integers(1, 90, len(word))
+    for counted in (word, word[:-1], word[:0]):
+        counts = np.full(lm_scoring.BUCKETS, 100)
+        bucket = np.arange(len(counted)) % 50 + 90
+        vocabulary = lm_scoring.Vocabulary(counted, n[:len(counted)], bucket, counts, 100)
+        at = {w: i for i, w in enumerate(counted.tolist())}
+        got = vocabulary.look_up(asked)
+        for w, b, share, open_ in zip(asked.tolist(), *got, strict=True):
+            i = at.get(w)
+            assert open_ == (i is None)
+            assert b == (bucket[i] if i is not None else lm_scoring.Vocabulary._shared(w, 100))
+            assert abs(share - (0 if b < 100 else np.log(1 if i is None else n[i]) - np.log(100.5))) < 1e-12
+
+
+def test_words_hash_alike_wherever_they_stand():
+    texts = ["", "One two", "x" * (2 * lm_scoring.HASHED_BYTES) + " two", " ", *(f"one two w{k}" for k in range(9000)), "two"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    word, text = lm_scoring.word_hashes(data, offsets)
+    names = [(w.lower(), k) for k, t in enumerate(texts) for w in t.split()]
+    assert text.tolist() == [k for _, k in names]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for (w, _), h in zip(names, word.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 # --- op7 ------------------------------------------------------------------------------------
 
 
