@@ -64,11 +64,14 @@ HASHED_BYTES = 1 << 16
 UNSEEN = 0.5
 #: Leading bits of a hash by which a task finds counted words.
 BITS = 18
-#: Sums of exponentials beyond which (or below whose inverse) the largest logit of each row is taken off first.
-_LARGE = 1e20
+#: Squares of sums of exponentials beyond which (or below whose inverse) the largest logit of each row is taken off first.
+_LARGE = 1e30
 #: Words, and logits of them, that are held at once when texts are scored.
 SCORED_WORDS = 16 * STEP_WORDS
 _LOGITS = STEP_WORDS * CLASSES
+#: Logits that a step holds at once, unless one class has more: they stay in the cache.
+CACHED = 1 << 18
+_ONES = np.ones(BUCKETS, np.float32)
 
 _VALUES = byte_values(6, lower=True)
 
@@ -125,6 +128,7 @@ class Vocabulary:
         self.rest = -np.log(self.counts + UNSEEN)
         self.share = np.where(self.bucket < self.own, 0.0, np.log(self.n) + self.rest[self.bucket])
         self.ended = np.append(self.word, np.iinfo(np.int64).max)
+        self.bucket_at, self.share_at = np.append(self.bucket, 0).astype(np.int16), np.append(self.share, 0.0)
 
     @classmethod
     def of(cls, table: DataFrame, head_words: int = HEAD_WORDS, own_buckets: int = OWN_BUCKETS) -> Vocabulary:
@@ -153,21 +157,28 @@ class Vocabulary:
     def _shared(word: np.ndarray, own: int) -> np.ndarray:
         return own + word % (BUCKETS - own)
 
-    def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket of each word, log share in its bucket, and whether its count is in the table only.
-
-        The share of such a word lacks the logarithm of its count.
-        """
+    def _find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word stands among the counted ones, and whether it is one of them."""
         at = self.first[(word >> 64 - BITS) + (1 << BITS - 1)]
         below = np.flatnonzero(self.ended[at] < word)
         while len(below):  # as often as words share their leading bits
             at[below] += 1
             below = below[self.ended[at[below]] < word[below]]
-        known = (self.ended[at] == word) & (at < len(self.word))
-        bucket = self._shared(word, self.own)
-        share, there = self.rest[bucket], at[known]
-        bucket[known], share[known] = self.bucket[there], self.share[there]
-        return bucket, share, ~known
+        return at, (self.ended[at] == word) & (at < len(self.word))
+
+    def buckets(self, word: np.ndarray) -> np.ndarray:
+        """Bucket of each word."""
+        at, known = self._find(word)
+        return np.where(known, self.bucket_at[at], self._shared(word, self.own))
+
+    def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each word, log share in its bucket, and whether its count is in the table only.
+
+        The share of such a word lacks the logarithm of its count.
+        """
+        at, known = self._find(word)
+        bucket = np.where(known, self.bucket_at[at], self._shared(word, self.own))
+        return bucket, np.where(known, self.share_at[at], self.rest[bucket]), ~known
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -175,41 +186,93 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return Vocabulary.of(word_table(docs)).counts
 
 
-def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """Exponentials of the logits ``h @ weights.T``, their sum in each row, and what was taken off the row's logits before.
+def _in_range(total: np.ndarray, inverse: np.ndarray) -> bool:
+    """Whether no exponentials overflowed or vanished, by their sums."""
+    return total.dot(total) < _LARGE and inverse.dot(inverse) < _LARGE
 
-    Nothing is, unless exponentials overflow or vanish. The last column of ``h`` is 1, that of ``weights`` the bias.
-    """
-    logits, one = h @ weights.T, np.ones(len(weights), np.float32)
-    np.exp(logits, out=logits)
-    total = logits @ one
-    if 1 / _LARGE < total.min() and total.max() < _LARGE:
-        return logits, total, 0.0
-    logits = h @ weights.T
-    top = logits.max(1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return logits, logits @ one, top
-
-
-def _log_softmax(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the probability of outcome ``at`` of each row."""
-    out, rows = np.einsum("ij,ij->i", h, weights[at]), max(_LOGITS // len(weights), 1)
+
+def _without_largest(h: np.ndarray, weights: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the exponentials of the logits to ``p``, the largest of each row taken off first; their sums, and what was taken off."""
+    np.matmul(h, weights.T, out=p)
+    top = p.max(1)
+    p -= top[:, None]
+    np.exp(p, out=p)
+    return p @ _ONES[:len(weights)], top
+
+
+def _space(room: np.ndarray | None, n: int) -> np.ndarray:
+    """The first ``n`` places of ``room`` if it has as many, whose pages were used before, or new ones."""
+    return np.empty(n, np.float32) if room is None or len(room) < n else room[:n]
+
+
+def _log_softmax(h: np.ndarray, weights: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Logarithm of the probability of outcome ``at`` of each row. The last column of ``h`` is 1, that of ``weights`` the bias."""
+    out, width = np.empty(len(h), np.float32), len(weights)
+    rows = max(_LOGITS // width, 1)
     for low in range(0, len(h), rows):
-        _, total, top = _exponentials(h[low:low + rows], weights)
-        out[low:low + rows] -= top + np.log(total)
+        some = h[low:low + rows]
+        p = np.matmul(some, weights.T, out=_space(room, len(some) * width).reshape(-1, width))
+        own = p.reshape(-1)[np.arange(0, p.size, width) + at[low:low + rows]]
+        np.exp(p, out=p)
+        total = p @ _ONES[:width]
+        if not _in_range(total, 1 / total):
+            total, top = _without_largest(some, weights, p)
+            own -= top
+        out[low:low + rows] = own - np.log(total)
     return out
 
 
-def _step(h: np.ndarray, weights: np.ndarray, at: np.ndarray, rate: float) -> np.ndarray:
-    """Moves ``weights`` along the gradient of the summed -log p of outcomes ``at``; the gradient of ``h`` without its last column, before that."""
-    p, total, _ = _exponentials(h, weights)
-    p[np.arange(len(p)), at] -= total
-    part = (1 / total)[:, None]  # the narrow factors are divided, not the probabilities
-    pull = p @ weights[:, :-1]
-    pull *= part
-    part *= np.float32(rate)
-    weights -= p.T @ (h * part)
+def _runs(groups: list[tuple[slice, int, int]]) -> Iterator[list[tuple[slice, int, int]]]:
+    """Groups one after the other whose logits fit the cache together, or one whose logits don't."""
+    run, held = [], 0
+    for rows, a, b in groups:
+        n = (rows.stop - rows.start) * (b - a)
+        if run and held + n > CACHED:
+            yield run
+            run, held = [], 0
+        run.append((rows, a, b))
+        held += n
+    yield run
+
+
+def _step(h: np.ndarray, weights: np.ndarray, at: np.ndarray, rate: float | np.ndarray, room: np.ndarray | None = None,
+          groups: list[tuple[slice, int, int]] | None = None) -> np.ndarray:
+    """Moves ``weights`` along the gradient of the summed -log p of outcomes ``at``; the gradient of ``h`` without its last column, before that.
+
+    Each of ``groups`` has outcomes of its own: its rows of ``h`` and the bounds of its outcomes; they cover all rows in order.
+    ``rate`` is one for all or one for each row. What is done row by row is done for many small groups at once.
+    """
+    if groups is None:
+        block = max(CACHED // len(weights), 1)
+        groups = [(slice(low, min(low + block, len(h))), 0, len(weights)) for low in range(0, len(h), block)]
+    pull, rate, changes = np.empty((len(h), weights.shape[1] - 1), np.float32), np.broadcast_to(np.asarray(rate, np.float32), len(h)), []
+    for run in _runs(groups):
+        every = slice(run[0][0].start, run[-1][0].stop)
+        total, ps, low = np.empty(every.stop - every.start, np.float32), [], 0
+        rows_of, widths = [rows.stop - rows.start for rows, _, _ in run], [b - a for _, a, b in run]
+        flat = _space(room, sum(n * width for n, width in zip(rows_of, widths, strict=True)))
+        for rows, a, b in run:
+            n, first = rows.stop - rows.start, rows.start - every.start
+            p = np.matmul(h[rows], weights[a:b].T, out=flat[low:low + n * (b - a)].reshape(n, b - a))
+            np.exp(p, out=p)
+            np.matmul(p, _ONES[:b - a], out=total[first:first + n])
+            ps.append(p)
+            low += n * (b - a)
+        part = 1 / total
+        if not _in_range(total, part):
+            for p, (rows, a, b) in zip(ps, run, strict=True):
+                total[rows.start - every.start:rows.stop - every.start] = _without_largest(h[rows], weights[a:b], p)[0]
+            part = 1 / total
+        width = np.repeat(widths, rows_of)
+        flat[np.cumsum(width) - width - np.repeat([a for _, a, _ in run], rows_of) + at[every]] -= total
+        # The narrow factors are divided, not the probabilities.
+        moves = h[every] * (part * rate[every])[:, None]
+        for p, (rows, a, b) in zip(ps, run, strict=True):
+            np.matmul(p, weights[a:b, :-1], out=pull[rows])
+            changes.append((a, b, p.T @ moves[rows.start - every.start:rows.stop - every.start]))
+        pull[every] *= part[:, None]
+    for a, b, change in changes:
+        weights[a:b] -= change
     return pull
 
 
@@ -269,71 +332,84 @@ class WindowNetwork:
         total += self.bias
         for k in range(1, len(OFFSETS)):
             total += self.embed[k].take(context[k], 0)
-        return np.tanh(total, out=total)
+        # The hyperbolic tangent, as 1 - 2 / (exp(2 x) + 1).
+        total += total
+        np.exp(total, out=total)
+        total += 1
+        np.divide(-2, total, out=total)
+        total += 1
+        return total
 
     def _weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Copies of the weights of classes and of buckets, a row each, the bias last."""
         return np.column_stack((self.out.T, self.out_bias)), np.column_stack((self.inner, self.inner_bias))
 
-    def _with_one(self, context: np.ndarray) -> np.ndarray:
-        h = np.ones((context.shape[1], HIDDEN + 1), np.float32)
-        h[:, :-1] = self.hidden(context)
+    @staticmethod
+    def _with_one(hidden: np.ndarray) -> np.ndarray:
+        h = np.empty((len(hidden), HIDDEN + 1), np.float32)
+        h[:, :-1], h[:, -1] = hidden, 1
         return h
 
     def _groups(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, int, int]]]:
         """The words whose class has several buckets, by class; for each class where they stand, and its bounds."""
-        order = np.argsort(own, kind="stable")
-        at = np.searchsorted(own[order], np.arange(OWN_CLASSES, CLASSES + 1))
-        order, at = order[at[0]:], (at - at[0]).tolist()
-        bounds = self.bounds[OWN_CLASSES:].tolist()
-        return order, [(slice(low, high), a, b) for low, high, a, b in zip(at, at[1:], bounds, bounds[1:], strict=False) if high > low and b - a > 1]
+        order = np.flatnonzero((np.diff(self.bounds) > 1)[own])
+        order = order[np.argsort(own[order], kind="stable")]
+        at, bounds = np.searchsorted(own[order], np.arange(CLASSES + 1)).tolist(), self.bounds.tolist()
+        return order, [(slice(low, high), a, b) for low, high, a, b in zip(at, at[1:], bounds, bounds[1:], strict=False) if high > low]
 
-    @np.errstate(over="ignore")
+    @np.errstate(over="ignore", divide="ignore")
     def log_probability(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Log-probability of each bucket given both sides."""
         own, place = self.classes[word], self.place[word]
         context, out = self.context(self.inputs(word), text), np.empty(len(word), np.float32)
         outer, inner = self._weights()
+        room, room_h = np.empty(_LOGITS, np.float32), np.ones((min(len(word), SCORED_WORDS), HIDDEN + 1), np.float32)
         for low in range(0, len(word), SCORED_WORDS):
             part = slice(low, low + SCORED_WORDS)
-            h = self._with_one(context[:, part])
-            found = _log_softmax(h, outer, own[part])
+            h = room_h[:len(word) - low]
+            for start in range(0, len(h), STEP_WORDS):  # a step at a time stays in the cache
+                some = h[start:start + STEP_WORDS]
+                some[:, :-1] = self.hidden(context[:, low + start:low + start + len(some)])
+            found = _log_softmax(h, outer, own[part], room)
             order, groups = self._groups(own[part])
             mine, mine_at, more = h[order], place[part][order], np.zeros(len(order), np.float32)
             for rows, a, b in groups:
-                more[rows] = _log_softmax(mine[rows], inner[a:b], mine_at[rows] - a)
+                more[rows] = _log_softmax(mine[rows], inner[a:b], mine_at[rows] - a, room)
             found[order] += more
             out[part] = found
         return out
 
-    @np.errstate(over="ignore")
+    @np.errstate(over="ignore", divide="ignore")
     def train(self, word: np.ndarray, text: np.ndarray, rate: float) -> None:
         """One pass of stochastic gradient steps."""
         own, place = self.classes[word], self.place[word]
         context = self.context(self.inputs(word), text)
         outer, inner = self._weights()
-        # Rows of all embeddings and of their gradients as pairs of numbers, which are summed at once.
-        pairs, pair = self.embed.reshape(-1).view(np.complex64), np.arange(HIDDEN // 2)
-        first = np.arange(len(OFFSETS))[:, None] * (INPUTS + 1)
+        # Rows of all embeddings and of their gradients as pairs of numbers, which are summed at once; where the pairs of each row stand.
+        pairs = self.embed.reshape(-1).view(np.complex64)
+        places, first = np.arange(len(pairs)).reshape(-1, HIDDEN // 2), np.arange(len(OFFSETS))[:, None] * (INPUTS + 1)
+        room = np.empty(CACHED, np.float32)
         for low in range(0, len(word), STEP_WORDS):
             part = slice(low, low + STEP_WORDS)
             around, target = context[:, part], own[part]
-            h = self._with_one(around)
+            slope = self.hidden(around)
+            h = self._with_one(slope)
             scale = rate / len(h)
-            pull = _step(h, outer, target, scale)
+            pull = _step(h, outer, target, scale, room)
             order, groups = self._groups(target)
-            mine, mine_at, more = h[order], place[part][order], np.zeros((len(order), HIDDEN), np.float32)
-            for rows, a, b in groups:
+            if groups:
                 # A class is an outcome of its own: its step is a mean over its words.
-                more[rows] = _step(mine[rows], inner[a:b], mine_at[rows] - a, rate * INNER_RATE / max(rows.stop - rows.start, INNER_WORDS))
-            pull[order] += more
-            h = h[:, :-1]
-            pull *= 1 - h * h
-            pull *= np.float32(-scale)
+                seen = [rows.stop - rows.start for rows, _, _ in groups]
+                rates = np.repeat(rate * INNER_RATE / np.maximum(seen, INNER_WORDS), seen)
+                pull[order] += _step(h[order], inner, place[part][order], rates, room, groups)
+            slope *= slope
+            slope -= 1
+            slope *= np.float32(scale)
+            pull *= slope
             self.bias += pull.sum(0)
             moves = pull.reshape(-1).view(np.complex64)
-            for start in (first + around) * (HIDDEN // 2):
-                np.add.at(pairs, (start[:, None] + pair).ravel(), moves)
+            for row in first + around:
+                np.add.at(pairs, places.take(row, 0).ravel(), moves)
         self.out[:], self.out_bias[:] = outer[:, :-1].T, outer[:, -1]
         self.inner[:], self.inner_bias[:] = inner[:, :-1], inner[:, -1]
 
@@ -384,7 +460,7 @@ def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float
     for _ in range(warm_passes):
         for _, _, data, offsets in slices(pa.array(warm, pa.large_string())):
             word, text = word_hashes(data, offsets)
-            model.train(vocabulary.look_up(word)[0], text, rate)
+            model.train(vocabulary.buckets(word), text, rate)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +469,7 @@ def fit(docs: DataFrame, warm_rows: int = 400, warm_passes: int = 6, rate: float
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
                 word, text = word_hashes(data, offsets)
-                own.train(known_words.look_up(word)[0], text, rate / 4)
+                own.train(known_words.buckets(word), text, rate / 4)
                 seen += len(word)
         if seen:
             flat = own.vector()

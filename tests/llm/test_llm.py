@@ -471,6 +471,59 @@ def test_a_step_moves_every_parameter_along_the_gradient():
     assert not np.allclose(moved[4], inner, atol=1e-4)
 
 
+def test_a_step_over_several_groups_is_a_step_for_each():
+    """Groups that stand side by side move their own outcomes only, also where the exponentials of one overflow or vanish."""
+    rng = np.random.default_rng(7)
+    bounds, counts = [0, 30, 32, 90], [25, 1, 60]
+    groups = [(slice(sum(counts[:k]), sum(counts[:k + 1])), bounds[k], bounds[k + 1]) for k in range(3)]
+    h = np.ones((sum(counts), lm_scoring.HIDDEN + 1), np.float32)
+    h[:, :-1] = rng.uniform(-1, 1, (len(h), lm_scoring.HIDDEN))
+    at = np.concatenate([rng.integers(a, b, n) for n, (_, a, b) in zip(counts, groups, strict=True)])
+    rates = np.array([0.5, 0.25, 0.125])
+    for bias in (0, -200, 200):
+        weights = rng.normal(0, 0.3, (100, lm_scoring.HIDDEN + 1)).astype(np.float32)
+        weights[30:32, -1] += bias
+        for room in (None, np.empty(100, np.float32), np.full(10_000, np.nan, np.float32)):
+            one_by_one, together = weights.copy(), weights.copy()
+            with np.errstate(over="ignore", divide="ignore"):
+                pulls = [lm_scoring._step(h[rows], one_by_one[a:b], at[rows] - a, rate) for (rows, a, b), rate in zip(groups, rates, strict=True)]
+                pull = lm_scoring._step(h, together, at, np.repeat(rates, counts), room, groups)
+            assert np.allclose(pull, np.concatenate(pulls), atol=1e-5) and np.allclose(together, one_by_one, atol=1e-5)
+            assert (together[90:] == weights[90:]).all() and not np.allclose(together[:90], weights[:90], atol=1e-3)
+
+
+def test_classes_of_a_step_are_trained_together(monkeypatch):
+    """Small arrays of each class cost more calls than work: what is done row by row is done once for all of them."""
+    rng, calls, step = np.random.default_rng(8), [], lm_scoring._step
+    monkeypatch.setattr(lm_scoring, "_step", lambda *a, **k: calls.append(len(a[0])) or step(*a, **k))
+    model = lm_scoring.WindowNetwork.start(rng.integers(1, 500, lm_scoring.BUCKETS))
+    word = rng.integers(0, lm_scoring.BUCKETS, 2 * lm_scoring.STEP_WORDS + 10)
+    model.train(word, np.zeros(len(word), int), 1.0)
+    several = np.isin(model.classes[word], np.flatnonzero(np.diff(model.bounds) > 1))
+    assert len(calls) == 6 and sum(calls) == len(word) + several.sum()
+
+
+def test_buckets_are_those_of_a_look_up():
+    rng = np.random.default_rng(10)
+    word = np.unique(rng.integers(np.iinfo(np.int64).min, np.iinfo(np.int64).max, 3000))
+    bucket = rng.integers(0, lm_scoring.BUCKETS, 2000)
+    vocabulary = lm_scoring.Vocabulary(word[:2000], rng.integers(1, 90, 2000), bucket, np.full(lm_scoring.BUCKETS, 100), 4000)
+    asked = rng.permutation(word)
+    assert (vocabulary.buckets(asked) == vocabulary.look_up(asked)[0]).all() and (vocabulary.buckets(word[:2000]) == bucket).all()
+    assert (vocabulary.buckets(word[2000:]) == vocabulary._shared(word[2000:], 4000)).all()
+
+
+def test_hidden_values_are_hyperbolic_tangents():
+    rng = np.random.default_rng(9)
+    model = lm_scoring.WindowNetwork.start(np.full(lm_scoring.BUCKETS, 5))
+    for size in (0.01, 1, 100):
+        model.embed[:], model.bias[:] = rng.normal(0, size, model.embed.shape), rng.normal(0, size, model.bias.shape)
+        context = rng.integers(0, lm_scoring.INPUTS + 1, (len(lm_scoring.OFFSETS), 300))
+        with np.errstate(over="ignore"):
+            got = model.hidden(context)
+        assert np.allclose(got, np.tanh(model.bias.astype(float) + sum(model.embed[k, c].astype(float) for k, c in enumerate(context))), rtol=1e-4, atol=3e-6)
+
+
 def test_counted_words_are_found_whatever_their_leading_bits():
     rng = np.random.default_rng(5)
     low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
