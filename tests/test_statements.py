@@ -1,8 +1,10 @@
+import pytest
 from conftest import statements
 from pyspark.sql import functions as F
 
+from querygrove import prims
 from querygrove.functions import lexing
-from querygrove.operators import facts, security
+from querygrove.operators import facts, lint, reports, security
 from querygrove.operators import statements as op
 
 ACCEPTED = [
@@ -102,6 +104,63 @@ def test_token_rows_shuffle_text_not_tokens(spark):
     assert plan.index("Exchange hashpartitioning") > plan.rindex("Generate explode(filter(transform")
 
 
+@pytest.fixture(scope="module")
+def units(spark):
+    """Statements of three units and one without a key; one statement comes twice, one cannot be read. And their catalogue."""
+    texts = [
+        (1, 0, "SELECT * FROM orders, customer WHERE o_total = '1'"), (1, 1, "SELECT a FROM orders o LEFT JOIN customer c ON c.id = o.id"),
+        (1, 2, "SELECT FROM WHERE"), (2, 0, "SELECT id FROM orders WHERE o_total > (SELECT AVG(q) FROM lines WHERE lines.id = orders.id)"),
+        (3, 0, "SELECT FROM WHERE"), (4, 0, "DELETE FROM orders WHERE x = 1"), (4, 0, "DELETE FROM orders WHERE x = 1"),
+        (None, 0, "SELECT b FROM lost WHERE c = 2"),
+    ]
+    stmts = spark.createDataFrame([(u, i, 7, "sql", "query", "postgres", t) for u, i, t in texts], statements(spark, []).schema)
+    columns = spark.createDataFrame(
+        [(7, "orders", 1, "o_total", 1, "NUMERIC(12,2)"), (7, "lines", 2, "o_total", 1, "TEXT"), (8, "orders", 1, "c", 1, "TEXT")],
+        "repo long, tbl string, tbl_ord int, col string, ordinal int, data_type string")
+    indexes = spark.createDataFrame(
+        [(7, "orders", "i", ["id"], False, False)], "repo long, tbl string, idx string, columns array<string>, is_partial boolean, is_expression boolean")
+    warnings = spark.createDataFrame([], "repo long, object_name string, capability string")
+    return stmts, (columns, indexes, warnings)
+
+
+REPORT = {
+    1: (2, None, ["orders", "customer", "orders", "customer"], ["o_total", "a", "id", "id"], [", customer", "LEFT JOIN customer c ON c.id = o.id"],
+        ["WHERE o_total = '1'"], ["OPT-001", "OPT-003", "OPT-004"], False),
+    2: (1, None, ["orders", "lines"], ["id", "o_total", "q", "id", "id"], [],
+        ["WHERE o_total > (SELECT AVG(q) FROM lines WHERE lines.id = orders.id)"], ["OPT-002", "OPT-004"], False),
+    3: (0, "parse_error", [], [], [], [], [], False),
+    4: (2, None, ["orders", "orders"], ["x", "x"], [], ["", "", "WHERE x = 1", "WHERE x = 1"], [], False),
+    None: (1, None, [], [], [], [], [], False),
+}
+
+
+@pytest.mark.parametrize("task_text", [1_000_000, 40])
+def test_report_of_units_writes_no_tokens(spark, units, monkeypatch, task_text):
+    monkeypatch.setattr(prims, "TASK_TEXT", task_text)
+    stmts, catalogue = units
+    monkeypatch.setattr(type(stmts), "checkpoint", lambda *_, **__: pytest.fail("tokens are written"))
+    got = {r.unit_id: (r.statements, r.kind, r.tables, r.columns, r.joins, r.predicates, r.lint_rules, r.truncated)
+           for r in reports.analyze_sql(stmts, *catalogue).collect()}
+    assert got == REPORT
+    found = lint.lint(stmts, *catalogue).select("unit_id", "rule_id").collect()
+    assert {(r.unit_id, r.rule_id) for r in found} == {(u, rule) for u, r in REPORT.items() for rule in r[6]}
+
+
+def test_statements_are_dealt_into_tasks_by_their_text(spark, units, monkeypatch):
+    monkeypatch.setattr(prims, "TASK_TEXT", 10)
+    dealt = lexing.dealt(units[0], facts.KEYS, by=["unit_id"], keep=("repo", "dialect"))
+    size = sum(len(r.sql) for r in units[0].collect())
+    assert dealt.rdd.getNumPartitions() == -(-size // 10)
+    parts = dealt.select("unit_id", F.spark_partition_id().alias("at")).distinct().collect()
+    assert len(parts) == len({r.unit_id for r in parts}) == 5
+    # what a reader leaves out is left out above the exchange, which all readers share
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (
+        dealt.filter("unit_id IS NOT NULL").select("problem"), facts.statement_tokens(dealt, compared=False), lint.opt_001(dealt))]
+    assert len({plan.count("Exchange") for plan in plans}) == 1
+    for plan in plans:
+        assert "isnotnull(unit_id" not in plan[plan.index("Exchange hashpartitioning"):]
+
+
 HOST = [
     ('query = f"SELECT * FROM users WHERE id = {user_id}"', True, False), ('msg = f"Hello {name}"', False, False),
     ('query = f"SELECT * FROM users"', False, False), ('query = "SELECT * FROM users WHERE id = 5"', False, False),
