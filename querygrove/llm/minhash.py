@@ -316,7 +316,8 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     source = docs.select("text", F.struct(*docs.columns).alias(own))
     picked = source.filter("own.doc_id is null").unionByName(source.join(several, F.col("own.doc_id") == F.col(gone), "left_semi"))
     keyed = picked.mapInArrow(_keyed, StructType([picked.schema[own], StructField("k1", LongType()), StructField("k2", LongType())]))
-    one = keyed.groupBy("own.doc_id", "k1", "k2").agg(F.min_by("own", "own.text").alias(own))
+    # ordered by a struct: where the text is null, a plain order would give no row at all
+    one = keyed.groupBy("own.doc_id", "k1", "k2").agg(F.min_by("own", F.struct(F.col("own.text").isNull(), "own.text")).alias(own))
     kept = rows.filter("kept").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     return rest.unionByName(one.join(kept, stays, "left_semi").select("own.*"))
